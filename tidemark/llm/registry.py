@@ -7,6 +7,8 @@ import importlib
 #: Query name and the module that holds it.
 QUERIES = {
     "op1_best_fit_packing": "packing",
+    "op2_pii_spans": "pii",
+    "op3_license_notices": "licenses",
     "op10_token_counts": "token_count",
 }
 
