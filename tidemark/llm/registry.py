@@ -9,6 +9,9 @@ QUERIES = {
     "op1_best_fit_packing": "packing",
     "op2_pii_spans": "pii",
     "op3_license_notices": "licenses",
+    "op5_language_id": "language",
+    "op6_warc_round_trip": "warc",
+    "op8_benchmark_passages": "decontaminate",
     "op10_token_counts": "token_count",
 }
 
