@@ -11,6 +11,7 @@ QUERIES = {
     "op3_license_notices": "licenses",
     "op5_language_id": "language",
     "op6_warc_round_trip": "warc",
+    "op7_near_duplicates": "near_dups",
     "op8_benchmark_passages": "decontaminate",
     "op10_token_counts": "token_count",
 }
