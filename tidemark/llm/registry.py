@@ -13,6 +13,7 @@ QUERIES = {
     "op6_warc_round_trip": "warc",
     "op7_near_duplicates": "near_dups",
     "op8_benchmark_passages": "decontaminate",
+    "op9_imatch": "imatch",
     "op10_token_counts": "token_count",
 }
 
