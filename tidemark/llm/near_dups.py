@@ -203,7 +203,7 @@ def across(lists: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame
     marked = lists.join(labels, "node", "left").select("v", "band", "node", "n", F.coalesce("label", "node").alias("label"))
     both = marked.withColumn("home", F.lit(True)).unionByName(marked.withColumn("band", F.col("band") + 1).withColumn("home", F.lit(False)))
     seen = both.groupBy("v", "band").agg(F.count("*").alias("m"), F.max("home").alias("lived"), F.min("node").alias("first"), F.sum(F.xxhash64("node", "home").cast("decimal(20,0)")).alias("members"), F.min("label").alias("low"), F.max("label").alias("high"))
-    mixed = seen.where("lived AND low <> high").groupBy("band", "m", "first", "members").agg(F.min("v").alias("v")).select("v", "band", "m")
+    mixed = seen.where("lived AND low <> high").groupBy("band", "m", "first", "members", (F.col("v") < 0).alias("large")).agg(F.min("v").alias("v")).select("v", "band", "m")
     rest = common.settle(both.join(mixed, ["v", "band"]), "mixed-lists")
     few = rest.where(F.col("m") <= SMALL_LIST)
     side = lambda a: few.select("v", "band", *[F.col(c).alias(f"{c}_{a}") for c in ("node", "n", "label", "home")])
@@ -213,43 +213,58 @@ def across(lists: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame
     return alike(near, classes).unionByName(blockwise(rest.where(F.col("m") > SMALL_LIST), classes)).distinct()
 
 
+def flat(table: pa.Table, name: str, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of arrays (of each the first so many), and the row of each value."""
+    arrays = table.column(name).combine_chunks()
+    values, lengths = arrays.flatten().to_numpy(), arrays.value_lengths().to_numpy()
+    rows = np.repeat(np.arange(len(lengths)), lengths)
+    if first is not None:
+        some = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths) < first
+        values, rows = values[some], rows[some]
+    return values, rows
+
+
+def meetings(values: np.ndarray, rows: np.ndarray, n: int, step: int = 4096) -> np.ndarray:
+    """How many values each pair of n rows shares, by products of 0-1 matrices of bounded width."""
+    out = np.zeros((n, n), np.float32)
+    _, column, often = np.unique(values, return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    rows, column = rows[shared], (np.cumsum(often > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        a, b = np.searchsorted(column, (first, first + step))
+        held = np.zeros((n, step), np.float32)
+        held[rows[a:b], column[a:b] - first] = 1
+        out += held @ held.T
+    return out
+
+
 def blockwise(rest: DataFrame, classes: DataFrame, shared: int = SHARED) -> DataFrame:
     """The same for long lists: members are dealt into blocks of bounded size, and each pair of blocks is one group.
 
     A group compares its sketches by their values, and only the pairs that pass leave it, so no list makes a row for
-    each of its pairs.
+    each of its pairs. A pair that meets in several long lists leaves the first of them alone.
     """
+    rest = rest.join(rest.groupBy("node", "band").agg(F.collect_list("v").alias("lists")), ["node", "band"])
     blocks = F.greatest(F.lit(1), F.ceil(F.col("m") / BLOCK)).cast("int")
     dealt = rest.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     dealt = dealt.join(classes.select("node", "sketch"), "node")
     placed = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("v", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "label", "home", "sketch")
+    placed = placed.select("v", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "label", "home", "lists", "sketch")
     kind = rest.schema["node"].dataType.simpleString()
 
     def compare(table: pa.Table) -> pa.Table:
         node, n, label = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "label"))
-        home, own, i = table.column("home").to_numpy(zero_copy_only=False), table.column("own").to_numpy(), table.column("i")[0].as_py()
-        lists = table.column("sketch").combine_chunks()
-        values, lengths, whole = lists.flatten().to_numpy(), lists.value_lengths().to_numpy(), table.column("v")[0].as_py() >= 0
-        if not whole:
-            starts = np.cumsum(lengths) - lengths
-            values = values[np.arange(len(values)) - np.repeat(starts, lengths) < RETAINED]
-            lengths = np.minimum(lengths, RETAINED)
-        _, column, often = np.unique(values, return_inverse=True, return_counts=True)
-        member = np.repeat(np.arange(len(node)), lengths)[often[column] > 1]
-        column = np.cumsum(often > 1)[column[often[column] > 1]] - 1
-        overlap = np.zeros((len(node), len(node)), np.float32)
-        step = 4096
-        order = np.argsort(column, kind="stable")
-        member, column = member[order], column[order]
-        for first in range(0, int(column[-1]) + 1 if len(column) else 0, step):
-            a, b = np.searchsorted(column, (first, first + step))
-            held = np.zeros((len(node), step), np.float32)
-            held[member[a:b], column[a:b] - first] = 1
-            overlap += held @ held.T
+        home, own, i, v = table.column("home").to_numpy(zero_copy_only=False), table.column("own").to_numpy(), table.column("i")[0].as_py(), table.column("v")[0].as_py()
+        whole = v >= 0
+        overlap = meetings(*flat(table, "sketch", None if whole else RETAINED), len(node))
+        values, members = flat(table, "lists")
+        earlier = (values < v) & ((values >= 0) == whole)
+        met = meetings(values[earlier], members[earlier], len(node)) > 0
         more, less = np.maximum.outer(n, n), np.minimum.outer(n, n)
         fine = overlap * 100 >= (np.add.outer(n, n) - overlap) * PERCENT if whole else (overlap >= shared) & (more > WHOLE)
-        fine &= (label[:, None] != label[None, :]) & (less * 100 >= more * PERCENT) & (home[:, None] | home[None, :]) & (node[:, None] < node[None, :])
+        fine &= ~met & (label[:, None] != label[None, :]) & (less * 100 >= more * PERCENT) & (home[:, None] | home[None, :]) & (node[:, None] < node[None, :])
         if i != table.column("j")[0].as_py():
             fine &= own[:, None] != own[None, :]
         x, y = np.nonzero(fine)
