@@ -9,6 +9,7 @@ QUERIES = {
     "op1_best_fit_packing": "packing",
     "op2_pii_spans": "pii",
     "op3_license_notices": "licenses",
+    "op4_suffix_tree_scores": "suffix_tree",
     "op5_language_id": "language",
     "op6_warc_round_trip": "warc",
     "op7_near_duplicates": "near_dups",
