@@ -17,6 +17,7 @@ SUBSETS, ONE_IN = 64, 128
 CELLS = 1 << 20
 #: Ids whose texts are looked at together for their neighbours, and ranges of ids that one task may order.
 SPAN, ORDERED = 512, 65_536
+BROADCAST_ROWS = 1_000_000
 NO_ID = -(1 << 63)
 
 
@@ -48,7 +49,7 @@ def fingerprint(text: str, known: list[int], subsets: int = SUBSETS, one_in: int
     """
     inside = f"filter(found, t -> t IN ({', '.join(map(str, known)) or 'NULL'}))"
     drawn = f"array_sort(filter(if(size(inside) > 0, inside, found), t -> pmod(t, {one_in}) < {subsets}))"
-    each = f"transform(array(filter(drawn, t -> pmod(t, {one_in}) = j)), own -> if(size(own) > 0, xxhash64(own), NULL))[0]"
+    each = f"transform(array(filter(drawn, t -> pmod(t, {one_in}) = j)), own -> if(size(own) > 0, CAST(xxhash64(own) & 2147483647 AS INT), NULL))[0]"
     named = f"transform(array({inside}), inside -> transform(array({drawn}), drawn -> transform(sequence(0, {subsets - 1}), j -> {each}))[0])[0]"
     return F.expr(f"transform(array({TERMS.format(text)}), found -> {named})[0]")
 
@@ -62,8 +63,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def shown(prints: Column) -> Column:
-    """A fingerprint as text: 32 bits of each hash in hex, nothing for a subset without terms."""
-    return F.array_join(F.transform(prints, lambda h: F.coalesce(F.hex(h.bitwiseAND(0xFFFFFFFF)), F.lit(""))), ".")
+    """A fingerprint as text: each hash in hex, nothing for a subset without terms."""
+    return F.array_join(F.transform(prints, lambda h: F.coalesce(F.hex(h), F.lit(""))), ".")
 
 
 def previous(ids: DataFrame) -> DataFrame:
@@ -82,25 +83,28 @@ def previous(ids: DataFrame) -> DataFrame:
     return within.join(jump, "range", "left").select("id", F.coalesce("near", "last").alias("before"))
 
 
-def with_next(texts: DataFrame, carry: list[str], span: int = SPAN) -> DataFrame:
-    """Adds ``next_<c>`` for each column c in ``carry``: its value in the next row by descending ``key``; after the last, the first.
+def with_next(texts: DataFrame, name: str, derived: Column, span: int = SPAN) -> DataFrame:
+    """Rows (key, text, ``name``) and the same of the next row by descending ``key``; after the last, the first.
 
-    A row moves once, with those of its range of keys; only the greatest of each range is read again, for the range
-    above. Rows that repeat a key are ordered by their text.
+    ``derived`` is computed from the text where it is read. A row moves once, with those of its range of keys; only the
+    greatest of each range is read again, for the range above. Rows that repeat a key are ordered by their text.
     """
     ranged = texts.withColumn("range", F.floor(F.col("key") / span))
     order = Window.partitionBy("range").orderBy("key", "text")
-    inner = ranged.withColumn("first", F.row_number().over(order) == 1)
-    for c in carry:
+    inner = ranged.withColumn(name, derived)
+    for c in ("text", name):
         inner = inner.withColumn(f"near_{c}", F.lag(F.struct(c)).over(order))
+    inner = inner.withColumn("first", F.row_number().over(order) == 1)
     ends = ranged.groupBy("range").agg(F.max("key").alias("key"))
-    tops = ranged.join(ends, ["range", "key"]).groupBy("range").agg(F.max(F.struct("text", *[c for c in carry if c != "text"])).alias("top"))
-    ranges = ranged.select(F.col("range").alias("id")).distinct()
+    ranges = ends.select(F.col("range").alias("id"))
+    if ranges.count() <= BROADCAST_ROWS:  # two numbers each; beyond that, the join shuffles
+        ends = F.broadcast(ends)
+    tops = ranged.join(ends, ["range", "key"]).groupBy("range").agg(F.max("text").alias("text")).withColumn(name, derived)
     wrap = ranges.agg(F.max("id").alias("greatest"))  # one row
     filled = previous(ranges).crossJoin(F.broadcast(wrap)).select(F.col("id").alias("range"), F.coalesce("before", "greatest").alias("before"))
-    above = filled.join(tops.withColumnRenamed("range", "before"), "before").select("range", "top")
+    above = filled.join(tops.select(F.col("range").alias("before"), F.struct("text", name).alias("top")), "before").select("range", "top")
     out = inner.join(above, "range")
-    return out.select(*texts.columns, *[F.when(F.col("first"), F.col(f"top.{c}")).otherwise(F.col(f"near_{c}.{c}")).alias(f"next_{c}") for c in carry])
+    return out.select("key", "text", name, *[F.when(F.col("first"), F.col(f"top.{c}")).otherwise(F.col(f"near_{c}.{c}")).alias(f"next_{c}") for c in ("text", name)])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,7 +116,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
     known = lexicon(texts)
-    rows = with_next(texts.withColumn("prints", fingerprint("text", known)), ["text", "prints"])
+    rows = with_next(texts, "prints", fingerprint("text", known))
     n, half = F.char_length("text"), F.floor(F.char_length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", edited).withColumn("edited_prints", fingerprint("edited", known))
