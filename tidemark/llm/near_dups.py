@@ -292,6 +292,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     rows = common.settle(sketches(docs, words, id_col=id_col, text_col=text_col), "sketches")
     usable = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = common.settle(usable.groupBy("print").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    slim = common.settle(rows.drop("sketch"), "prints")
+    common.discard(rows)
+    rows, usable = slim, slim.where("n > 0 AND doc_id IS NOT NULL")
     lists = common.settle(sized(inverted_lists(classes)), "lists")
     links = common.settle(verified(alike(stars(lists), classes), source), "links")
     labels = components(links)
