@@ -1,0 +1,556 @@
+"""The registered queries of the library, each over whole tables, with the SQL that must give the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import text as tx
+from ..functions import vector as vx
+from ..operators import evaluate, graph, incremental, navigate, retrieval, usage
+from .shared import ready
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql.strip()
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as one chunk of the file that its source stands for."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("path"), F.col("text").alias("content"))
+
+
+def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
+
+
+STOP_SQL = ", ".join(f"('{w}')" for w in tx.STOPWORDS)
+
+#: Full-text search in SQL: query phrases are single tokens in these tables.
+FTS_SQL = r"""
+tok AS (SELECT doc_id AS chunk_id, unnest(list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM documents),
+dl AS (SELECT d.doc_id AS chunk_id, coalesce(t.dl, 0) AS dl FROM documents d LEFT JOIN (SELECT chunk_id, count(*) AS dl FROM tok GROUP BY 1) t ON t.chunk_id = d.doc_id),
+st AS (SELECT count(*) AS n, avg(dl) AS mean FROM dl),
+tf AS (SELECT term, chunk_id, count(*) AS f FROM tok GROUP BY 1, 2),
+np AS (SELECT term, count(*) AS n_p FROM tf GROUP BY 1),
+qt AS (SELECT item_id AS query_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '\s+'), lambda w: strip_accents(lower(regexp_replace(w, '[^\p{L}\p{N}_-]', '', 'g')))), lambda x: x <> '')) AS term FROM benchmark),
+qn AS (SELECT query_id, term, count(*) AS times FROM qt GROUP BY 1, 2),
+sc AS (SELECT query_id, tf.chunk_id, sum(times * CASE WHEN ln((n - n_p + 0.5) / (n_p + 0.5)) > 0 THEN ln((n - n_p + 0.5) / (n_p + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / mean))) AS score
+ FROM qn JOIN tf USING (term) JOIN np USING (term) JOIN dl USING (chunk_id) CROSS JOIN st GROUP BY 1, 2),
+fts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM sc) WHERE rank <= 50)
+"""
+
+
+@query(f"WITH {FTS_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM fts")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark text by BM25."""
+    return rounded(retrieval.bm25_arm(benchmark_queries(spark, sf_dir), document_chunks(spark, sf_dir)), "score")
+
+
+LITERAL_SQL = """
+li AS (SELECT * FROM (SELECT item_id AS query_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank
+ FROM benchmark b JOIN documents d ON contains(translate(d.text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), translate(trim(b.text), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) WHERE trim(b.text) <> '') WHERE rank <= 50)
+"""
+
+
+@query(f"WITH {LITERAL_SQL} SELECT query_id, chunk_id, rank FROM li")
+def literal_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 50 documents that hold a whole benchmark text."""
+    return retrieval.literal_arm(benchmark_queries(spark, sf_dir), document_chunks(spark, sf_dir)).select("query_id", "chunk_id", "rank")
+
+
+@query("""
+WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)
+SELECT query_id, chunk_id, round(distance, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), chunk_id) AS rank FROM p) WHERE rank <= 50
+""")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 nearest vectors of every vector whose id is divisible by 20, by L2."""
+    vectors = vector_chunks(spark, sf_dir)
+    asked = vectors.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
+    return rounded(retrieval.vector_arm(asked, vectors), "distance").select("query_id", "chunk_id", "distance", "rank")
+
+
+PRF_SQL = rf"""
+sw(term) AS (VALUES {STOP_SQL}),
+ow AS (SELECT DISTINCT item_id AS query_id, regexp_replace(unnest(regexp_split_to_array(lower(text), '\s+')), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') AS term FROM benchmark),
+hw AS (SELECT query_id, regexp_replace(unnest(regexp_split_to_array(lower(text), '\s+')), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') AS term FROM fts JOIN documents d ON d.doc_id = fts.chunk_id WHERE rank <= 10),
+pc AS (SELECT query_id, term, count(*) AS n FROM hw WHERE strlen(term) >= 3 AND regexp_matches(term, '\p{{L}}') AND term NOT IN (SELECT term FROM sw) AND NOT EXISTS (SELECT 1 FROM ow WHERE ow.query_id = hw.query_id AND ow.term = hw.term) GROUP BY 1, 2),
+pt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, encode(term)) AS term_rank FROM pc) WHERE term_rank <= 5)
+"""
+
+
+@query(f"WITH {FTS_SQL}, {PRF_SQL} SELECT query_id, term, n, term_rank FROM pt")
+def prf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five words that each benchmark text's first ten documents say most often."""
+    queries, chunks = benchmark_queries(spark, sf_dir), document_chunks(spark, sf_dir)
+    return retrieval.feedback_terms(retrieval.bm25_arm(queries, chunks), queries, chunks)
+
+
+PRF_ARM_SQL = r"""
+pq AS (SELECT query_id, unnest(list_filter(regexp_split_to_array(strip_accents(term), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM pt),
+pn AS (SELECT query_id, term, count(*) AS times FROM pq GROUP BY 1, 2),
+ps AS (SELECT query_id, tf.chunk_id, sum(times * CASE WHEN ln((n - n_p + 0.5) / (n_p + 0.5)) > 0 THEN ln((n - n_p + 0.5) / (n_p + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / mean))) AS score
+ FROM pn JOIN tf USING (term) JOIN np USING (term) JOIN dl USING (chunk_id) CROSS JOIN st GROUP BY 1, 2),
+prf AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM ps) WHERE rank <= 50)
+"""
+FUSE_SQL = """
+arms AS (SELECT query_id, chunk_id, rank, 'fts' AS arm, 1.0 AS weight FROM fts UNION ALL SELECT query_id, chunk_id, rank, 'literal', 1.0 FROM li UNION ALL SELECT query_id, chunk_id, rank, 'prf', 0.25 FROM prf),
+fused AS (SELECT query_id, chunk_id, sum(weight::DOUBLE * (1.0::DOUBLE / (60 + rank) + CASE WHEN rank = 1 THEN 0.05::DOUBLE WHEN rank <= 3 THEN 0.02::DOUBLE ELSE 0 END)) AS score,
+ max(CASE WHEN arm = 'fts' THEN rank END) AS fts_rank, max(CASE WHEN arm = 'literal' THEN rank END) AS literal_rank, max(CASE WHEN arm = 'prf' THEN rank END) AS prf_rank FROM arms GROUP BY 1, 2)
+"""
+ALL_SQL = f"{FTS_SQL}, {LITERAL_SQL}, {PRF_SQL}, {PRF_ARM_SQL}, {FUSE_SQL}"
+
+
+def text_arms(queries: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
+    fts = retrieval.bm25_arm(queries, chunks)
+    terms = retrieval.feedback_terms(fts, queries, chunks)
+    return {"fts": fts, "literal": retrieval.literal_arm(queries, chunks), "prf": retrieval.feedback_arm(terms, chunks)}
+
+
+def fused_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.fuse(text_arms(benchmark_queries(spark, sf_dir), document_chunks(spark, sf_dir)))
+
+
+@query(f"WITH {ALL_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, fts_rank, literal_rank, prf_rank FROM fused")
+def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All benchmark texts through three arms, fused by reciprocal ranks, with each hit's rank in each arm."""
+    return rounded(fused_search(spark, sf_dir), "score")
+
+
+@query(f"""
+WITH {ALL_SQL},
+f1 AS (SELECT query_id, source AS path, chunk_id, score, row_number() OVER (PARTITION BY query_id, source ORDER BY round(score, 9) DESC, chunk_id) AS k FROM fused JOIN documents ON doc_id = chunk_id)
+SELECT query_id, path, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM f1 WHERE k = 1) WHERE rank <= 10
+""")
+def collapse_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best sources of every benchmark text, each by its best document."""
+    found = retrieval.collapse(fused_search(spark, sf_dir).select("query_id", "chunk_id", "score"), document_chunks(spark, sf_dir), 10)
+    return rounded(found.select("query_id", "path", "chunk_id", "score", "rank"), "score")
+
+
+def neighbour_sides(fts: DataFrame) -> DataFrame:
+    """The next query's list as the side list of each."""
+    return fts.select((F.col("query_id") - 1).alias("query_id"), F.lit(0).alias("side"), "chunk_id", "score")
+
+
+SIDES_SQL = """
+pr AS (SELECT query_id, chunk_id, score / max(score) OVER (PARTITION BY query_id) AS score FROM fts),
+si AS (SELECT query_id - 1 AS query_id, chunk_id, score / max(score) OVER (PARTITION BY query_id) AS side FROM fts)
+"""
+
+
+@query(f"""
+WITH {FTS_SQL}, {SIDES_SQL}
+SELECT pr.query_id, pr.chunk_id, round(CASE WHEN has.query_id IS NULL THEN pr.score ELSE 2 / (1 / pr.score + 1 / si.side) END, 6) AS score FROM pr LEFT JOIN si ON si.query_id = pr.query_id AND si.chunk_id = pr.chunk_id
+LEFT JOIN (SELECT DISTINCT query_id FROM si) has ON has.query_id = pr.query_id WHERE has.query_id IS NULL OR si.side IS NOT NULL
+""")
+def boolean_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark text AND the next: what both lists hold, by the harmonic mean."""
+    fts = retrieval.bm25_arm(benchmark_queries(spark, sf_dir), document_chunks(spark, sf_dir))
+    return rounded(retrieval.intersect(fts, neighbour_sides(fts)), "score")
+
+
+@query(f"""
+WITH {FTS_SQL}, {SIDES_SQL}
+SELECT pr.query_id, pr.chunk_id, round(pr.score - 0.5 * coalesce(si.side, 0), 6) AS score FROM pr LEFT JOIN si ON si.query_id = pr.query_id AND si.chunk_id = pr.chunk_id WHERE coalesce(si.side, 0) <= 0.5
+""")
+def boolean_not(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark text NOT the next: strong hits of the next are dropped, weak ones cost."""
+    fts = retrieval.bm25_arm(benchmark_queries(spark, sf_dir), document_chunks(spark, sf_dir))
+    return rounded(retrieval.exclude(retrieval.normalise(fts).select("query_id", "chunk_id", "score"), neighbour_sides(fts)), "score")
+
+
+@query(f"""
+WITH {ALL_SQL},
+rk AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM fused),
+t AS (SELECT a.query_id, a.chunk_id, a.score - b.score AS margin, a.score FROM rk a LEFT JOIN rk b ON b.query_id = a.query_id AND b.rank = 2 WHERE a.rank = 1),
+s AS (SELECT t.query_id, f.chunk_id AS fc, p.chunk_id AS pc, df.source AS fp, dp.source AS pp, li.chunk_id IS NOT NULL AS lit, ps1.score / (1 + ps1.score) AS sim, margin FROM t LEFT JOIN fts f ON f.query_id = t.query_id AND f.rank = 1 LEFT JOIN prf p ON p.query_id = t.query_id AND p.rank = 1
+ LEFT JOIN documents df ON df.doc_id = f.chunk_id LEFT JOIN documents dp ON dp.doc_id = p.chunk_id LEFT JOIN li ON li.query_id = t.query_id AND li.chunk_id = t.chunk_id LEFT JOIN prf ps1 ON ps1.query_id = t.query_id AND ps1.rank = 1)
+SELECT query_id, round(CASE WHEN lit THEN 1.0 WHEN coalesce(fp = pp, false) THEN greatest(coalesce(sim, 0), 0.6) ELSE coalesce(sim, 0) END, 6) AS confidence, NOT lit AND coalesce(sim, 0) < 0.9 AND NOT coalesce(fp = pp, false) AS low_confidence,
+ coalesce(fp = pp, false) AS file_agreement, coalesce(fc = pc, false) AS chunk_agreement, lit AS strong_literal, round(margin, 6) AS top1_top2_margin FROM s
+""")
+def confidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether to trust each benchmark text's result; feedback stands in for the vector arm, as texts have no vectors."""
+    chunks = document_chunks(spark, sf_dir)
+    arms = text_arms(benchmark_queries(spark, sf_dir), chunks)
+    final = retrieval.best(retrieval.fuse(arms).select("query_id", "chunk_id", "score"), 2)
+    similarity = arms["prf"].where("rank = 1").select("query_id", (F.col("score") / (1 + F.col("score"))).alias("top_ann_similarity"))
+    found = retrieval.confidence(arms["fts"], arms["prf"], arms["literal"], final, chunks, similarity, floor=0.9)
+    return rounded(found.drop("top_ann_similarity"), "confidence", "top1_top2_margin")
+
+
+RAKE_SQL = rf"""
+sw(term) AS (VALUES {STOP_SQL}),
+ws AS (SELECT doc_id AS chunk_id, list_transform(list_filter(regexp_split_to_array(text, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''), lambda x: lower(x)) AS ws FROM documents),
+w0 AS (SELECT chunk_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS pos FROM ws),
+w1 AS (SELECT w0.*, strlen(w) < 2 OR NOT regexp_matches(w, '\p{{L}}') OR sw.term IS NOT NULL AS brk FROM w0 LEFT JOIN sw ON sw.term = w),
+w2 AS (SELECT *, sum(brk::INT) OVER (PARTITION BY chunk_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM w1),
+w3 AS (SELECT *, count(*) OVER (PARTITION BY chunk_id, run) AS plen FROM w2 WHERE NOT brk),
+wr AS (SELECT chunk_id, w, sum(plen) / count(*) AS ratio FROM w3 GROUP BY 1, 2),
+ph AS (SELECT chunk_id, run, string_agg(w, ' ' ORDER BY pos) AS phrase, sum(ratio) AS score FROM w3 JOIN wr USING (chunk_id, w) GROUP BY 1, 2),
+kp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY round(score, 9) DESC, encode(phrase)) AS phrase_rank FROM (SELECT chunk_id, phrase, min(score) AS score FROM ph WHERE strlen(phrase) >= 4 GROUP BY 1, 2)) WHERE phrase_rank <= 8)
+"""
+KEY_EDGES_SQL = """
+sp AS (SELECT DISTINCT chunk_id, unnest(string_split(phrase, ' ')) AS word FROM kp), sq AS (SELECT * FROM sp WHERE strlen(word) >= 3),
+fw AS (SELECT word FROM sq GROUP BY 1 HAVING count(*) BETWEEN 2 AND 50),
+ke AS (SELECT a.chunk_id AS src, b.chunk_id AS dst, count(*)::DOUBLE AS weight FROM sq a JOIN sq b ON a.word = b.word AND a.chunk_id < b.chunk_id WHERE a.word IN (SELECT word FROM fw) GROUP BY 1, 2 HAVING count(*) >= 2)
+"""
+
+
+@query(f"WITH {RAKE_SQL} SELECT chunk_id, phrase, round(score, 6) AS score, phrase_rank FROM kp")
+def rake_keyphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight key phrases of every document."""
+    return rounded(graph.keyphrases(document_chunks(spark, sf_dir)), "score")
+
+
+@query(f"WITH {RAKE_SQL}, {KEY_EDGES_SQL} SELECT src, dst, 'keyphrase' AS kind, weight FROM ke")
+def keyphrase_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that share words of their key phrases."""
+    return graph.keyphrase_edges(graph.keyphrases(document_chunks(spark, sf_dir)))
+
+
+KNN_SQL = """
+kn AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id),
+kt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b) AS r FROM kn) WHERE r <= 8 AND c >= 0.4),
+ks AS (SELECT least(a, b) AS src, greatest(a, b) AS dst, max(c) AS weight FROM kt GROUP BY 1, 2)
+"""
+LEAST_KNN = 0.4
+
+
+@query(f"WITH {KNN_SQL} SELECT src, dst, 'similarity' AS kind, round(weight, 6) AS weight FROM ks")
+def knn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors among each other's eight nearest, with a cosine of 0.4 or more."""
+    return rounded(graph.similarity_edges(vector_chunks(spark, sf_dir), least=LEAST_KNN), "weight")
+
+
+def _pagerank_sql(iterations: int) -> str:
+    """PageRank unrolled: e has edges with shares, nd nodes with seed, n and whether they lead nowhere."""
+    steps = ["r0 AS MATERIALIZED (SELECT node, 1.0 / n AS mass FROM nd)"]
+    for i in range(iterations):
+        steps.append(f"r{i + 1} AS MATERIALIZED (SELECT nd.node, 0.15 * seed + 0.85 * ((SELECT coalesce(sum(r.mass), 0) FROM r{i} r JOIN nd x ON x.node = r.node WHERE x.sink) / n + coalesce(c.come, 0)) AS mass FROM nd LEFT JOIN (SELECT e.dst AS node, sum(r.mass * share) AS come FROM e JOIN r{i} r ON r.node = e.src GROUP BY 1) c ON c.node = nd.node)")
+    return ", ".join(steps)
+
+
+@query(f"""
+WITH {KNN_SQL},
+ew AS (SELECT src, dst, 0.3::DOUBLE AS w FROM ks UNION ALL SELECT dst, src, 0.3::DOUBLE FROM ks),
+e AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM ew),
+ns AS (SELECT src AS node FROM ew UNION SELECT vec_id FROM embeddings WHERE label = 0),
+sd AS (SELECT vec_id AS node, 1.0::DOUBLE / count(*) OVER () AS seed FROM embeddings WHERE label = 0),
+nd AS MATERIALIZED (SELECT node, coalesce(seed, 0)::DOUBLE AS seed, count(*) OVER ()::DOUBLE AS n, node NOT IN (SELECT src FROM ew) AS sink FROM ns LEFT JOIN sd USING (node)),
+{_pagerank_sql(30)} SELECT node, round(mass, 6) AS mass FROM r30
+""")
+def ppr_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personalized PageRank over the nearest-neighbour edges, from the vectors of label 0."""
+    vectors = vector_chunks(spark, sf_dir)
+    derived = graph.similarity_edges(vectors, least=LEAST_KNN)
+    links = spark.createDataFrame([], "source_chunk_id long, target_chunk_id long, kind string")
+    seeds = vectors.where("label = 0").select(F.lit(0).cast("long").alias("query_id"), F.col("chunk_id").alias("node"), F.lit(1.0).alias("weight"))
+    return rounded(graph.personalized_pagerank(graph.ranking_edges(links, derived), seeds).select("node", "mass"), "mass")
+
+
+def order_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call graph by the tables: each part is called by its suppliers' nation mates; here, orders to the customer's next."""
+    o = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("r"))
+    hop = lambda step: o.select(F.concat(F.lit("n"), F.col("k")).alias("caller"), F.concat(F.lit("n"), F.pmod(F.col("k") * 2 + F.col("r") + step, F.lit(25))).alias("callee"))
+    return hop(1).unionByName(hop(7))
+
+
+CALLS_SQL = "ca AS (SELECT DISTINCT 'n' || n_nationkey AS caller, 'n' || ((n_nationkey * 2 + n_regionkey + s) % 25) AS callee FROM nation, (VALUES (1), (7)) v(s))"
+
+
+@query(f"""
+WITH RECURSIVE {CALLS_SQL}, c AS (SELECT callee AS target, caller, 1 AS dist FROM ca UNION SELECT c.target, ca.caller, c.dist + 1 FROM c JOIN ca ON ca.callee = c.caller WHERE c.dist < 5)
+SELECT target, caller, dist FROM c WHERE target IN (SELECT 'n' || n_nationkey FROM nation)
+""")
+def callers_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reaches each node of a call graph in one to five steps."""
+    targets = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("target"))
+    return navigate.callers(order_calls(spark, sf_dir), targets, 5)
+
+
+def part_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as chunks: the brand as the file, the name as the symbol."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk_id"), F.col("p_brand").alias("path"), F.col("p_name").alias("symbol"))
+
+
+def part_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A link from each part to the name of the part three times as far on."""
+    parts = table(spark, sf_dir, "part")
+    count = parts.agg(F.count("*").alias("n"))
+    asked = parts.crossJoin(F.broadcast(count)).select(F.col("p_partkey").alias("source_chunk_id"), (F.col("p_partkey") * 3 % (F.col("n") + 40)).alias("to"), F.when(F.col("p_partkey") % 2 == 0, "calls").otherwise("implements").alias("kind"))
+    names = parts.select(F.col("p_partkey").alias("to"), F.col("p_name").alias("target_symbol"))
+    return asked.join(names, "to", "left").select("source_chunk_id", "kind", F.coalesce("target_symbol", F.lit("missing")).alias("target_symbol"))
+
+
+LINKS_SQL = """
+pl AS (SELECT p.p_partkey AS source_chunk_id, p.p_brand AS path, CASE WHEN p.p_partkey % 2 = 0 THEN 'calls' ELSE 'implements' END AS kind, coalesce(t.p_name, 'missing') AS target_symbol FROM part p LEFT JOIN part t ON t.p_partkey = p.p_partkey * 3 % ((SELECT count(*) FROM part) + 40)),
+an AS (SELECT p_name AS target_symbol, min(p_partkey) AS any_id, count(*) AS n FROM part WHERE p_name <> '' GROUP BY 1),
+ins AS (SELECT p_brand AS path, p_name AS target_symbol, max(p_partkey) AS own_id FROM part WHERE p_name <> '' GROUP BY 1, 2),
+rl AS (SELECT source_chunk_id, kind, pl.target_symbol, coalesce(own_id, any_id) AS target_chunk_id, CASE WHEN own_id IS NOT NULL OR n = 1 THEN 'exact' WHEN any_id IS NOT NULL THEN 'name_match' END AS confidence FROM pl LEFT JOIN an ON an.target_symbol = pl.target_symbol LEFT JOIN ins ON ins.path = pl.path AND ins.target_symbol = pl.target_symbol)
+"""
+
+
+@query(f"WITH {LINKS_SQL} SELECT * FROM rl")
+def resolve_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's link resolved to the part with that name."""
+    return navigate.resolve_symbol_links(part_links(spark, sf_dir), part_chunks(spark, sf_dir))
+
+
+@query(f"WITH {LINKS_SQL} SELECT DISTINCT t.p_brand AS path, s.p_brand AS linked_from FROM rl JOIN part s ON s.p_partkey = source_chunk_id JOIN part t ON t.p_partkey = target_chunk_id WHERE s.p_brand <> t.p_brand")
+def backlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which brands' parts link to those of which others."""
+    chunks = part_chunks(spark, sf_dir)
+    return navigate.backlinks(navigate.resolve_symbol_links(part_links(spark, sf_dir), chunks), chunks)
+
+
+@query(f"WITH {LINKS_SQL} SELECT DISTINCT s.p_brand AS path, t.p_brand AS links_to FROM rl JOIN part s ON s.p_partkey = source_chunk_id JOIN part t ON t.p_partkey = target_chunk_id WHERE s.p_brand <> t.p_brand")
+def forward_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the other side."""
+    chunks = part_chunks(spark, sf_dir)
+    return navigate.forward_links(navigate.resolve_symbol_links(part_links(spark, sf_dir), chunks), chunks)
+
+
+@query(f"""
+WITH {LINKS_SQL},
+fe AS (SELECT s.p_brand AS src, t.p_brand AS dst, sum((CASE WHEN strlen(target_symbol) >= 8 AND (contains(target_symbol, '_') OR regexp_matches(target_symbol, '[a-z][A-Z]')) THEN 10.0::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN starts_with(target_symbol, '_') THEN 0.1::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN coalesce(df.files, 0) >= 5 THEN 0.1::DOUBLE ELSE 1.0::DOUBLE END)) AS w
+ FROM rl JOIN part s ON s.p_partkey = source_chunk_id JOIN part t ON t.p_partkey = target_chunk_id LEFT JOIN (SELECT p_name, count(DISTINCT p_brand) AS files FROM part GROUP BY 1) df ON df.p_name = target_symbol WHERE s.p_brand <> t.p_brand GROUP BY 1, 2),
+e AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM fe),
+ns AS (SELECT DISTINCT p_brand AS node FROM part),
+nd AS MATERIALIZED (SELECT node, (CASE WHEN starts_with(node, 'Brand#1') THEN 50.0::DOUBLE ELSE 1.0::DOUBLE END) / sum(CASE WHEN starts_with(node, 'Brand#1') THEN 50.0::DOUBLE ELSE 1.0::DOUBLE END) OVER () AS seed, count(*) OVER ()::DOUBLE AS n, node NOT IN (SELECT src FROM fe) AS sink FROM ns),
+{_pagerank_sql(30)} SELECT node AS path, round(mass, 6) AS rank FROM r30
+""")
+def file_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands ranked by the links between their parts, with a focus on some."""
+    chunks = part_chunks(spark, sf_dir)
+    links = navigate.resolve_symbol_links(part_links(spark, sf_dir), chunks)
+    return rounded(graph.file_pagerank(graph.file_edges(links, chunks), chunks.select("path"), ["Brand#1"]), "rank")
+
+
+@query(f"WITH {LINKS_SQL} SELECT target_symbol, count(*) AS n, count(DISTINCT source_chunk_id) AS sources FROM rl WHERE kind = 'implements' GROUP BY 1")
+def implementations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many parts say that they implement each name."""
+    return part_links(spark, sf_dir).where("kind = 'implements'").groupBy("target_symbol").agg(F.count("*").alias("n"), F.countDistinct("source_chunk_id").alias("sources"))
+
+
+@query("""
+WITH c(path_prefix, description) AS (VALUES ('/', 'all'), ('/en', 'english'), ('/fr', 'french'), ('/de', 'german'), ('/en/1', 'page one')),
+p AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS path FROM pages)
+SELECT page_id, path, description, path_prefix FROM (SELECT page_id, path, description, path_prefix, row_number() OVER (PARTITION BY page_id ORDER BY length(path_prefix) DESC) AS k FROM p LEFT JOIN c ON path_prefix = '/' OR path = path_prefix OR starts_with(path, path_prefix || '/')) WHERE k = 1
+""")
+def context_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The description of each page's path: of its longest described ancestor."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^https?://[^/]+(/[^?#]*)", 1).alias("path"))
+    contexts = spark.createDataFrame([("/", "all"), ("/en", "english"), ("/fr", "french"), ("/de", "german"), ("/en/1", "page one")], "path_prefix string, description string")
+    return navigate.longest_prefix(pages, contexts)
+
+
+def two_snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The documents as files, now and before: some touched, changed, moved, new or gone."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"), F.octet_length("text").cast("long").alias("size"))
+    path = F.concat(F.lit("d/"), F.col("doc_id"), F.lit(".md"))
+    now = docs.where("doc_id % 11 <> 3").select(F.when(F.col("doc_id") % 13 == 5, F.concat(F.lit("moved/"), F.col("doc_id"), F.lit(".md"))).otherwise(path).alias("path"), F.when(F.col("doc_id") % 5 == 0, 200).otherwise(100).cast("long").alias("mtime"), "size", F.when(F.col("doc_id") % 10 == 0, F.sha2(F.concat("h", F.lit("x")), 256)).otherwise(F.col("h")).alias("content_hash"))
+    old = docs.where("doc_id % 7 <> 2").select(path.alias("path"), F.lit(100).cast("long").alias("mtime"), "size", F.col("h").alias("content_hash"))
+    return now, old
+
+
+DIFF_SQL = """
+nw AS (SELECT CASE WHEN doc_id % 13 = 5 THEN 'moved/' ELSE 'd/' END || doc_id || '.md' AS path, CASE WHEN doc_id % 5 = 0 THEN 200 ELSE 100 END AS mtime, strlen(text) AS size, CASE WHEN doc_id % 10 = 0 THEN sha256(sha256(text) || 'x') ELSE sha256(text) END AS h FROM documents WHERE doc_id % 11 <> 3),
+ol AS (SELECT 'd/' || doc_id || '.md' AS path, 100 AS mtime, strlen(text) AS size, sha256(text) AS h FROM documents WHERE doc_id % 7 <> 2),
+df AS (SELECT coalesce(nw.path, ol.path) AS path, CASE WHEN ol.path IS NULL THEN 'insert' WHEN nw.path IS NULL THEN 'delete' WHEN nw.mtime = ol.mtime AND nw.size = ol.size THEN 'skip' WHEN nw.h = ol.h THEN 'touch' ELSE 'update' END AS action, coalesce(nw.h, ol.h) AS h FROM nw FULL JOIN ol ON nw.path = ol.path),
+dk AS (SELECT *, row_number() OVER (PARTITION BY action, h ORDER BY path) AS k FROM df),
+rn AS (SELECT i.path, d.path AS old_path FROM dk i JOIN dk d ON i.action = 'insert' AND d.action = 'delete' AND i.h = d.h AND i.k = d.k),
+al AS (SELECT path, 'rename' AS action, old_path FROM rn UNION ALL SELECT path, action, NULL FROM df WHERE path NOT IN (SELECT path FROM rn) AND path NOT IN (SELECT old_path FROM rn))
+"""
+
+
+@query(f"WITH {DIFF_SQL} SELECT path, action, old_path FROM al")
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must be done to each file to bring an index from one snapshot to the next."""
+    return incremental.snapshot_diff(*two_snapshots(spark, sf_dir))
+
+
+@query(f"WITH {DIFF_SQL} SELECT action, count(*) AS n FROM al GROUP BY 1")
+def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.diff_summary(incremental.snapshot_diff(*two_snapshots(spark, sf_dir)))
+
+
+@query("""
+WITH t AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS chunk_idx FROM conversations)
+SELECT conv_id, (chunk_idx - 1)::BIGINT AS chunk_idx, min(turn) AS first_turn, count(*) AS n_turns, sha256(string_agg(upper(role) || ': ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn)) AS content_sha FROM t WHERE chunk_idx > 0 GROUP BY conv_id, chunk_idx
+""")
+def transcript_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations cut into chunks, each from a user's turn to before the next."""
+    turns = table(spark, sf_dir, "conversations")
+    nth = F.sum((F.col("role") == "user").cast("int")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
+    rows = turns.withColumn("chunk_idx", nth).where("chunk_idx > 0")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.upper("role"), F.lit(": "), F.coalesce("text", F.lit(""))).alias("said")))), lambda x: x["said"])
+    return rows.groupBy("conv_id", (F.col("chunk_idx") - 1).alias("chunk_idx")).agg(F.min("turn").alias("first_turn"), F.count("*").alias("n_turns"), F.sha2(F.array_join(parts, "\n\n"), 256).alias("content_sha"))
+
+
+USAGE_SQL = """
+re AS (SELECT event_id AS read_id, user_id, epoch_us(ts) // 1000000 AS read_at FROM events WHERE event_type = 'purchase'),
+se AS (SELECT event_id AS search_id, user_id, epoch_us(ts) // 1000000 AS search_at FROM events WHERE event_type = 'click'),
+mt AS (SELECT read_id, search_id, read_at, read_at - search_at AS lag, row_number() OVER (PARTITION BY read_id ORDER BY read_at - search_at, search_id DESC) AS k FROM re JOIN se USING (user_id) WHERE read_at - search_at BETWEEN 0 AND 86400)
+"""
+
+
+@query(f"WITH {USAGE_SQL} SELECT read_id, search_id, lag FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY read_at, read_id) AS j FROM mt WHERE k = 1) WHERE j = 1")
+def usage_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase and the latest click of its user in the day before it."""
+    events = table(spark, sf_dir, "events").withColumn("at", F.unix_timestamp("ts"))
+    reads = events.where("event_type = 'purchase'").select(F.col("event_id").alias("read_id"), "user_id", F.col("at").alias("read_at"))
+    searches = events.where("event_type = 'click'").select(F.col("event_id").alias("search_id"), "user_id", F.col("at").alias("search_at"))
+    return usage.attribute(reads, searches, ["user_id"], 86_400)
+
+
+@query("""
+WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 1800000000 THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_at, count(*) AS n FROM s GROUP BY user_id, k
+""")
+def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts of events: one ends when its user is quiet for half an hour."""
+    events = table(spark, sf_dir, "events")
+    found = events.groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"))
+    return found.select("user_id", F.date_format("a", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first_at"), F.date_format("b", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_at"), "n")
+
+
+@query("""
+WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+c AS (SELECT a.vec_id, a.label, max(CASE WHEN a.label = b.label THEN list_cosine_similarity(a.e, b.e) END) AS own, max(CASE WHEN a.label <> b.label THEN list_cosine_similarity(a.e, b.e) END) AS other FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY 1, 2),
+l AS (SELECT label, list_sort(list(own) FILTER (own IS NOT NULL)) AS pos, list_sort(list(other) FILTER (other IS NOT NULL)) AS neg FROM c GROUP BY 1)
+SELECT label, round(greatest(0.2, least(0.7, least(neg[least(floor(len(neg) * 0.9), len(neg) - 1)::INT + 1] + 0.02, pos[least(floor(len(pos) * 0.1), len(pos) - 1)::INT + 1]))), 6) AS floor FROM l
+""")
+def calibration_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A confidence floor for each label: its own vectors' nearest are the positives, those of others the negatives."""
+    import numpy as np
+    import pandas as pd
+
+    vectors = vector_chunks(spark, sf_dir)
+    parts, held = [], []
+
+    def nearest(known):
+        def run(batches):
+            ids, labels, a = known.value
+            a = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
+            for batch in batches:
+                b = np.array(batch["embedding"].tolist(), np.float64).reshape(len(batch), -1)
+                cosine = a @ (b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)).T
+                cosine[ids[:, None] == batch["chunk_id"].to_numpy()[None, :]] = -9
+                same = labels[:, None] == batch["label"].to_numpy()[None, :]
+                yield pd.DataFrame({"chunk_id": ids, "label": labels, "own": np.where(same, cosine, -9).max(axis=1), "other": np.where(~same, cosine, -9).max(axis=1)})
+
+        return run
+
+    def close():
+        known = (np.array([r[0] for r in held]), np.array([r[1] for r in held]), np.array([r[2] for r in held], np.float64))
+        parts.append(vectors.select("chunk_id", "label", "embedding").mapInPandas(nearest(spark.sparkContext.broadcast(known)), "chunk_id long, label int, own double, other double"))
+        held.clear()
+
+    for row in vectors.select("chunk_id", "label", "embedding").toLocalIterator():
+        held.append(tuple(row))
+        if len(held) == 2000:
+            close()
+    if held:
+        close()
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    top = found.groupBy("chunk_id", "label").agg(F.max("own").alias("own"), F.max("other").alias("other"))
+    lists = top.groupBy("label").agg(F.collect_list(F.when(F.col("own") > -9, F.col("own"))).alias("pos"), F.collect_list(F.when(F.col("other") > -9, F.col("other"))).alias("neg"))
+    return rounded(lists.select("label", evaluate.floor_of(F.col("pos"), F.col("neg")).alias("floor")), "floor")
+
+
+@query(f"""
+WITH {FTS_SQL}, rv AS (SELECT doc_id AS chunk_id FROM labels WHERE quality = 1),
+fr AS (SELECT b.item_id AS query_id, min(rank) AS rank FROM benchmark b LEFT JOIN (SELECT * FROM fts WHERE chunk_id IN (SELECT chunk_id FROM rv)) h ON h.query_id = b.item_id GROUP BY 1)
+SELECT count(*) AS queries, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END), 6) AS r_at_1, round(avg(CASE WHEN rank <= 3 THEN 1.0 ELSE 0.0 END), 6) AS r_at_3, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 6) AS r_at_5, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM fr
+""")
+def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall and reciprocal rank of full-text search, where documents of good quality are the relevant ones."""
+    queries = benchmark_queries(spark, sf_dir)
+    hits = retrieval.bm25_arm(queries, document_chunks(spark, sf_dir)).select("query_id", F.col("chunk_id").alias("path"), "rank")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("path")).distinct()
+    ranks = evaluate.first_relevant(hits, queries.select("query_id").crossJoin(good), queries)
+    return rounded(evaluate.metrics(ranks), "r_at_1", "r_at_3", "r_at_5", "mrr")
+
+
+@query(r"""
+SELECT p_partkey, array_to_string(list_filter(regexp_split_to_array(lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(p_brand || '_' || p_name || 'HTTPServer' || p_size, '[_\-:./\s]+', ' ', 'g'), '(\p{Ll})(\p{Lu})', '\1 \2', 'g'), '(\p{Lu})(\p{Lu}\p{Ll})', '\1 \2', 'g'), '(\p{L})(\p{N})', '\1 \2', 'g'), '(\p{N})(\p{L})', '\1 \2', 'g'))), '\s+'), lambda x: x <> ''), '|') AS words FROM part
+""")
+def identifier_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of a made-up identifier of each part."""
+    name = F.concat("p_brand", F.lit("_"), "p_name", F.lit("HTTPServer"), "p_size")
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(tx.identifier_words(name), "|").alias("words"))
+
+
+@query(r"""
+SELECT doc_id, CASE WHEN length(l) > 140 THEN left(l, 140) || '…' ELSE l END AS snippet, n_bytes, sha FROM (SELECT doc_id, trim(regexp_extract(text, '(?m)^[ \t]*(\S[^\r\n]*)', 1)) AS l, strlen(text) AS n_bytes, sha256(text) AS sha FROM documents)
+""")
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first line of each document, its size and its hash."""
+    return table(spark, sf_dir, "documents").select("doc_id", tx.snippet(F.col("text")).alias("snippet"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
+
+
+@query(r"SELECT page_id, url FROM pages WHERE regexp_matches(regexp_replace(url, '^https?://', ''), '^[^/]*\.example\.com/(?:en|fr)/[^/]*$')")
+def glob_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose address fits a glob."""
+    pages = table(spark, sf_dir, "pages")
+    return pages.where(tx.glob_match(F.regexp_replace("url", "^https?://", ""), "*.example.com/{en,fr}/*")).select("page_id", "url")
+
+
+@query("SELECT source, count(*) AS chunks, count(DISTINCT text) AS texts, sum(strlen(text))::BIGINT AS bytes, sum(strlen(text))::BIGINT // 4 AS tokens FROM documents GROUP BY 1")
+def sources_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's chunks, bytes and the tokens they might cost."""
+    docs = table(spark, sf_dir, "documents")
+    size = F.sum(F.octet_length("text"))
+    return docs.groupBy("source").agg(F.count("*").alias("chunks"), F.countDistinct("text").alias("texts"), size.alias("bytes"), F.floor(size / 4).alias("tokens"))
+
+
+@query("""
+SELECT s.p_name AS symbol_asked, c.p_partkey AS chunk_id, c.p_brand AS path, row_number() OVER (PARTITION BY s.p_name ORDER BY encode(c.p_brand), c.p_partkey) AS place FROM (SELECT DISTINCT p_name FROM part) s JOIN part c ON c.p_name = s.p_name QUALIFY place <= 10
+""")
+def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten parts of each name, as definitions of a symbol."""
+    chunks = part_chunks(spark, sf_dir).withColumn("kind", F.lit("function"))
+    return navigate.find_definitions(chunks, chunks.select("symbol").distinct()).where("priority = 0").select("symbol_asked", "chunk_id", "path", "place")
+
+
+@query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 6) AS cosine FROM embeddings")
+def cosine_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cosine to one, by array functions."""
+    vectors = table(spark, sf_dir, "embeddings")
+    one = vectors.where("vec_id = 7").select(F.col("embedding").alias("q"))  # one row
+    return vectors.crossJoin(F.broadcast(one)).select("vec_id", F.round(vx.cosine(F.col("q"), F.col("embedding")), 6).alias("cosine"))
+
+
+@query("SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def last_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest event of each user and kind: what upserts would leave."""
+    events = table(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id"))
+    return incremental.last_write(events, ["user_id", "event_type"], "at").select("user_id", "event_type", "event_id", "value")
