@@ -30,7 +30,9 @@ DEPTH = 3
 DIVERGENCE, WEIGHT = 0.02, 50.0
 END, OTHER = 0, 1
 #: Distinct words that a task counts before it hands the counts on.
-HELD_WORDS = 400_000
+HELD_WORDS = 200_000
+#: Texts that a task takes up at a time.
+PER_BATCH = 500
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -46,8 +48,8 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
         counts: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(words_of(text))
+            for text in batch.column(0):
+                counts.update(words_of(text.as_py()))
                 if len(counts) > HELD_WORDS:
                     yield out(counts)
                     counts = Counter()
@@ -184,14 +186,14 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value
-        symbol_of = {w: s for w, (s, _) in table.items()}
-        log_of = {w: x for w, (_, x) in table.items()}
-        for batch in batches:
+        nowhere = (-1, 0.0)
+        for batch in (whole.slice(i, PER_BATCH) for whole in batches for i in range(0, whole.num_rows, PER_BATCH)):
             coded, tokens, base, shared, rest = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 words = words_of(text)
-                ids = np.fromiter((symbol_of.get(w, -1) for w in words), np.int32, len(words))
-                logs = np.fromiter((log_of.get(w, 0.0) for w in words), np.float64, len(words))
+                found = [table.get(w, nowhere) for w in words]
+                ids = np.fromiter((s for s, _ in found), np.int32, len(words))
+                logs = np.fromiter((x for _, x in found), np.float64, len(words))
                 far = ids < 0
                 ids[far] = OTHER
                 coded.append(ids.astype("<u2").tobytes())

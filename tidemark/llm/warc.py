@@ -105,7 +105,7 @@ def write_monolithic(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES
             out.close()
             done.append((name, n, size))
 
-        for batch in batches:
+        for batch in (whole.slice(i, 100) for whole in batches for i in range(0, whole.num_rows, 100)):
             for row in batch.to_pylist():
                 if out is None:
                     name, engine, n, size = f"{uuid.uuid4().hex}.raw.warc.gz", zlib.compressobj(6, zlib.DEFLATED, 31), 0, 0
