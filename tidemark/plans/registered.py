@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import text as tx
 from ..functions import vector as vx
 from ..operators import evaluate, graph, incremental, navigate, retrieval, usage
-from .shared import ready
+from .shared import ready, settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,9 +126,11 @@ ALL_SQL = f"{FTS_SQL}, {LITERAL_SQL}, {PRF_SQL}, {PRF_ARM_SQL}, {FUSE_SQL}"
 
 
 def text_arms(queries: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
-    fts = retrieval.bm25_arm(queries, chunks)
-    terms = retrieval.feedback_terms(fts, queries, chunks)
-    return {"fts": fts, "literal": retrieval.literal_arm(queries, chunks), "prf": retrieval.feedback_arm(terms, chunks)}
+    """The arms without vectors, each written once: they are small and what follows reads them several times."""
+    fts = settle(retrieval.bm25_arm(queries, chunks), "arm-fts")
+    terms = settle(retrieval.feedback_terms(fts, queries, chunks), "feedback-terms")
+    literal, prf = retrieval.literal_arm(queries, chunks), retrieval.feedback_arm(terms, chunks)
+    return {"fts": fts, "literal": settle(literal, "arm-literal"), "prf": settle(prf, "arm-prf")}
 
 
 def fused_search(spark: SparkSession, sf_dir: str) -> DataFrame:
