@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import importlib
 
+from .sql import ORACLES
+
 #: Query name and the module that holds it.
 QUERIES = {
     "op1_best_fit_packing": "packing",
@@ -18,13 +20,10 @@ QUERIES = {
     "op10_token_counts": "token_count",
 }
 
-#: SQL by query, for those that SQL can express over whole tables.
-ORACLES: dict[str, str] = {}
-
 
 def queries():
     return {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for name, module in QUERIES.items()}
 
 
 def oracles():
-    return dict(ORACLES)
+    return {name: sql.strip() for name, sql in ORACLES.items()}

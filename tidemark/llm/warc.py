@@ -226,4 +226,4 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None, least_shared
 def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages through WARC archives and back."""
     read = archive_round_trip(common.table(spark, sf_dir, "pages"))
-    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "offset", "length")
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
