@@ -39,12 +39,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents with windows of two benchmark items or more; cut the windows of a single one out of the rest."""
-    found = decontaminate.find_passages(docs, common.table(spark, sf_dir, "benchmark"), carry=("lang", "source"))
-    left = F.size("items") < 2
-    cut = F.udf(lambda text, spans: decontaminate.cut_words(text, [(s["first"], s["end"]) for s in spans]), "string")
-    clean = found.where(left & (F.size("spans") == 0))
-    hit = found.where(left & (F.size("spans") > 0)).withColumn("text", cut("text", "spans")).where(F.col("text").rlike(r"\S"))
-    return _like(clean.unionByName(hit), docs)
+    found = decontaminate.find_passages(docs, common.table(spark, sf_dir, "benchmark"), carry=("lang", "source"), cut=True)
+    left = (F.size("items") < 2) & ((F.size("spans") == 0) | F.col("text").rlike(r"\S"))
+    return _like(found.where(left), docs)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,8 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Rows of a batch that a Python worker takes up, where the session has Spark's default of 10,000: texts can be long.
+BATCH_ROWS = 1000
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers find this package when the repository lies on their path."""
+    """Let Python workers find this package when the repository lies on their path, and bound what they take up at once."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)

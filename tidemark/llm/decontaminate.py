@@ -121,9 +121,11 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Ite
         yield block
 
 
-def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", carry: tuple[str, ...] = (), cut: bool = False) -> DataFrame:
     """Each row's id, ``text``, ``n_words``, merged word ``spans``, ``items`` (sorted names) and ``carry`` columns.
 
+    With ``cut`` the text comes without the words of the spans, which count words of the text as it was.
+
     A narrow pass over the documents for each block of the benchmark; the spans and items found so far travel with the
     row, so no block needs a shuffle. Null texts have no words; items without words have no window; repeated rows,
     items and null ids are kept; an empty benchmark hits nothing.
@@ -133,7 +135,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.lit(0).cast("long").alias("_n"), F.expr("CAST(array() AS array<struct<first:bigint,end:bigint>>)").alias("_spans"), F.expr("CAST(array() AS array<string>)").alias("_items"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     schema = rows.schema
 
-    def search(known):
+    def search(known, last):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             phrases = known.value
             for batch in batches:
@@ -154,17 +156,17 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                         close(shard)
                         shard = Shard(phrases)
                 close(shard)
+                texts = batch.column(1)
+                if last and cut and any(spans):
+                    texts = pa.array([cut_words(t, s) if s else t for t, s in zip(texts.to_pylist(), spans, strict=True)], pa.string())
                 found = [pa.array(n_words, pa.int64()), pa.array([[{"first": a, "end": b} for a, b in x] for x in spans], span), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], *found, *batch.columns[5:]], batch.schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), texts, *found, *batch.columns[5:]], batch.schema.names)
 
         return run
 
-    blocks = 0
-    for block in _blocks(benchmark, item_col, item_text, block_bytes):
-        rows = rows.mapInArrow(search(spark.sparkContext.broadcast(Phrases(block, window))), schema)
-        blocks += 1
-    if not blocks:
-        rows = rows.mapInArrow(search(spark.sparkContext.broadcast(Phrases([], window))), schema)
+    blocks = list(_blocks(benchmark, item_col, item_text, block_bytes)) or [[]]
+    for i, block in enumerate(blocks, 1):
+        rows = rows.mapInArrow(search(spark.sparkContext.broadcast(Phrases(block, window)), i == len(blocks)), schema)
     return rows.select(F.col("_id").alias(id_col), F.col("_text").alias("text"), F.col("_n").alias("n_words"), F.col("_spans").alias("spans"), F.col("_items").alias("items"), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)])
 
 
