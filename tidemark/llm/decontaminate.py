@@ -164,9 +164,12 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
         return run
 
-    blocks = list(_blocks(benchmark, item_col, item_text, block_bytes)) or [[]]
-    for i, block in enumerate(blocks, 1):
-        rows = rows.mapInArrow(search(spark.sparkContext.broadcast(Phrases(block, window)), i == len(blocks)), schema)
+    blocks = _blocks(benchmark, item_col, item_text, block_bytes)
+    block = next(blocks, [])
+    while block is not None:
+        following = next(blocks, None)
+        rows = rows.mapInArrow(search(spark.sparkContext.broadcast(Phrases(block, window)), following is None), schema)
+        block = following
     return rows.select(F.col("_id").alias(id_col), F.col("_text").alias("text"), F.col("_n").alias("n_words"), F.col("_spans").alias("spans"), F.col("_items").alias("items"), *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)])
 
 
