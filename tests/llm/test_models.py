@@ -1,0 +1,87 @@
+"""Language identification and language-model scores."""
+
+import math
+import re
+import zlib
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from tidemark.llm import language, suffix_tree
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    found = language.op5_language_id(spark, FOLDER).join(docs, "doc_id").where("held_out")
+    row = found.agg(F.avg((F.col("lang_pred") == F.col("lang")).cast("double")).alias("right"), F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high")).first()
+    assert row["n"] > 20 and row["right"] >= 0.95 and 0 <= row["low"] and row["high"] <= 1
+
+
+def test_language_edges(spark, edge_rows):
+    model = language.fit(edge_rows)
+    found = {r["doc_id"]: r for r in language.identify(edge_rows, model).collect()}
+    assert found[2]["lang_pred"] == found[3]["lang_pred"] == found[4]["lang_pred"] == "und"
+    assert found[1]["lang_pred"] == "en" and found[8]["lang_pred"] == "la" and not found[8]["rejected"]
+    nothing = language.fit(edge_rows.limit(0))
+    assert {r["lang_pred"] for r in language.identify(edge_rows, nothing).collect()} == {"und"}
+    assert language.identify(edge_rows.limit(0), model).count() == 0
+
+
+def test_far_text_is_rejected(spark, edge_rows):
+    model = language.fit(edge_rows.where("lang = 'en'"))
+    other = spark.createDataFrame([(1, "жизнь прекрасна и удивительна каждый день")], "doc_id long, text string")
+    assert language.identify(other, model).first()["rejected"]
+
+
+def tokens(text):
+    return [*re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})), None]
+
+
+def brute(rows):
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    counts = Counter()
+    for i, text in rows:
+        if not held(i):
+            counts.update(tokens(text))
+    n, v = sum(counts.values()), len(counts)
+    return [(i, held(i), len(t := tokens(text)), sum(counts[w] > 0 for w in t), n, sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t)) for i, text in rows]
+
+
+def check(scored, rows):
+    got = sorted(([r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]] for r in scored), key=str)
+    want = sorted(map(list, brute(rows)), key=str)
+    assert len(got) == len(want)
+    for a, b in zip(sorted(got, key=lambda x: (str(x[:5]), x[5])), sorted(want, key=lambda x: (str(x[:5]), x[5])), strict=True):
+        assert a[:5] == b[:5] and math.isclose(a[5], b[5], rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_base_scores_by_brute_force(spark, edge_rows):
+    scored = suffix_tree.score_texts(edge_rows, language.fold("doc_id", 7) == 2).collect()
+    check(scored, [(r["doc_id"], r["text"]) for r in edge_rows.collect()])
+    assert suffix_tree.score_texts(edge_rows.limit(0), F.lit(False)).count() == 0
+
+
+def test_tree_beats_single_words(spark):
+    scored = suffix_tree.op4_suffix_tree_scores(spark, FOLDER)
+    rows = scored.collect()
+    check(rows, [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()])
+    far = [r for r in rows if r["held_out"]]
+    assert sum(r["score"] for r in far) > sum(r["base_score"] for r in far)
+
+
+def test_tree_probabilities_sum_to_one(spark):
+    docs = spark.createDataFrame([(i, "a b a b c " * 5) for i in range(30)], "doc_id long, text string")
+    coded = docs.select(F.expr("X'020003000200030004000200030002000300040002000300'").alias("coded"))
+    import numpy as np
+
+    tree = suffix_tree.grow(coded, np.array([30, 1, 60, 60, 30]), share=0.01)
+    assert tree.keys and all(np.allclose((10.0 ** rows.astype(float)).sum(axis=1), 1, atol=1e-4) for rows in tree.rows if len(rows))
+    assert math.isclose(float((10.0 ** tree.root.astype(float)).sum()), 1, abs_tol=1e-4)
+
+
+def test_everything_held_out(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    rows = suffix_tree.score_texts(docs, F.lit(True)).collect()
+    assert {(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in rows} == {(3, 0, 0, 0.0), (1, 0, 0, 0.0)}
