@@ -556,3 +556,60 @@ def last_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest event of each user and kind: what upserts would leave."""
     events = table(spark, sf_dir, "events").withColumn("at", F.struct("ts", "event_id"))
     return incremental.last_write(events, ["user_id", "event_type"], "at").select("user_id", "event_type", "event_id", "value")
+
+
+@query(f"WITH dp AS (SELECT * FROM documents WHERE starts_with(source, 'src1')), {FTS_SQL.replace('FROM documents', 'FROM dp')} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM fts")
+def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full-text search among the sources whose name begins alike."""
+    chunks = document_chunks(spark, sf_dir).where(F.startswith("path", F.lit("src1")))
+    return rounded(retrieval.bm25_arm(benchmark_queries(spark, sf_dir), chunks), "score")
+
+
+@query(f"""
+WITH {FTS_SQL}, b AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) + CASE WHEN rank = 1 THEN 0.05::DOUBLE WHEN rank <= 3 THEN 0.02::DOUBLE ELSE 0 END AS score, CASE WHEN chunk_id % 3 = 0 THEN (chunk_id % 7 + 1) / 7.0::DOUBLE END AS mass FROM fts)
+SELECT query_id, chunk_id, round(score + coalesce(0.03 * mass / max(mass) OVER (PARTITION BY query_id), 0), 6) AS score, round(coalesce(0.03 * mass / max(mass) OVER (PARTITION BY query_id), 0), 6) AS graph_boost FROM b
+""")
+def graph_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fused scores raised by a mass that some of the hits have."""
+    fts = retrieval.bm25_arm(benchmark_queries(spark, sf_dir), document_chunks(spark, sf_dir))
+    fused = settle(retrieval.fuse({"fts": fts}), "fused")
+    mass = fused.where("chunk_id % 3 = 0").select("query_id", "chunk_id", ((F.col("chunk_id") % 7 + 1) / F.lit(7.0)).alias("mass"))
+    return rounded(retrieval.boost(fused, mass).select("query_id", "chunk_id", "score", "graph_boost"), "score", "graph_boost")
+
+
+@query(f"""
+WITH {FTS_SQL}, s AS (SELECT fts.query_id, source, chunk_id, score, row_number() OVER (PARTITION BY query_id, source ORDER BY round(score, 9) DESC, chunk_id) AS k FROM fts JOIN documents ON doc_id = chunk_id)
+SELECT query_id, source, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, source, chunk_id) AS rank FROM s WHERE k <= 20) WHERE rank <= 10
+""")
+def merged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best hits over all sources, from the first twenty of each."""
+    chunks = document_chunks(spark, sf_dir)
+    hits = retrieval.bm25_arm(benchmark_queries(spark, sf_dir), chunks).join(chunks.select("chunk_id", F.col("path").alias("source")), "chunk_id")
+    return rounded(retrieval.merge_sources(hits, 10).select("query_id", "source", "chunk_id", "score", "rank"), "score")
+
+
+@query("""
+WITH f AS (SELECT 'docs/' || lower(regexp_extract(url, '//([^/]*)', 1)) || '/' || (page_id % 40) || '.md' AS path FROM pages GROUP BY 1),
+l AS (SELECT page_id AS link_id, (page_id * 7 % 60)::VARCHAR AS title, CASE WHEN page_id % 2 = 0 THEN lower(regexp_extract(url, '//([^/]*)', 1)) || '/' || (page_id * 3 % 50) END AS want FROM pages),
+c AS (SELECT link_id, path, 0 AS lv FROM l JOIN f ON want IS NOT NULL AND (regexp_replace(lower(path), '\\.md$', '') = want OR ends_with(regexp_replace(lower(path), '\\.md$', ''), '/' || want)) UNION ALL SELECT link_id, path, 1 FROM l JOIN f ON regexp_extract(path, '([^/]*)\\.md$', 1) = title),
+b AS (SELECT link_id, min(path) AS target_path, count(*) AS n FROM (SELECT *, min(lv) OVER (PARTITION BY link_id) AS first FROM c) WHERE lv = first GROUP BY 1)
+SELECT l.link_id, title, want, target_path, CASE WHEN n = 1 THEN 'exact' WHEN n > 1 THEN 'name_match' END AS confidence FROM l LEFT JOIN b USING (link_id)
+""")
+def resolve_note_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between notes made up from the pages, by path or else by title."""
+    pages = table(spark, sf_dir, "pages").withColumn("host", F.lower(F.regexp_extract("url", "//([^/]*)", 1)))
+    files = pages.select(F.concat(F.lit("docs/"), "host", F.lit("/"), F.col("page_id") % 40, F.lit(".md")).alias("path")).distinct()
+    links = pages.select(F.col("page_id").alias("link_id"), (F.col("page_id") * 7 % 60).cast("string").alias("title"), F.when(F.col("page_id") % 2 == 0, F.concat("host", F.lit("/"), F.col("page_id") * 3 % 50)).alias("want"))
+    return navigate.resolve_note_links(links, files)
+
+
+@query(f"""
+WITH sw(term) AS (VALUES {STOP_SQL}), {FTS_SQL}
+SELECT term, sum(f)::BIGINT AS n, count(*) AS chunks FROM tf WHERE strlen(term) >= 3 AND term NOT IN (SELECT term FROM sw) GROUP BY 1
+""")
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term that isn't a stop word, how often it stands and in how many documents."""
+    stop = spark.createDataFrame([(w,) for w in tx.STOPWORDS], "term string")
+    terms = document_chunks(spark, sf_dir).select("chunk_id", F.explode(tx.tokens(F.col("content"))).alias("term")).where(F.octet_length("term") >= 3)
+    counted = terms.join(F.broadcast(stop), "term", "left_anti").groupBy("term", "chunk_id").agg(F.count("*").alias("f"))
+    return counted.groupBy("term").agg(F.sum("f").alias("n"), F.count("*").alias("chunks"))
