@@ -38,20 +38,20 @@ def phrase_table(queries: DataFrame) -> DataFrame:
 
 
 def occurrences(phrases: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows (phrase, chunk_id, f): how often each phrase stands in each chunk.
+    """Rows (phrase, chunk_id, dl, f): how often each phrase stands in each chunk, and the chunk's tokens.
 
-    Single tokens are counted straight from the postings of the tokens asked for; longer phrases by the starts that all
-    of their tokens agree on.
+    Single tokens are counted straight from the postings of the tokens asked for, which carry their chunk's size; longer
+    phrases by the starts that all of their tokens agree on.
     """
     wanted = phrases.select("phrase").distinct()
     single = wanted.where(F.size("phrase") == 1).select(F.col("phrase")[0].alias("term"), "phrase")
     longer = wanted.where(F.size("phrase") > 1)
     terms = wanted.select(F.explode("phrase").alias("term")).distinct()
-    postings = texts.select("chunk_id", F.posexplode("tokens").alias("pos", "term")).join(terms, "term", "left_semi")
-    ones = postings.groupBy("term", "chunk_id").agg(F.count("*").alias("f")).join(single, "term").select("phrase", "chunk_id", "f")
+    postings = texts.select("chunk_id", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term")).join(terms, "term", "left_semi")
+    ones = postings.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("f")).join(single, "term").select("phrase", "chunk_id", "dl", "f")
     placed = longer.select("phrase", F.posexplode("phrase").alias("off", "term"))
-    starts = placed.join(postings, "term").groupBy("phrase", "chunk_id", (F.col("pos") - F.col("off")).alias("start")).agg(F.count("*").alias("n"))
-    many = starts.where(F.col("n") == F.size("phrase")).groupBy("phrase", "chunk_id").agg(F.count("*").alias("f"))
+    starts = placed.join(postings, "term").groupBy("phrase", "chunk_id", "dl", (F.col("pos") - F.col("off")).alias("start")).agg(F.count("*").alias("n"))
+    many = starts.where(F.col("n") == F.size("phrase")).groupBy("phrase", "chunk_id", "dl").agg(F.count("*").alias("f"))
     return ones.unionByName(many)
 
 
@@ -64,8 +64,7 @@ def bm25_scores(queries: DataFrame, chunks: DataFrame, text: Column | None = Non
     frequency = found.groupBy("phrase").agg(F.count("*").alias("n_p"))
     idf = F.log((F.col("n") - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5))
     weighed = phrases.join(frequency, "phrase").crossJoin(F.broadcast(sizes)).select("query_id", "phrase", "times", "mean", F.when(idf > 0, idf).otherwise(LEAST_IDF).alias("idf"))
-    lengths = texts.select("chunk_id", F.size("tokens").alias("dl"))
-    joined = weighed.join(found.join(lengths, "chunk_id"), "phrase")
+    joined = weighed.join(found, "phrase")
     part = F.col("times") * F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
     return joined.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
