@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,7 +15,7 @@ from . import common
 
 #: Buckets that the n-grams are hashed into, and the longest n-gram.
 BUCKETS, LONGEST = 8192, 3
-#: The bound on the sample of labelled rows that the model is fitted to, for each language.
+#: The bound on the sample of labelled texts that the model is fitted to, for each language.
 PER_LANGUAGE = 600
 #: Centroids of each language.
 CENTROIDS = 4
@@ -55,11 +56,7 @@ assert BUCKETS == 1 << (32 - 19)
 class Centroids:
     """The model: inverse document frequencies, unit centroids, their languages, and each language's least cosine."""
 
-    def __init__(self, rows: list[tuple[str, str]], per_language: int = CENTROIDS):
-        vectors: dict[str, list[np.ndarray]] = {}
-        for language, text in sorted(rows):
-            if (v := counts(text)) is not None:
-                vectors.setdefault(language, []).append(v)
+    def __init__(self, vectors: dict[str, list[np.ndarray]], per_language: int = CENTROIDS):
         n = sum(map(len, vectors.values()))
         seen = sum(((v > 0).astype(np.float64) for vs in vectors.values() for v in vs), np.zeros(BUCKETS))
         self.idf = (np.log((n + 1) / (seen + 1)) + 1).astype(np.float32)
@@ -107,22 +104,32 @@ def clusters(units: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, text_col: str = "text", lang_col: str = "lang") -> Centroids:
-    """Fit to a bounded sample: of each language about ``per_language`` texts, chosen by the texts' hashes, and no more.
+    """Fit to a bounded sample: of each language about ``per_language`` different texts, chosen by their hashes, and no more.
 
-    The bound is per language; frequencies by language come from all rows. Rows with a null text or language teach
-    nothing.
+    Frequencies by language come from all rows; of copies one is taken. The sampled texts are counted whole where they
+    lie, and only a vector of BUCKETS numbers of each goes to the driver, however long it is. Rows with a null text or
+    language, or without a letter, teach nothing.
     """
+    common.ready(labelled.sparkSession)
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return Centroids([], centroids)
+        return Centroids({}, centroids)
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
     place = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
-    taken: dict[str, list[str]] = {}
-    for row in rows.where(place < share[F.col("lang")]).toLocalIterator():
-        if len(texts := taken.setdefault(row["lang"], [])) < per_language:
-            texts.append(row["text"])
-    return Centroids([(lang, t) for lang, texts in taken.items() for t in texts], centroids)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [counts(t) for t in batch.column(1).to_pylist()]
+            packed = [None if v is None else zlib.compress(v.astype("<f4").tobytes(), 1) for v in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], ["lang", "place", "vector"])
+
+    sample = rows.withColumn("place", place).where(F.col("place") < share[F.col("lang")]).dropDuplicates(["lang", "text"])
+    vectors: dict[str, list[tuple[float, bytes]]] = {}
+    for row in sample.select("lang", "text", "place").mapInArrow(count, "lang string, place double, vector binary").where("vector IS NOT NULL").toLocalIterator():
+        vectors.setdefault(row["lang"], []).append((row["place"], bytes(row["vector"])))
+    taken = {lang: [np.frombuffer(zlib.decompress(v), "<f4") for _, v in sorted(own)[:per_language]] for lang, own in vectors.items()}
+    return Centroids(taken, centroids)
 
 
 def identify(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
