@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -24,7 +25,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one is set only where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="tidemark-shared-")
+        own = tempfile.mkdtemp(prefix="tidemark-shared-")
+        atexit.register(shutil.rmtree, own, True)
+        folder = "file://" + own
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
