@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions import vector as vx
+from ..plans.shared import ready
 
 ARM_LIMIT = 50
 #: Reciprocal rank fusion: the constant, and what the first and the next two ranks get besides.
@@ -33,8 +34,9 @@ def best(scored: DataFrame, limit: int, by: Column | None = None, group: tuple[s
 
 
 def phrase_table(queries: DataFrame) -> DataFrame:
-    """Rows (query_id, phrase, times); the phrases as arrays of tokens."""
-    return queries.select("query_id", F.explode(tx.query_phrases(F.col("text"))).alias("phrase")).groupBy("query_id", "phrase").agg(F.count("*").alias("times"))
+    """Rows (query_id, phrase, times); a phrase is its tokens with spaces between."""
+    phrases = queries.select("query_id", F.explode(tx.query_phrases(F.col("text"))).alias("tokens"))
+    return phrases.select("query_id", F.array_join("tokens", " ").alias("phrase")).groupBy("query_id", "phrase").agg(F.count("*").alias("times"))
 
 
 def occurrences(phrases: DataFrame, texts: DataFrame) -> DataFrame:
@@ -44,14 +46,15 @@ def occurrences(phrases: DataFrame, texts: DataFrame) -> DataFrame:
     phrases by the starts that all of their tokens agree on.
     """
     wanted = phrases.select("phrase").distinct()
-    single = wanted.where(F.size("phrase") == 1).select(F.col("phrase")[0].alias("term"), "phrase")
-    longer = wanted.where(F.size("phrase") > 1)
-    terms = wanted.select(F.explode("phrase").alias("term")).distinct()
+    parts = F.split("phrase", " ")
+    single = wanted.where(F.size(parts) == 1).select(F.col("phrase").alias("term"))
+    longer = wanted.where(F.size(parts) > 1)
+    terms = wanted.select(F.explode(parts).alias("term")).distinct()
     postings = texts.select("chunk_id", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term")).join(terms, "term", "left_semi")
-    ones = postings.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("f")).join(single, "term").select("phrase", "chunk_id", "dl", "f")
-    placed = longer.select("phrase", F.posexplode("phrase").alias("off", "term"))
+    ones = postings.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("f")).join(single, "term", "left_semi").select(F.col("term").alias("phrase"), "chunk_id", "dl", "f")
+    placed = longer.select("phrase", F.posexplode(parts).alias("off", "term"))
     starts = placed.join(postings, "term").groupBy("phrase", "chunk_id", "dl", (F.col("pos") - F.col("off")).alias("start")).agg(F.count("*").alias("n"))
-    many = starts.where(F.col("n") == F.size("phrase")).groupBy("phrase", "chunk_id", "dl").agg(F.count("*").alias("f"))
+    many = starts.where(F.col("n") == F.size(parts)).groupBy("phrase", "chunk_id", "dl").agg(F.count("*").alias("f"))
     return ones.unionByName(many)
 
 
@@ -73,11 +76,46 @@ def bm25_arm(queries: DataFrame, chunks: DataFrame, limit: int = ARM_LIMIT, text
     return best(bm25_scores(queries, chunks, text), limit)
 
 
-def literal_arm(queries: DataFrame, chunks: DataFrame, limit: int = ARM_LIMIT) -> DataFrame:
-    """Chunks whose content holds the whole trimmed query, in the order of their ids."""
-    wanted = queries.where(F.trim("text") != "").select("query_id", F.trim("text").alias("literal"))
-    found = chunks.join(wanted, tx.contains_literal(F.col("content"), F.col("literal"))).select("query_id", "chunk_id", F.lit(1.0).alias("score"))
-    return best(found, limit, by=F.col("chunk_id"))
+def literal_arm(queries: DataFrame, chunks: DataFrame, limit: int = ARM_LIMIT, block: int = 2000) -> DataFrame:
+    """Chunks whose content holds the whole trimmed query, in the order of their ids; A-Z and a-z are alike.
+
+    Queries go to the tasks in blocks of bounded size, and a chunk's content is lowered once and looked through for all
+    of a block's: no pair makes a row but those that are found.
+    """
+    import pyarrow as pa
+
+    spark, parts = ready(chunks.sparkSession), []
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}"
+
+    def look(known):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            literals, lower = known.value, {c: c + 32 for c in range(65, 91)}
+            for batch in batches:
+                found, rows = [], []
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    if text:
+                        lowered = text.translate(lower)
+                        hits = [q for q, literal in literals if literal in lowered]
+                        found += hits
+                        rows += [i] * len(hits)
+                ids = batch.column(0).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), ids], ["query_id", "chunk_id"])
+
+        return run
+
+    wanted = queries.where(F.trim("text") != "").select("query_id", tx.ascii_lower(F.trim("text")).alias("literal"))
+    held: list = []
+    for row in wanted.toLocalIterator():
+        held.append(tuple(row))
+        if len(held) == block:
+            parts.append(chunks.select("chunk_id", "content").mapInArrow(look(spark.sparkContext.broadcast(held)), schema))
+            held = []
+    if held or not parts:
+        parts.append(chunks.select("chunk_id", "content").mapInArrow(look(spark.sparkContext.broadcast(held)), schema))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return best(found.withColumn("score", F.lit(1.0)), limit, by=F.col("chunk_id"))
 
 
 def vector_arm(queries: DataFrame, vectors: DataFrame, limit: int = ARM_LIMIT, block: int = 2000) -> DataFrame:
