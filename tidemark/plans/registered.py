@@ -31,9 +31,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of no more partitions than cores is dealt out to all of them: a small file is one row group, so one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
+
+
 def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as one chunk of the file that its source stands for."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("path"), F.col("text").alias("content"))
+    return spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("path"), F.col("text").alias("content"))
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
