@@ -85,3 +85,66 @@ def test_everything_held_out(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     rows = suffix_tree.score_texts(docs, F.lit(True)).collect()
     assert {(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in rows} == {(3, 0, 0, 0.0), (1, 0, 0, 0.0)}
+
+
+def brute_tree(rows, held, least, depth=3, divergence=0.02, weight=50.0):
+    """Scores by plain dictionaries: every word is a symbol and every context of ``least`` occurrences is looked at."""
+    train = [[None, *tokens(t)] for i, t in rows if i not in held]
+    counts = Counter(w for t in train for w in t[1:])
+    units = sum(counts.values()) + len(counts) + 1
+    after = {}
+    for t in train:
+        for i in range(1, len(t)):
+            for d in range(1, min(depth, i) + 1):
+                after.setdefault(tuple(t[i - d : i]), Counter())[t[i]] += 1
+    kept = {}
+
+    def share(w, context):
+        context = context[-depth:]
+        while context and context not in kept:
+            context = context[1:]
+        if not context:
+            return (counts[w] + 1) / units
+        return (after[context][w] + weight * share(w, context[1:])) / (sum(after[context].values()) + weight)
+
+    for d in range(1, depth + 1):
+        new = set()
+        for context, following in after.items():
+            if len(context) == d and (total := sum(following.values())) >= least:
+                kl = 0.0
+                for w in [*counts, "\0"]:  # the last stands for all unknown words
+                    p = share(w, context[1:])
+                    own = (following[w] + weight * p) / (total + weight)
+                    kl += own * math.log(own / p)
+                if kl >= divergence:
+                    new.add(context)
+        kept.update(dict.fromkeys(new, True))
+    return [sum(math.log10(share(x[k], tuple(x[max(0, k - depth) : k]))) for k in range(1, len(x))) for _, t in rows for x in [[None, *tokens(t)]]], kept
+
+
+def test_tree_scores_by_brute_force(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    phrases = ["the quick brown fox", "a slow green turtle", "the slow red fox", "one more rare bird"]
+    rows = [(i, " ".join(rng.choice([*phrases, f"w{rng.randint(0, 60)}"]) for _ in range(12))) for i in range(60)]
+    held = set(range(0, 60, 7))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for share in (suffix_tree.HELD_SHARE, 0.02):  # all keys known to every task; most of them joined
+        monkeypatch.setattr(suffix_tree, "HELD_SHARE", share)
+        got = {r["doc_id"]: r["score"] for r in suffix_tree.score_texts(docs, F.col("doc_id") % 7 == 0, least=6).collect()}
+        want, kept = brute_tree(rows, held, 6)
+        assert {len(c) for c in kept} == {1, 2, 3}
+        assert all(math.isclose(got[i], x, rel_tol=1e-9) for (i, _), x in zip(rows, want, strict=True))
+
+
+def test_tree_grows_with_the_corpus(spark):
+    def states(times):
+        rows = [(i, " ".join(f"t{i} w{i} x{i}" for _ in range(40))) for i in range(times * 50)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        words = suffix_tree.word_counts(docs).cache()
+        n = words.agg(F.sum("c") + F.count("*") + 1).first()[0]
+        return sum(kept.count() for kept, _ in suffix_tree.states(docs, words, n))
+
+    few, many = states(1), states(60)  # a word of the larger corpus is a 9000th of it
+    assert many >= 50 * few > 0

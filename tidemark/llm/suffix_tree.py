@@ -1,17 +1,18 @@
 """Language-model scores by a probabilistic suffix tree.
 
-Symbols are the frequent words, the end of a text, and one for all other words, within which a word has its own share.
-A context (a suffix of what came before, of any length up to a greatest one) is a state of the tree if it is frequent
-and its next-symbol distribution diverges from that of its longest retained suffix; a token is scored by the longest
-state that fits.
+Symbols are all words, each by its hash, and the end of a text. A context (a suffix of what came before, of any length
+up to a greatest one) is a state of the tree if it occurs often enough, by a count that doesn't depend on the corpus, and
+its next-word distribution diverges from that of its longest retained suffix; a token is scored by the longest state that
+fits. Contexts and what follows them are tables, which grow with the corpus.
 """
 
 from __future__ import annotations
 
+import gc
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,48 +21,41 @@ from pyspark.sql import functions as F
 
 from . import common
 from .language import fold
-from .near_dups import _LOWER
-
-#: A word is a symbol if it is this share of all training tokens, so there are at most 1 / share of them; likewise for
-#: contexts, and for the words that a task keeps counts of.
-SYMBOL_SHARE, CONTEXT_SHARE, HELD_SHARE = 5e-4, 5e-4, 2e-6
+from .near_dups import word_hashes
+
+#: Occurrences from which a context is looked at, at any size of the corpus.
+LEAST = 32
+#: Words, states and pairs of this share of all training tokens are known to every task, at most 1 / share of them a depth.
+HELD_SHARE = 2e-6
+#: Contexts fall in 2 ** CELL_BITS cells.
+CELL_BITS = 24
+#: Contexts up to which they are sent to every task.
+HANDED_ROWS = 500_000
 DEPTH = 3
 #: Nats of divergence from which a context is retained, and the weight of its suffix's distribution in its own.
 DIVERGENCE, WEIGHT = 0.02, 50.0
-END, OTHER = 0, 1
-#: Distinct words that a task counts before it hands the counts on.
-HELD_WORDS = 200_000
+END = 0
+#: The hash that stands for the end of a text, and the base of the contexts' polynomials.
+FINAL, STEP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 #: Texts that a task takes up at a time.
 PER_BATCH = 500
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
-
-
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows (w, c): how often each word stands in all texts, and under the empty word how often a text ends."""
+    """Rows (w, c): how often each word's hash stands in all texts, and under FINAL how often a text ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(counts):
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["w", "c"])
-
-        counts: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0):
-                counts.update(words_of(text.as_py()))
-                if len(counts) > HELD_WORDS:
-                    yield out(counts)
-                    counts = Counter()
-            counts[b""] += batch.num_rows
-        yield out(counts)
+            words = [word_hashes(text or "") for text in batch.column(0).to_pylist()]
+            found, n = np.unique(np.concatenate([*words, np.full(len(words), FINAL, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["w", "c"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "w binary, c long").groupBy("w").agg(F.sum("c").alias("c"))
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
 @dataclass
 class Tree:
-    """The states by depth: sorted packed contexts, and for each a row of log10 probabilities; the root's row alone."""
+    """A tree over few symbols, held whole (the query's own is in tables, see ``states``): sorted packed contexts, and for each a row of log10 probabilities; the root's row alone."""
 
     symbols: int
     root: np.ndarray
@@ -127,7 +121,7 @@ def next_counts(coded: DataFrame, keys: np.ndarray, depth: int, symbols: int) ->
     return out.reshape(len(keys), symbols)
 
 
-def grow(coded: DataFrame, root_counts: np.ndarray, depth: int = DEPTH, share: float = CONTEXT_SHARE, divergence: float = DIVERGENCE, weight: float = WEIGHT) -> Tree:
+def grow(coded: DataFrame, root_counts: np.ndarray, depth: int = DEPTH, share: float = 5e-4, divergence: float = DIVERGENCE, weight: float = WEIGHT) -> Tree:
     """Grow the tree depth by depth: only an extension of a frequent context can be frequent."""
     symbols, n = len(root_counts), int(root_counts.sum())
     root = (root_counts + 1) / (n + symbols)
@@ -157,88 +151,206 @@ def grow(coded: DataFrame, root_counts: np.ndarray, depth: int = DEPTH, share: f
     return tree
 
 
-def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def places(words: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Documents one after the other, each with FINAL before and after: the words, each word's document, and for each
+    depth the places with so many words before them and their contexts.
+
+    The context of the words a, b, c is a B^3 + b B^2 + c B, so that of a longer history follows from that of a shorter.
+    """
+    edge = np.full(1, FINAL, np.uint64)
+    text = np.concatenate([x for w in words for x in (edge, w, edge)]) if words else edge[:0]
+    doc = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+    out, packed, power = [], np.zeros(len(text), np.uint64), np.ones(1, np.uint64)
+    for d in range(1, depth + 1):
+        if len(text) <= d:
+            break
+        power = power * STEP
+        packed[d:] += text[:-d] * power
+        at = np.flatnonzero(doc[d:] == doc[:-d]) + d
+        out.append((at, packed[at]))
+    return text, doc, out
+
+
+def cells(contexts: DataFrame) -> np.ndarray:
+    """For each cell, of a fixed number, whether a context lies in it: what isn't in one needn't be shuffled."""
+    found = contexts.select(F.shiftrightunsigned("ctx", 64 - CELL_BITS).cast("int").alias("cell")).distinct().toArrow()
+    out = np.zeros(1 << CELL_BITS, bool)
+    out[found.column(0).to_numpy()] = True
+    return out
+
+
+def pair_counts(texts: DataFrame, contexts: DataFrame, depth: int) -> DataFrame:
+    """Rows (ctx, w, n): how often each word follows each of the contexts, and some others that share a cell with one."""
+    known = texts.sparkSession.sparkContext.broadcast(cells(contexts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, _, found = places([word_hashes(t or "") for t in batch.column(0).to_pylist()], depth)
+            if len(found) < depth:
+                continue
+            at, ctx = found[-1]
+            some = known.value[(ctx >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+            ctx, w = ctx[some], text[at[some]]
+            _, first, n = np.unique(ctx ^ w, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ctx[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(n)], ["ctx", "w", "n"])
+
+    return texts.select("text").mapInArrow(run, "ctx long, w long, n long").groupBy("ctx", "w").agg(F.sum("n").alias("n"))
+
+
+def onward(pairs: DataFrame) -> DataFrame:
+    """Rows (ctx, suffix, total): the contexts that frequent words after frequent contexts make; nothing follows an end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ctx, suffix, w = (batch.column(i).to_numpy().view(np.uint64) for i in range(3))
+            yield pa.RecordBatch.from_arrays([pa.array(((ctx + w) * STEP).view(np.int64)), pa.array(((suffix + w) * STEP).view(np.int64)), batch.column(3)], ["ctx", "suffix", "total"])
+
+    return pairs.select("ctx", "suffix", "w", "n").mapInArrow(run, "ctx long, suffix long, total long")
+
+
+def states(texts: DataFrame, vocabulary: DataFrame, units: int, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, weight: float = WEIGHT) -> list[tuple[DataFrame, DataFrame]]:
+    """The tree, depth by depth: tables of retained contexts (ctx, total, back) and of what follows them (key, n, gain, back).
+
+    ``gain`` is the log10 of the share of a word in its state over that in the state's suffix, and ``back`` that of a
+    word which never follows. Every word counts as itself. A context is looked at if it occurs ``least`` times; only an
+    extension of such a one can be one, so each depth takes its contexts from the pairs of the one before.
+    """
+    last = int(np.uint64(FINAL).view(np.int64))
+    frequent = vocabulary.where(F.col("c") >= least).select(F.lit(0).cast("long").alias("ctx"), F.lit(0).cast("long").alias("suffix"), "w", F.col("c").alias("n"))
+    contexts = onward(frequent).withColumn("suffix", F.lit(0).cast("long"))
+    known = vocabulary.select(F.lit(0).cast("long").alias("suffix"), "w", ((F.col("c") + 1) / F.lit(float(units))).alias("parent"), "c")
+    out = []
+    own = (F.col("n") + weight * F.col("parent")) / (F.col("total") + weight)
+    rest = F.lit(weight) / (F.col("total") + weight)
+    for d in range(1, depth + 1):
+        contexts = common.settle(contexts, "contexts") if d == 1 else contexts
+        if contexts.isEmpty():
+            break
+        counted = pair_counts(texts, contexts, d).join(handed(contexts.select("ctx", "suffix")), "ctx")
+        often = F.broadcast(known.where(F.col("c") >= max(2.0, HELD_SHARE * units)).drop("c"))  # at most 1 / HELD_SHARE
+        first = counted.join(often, ["suffix", "w"], "left")
+        columns = ["ctx", "w", "n", "parent"]
+        far = first.where("parent IS NULL").drop("parent").join(known.where(F.col("c") < max(2.0, HELD_SHARE * units)), ["suffix", "w"])
+        pairs = common.settle(first.where("parent IS NOT NULL").select(columns).unionByName(far.select(columns)), "pairs")
+        freed(texts.sparkSession)
+        seen = pairs.join(handed(contexts.select("ctx", "total")), "ctx").groupBy("ctx").agg(F.first("total").alias("total"), F.sum(own * F.log(own / F.col("parent"))).alias("kl"), F.sum("parent").alias("mass"))
+        unseen = rest * F.log(rest) * F.greatest(F.lit(0.0), 1 - F.col("mass"))
+        kept = common.settle(seen.where(F.col("kl") + unseen >= divergence).select("ctx", "total", F.log10(rest).alias("back")), "states")
+        gains = pairs.join(handed(kept), "ctx").select(F.col("ctx").bitwiseXOR(F.col("w")).alias("key"), "n", F.log10(own / F.col("parent")).alias("gain"), "back")
+        out.append((kept, gains))
+        longer = pairs.where((F.col("n") >= least) & (F.col("w") != last)).join(handed(contexts.select("ctx", "suffix")), "ctx")
+        contexts = common.settle(onward(longer), "contexts")
+        wanted = contexts.select(F.col("suffix").alias("ctx")).distinct()
+        marked = pairs.join(handed(wanted), "ctx", "left_semi").join(handed(kept), "ctx", "left")
+        known = marked.select(F.col("ctx").alias("suffix"), "w", F.when(F.col("back").isNull(), F.col("parent")).otherwise(own).alias("parent"), F.col("n").alias("c"))
+    return out
+
+
+def handed(rows: DataFrame) -> DataFrame:
+    """The same rows, to be sent to every task if they are few; else joins shuffle."""
+    return F.broadcast(rows) if rows.count() <= HANDED_ROWS else rows
+
+
+def freed(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that are done with."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """Score whole texts, learning from those for which the column ``held_out`` is not true.
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10). Null and empty texts are one
     end; repeated rows are scored, and learned from, each; null ids aren't held out. Without training texts every token
     is unknown.
 
-    Word counts are combined in each task before the shuffle. Words of at least HELD_SHARE of the tokens (at most
-    1 / HELD_SHARE of them) go to every task; the others' counts come by a join on the word, and only their sums go
-    back to the documents.
+    A score is the base score and, for each state that fits a token, its gain over its suffix. Words, states and pairs
+    of at least HELD_SHARE of the tokens (at most 1 / HELD_SHARE of them a depth) go to every task; the others' come by a
+    join, and only their sums go back to the documents.
     """
     spark = common.ready(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    vocabulary = common.settle(word_counts(source.where("NOT held_out")), "vocabulary")
+    training = source.where("NOT held_out")
+    vocabulary = common.settle(word_counts(training), "vocabulary")
     whole = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(whole["n"] or 0), int(whole["v"])
-    held = {bytes(r["w"]): r["c"] for r in vocabulary.where((F.col("c") >= max(2.0, HELD_SHARE * n)) | (F.octet_length("w") == 0)).toLocalIterator()}
-    ends = held.pop(b"", 0)
-    chosen = sorted((w for w, c in held.items() if c >= SYMBOL_SHARE * n), key=lambda w: (-held[w], w))
-    root = np.array([ends, n - ends - sum(held[w] for w in chosen), *(held[w] for w in chosen)], np.int64)
-    symbol = {w: i for i, w in enumerate(chosen, OTHER + 1)}
-    table = {w: (symbol.get(w, OTHER), math.log10(c + 1)) for w, c in held.items()}
-    other_units = math.log10(max(1, int(root[OTHER]) + v - len(chosen) - 1 + 1))
-    unit = math.log10(n + v + 1)
-    known = spark.sparkContext.broadcast(table)
-    end_score = math.log10(ends + 1)
+    often = max(2.0, HELD_SHARE * n)
+    last = int(np.uint64(FINAL).view(np.int64))
+    ends = sum(r["c"] for r in vocabulary.where(F.col("w") == last).collect())
+    unit, end_score = math.log10(n + v + 1), math.log10(ends + 1)
+    tree = states(training, vocabulary, n + v + 1, least=least)
+
+    # Rows (key, c, value, held, word): what a key adds to a text's score, and to that of a text held out.
+    rows = [vocabulary.where(F.col("w") != last).select(F.col("w").alias("key"), "c", F.log10(F.col("c") + 1).alias("value"), F.log10(F.col("c") + 1).alias("held"), F.lit(True).alias("word"))]
+    for kept, gains in tree:
+        rows.append(kept.select(F.col("ctx").alias("key"), F.col("total").alias("c"), F.lit(0.0).alias("value"), F.col("back").alias("held"), F.lit(False).alias("word")))
+        rows.append(gains.select("key", F.col("n").alias("c"), F.col("gain").alias("value"), (F.col("gain") - F.col("back")).alias("held"), F.lit(False).alias("word")))
+    table = reduce(DataFrame.unionByName, rows)
+    near = table.where(F.col("c") >= often).select("key", "value", "held").toArrow()
+    keys = near.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    near_table = spark.sparkContext.broadcast((keys[order], near.column("value").to_numpy()[order], near.column("held").to_numpy()[order]))
+    retained = spark.sparkContext.broadcast([cells(kept) for kept, _ in tree])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = known.value
-        nowhere = (-1, 0.0)
+        keys, value, held_value = near_table.value
+
+        def look(wanted):
+            if not len(keys):
+                return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            return at, keys[at] == wanted
+
         for batch in (whole.slice(i, PER_BATCH) for whole in batches for i in range(0, whole.num_rows, PER_BATCH)):
-            coded, tokens, base, shared, rest = [], [], [], [], []
-            for text in batch.column(2).to_pylist():
-                words = words_of(text)
-                found = [table.get(w, nowhere) for w in words]
-                ids = np.fromiter((s for s, _ in found), np.int32, len(words))
-                logs = np.fromiter((x for _, x in found), np.float64, len(words))
-                far = ids < 0
-                ids[far] = OTHER
-                coded.append(ids.astype("<u2").tobytes())
-                tokens.append(len(words) + 1)
-                base.append(float(logs.sum()))
-                shared.append(float(logs[ids == OTHER].sum()))
-                rest.append([{"w": w, "n": k} for w, k in Counter(words[i] for i in np.flatnonzero(far).tolist()).items()])
-            columns = [pa.array(coded, pa.binary()), pa.array(tokens, pa.int64()), pa.array(base), pa.array(shared), pa.array(rest, pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "held_out", "coded", "n_tokens", "base", "shared", "rest"])
+            words = [word_hashes(t or "") for t in batch.column(2).to_pylist()]
+            held = np.array([bool(x) for x in batch.column(1).to_pylist()], bool)
+            text, doc, found = places(words, len(retained.value))
+            inner = np.flatnonzero(text != FINAL)
+            size = len(words)
+            at, hit = look(text[inner])
+            base = np.bincount(doc[inner][hit], value[at[hit]], size)
+            far = [(doc[inner][~hit], text[inner][~hit])]
+            far_n = np.bincount(far[0][0], minlength=size)
+            gain = np.zeros(size)
+            for known, (at, ctx) in zip(retained.value, found, strict=False):
+                some = known[(ctx >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                at, ctx = at[some], ctx[some]
+                out = held[doc[at]]  # only in these may a word follow a state that it never followed
+                for d, key in ((doc[at], ctx ^ text[at]), (doc[at][out], ctx[out])):
+                    place, hit = look(key)
+                    gain += np.bincount(d[hit], np.where(held[d[hit]], held_value[place[hit]], value[place[hit]]), size)
+                    far.append((d[~hit], key[~hit]))
+            d, key = (np.concatenate(x) for x in zip(*far, strict=True))
+            order = np.lexsort((key, d))
+            d, key = d[order], key[order]
+            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(d)), bool), (d[1:] != d[:-1]) | (key[1:] != key[:-1]))))
+            times = np.diff(np.append(first, len(d))).astype(np.int32)
+            offsets = np.searchsorted(d[first], np.arange(size + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (key[first].view(np.int64), times)]
+            columns = [pa.array([len(w) + 1 for w in words], pa.int64()), pa.array(base.astype(np.float64)), pa.array(gain), pa.array(far_n, pa.int64()), *lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "held_out", "n_tokens", "base", "gain", "far_n", "keys", "times"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
-    encoded = source.select("doc_id", "held_out", "text").mapInArrow(encode, f"doc_id {kind}, held_out boolean, coded binary, n_tokens long, base double, shared double, rest array<struct<w:binary,n:bigint>>")
+    encoded = source.select("doc_id", "held_out", "text").mapInArrow(encode, f"doc_id {kind}, held_out boolean, n_tokens long, base double, gain double, far_n long, keys array<bigint>, times array<int>")
     encoded = common.settle(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded")
-    tree = spark.sparkContext.broadcast(grow(encoded.where("NOT held_out"), root))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = tree_of.value
-        for batch in batches:
-            rows, sums, others = batch.column(1).to_pylist(), [], []
-            for first in range(0, len(rows), 500):
-                some = rows[first : first + 500]
-                text, doc = joined(some)
-                each = tree.score(text, doc)
-                starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-                each[starts] = 0  # what begins a document isn't a token
-                sums.append(np.add.reduceat(each, starts))
-                others.append(np.add.reduceat((text == OTHER).astype(np.int64), starts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(sums) if sums else []), pa.array(np.concatenate(others) if others else [], pa.int64())], ["row", "tree", "others"])
-
-    tree_of = tree
-    rest = encoded.select("row", F.explode("rest").alias("x")).select("row", "x.w", "x.n")
-    weighed = rest.join(vocabulary, "w", "left").select("row", "n", F.coalesce("c", F.lit(0)).alias("c"))
-    far = weighed.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("far"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("far_known"), F.sum("n").alias("far_n"))
-    scored = encoded.select("row", "coded").mapInArrow(score, "row long, tree double, others long")
-    rows = encoded.select("row", "doc_id", "held_out", "n_tokens", "base", "shared").join(scored, "row").join(far, "row", "left")
+    freed(spark)
+    items = encoded.select("row", "held_out", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", "held_out", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
+    weighed = items.join(table.where(F.col("c") < often).drop("c"), "key")
+    sums = weighed.groupBy("row").agg(
+        F.sum(F.when(F.col("word"), F.col("times") * F.col("value"))).alias("far"),
+        F.sum(F.when(F.col("word"), F.col("times"))).alias("far_known"),
+        F.sum(F.when(~F.col("word"), F.col("times") * F.when(F.col("held_out"), F.col("held")).otherwise(F.col("value")))).alias("far_gain"),
+    )
     zero = lambda c: F.coalesce(c, F.lit(0))
-    near = F.col("n_tokens") - 1 - zero("far_n")  # words whose counts every task has, all known
-    return rows.select(
+    base = F.col("base") + zero("far") + F.lit(end_score) - F.col("n_tokens") * F.lit(unit)
+    return encoded.select("row", "doc_id", "held_out", "n_tokens", "base", "gain", "far_n").join(sums, "row", "left").select(
         F.col("doc_id").alias(id_col),
         "held_out",
         "n_tokens",
-        (near + zero("far_known") + int(ends > 0)).alias("n_known"),
+        (F.col("n_tokens") - 1 - F.col("far_n") + zero("far_known") + int(ends > 0)).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("far") + F.lit(end_score) - F.col("n_tokens") * F.lit(unit)).alias("base_score"),
-        (F.col("tree") + F.col("shared") + zero("far") - F.col("others") * F.lit(other_units)).alias("score"),
+        base.alias("base_score"),
+        (base + F.col("gain") + zero("far_gain")).alias("score"),
     )
 
 
