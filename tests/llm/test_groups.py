@@ -144,6 +144,18 @@ def test_imatch_edge_tables(spark, edge_rows):
     assert imatch.fingerprints(edge_rows.where("doc_id = 5")).first()["near_next"] == 1.0
 
 
+def test_imatch_uses_every_term(spark):
+    """Texts with other terms of the lexicon, or of none, have other fingerprints, and none is empty."""
+    rng = random.Random(8)
+    texts = [f"term{i}" for i in range(300)] + sorted({" ".join(f"term{i}" for i in sorted(rng.sample(range(300), 12))) for _ in range(50)})
+    texts += [t + " term300" for t in texts[300:]]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    terms = [r[0] for r in spark.range(301).select(F.xxhash64(F.concat(F.lit("term"), F.col("id").cast("string")))).collect()]
+    for known in (terms, []):
+        prints = [r["p"] for r in df.select(imatch.shown(imatch.fingerprint("text", known)).alias("p")).collect()]
+        assert len(set(prints)) == len(texts) and all(p.strip(".") for p in prints)
+
+
 def pages(spark):
     long = "<p>" + "shared text " * 20 + "</p>"
     rows = [(5, "http://a/", long), (2, "http://b/\n x", long), (9, None, long), (1, "http://c/", "short"), (3, "http://d/", "short"), (4, "http://e/", None), (6, "u", "é" * 60), (7, "u", "é" * 60), (8, "u", ""), (8, "u", "")]

@@ -11,8 +11,8 @@ from . import common
 #: The band of document frequency, as shares of all documents: terms outside are dropped. As a document has only so
 #: many terms, the lower share bounds the lexicon: its size is at most a document's average terms / LOWEST.
 LOWEST, HIGHEST = 0.005, 0.25
-#: Randomised subsets of the lexicon; each has one term in ONE_IN.
-SUBSETS, ONE_IN = 64, 128
+#: Randomised subsets of the lexicon, at most 64, and how often a term is drawn for one of them: each term is in some.
+SUBSETS, DRAWS = 64, 4
 #: Cells of the first count, whose number doesn't grow with the corpus.
 CELLS = 1 << 20
 #: Ids whose texts are looked at together for their neighbours, and ranges of ids that one task may order.
@@ -41,16 +41,19 @@ def lexicon(texts: DataFrame, lowest: float = LOWEST, highest: float = HIGHEST)
     return sorted(r["term"] for r in counted.select("term").toLocalIterator())
 
 
-def fingerprint(text: str, known: list[int], subsets: int = SUBSETS, one_in: int = ONE_IN) -> Column:
+def fingerprint(text: str, known: list[int], subsets: int = SUBSETS, draws: int = DRAWS) -> Column:
     """One hash for each subset of the lexicon: of the text's distinct terms in it, in order; null where it has none.
 
+    Each of ``draws`` stretches of a term's hash puts it in a subset, so texts with other terms have other fingerprints.
     ``text`` names a column. A text with no term in the lexicon is printed by all of its terms. A lambda over an array
     of one element gives a value a name, so that each is computed once.
     """
     inside = f"filter(found, t -> t IN ({', '.join(map(str, known)) or 'NULL'}))"
-    drawn = f"array_sort(filter(if(size(inside) > 0, inside, found), t -> pmod(t, {one_in}) < {subsets}))"
-    each = f"transform(array(filter(drawn, t -> pmod(t, {one_in}) = j)), own -> if(size(own) > 0, CAST(xxhash64(own) & 2147483647 AS INT), NULL))[0]"
-    named = f"transform(array({inside}), inside -> transform(array({drawn}), drawn -> transform(sequence(0, {subsets - 1}), j -> {each}))[0])[0]"
+    drawn = " | ".join(f"shiftleft(1L, CAST(pmod(shiftright(t, {15 * k}), {subsets}) AS INT))" for k in range(draws))
+    terms = f"transform(array_sort(if(size(inside) > 0, inside, found)), t -> named_struct('t', t, 'drawn', {drawn}))"
+    each = "transform(array(filter(terms, x -> (x.drawn & bit) != 0)), own -> if(size(own) > 0, CAST(xxhash64(transform(own, x -> x.t)) & 2147483647 AS INT), NULL))[0]"
+    bits = ", ".join(f"shiftleft(1L, {j})" for j in range(subsets))
+    named = f"transform(array({inside}), inside -> transform(array({terms}), terms -> transform(array({bits}), bit -> {each}))[0])[0]"
     return F.expr(f"transform(array({TERMS.format(text)}), found -> {named})[0]")
 
 
