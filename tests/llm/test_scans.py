@@ -151,3 +151,20 @@ def test_passages_by_brute_force(spark, edge_rows, block_bytes):
 
 def test_cut_words():
     assert decontaminate.cut_words("One, two. THREE four!", [(1, 3)]) == "One,  four!"
+
+
+@pytest.mark.parametrize("text", ["john  at  example.com", "john\tat\texample.com", "john at\texample.com", "john\tat\texample\tdot\tcom", "john@example_dot_com", "john@example point com", "plus 1 555 123 4567"])
+def test_blanks_do_not_hide_disguises(text):
+    assert len(pii.find(f"write to {text} today")[1]) == 1
+
+
+def test_quick_look_is_as_wide_as_the_transducers():
+    rng = random.Random(11)
+    words = ["john", "example", "com", "at", "AT", "dot", "Point", "plus", "_at_", "_dot_", "@", "7", "192", "one", "ſix", "fıve", "the", ".", "[at]", "(dot)", "&#64;", "＠", "-"]
+    changed = 0
+    for _ in range(20_000):
+        text = "".join(rng.choice(words) + rng.choice(["", " ", " ", "  ", "\t", "\n", " ", " \n"]) for _ in range(rng.randint(2, 9)))
+        if pii.undisguised(text).text != text:
+            changed += 1
+            assert pii.normalise(text) is not None, repr(text)
+    assert changed > 1000

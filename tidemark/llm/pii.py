@@ -125,8 +125,12 @@ BRACKETED = re.compile(r"\s*(?:\[|\(|\{|<)\s*(at|@|dot|point|\.|dash|hyphen|minu
 WORD_AT = re.compile(r"(?<=[A-Za-z0-9])(?:\s+at\s+|\s+@\s*|@\s+)(?!(?:the|an?|this|that|my|your|our|its?)\b)(?=[A-Za-z0-9-]+(?:(?:\s+(?:dot|point)\s+|\.)[A-Za-z0-9-]+)+)|(?<=[A-Za-z0-9])_at_(?=[A-Za-z0-9-]+(?:_dot_|\.))", re.I)
 OPEN_SIGN = re.compile(r"[\[({<]\s*(?:at|@|dot|point|\.|dash|hyphen|minus|underscore|plus)\s*[\])}>]", re.I)
 LOOSE_AT = re.compile(r"\s@|@\s")
-#: Quick looks at the lower-cased text, each beginning with a fixed string: is there a word that could be a sign?
-_LOOK_SIGN = {" at ": re.compile(r" at [a-z0-9-]+(?:\.[a-z0-9-]|\s+dot\s|\s+point\s)"), "_at_": re.compile("_at_"), "\nat ": re.compile("\nat "), " at\n": re.compile(" at\n"), " dot ": re.compile(" dot "), " point ": re.compile(r" point [0-9]+ point ")}
+#: Quick looks at the lower-cased text, each beginning with a fixed string and at least as wide as its transducer: is
+#: there a word that could be a sign? The second stand for dots, which count beside an @ or between digits only.
+_LOOK_SIGN = {"at": re.compile(r"at(?<=\sat)\s+[a-z0-9-]+(?:\.[a-z0-9-]|\s+(?:dot|point)\s)"), "_at_": re.compile("_at_"), "plus": re.compile(r"plus\s+[0-9]")}
+_LOOK_DOT = {"dot": re.compile(r"dot(?:(?<=\sdot)\s|(?<=_dot)_)"), "point": re.compile(r"point(?<=\spoint)\s")}
+#: Capitals and small letters that patterns without case take for Latin ones, though lower() doesn't.
+_FOLDED = {"\u0130": "i", "\u0131": "i", "\u017f": "s", "\u212a": "k"}
 WORD_DOT = re.compile(r"(?<=[A-Za-z0-9])(?:\s+(?:dot|point)\s+|_dot_)(?=[A-Za-z0-9])", re.I)
 _SIGN_WORDS = {"at": "@", "@": "@", "dot": ".", "point": ".", ".": ".", "dash": "-", "hyphen": "-", "minus": "-", "underscore": "_", "plus": "+"}
 _DIGIT_WORDS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0", "null": "0"}
@@ -149,27 +153,41 @@ def _digits(m: re.Match) -> str:
     return "".join(_DIGIT_WORDS.get(p[1].lower(), p[1]) if p[1] else "" for p in SPELLED_PART.finditer(m[0]))
 
 
-def normalise(text: str) -> Aligned | None:
-    """The undisguised text, or None if nothing in it looks disguised."""
-    small = text.lower()
-    strange = not text.isascii() and FAR.search(text) and STRANGE.search(text)
-    entity = ("&" in text or "%40" in text) and ENTITY.search(text)
-    number = any(w in small and look.search(small) for w, look in _LOOK_NUMBER.items())
-    signs = any(x in text for x in "[({<") and OPEN_SIGN.search(text) or "@" in text and LOOSE_AT.search(text)
-    signs = signs or any(x in small and look.search(small) for x, look in _LOOK_SIGN.items())
-    if not (strange or entity or number or signs):
-        return None
+def disguised(text: str) -> bool:
+    """A quick look: False only if no transducer would change the text."""
+    plain = text.isascii() or not any(c in text for c in _FOLDED)
+    small = (text if plain else text.translate(str.maketrans(_FOLDED))).lower()
+    if not text.isascii() and FAR.search(text) and STRANGE.search(text) or ("&" in text or "%40" in text) and ENTITY.search(text):
+        return True
+    if any(w in small and look.search(small) for w, look in _LOOK_NUMBER.items()):
+        return True
+    if any(x in text for x in "[({<") and OPEN_SIGN.search(text) or "@" in text and LOOSE_AT.search(text):
+        return True
+    if any(x in small and look.search(small) for x, look in _LOOK_SIGN.items()):
+        return True
+    dots = any(x in small and look.search(small) for x, look in _LOOK_DOT.items())
+    return bool(dots and ("@" in text or SOME_DIGIT_DOT.search(text)))
+
+
+def undisguised(text: str) -> Aligned:
+    """The text after all transducers."""
     out = Aligned.of(text)
-    if strange:
-        out = out.rewrite(STRANGE, lambda m: GLYPHS.get(ord(m[0]), ""))
-    if entity:
-        out = out.rewrite(ENTITY, _entity)
+    out = out.rewrite(STRANGE, lambda m: GLYPHS.get(ord(m[0]), ""))
+    out = out.rewrite(ENTITY, _entity)
     out = out.rewrite(BRACKETED, lambda m: _SIGN_WORDS[m[1].lower()])
     out = out.rewrite(SPELLED, _digits)
     out = out.rewrite(PLUS_WORD, lambda m: "+")
     out = out.rewrite(WORD_AT, lambda m: "@")
     if "@" in out.text or SOME_DIGIT_DOT.search(out.text):
         out = out.rewrite(WORD_DOT, lambda m: ".")
+    return out
+
+
+def normalise(text: str) -> Aligned | None:
+    """The undisguised text, or None if nothing in it is disguised."""
+    if not disguised(text):
+        return None
+    out = undisguised(text)
     return out if out.text != text else None
 
 
