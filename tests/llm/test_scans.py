@@ -168,3 +168,11 @@ def test_quick_look_is_as_wide_as_the_transducers():
             changed += 1
             assert pii.normalise(text) is not None, repr(text)
     assert changed > 1000
+
+
+def test_a_better_notice_does_not_hide_one_before_it():
+    notice = licenses.Notice("all rights reserved", "reserved")
+    for line, want in ((b" al rights reserved x all rights reserved ", [1, 0]), (b" al rights reserved all rights reserved all rights reservd ", [1, 0, 1]), (b" all rights reserved " * 2000, [0] * 2000)):
+        found = list(notice.places(b" " + b" ".join(line.split()) + b" "))
+        assert [errors for *_, errors in found] == want
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))

@@ -59,8 +59,18 @@ class Notice:
         self.seeds = [(phrase[a:b].encode(), a) for a, b in zip(edges, edges[1:], strict=False)]
         self.pattern = regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(phrase, literal_spaces=True)}){{e<={self.errors}}}(?![^ ])")
 
+    def matches(self, window: str) -> list:
+        """The best match, and likewise those in what lies before it and after it, from left to right."""
+        found, open_parts = [], [(0, len(window))]
+        while open_parts:
+            start, end = open_parts.pop()
+            if end - start >= len(self.phrase) - self.errors and (m := self.pattern.search(window, start, end)):
+                found.append(m)
+                open_parts += [(start, m.start()), (m.end(), end)]
+        return sorted(found, key=lambda m: m.start())
+
     def places(self, line: bytes) -> Iterator[tuple[int, int, int]]:
-        """(start, end, errors) in bytes of ``line``, words with one space between and around them; leftmost, not overlapping."""
+        """(start, end, errors) in bytes of ``line``, words with one space between and around them; from left to right, not overlapping, better ones first where some would overlap."""
         windows: list[list[int]] = []
         n, e = len(self.phrase), self.errors
         for seed, offset in self.seeds:
@@ -78,7 +88,7 @@ class Notice:
             a, b = line.rfind(b" ", 0, a + 1), line.find(b" ", b - 1)  # whole words only
             a, b = max(a, 0), b if b >= 0 else len(line)
             window = line[a:b].decode("utf-8", "replace")
-            for m in self.pattern.finditer(window):
+            for m in self.matches(window):
                 start = a + len(window[: m.start()].encode())
                 if line[start : start + 1] == b" ":
                     start += 1
