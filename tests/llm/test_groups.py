@@ -7,6 +7,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,16 +35,16 @@ def test_components(spark, seed):
     assert got == {x: root(x) for a, b in edges if a != b for x in (a, b)}
 
 
-def sets(text):
+def sets(text, words=2):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
-    return {tuple(w[i : i + 2]) for i in range(max(1, len(w) - 1))} if w else set()
+    return {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set()
 
 
-def brute_links(rows):
+def brute_links(rows, words=2):
     shingles = {}
     for i, text in rows:
         if i is not None:
-            shingles.setdefault(i, []).append(sets(text))
+            shingles.setdefault(i, []).append(sets(text, words))
     label = {i: i for i in shingles}
 
     def root(x):
@@ -60,12 +61,12 @@ def brute_links(rows):
     return {i: root(i) for i in ids}
 
 
-def check_near(spark, rows, df):
-    got = near_dups.near_duplicates(df).collect()
-    want = brute_links(rows)
+def check_near(spark, rows, df, words=2):
+    got = near_dups.near_duplicates(df, words).collect()
+    want = brute_links(rows, words)
     assert len(got) == len(rows)
     assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(i, want.get(i), i == want.get(i)) for i, _ in rows}
-    assert sorted((str(r["doc_id"]), r["n_shingles"]) for r in got) == sorted((str(i), len(sets(t))) for i, t in rows)
+    assert sorted((str(r["doc_id"]), r["n_shingles"]) for r in got) == sorted((str(i), len(sets(t, words))) for i, t in rows)
 
 
 def copies(n, words, seed, edits):
@@ -80,10 +81,12 @@ def copies(n, words, seed, edits):
     return [" ".join(x) for x in out]
 
 
-@pytest.mark.parametrize(("n", "words", "edits"), [(150, 60, 5), (150, 400, 30), (120, 190, 14)])
+@pytest.mark.parametrize(("n", "words", "edits"), [(150, 60, 5), (150, 400, 30), (120, 190, 14), (90, 70, 5), (60, 3000, 300)])
 def test_near_duplicates_by_brute_force(spark, monkeypatch, n, words, edits):
     monkeypatch.setattr(near_dups, "SMALL_LIST", 8)
     monkeypatch.setattr(near_dups, "BLOCK", 16)
+    monkeypatch.setattr(near_dups, "TILE", 7)
+    monkeypatch.setattr(near_dups, "BUCKET_PAIRS", 3)
     texts = copies(n, words, n + words, edits) + copies(20, words, 99, 2)
     rows = list(enumerate(texts))
     random.Random(1).shuffle(rows)
@@ -91,8 +94,52 @@ def test_near_duplicates_by_brute_force(spark, monkeypatch, n, words, edits):
     check_near(spark, rows, spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_near_duplicates_of_five_words(spark):
+    """Five words are the operator's default; rows of one id with several texts are one document."""
+    texts = copies(80, 120, 5, 3)
+    rows = [(i // 2 if i < 20 else i, t) for i, t in enumerate(texts)] + [(3, texts[6])] * 30
+    check_near(spark, rows, spark.createDataFrame(rows, "doc_id long, text string"), near_dups.WORDS)
+    assert near_dups.WORDS == 5
+
+
+def test_long_lists_are_compared_whole(spark, monkeypatch):
+    """Texts that share most of a passage meet in long lists without being copies; the copies among them are found."""
+    monkeypatch.setattr(near_dups, "SMALL_LIST", 8)
+    monkeypatch.setattr(near_dups, "BLOCK", 32)
+    monkeypatch.setattr(near_dups, "TILE", 10)
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(120)]
+    texts = []
+    for i in range(60):
+        own = [f"w{rng.randint(0, 10**6)}" for _ in range(90)]
+        at = rng.randrange(90)
+        texts.append(" ".join(own[:at] + passage + own[at:]))
+        if i % 6 == 0:
+            texts.append(" ".join(own[:at] + passage + own[at:-4] + ["x", "y", "z", f"{i}"]))
+    rows = list(enumerate(texts))
+    check_near(spark, rows, spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+@pytest.mark.parametrize("size", [100, 400, 5000])
+def test_union_sketch_recall(size):
+    """Of pairs at the threshold, all pass the union sketch; of pairs at half of it, none but a few."""
+    rng = np.random.default_rng(size)
+    k, found = near_dups.RETAINED, {}
+    for percent in (80, 40):
+        both = size * 2 * percent // (100 + percent)
+        passed = 0
+        for _ in range(2000):
+            values = np.sort(rng.choice(1 << 62, 2 * size - both, replace=False))
+            owner = rng.permutation(len(values))
+            a, b = values[np.sort(np.flatnonzero(owner < size))], values[np.sort(np.flatnonzero(owner >= size - both))]
+            passed += near_dups.union_shares(a[None, :k], b[None, :k], k)[0] >= near_dups.least_shared(size)
+        found[percent] = passed / 2000
+    assert found[80] == 1.0 and found[40] < 0.1
+
+
 def test_near_duplicate_edges(spark, edge_rows):
     check_near(spark, [(r["doc_id"], r["text"]) for r in edge_rows.collect()], edge_rows)
+    check_near(spark, [(r["doc_id"], r["text"]) for r in edge_rows.collect()], edge_rows, 5)
     assert near_dups.near_duplicates(edge_rows.limit(0)).count() == 0
 
 
@@ -202,7 +249,7 @@ def test_pipeline(spark):
         assert now.columns == docs.columns and dict(now.dtypes) == dict(docs.dtypes)
         now = spark.createDataFrame(now.collect(), now.schema)
     kept = {r["doc_id"] for r in now.collect()}
-    links = brute_links([(r["doc_id"], r["text"]) for r in docs.collect()])
+    links = brute_links([(r["doc_id"], r["text"]) for r in docs.collect()], 5)
     groups = {links[i] for i in kept}
     assert len(groups) == len(kept) >= 0.95 * len(set(links.values()))
     packed = corpus_pipeline.run(spark, FOLDER)

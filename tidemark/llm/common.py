@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The repository's own folder, so that Python workers on a machine which has it find the package.
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -16,6 +18,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 #: Rows of a batch that a Python worker takes up, where the session has Spark's default of 10,000: texts can be long.
 BATCH_ROWS = 1000
+#: Rows up to which a table of a few numbers is sent to every task.
+HANDED_ROWS = 500_000
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -34,9 +38,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a temporary one is set only if it is unset."""
+    """The folder all executors share, from spark.checkpoint.dir; on one machine a temporary one is set if it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="tidemark-shared-")
         atexit.register(shutil.rmtree, own, True)
         folder = "file://" + own
@@ -53,20 +59,38 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Folders that settle() has written, and no others may be removed.
+_SETTLED: set[str] = set()
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: the lineage is cut and survives lost executors.
 
     The table is removed when the driver's process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
+    own = f"tidemark-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{own}"
     df.write.parquet(path)
+    _SETTLED.add(own)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Remove the table behind a settled frame that nothing reads any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/tidemark-" in path:
-            _remove(df.sparkSession, path)
+def discard(*frames: DataFrame) -> None:
+    """Remove the tables behind settled frames that nothing reads any more."""
+    for df in frames:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if path.rsplit("/", 1)[-1] in _SETTLED:
+                _remove(df.sparkSession, path)
+
+
+def freed(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that are done with, which else stay until the driver's heap is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def handed(rows: DataFrame) -> DataFrame:
+    """The same rows of a few numbers each, to be sent to every task if there are few; else joins shuffle."""
+    return F.broadcast(rows) if rows.count() <= HANDED_ROWS else rows
