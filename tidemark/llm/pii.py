@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,28 +74,32 @@ class Aligned:
     """A text with the source span of each of its characters."""
 
     text: str
-    starts: list[int]
-    ends: list[int]
+    starts: np.ndarray
+    ends: np.ndarray
 
     @classmethod
     def of(cls, text: str) -> Aligned:
-        return cls(text, list(range(len(text))), list(range(1, len(text) + 1)))
+        places = np.arange(len(text) + 1)
+        return cls(text, places[:-1], places[1:])
 
     def rewrite(self, pattern: re.Pattern, output) -> Aligned:
         """One transducer: what the pattern matches becomes ``output(match)``; its characters share the match's span."""
+        return self.replace([(m.start(), m.end(), output(m)) for m in pattern.finditer(self.text)])
+
+    def replace(self, spans: list[tuple[int, int, str]]) -> Aligned:
+        """The text with new words for some of its spans, which are in order and don't overlap."""
         parts, starts, ends, last = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            a, b, new = m.start(), m.end(), output(m)
+        for a, b, new in spans:
             parts += [self.text[last:a], new]
-            starts += self.starts[last:a] + [self.starts[a]] * len(new)
-            ends += self.ends[last:a] + [self.ends[b - 1]] * len(new)
+            starts += [self.starts[last:a], np.full(len(new), self.starts[a])]
+            ends += [self.ends[last:a], np.full(len(new), self.ends[b - 1])]
             last = b
-        if not last:
+        if not spans:
             return self
-        return Aligned("".join(parts) + self.text[last:], starts + self.starts[last:], ends + self.ends[last:])
+        return Aligned("".join(parts) + self.text[last:], np.concatenate([*starts, self.starts[last:]]), np.concatenate([*ends, self.ends[last:]]))
 
     def source(self, start: int, end: int) -> tuple[int, int]:
-        return self.starts[start], self.ends[end - 1]
+        return int(self.starts[start]), int(self.ends[end - 1])
 
 
 # Letters of other scripts that look like a Latin one, and the Latin ones in the same order.
@@ -121,7 +126,8 @@ FAR = re.compile("[\u00ad\u0370-\U0010ffff]")
 ENTITY = re.compile(r"&#0*(64|46|43|45|95|4[89]|5[0-7]);|&#x0*(40|2e|2b|2d|5f|3[0-9]);|&(commat|period|plus|lowbar|hyphen);|%40", re.I)
 _NAMED = {"commat": "@", "period": ".", "plus": "+", "lowbar": "_", "hyphen": "-"}
 # A word in brackets stands for its sign wherever it is; a bare one only between parts of an address.
-BRACKETED = re.compile(r"\s*(?:\[|\(|\{|<)\s*(at|@|dot|point|\.|dash|hyphen|minus|underscore|plus)\s*(?:\]|\)|\}|>)\s*", re.I)
+# Blanks before a bracket belong to the match from their first on, so a run of them is gone through once.
+BRACKETED = re.compile(r"(?:(?<!\s)\s++)?[\[({<]\s*+(at|@|dot|point|\.|dash|hyphen|minus|underscore|plus)\s*+[\])}>]\s*+", re.I)
 WORD_AT = re.compile(r"(?<=[A-Za-z0-9])(?:\s+at\s+|\s+@\s*|@\s+)(?!(?:the|an?|this|that|my|your|our|its?)\b)(?=[A-Za-z0-9-]+(?:(?:\s+(?:dot|point)\s+|\.)[A-Za-z0-9-]+)+)|(?<=[A-Za-z0-9])_at_(?=[A-Za-z0-9-]+(?:_dot_|\.))", re.I)
 OPEN_SIGN = re.compile(r"[\[({<]\s*(?:at|@|dot|point|\.|dash|hyphen|minus|underscore|plus)\s*[\])}>]", re.I)
 LOOSE_AT = re.compile(r"\s@|@\s")
@@ -131,12 +137,14 @@ _LOOK_SIGN = {"at": re.compile(r"at(?<=\sat)\s+[a-z0-9-]+(?:\.[a-z0-9-]|\s+(?:do
 _LOOK_DOT = {"dot": re.compile(r"dot(?:(?<=\sdot)\s|(?<=_dot)_)"), "point": re.compile(r"point(?<=\spoint)\s")}
 #: Capitals and small letters that patterns without case take for Latin ones, though lower() doesn't.
 _FOLDED = {"\u0130": "i", "\u0131": "i", "\u017f": "s", "\u212a": "k"}
+_SMALL = str.maketrans(_FOLDED)
 WORD_DOT = re.compile(r"(?<=[A-Za-z0-9])(?:\s+(?:dot|point)\s+|_dot_)(?=[A-Za-z0-9])", re.I)
 _SIGN_WORDS = {"at": "@", "@": "@", "dot": ".", "point": ".", ".": ".", "dash": "-", "hyphen": "-", "minus": "-", "underscore": "_", "plus": "+"}
 _DIGIT_WORDS = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0", "null": "0"}
 _NUMBER = "|".join(_DIGIT_WORDS)
-SPELLED = re.compile(rf"\b(?:{_NUMBER}|[0-9])(?:(?:[\s,]{{1,3}}|-)(?:{_NUMBER}|[0-9]+))*(?:(?:[\s,]{{1,3}}|-)(?:{_NUMBER}))\b|\b(?:{_NUMBER})(?:(?:[\s,]{{1,3}}|-)(?:{_NUMBER}|[0-9]+))+\b", re.I)
-SPELLED_PART = re.compile(rf"({_NUMBER}|[0-9]+)|[\s,-]+", re.I)
+#: Spelled numbers and digits one after the other, each run gone through once; and one of its members.
+NUMBERS = re.compile(rf"\b(?:{_NUMBER}|[0-9]++)\b(?:(?:[\s,]{{1,3}}|-)(?:{_NUMBER}|[0-9]++)\b)*+", re.I)
+MEMBER = re.compile(rf"({_NUMBER})|[0-9]+", re.I)
 PLUS_WORD = re.compile(r"\bplus\s+(?=[0-9])", re.I)
 _LOOK_NUMBER = {w: re.compile(rf"{w}\b(?<=\b{w})") for w in _DIGIT_WORDS}
 
@@ -149,14 +157,30 @@ def _entity(m: re.Match) -> str:
     return _NAMED[m[3].lower()] if m[3] else "@"
 
 
-def _digits(m: re.Match) -> str:
-    return "".join(_DIGIT_WORDS.get(p[1].lower(), p[1]) if p[1] else "" for p in SPELLED_PART.finditer(m[0]))
+def spelled(text: str) -> Iterator[tuple[int, int, str]]:
+    """Spans that a spelled number and its neighbours make, and their digits.
+
+    In a run of members a span goes from the first that is spelled or a single digit to the last that is spelled; if
+    that is the same one, the digits after it follow.
+    """
+    for run in NUMBERS.finditer(text):
+        members = [(m.start(), m.end(), m[1]) for m in MEMBER.finditer(text, run.start(), run.end())]
+        words = [i for i, (_, _, word) in enumerate(members) if word]
+        if not words:
+            continue
+        last = words[-1]
+        first = next(i for i, (a, b, word) in enumerate(members) if word or b - a == 1 and i < last)
+        if first == last:
+            last = len(members) - 1
+        if first < last:
+            own = members[first : last + 1]
+            yield own[0][0], own[-1][1], "".join(_DIGIT_WORDS[word.lower().translate(_SMALL)] if word else text[a:b] for a, b, word in own)
 
 
 def disguised(text: str) -> bool:
     """A quick look: False only if no transducer would change the text."""
     plain = text.isascii() or not any(c in text for c in _FOLDED)
-    small = (text if plain else text.translate(str.maketrans(_FOLDED))).lower()
+    small = (text if plain else text.translate(_SMALL)).lower()
     if not text.isascii() and FAR.search(text) and STRANGE.search(text) or ("&" in text or "%40" in text) and ENTITY.search(text):
         return True
     if any(w in small and look.search(small) for w, look in _LOOK_NUMBER.items()):
@@ -175,7 +199,7 @@ def undisguised(text: str) -> Aligned:
     out = out.rewrite(STRANGE, lambda m: GLYPHS.get(ord(m[0]), ""))
     out = out.rewrite(ENTITY, _entity)
     out = out.rewrite(BRACKETED, lambda m: _SIGN_WORDS[m[1].lower()])
-    out = out.rewrite(SPELLED, _digits)
+    out = out.replace(list(spelled(out.text)))
     out = out.rewrite(PLUS_WORD, lambda m: "+")
     out = out.rewrite(WORD_AT, lambda m: "@")
     if "@" in out.text or SOME_DIGIT_DOT.search(out.text):
