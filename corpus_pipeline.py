@@ -26,15 +26,20 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates keep the document with the smallest id, and of rows that repeat it one."""
+    """Of each group of near duplicates, by shingles of five words, keep the document with the smallest id.
+
+    Of rows that repeat an id, the first by text, language and source stays; rows without an id, or with a text that has
+    no word, have no duplicates and stay. What stays is decided on ids alone, and a text moves at most once.
+    """
     common.ready(spark)
-    kept = near_dups.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    first = docs.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source")).alias("x")).select("doc_id", "x.*")
-    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    once = docs.join(kept, "doc_id", "left_semi").join(repeated, "doc_id", "left_anti").select("doc_id", "text", "lang", "source")
-    again = docs.where("doc_id IS NULL").select("doc_id", "text", "lang", "source")
-    more = first.join(repeated, "doc_id", "left_semi").join(kept, "doc_id", "left_semi")
-    return _like(once.unionByName(more).unionByName(again), docs)
+    found = near_dups.near_duplicates(docs, words=5)
+    ids = common.settle(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("kept"), "kept")
+    common.discard(found)
+    once = docs.join(common.handed(ids.where("n = 1").select("doc_id")), "doc_id", "left_semi")
+    again = docs.join(common.handed(ids.where("n > 1").select("doc_id")), "doc_id", "left_semi")
+    first = again.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source")).alias("x")).select("doc_id", "x.*")
+    columns = ["doc_id", "text", "lang", "source"]
+    return _like(once.select(columns).unionByName(first).unionByName(docs.where("doc_id IS NULL").select(columns)), docs)
 
 
 def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,8 +75,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
+    """All stages over documents, each written and read again; what a stage has read is then given back."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.settle(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        before, docs = docs, common.settle(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        common.discard(before)
+        common.freed(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
