@@ -1,37 +1,68 @@
+import random
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluate, graph, navigate, usage
 
 
-def test_pagerank_stays_near_its_seeds(spark):
-    ring = lambda a: [(a, a + 1, 1.0), (a + 1, a + 2, 1.0), (a + 2, a, 1.0)]
-    edges = spark.createDataFrame(ring(1) + ring(11) + [(1, 30, 0.5)], "src long, dst long, weight double")
-    seeds = spark.createDataFrame([(0, 1, 1.0), (1, 11, 2.0), (1, 40, 1.0)], "query_id long, node long, weight double")
-    held = {(r["query_id"], r["node"]): r["mass"] for r in graph.personalized_pagerank(edges, seeds).collect()}
-    joined = {(r["query_id"], r["node"]): r["mass"] for r in graph.personalized_pagerank(edges, seeds, held=0).collect()}
-    assert held.keys() == joined.keys() and all(abs(held[k] - joined[k]) < 1e-9 for k in held)
-    assert abs(sum(v for (q, _), v in held.items() if q == 0) - 1) < 1e-9
-    apart = {r["node"]: r["mass"] for r in graph.personalized_pagerank(edges.where("dst <> 30"), seeds.where("query_id = 0")).collect()}
-    assert sum(apart[n] for n in (1, 2, 3)) > 3 * sum(apart[n] for n in (11, 12, 13))
+def dense_pagerank(edges, seeds, rounds=30, damping=0.85):
+    """Power iteration with a full matrix."""
+    nodes = sorted({x for a, b, _ in edges for x in (a, b)} | {n for n, _ in seeds})
+    at, n = {x: i for i, x in enumerate(nodes)}, len(nodes)
+    step = np.zeros((n, n))
+    for a, b, w in edges:
+        step[at[b], at[a]] += w
+    out = step.sum(axis=0)
+    step = np.where(out > 0, step / np.where(out > 0, out, 1), 1 / n)
+    seed = np.zeros(n)
+    for x, w in seeds:
+        seed[at[x]] += w
+    seed = seed / seed.sum() if seed.sum() else np.full(n, 1 / n)
+    rank = np.full(n, 1 / n)
+    for _ in range(rounds):
+        rank = (1 - damping) * seed + damping * step @ rank
+    return dict(zip(nodes, rank.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("held", [graph.HELD_EDGES, 0])
+def test_pagerank_by_power_iteration(spark, held):
+    rng = random.Random(held)
+    edges = [(rng.randint(0, 25), rng.randint(0, 30), rng.choice([0.3, 0.5, 1.0])) for _ in range(60)]
+    seeds = {0: [(3, 1.0)], 1: [(4, 2.0), (99, 1.0)], 2: [(5, 0.0), (6, 0.0)]}
+    rows = [(q, n, w) for q, own in seeds.items() for n, w in own]
+    found = graph.personalized_pagerank(spark.createDataFrame(edges, "src long, dst long, weight double"), spark.createDataFrame(rows, "query_id long, node long, weight double"), held=held).collect()
+    for q, own in seeds.items():
+        want = dense_pagerank(edges, own)
+        got = {r["node"]: r["mass"] for r in found if r["query_id"] == q}
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
 
 
 def test_keyphrase_edges(spark):
-    chunks = spark.createDataFrame([(1, "investor round closes after the investor meeting"), (2, "the investor round is open and investor news"), (3, "gardening tips for tomato plants")], "chunk_id long, content string")
-    edges = [(r["src"], r["dst"]) for r in graph.keyphrase_edges(graph.keyphrases(chunks)).collect()]
-    assert edges == [(1, 2)]
+    texts = ["Copper pipe fittings, and copper pipe sealant", "copper pipe sealant for the roof", "a roof of slate", "pipe"]
+    phrases = graph.keyphrases(spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string"))
+    first = {r["phrase"]: round(r["score"], 6) for r in phrases.where("chunk_id = 0").collect()}
+    assert first == {"copper pipe fittings": 9.0, "copper pipe sealant": 9.0}  # each of the words is in runs of three alone
+    assert [(r["src"], r["dst"], r["weight"]) for r in graph.keyphrase_edges(phrases).collect()] == [(0, 1, 3.0)]
+    assert graph.keyphrase_edges(phrases, most_chunks=1).count() == 0 and graph.keyphrases(spark.createDataFrame([(1, "the of"), (2, ""), (3, None)], "chunk_id long, content string")).count() == 0
 
 
 def test_note_links(spark):
-    files = spark.createDataFrame([("index.md",), ("Target.md",), ("sub/Deep.md",), ("x/Twice.md",), ("y/Twice.md",)], "path string")
-    links = spark.createDataFrame([(1, "target", None), (2, "Deep", "sub/Deep"), (3, "Ghost", None), (4, "Twice", None), (5, "Twice", "y/Twice")], "link_id long, title string, want string")
+    files = spark.createDataFrame([("a/Plan.md",), ("b/Plan.md",), ("a/b/Costs 2024.md",), ("Harbour.md",)], "path string")
+    asked = {10: ("harbour", None), 11: ("Costs 2024", "b/costs 2024"), 12: ("plan", None), 13: ("plan", "b/plan.md"), 14: ("x", "a/none"), 15: ("Harbour", "zzz"), 16: ("nothing", None)}
+    links = spark.createDataFrame([(k, t, w) for k, (t, w) in asked.items()], "link_id long, title string, want string")
     got = {r["link_id"]: (r["target_path"], r["confidence"]) for r in navigate.resolve_note_links(links, files).collect()}
-    assert got == {1: ("Target.md", "exact"), 2: ("sub/Deep.md", "exact"), 3: (None, None), 4: ("x/Twice.md", "name_match"), 5: ("y/Twice.md", "exact")}
+    assert got == {10: ("Harbour.md", "exact"), 11: ("a/b/Costs 2024.md", "exact"), 12: ("a/Plan.md", "name_match"), 13: ("b/Plan.md", "exact"), 14: (None, None), 15: ("Harbour.md", "exact"), 16: (None, None)}
 
 
 def test_contexts(spark):
-    contexts = spark.createDataFrame([("/", "all"), ("/technology", "tech"), ("/technology/rrf", "fusion")], "path_prefix string, description string")
-    paths = spark.createDataFrame([("/technology/rrf/a",), ("/technology2/a",), ("/technology",), ("/x",)], "path string")
-    assert {r["path"]: r["description"] for r in navigate.longest_prefix(paths, contexts).collect()} == {"/technology/rrf/a": "fusion", "/technology2/a": "all", "/technology": "tech", "/x": "all"}
+    given = {"/": "everything", "/sea": "water", "/sea/north": "cold water", "/land/hills": "high"}
+    contexts = spark.createDataFrame(list(given.items()), "path_prefix string, description string")
+    paths = ["/sea", "/sea/north", "/sea/north/ice.md", "/sea/northern.md", "/seaside.md", "/land", "/land/hills/a/b", "/land/hillside"]
+    found = {r["path"]: r["path_prefix"] for r in navigate.longest_prefix(spark.createDataFrame([(p,) for p in paths], "path string"), contexts).collect()}
+    assert found == {p: max((c for c in given if c == "/" or p == c or p.startswith(c + "/")), key=len) for p in paths}
+    assert navigate.longest_prefix(spark.createDataFrame([("/x",)], "path string"), contexts.where("path_prefix <> '/'")).first()["description"] is None
 
 
 def test_callers_of_a_cycle(spark):
@@ -41,9 +72,12 @@ def test_callers_of_a_cycle(spark):
 
 
 def test_definitions_by_alias(spark):
-    chunks = spark.createDataFrame([(1, "a.py", "function", "processRequest"), (2, "b.py", "function", "other")], "chunk_id long, path string, kind string, symbol string")
-    found = navigate.find_definitions(chunks, spark.createDataFrame([("process request",)], "symbol string")).collect()
-    assert [(r["symbol"], r["priority"]) for r in found] == [("processRequest", 1)]
+    rows = [(1, "b.py", "function", "drainTank"), (2, "a.py", "method", "drain_tank"), (3, "c.py", "prose", "drainTank"), (4, "a.py", "class", "Tank")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, path string, kind string, symbol string")
+    asked = spark.createDataFrame([("drain_tank",), ("Drain Tank",), ("gauge",)], "symbol string")
+    found = [(r["symbol_asked"], r["chunk_id"], r["priority"]) for r in navigate.find_definitions(chunks, asked).orderBy("symbol_asked", "place").collect()]
+    assert found == [("Drain Tank", 2, 1), ("Drain Tank", 1, 1), ("drain_tank", 2, 0), ("drain_tank", 1, 1)]
+    assert [r["chunk_id"] for r in navigate.find_definitions(chunks, asked.where("symbol = 'drain_tank'"), limit=1).collect()] == [2]
 
 
 def test_usage_counts_a_search_once(spark):

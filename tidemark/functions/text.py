@@ -70,11 +70,11 @@ def identifier_words(name: Column) -> Column:
 
 def aliases(symbol: Column, heading: Column) -> Column:
     """The names under which a symbol can be found, without repeats, in order."""
-    words = identifier_words(symbol)
-    several = F.size(words) > 1
-    spelled = F.when(several, F.array(F.array_join(words, " "), F.array_join(words, "_"), F.array_join(words, "-"))).otherwise(F.array().cast("array<string>"))
-    under = F.when(F.coalesce(heading, F.lit("")) != "", F.array(F.concat(heading, F.lit("::"), symbol), F.concat(heading, F.lit("."), symbol), F.array_join(identifier_words(heading), " "))).otherwise(F.array().cast("array<string>"))
-    return F.when(F.coalesce(symbol, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(F.array(symbol), spelled, under)))
+    words, nothing = identifier_words(symbol), F.array().cast("array<string>")
+    spelled = F.when(F.size(words) > 1, F.array(F.array_join(words, " "), F.array_join(words, "_"), F.array_join(words, "-"))).otherwise(nothing)
+    dotted = F.regexp_replace(heading, "::|/", ".")
+    under = F.when(F.coalesce(heading, F.lit("")) != "", F.array(F.concat(heading, F.lit("::"), symbol), F.concat(heading, F.lit("."), symbol), F.concat(dotted, F.lit("."), symbol))).otherwise(nothing)
+    return F.when(F.coalesce(symbol, F.lit("")) == "", nothing).otherwise(F.array_distinct(F.concat(F.array(symbol), spelled, under)))
 
 
 def is_real_identifier(name: Column) -> Column:

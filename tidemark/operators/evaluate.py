@@ -9,8 +9,11 @@ LOWEST_FLOOR, HIGHEST_FLOOR, DEFAULT_FLOOR, MARGIN = 0.20, 0.70, 0.45, 0.02
 
 
 def first_relevant(hits: DataFrame, relevant: DataFrame, queries: DataFrame) -> DataFrame:
-    """Rows (query_id, rank): the rank of each query's first relevant hit, null if there is none."""
-    found = hits.join(relevant, ["query_id", "path"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("rank"))
+    """Rows (query_id, rank): the rank of each query's first relevant hit, null if there is none.
+
+    ``relevant`` has (query_id, path), or path alone where the same ones are relevant to all queries.
+    """
+    found = hits.join(relevant, [c for c in ("query_id", "path") if c in relevant.columns], "left_semi").groupBy("query_id").agg(F.min("rank").alias("rank"))
     return queries.select("query_id").join(found, "query_id", "left")
 
 

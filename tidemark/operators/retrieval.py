@@ -7,14 +7,16 @@ is rows (query_id, chunk_id, score, rank), ranked from 1; equal scores are order
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions import vector as vx
-from ..plans.shared import ready
+from ..plans.shared import ready, settle
 
 ARM_LIMIT = 50
 #: Reciprocal rank fusion: the constant, and what the first and the next two ranks get besides.
@@ -39,53 +41,156 @@ def phrase_table(queries: DataFrame) -> DataFrame:
     return phrases.select("query_id", F.array_join("tokens", " ").alias("phrase")).groupBy("query_id", "phrase").agg(F.count("*").alias("times"))
 
 
-def occurrences(phrases: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows (phrase, chunk_id, dl, f): how often each phrase stands in each chunk, and the chunk's tokens.
+@dataclass
+class Postings:
+    """An inverted index: rows (term, chunk_id, dl, f, places) in the order of their terms, (term, n_p), chunks and mean size."""
 
-    Single tokens are counted straight from the postings of the tokens asked for, which carry their chunk's size; longer
-    phrases by the starts that all of their tokens agree on.
+    rows: DataFrame
+    frequency: DataFrame
+    n: int
+    mean: float
+
+
+def postings_of(chunks: DataFrame, text: Column | None = None) -> DataFrame:
+    """Rows (term, chunk_id, dl, f, places): where each term stands in each chunk; made where the chunk lies.
+
+    Chunks with a path keep it, so that an index can be narrowed and carried over.
+    """
+    import pyarrow as pa
+
+    keep = [c for c in ("path",) if c in chunks.columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, terms, sizes, places = [], [], [], []
+            for row, tokens in enumerate(batch.column(1).to_pylist()):
+                found: dict[str, list[int]] = {}
+                for i, term in enumerate(tokens or ()):
+                    found.setdefault(term, []).append(i)
+                rows += [row] * len(found)
+                terms += found.keys()
+                sizes += [len(tokens or ())] * len(found)
+                places += found.values()
+            at = pa.array(rows, pa.int64())
+            columns = [pa.array(terms, pa.string()), batch.column(0).take(at), pa.array(sizes, pa.int32()), pa.array([len(x) for x in places], pa.int32()), pa.array(places, pa.list_(pa.int32())), *(x.take(at) for x in batch.columns[2:])]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "chunk_id", "dl", "f", "places", *keep])
+
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    texts = chunks.select("chunk_id", tx.tokens(F.coalesce(F.col("content") if text is None else text, F.lit(""))).alias("tokens"), *keep)
+    return texts.mapInArrow(run, f"term string, chunk_id {kind}, dl int, f int, places array<int>" + "".join(f", {c} string" for c in keep))
+
+
+def stored_postings(chunks: DataFrame, text: Column | None = None) -> Postings:
+    """The index of the chunks, written to the shared folder: sorted by term, so a search reads only what it asks for."""
+    ready(chunks.sparkSession)
+    rows = settle(postings_of(chunks, text).repartition("term").sortWithinPartitions("term"), "postings")
+    frequency = settle(rows.groupBy("term").agg(F.count("*").alias("n_p")), "frequency")
+    return Postings(rows, frequency, *chunk_sizes(chunks, rows))
+
+
+def narrowed(index: Postings, condition: Column, chunks: DataFrame) -> Postings:
+    """The index of the chunks for which a condition on their ids or paths holds."""
+    rows = index.rows.where(condition)
+    return Postings(rows, rows.groupBy("term").agg(F.count("*").alias("n_p")), *chunk_sizes(chunks.where(condition), rows))
+
+
+def chunk_sizes(chunks: DataFrame, rows: DataFrame) -> tuple[int, float]:
+    """The number of chunks and their mean number of tokens; chunks without a token count too."""
+    n = chunks.count()
+    return n, float(rows.agg(F.sum("f")).first()[0] or 0) / max(1, n)
+
+
+def weighed_phrases(queries: DataFrame, index: Postings) -> tuple[DataFrame, DataFrame]:
+    """(query_id, phrase, weight, common) and (phrase, chunk_id, dl, f): what is asked for, and where it stands.
+
+    The postings of the terms asked for are read; only for phrases of several terms are their places compared. A phrase
+    that half of the chunks or more hold is common: its weight is next to nothing.
     """
+    phrases = settle(phrase_table(queries), "phrases")
     wanted = phrases.select("phrase").distinct()
     parts = F.split("phrase", " ")
-    single = wanted.where(F.size(parts) == 1).select(F.col("phrase").alias("term"))
+    single = wanted.where(F.size(parts) == 1)
     longer = wanted.where(F.size(parts) > 1)
-    terms = wanted.select(F.explode(parts).alias("term")).distinct()
-    postings = texts.select("chunk_id", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term")).join(terms, "term", "left_semi")
-    ones = postings.groupBy("term", "chunk_id", "dl").agg(F.count("*").alias("f")).join(single, "term", "left_semi").select(F.col("term").alias("phrase"), "chunk_id", "dl", "f")
-    placed = longer.select("phrase", F.posexplode(parts).alias("off", "term"))
-    starts = placed.join(postings, "term").groupBy("phrase", "chunk_id", "dl", (F.col("pos") - F.col("off")).alias("start")).agg(F.count("*").alias("n"))
-    many = starts.where(F.col("n") == F.size(parts)).groupBy("phrase", "chunk_id", "dl").agg(F.count("*").alias("f"))
-    return ones.unionByName(many)
+    ones = index.rows.join(single.withColumnRenamed("phrase", "term"), "term", "left_semi").select(F.col("term").alias("phrase"), "chunk_id", "dl", "f")
+    frequency = index.frequency.join(single.withColumnRenamed("phrase", "term"), "term", "left_semi").withColumnRenamed("term", "phrase")
+    found = ones
+    if not longer.isEmpty():
+        placed = longer.select("phrase", F.posexplode(parts).alias("off", "term"))
+        starts = placed.join(index.rows, "term").select("phrase", "chunk_id", "dl", F.explode(F.transform("places", lambda p: p - F.col("off"))).alias("start"))
+        agreed = starts.groupBy("phrase", "chunk_id", "dl", "start").agg(F.count("*").alias("n")).where(F.col("n") == F.size(parts))
+        many = settle(agreed.groupBy("phrase", "chunk_id", "dl").agg(F.count("*").cast("int").alias("f")), "long-phrases")
+        found, frequency = ones.unionByName(many), frequency.unionByName(many.groupBy("phrase").agg(F.count("*").alias("n_p")))
+    idf = F.log((F.lit(index.n) - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5))
+    weighed = phrases.join(frequency, "phrase").select("query_id", "phrase", (F.col("times") * F.when(idf > 0, idf).otherwise(LEAST_IDF)).alias("weight"), (idf <= 0).alias("common"))
+    return settle(weighed, "weighed"), found
 
 
-def bm25_scores(queries: DataFrame, chunks: DataFrame, text: Column | None = None) -> DataFrame:
-    """Every chunk that holds a phrase of the query, with its BM25 score."""
-    texts = chunks.select("chunk_id", tx.tokens(F.col("content") if text is None else text).alias("tokens"))
-    sizes = texts.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))  # one row
-    phrases = phrase_table(queries)
-    found = occurrences(phrases, texts)
-    frequency = found.groupBy("phrase").agg(F.count("*").alias("n_p"))
-    idf = F.log((F.col("n") - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5))
-    weighed = phrases.join(frequency, "phrase").crossJoin(F.broadcast(sizes)).select("query_id", "phrase", "times", "mean", F.when(idf > 0, idf).otherwise(LEAST_IDF).alias("idf"))
-    joined = weighed.join(found, "phrase")
-    part = F.col("times") * F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
-    return joined.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
+def _part(index: Postings) -> Column:
+    return F.col("weight") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.lit(index.mean)))
 
 
-def bm25_arm(queries: DataFrame, chunks: DataFrame, limit: int = ARM_LIMIT, text: Column | None = None) -> DataFrame:
-    return best(bm25_scores(queries, chunks, text), limit)
+def bm25_scores(queries: DataFrame, chunks: DataFrame | Postings, text: Column | None = None) -> DataFrame:
+    """Every chunk that holds a phrase of the query, with its BM25 score."""
+    index = chunks if isinstance(chunks, Postings) else stored_postings(chunks, text)
+    weighed, found = weighed_phrases(queries, index)
+    return weighed.join(found, "phrase").groupBy("query_id", "chunk_id").agg(F.sum(_part(index)).alias("score"))
+
 
+def bm25_arm(queries: DataFrame, chunks: DataFrame | Postings, limit: int = ARM_LIMIT, text: Column | None = None) -> DataFrame:
+    """The best chunks of each query by BM25, from the index (or from chunks, which are indexed first).
 
-def literal_arm(queries: DataFrame, chunks: DataFrame, limit: int = ARM_LIMIT, block: int = 2000) -> DataFrame:
+    Chunks are scored by the phrases that tell them apart; what common phrases add has a bound for each query, so they
+    are scored only for chunks that could still be among the best. A query for which too few chunks hold another phrase
+    is scored by all of its phrases.
+    """
+    index = chunks if isinstance(chunks, Postings) else stored_postings(chunks, text)
+    weighed, found = weighed_phrases(queries, index)
+    told = weighed.where("NOT common").join(found, "phrase").groupBy("query_id", "chunk_id").agg(F.sum(_part(index)).alias("score"))
+    bound = weighed.where("common").groupBy("query_id").agg(F.sum(F.col("weight") * (K1 + 1)).alias("bound"))
+    first = settle(told.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).join(bound, "query_id", "left"), "told")
+    last = first.where(F.col("place") == limit).select("query_id", (F.col("score") - F.coalesce("bound", F.lit(0.0)) - 10.0**-DIGITS).alias("least"))
+    near = first.join(F.broadcast(last), "query_id").where(F.col("score") >= F.col("least")).select("query_id", "chunk_id", "score")
+    near = settle(near, "near")
+    more = near.select("query_id", "chunk_id").join(weighed.where("common"), "query_id").join(found, ["phrase", "chunk_id"]).select("query_id", "chunk_id", _part(index).alias("score"))
+    thin = weighed.join(last, "query_id", "left_anti").join(found, "phrase").select("query_id", "chunk_id", _part(index).alias("score"))
+    return best(near.unionByName(more).unionByName(thin).groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score")), limit)
+
+
+def literal_arm(queries: DataFrame, chunks: DataFrame, limit: int = ARM_LIMIT, index: Postings | None = None, block: int = 2000) -> DataFrame:
     """Chunks whose content holds the whole trimmed query, in the order of their ids; A-Z and a-z are alike.
 
-    Queries go to the tasks in blocks of bounded size, and a chunk's content is lowered once and looked through for all
-    of a block's: no pair makes a row but those that are found.
+    A literal of three tokens or more can only stand where its inner tokens do: the postings of the rarest one name the
+    chunks to look at. Shorter ones, and all without an index, go to the tasks in blocks of bounded size; a chunk's
+    content is lowered once and looked through for all of a block's. No pair makes a row but those that are found.
     """
+    ready(chunks.sparkSession)
+    wanted = queries.where(F.trim("text") != "").select("query_id", tx.ascii_lower(F.trim("text")).alias("literal"))
+    found = None
+    if index is not None:
+        inner = F.expr("slice(tokens, 2, size(tokens) - 2)")
+        asked = settle(wanted.withColumn("tokens", tx.tokens(F.col("literal"))).withColumn("inner", F.when(F.size("tokens") > 2, inner)), "literals")
+        terms = asked.where("inner IS NOT NULL").select("query_id", "literal", F.explode("inner").alias("term"))
+        rare = terms.join(index.frequency, "term", "left").groupBy("query_id", "literal").agg(F.min(F.struct(F.coalesce("n_p", F.lit(0)).alias("n_p"), "term")).alias("rare"))
+        at = rare.select("query_id", "literal", F.col("rare.term").alias("term")).join(index.rows.select("term", "chunk_id"), "term").drop("term")
+        at = settle(at, "literal-places")
+        texts = chunks.select("chunk_id", "content").join(F.broadcast(at) if at.count() <= 200_000 else at, "chunk_id")
+        found = texts.where(F.contains(tx.ascii_lower(F.col("content")), F.col("literal"))).select("query_id", "chunk_id")
+        wanted = asked.where("inner IS NULL").select("query_id", "literal")
+    scanned = _scan_literals(wanted, chunks, block)
+    if scanned is not None:
+        found = scanned if found is None else found.unionByName(scanned)
+    if found is None:
+        found = chunks.sparkSession.createDataFrame([], T.StructType([queries.schema["query_id"], chunks.schema["chunk_id"]]))
+    return best(found.withColumn("score", F.lit(1.0)), limit, by=F.col("chunk_id"))
+
+
+def _scan_literals(wanted: DataFrame, chunks: DataFrame, block: int) -> DataFrame | None:
+    """Rows (query_id, chunk_id) by looking through all contents; None if no literal is wanted."""
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    spark, parts = ready(chunks.sparkSession), []
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}"
+    kinds = [wanted.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType]
+    schema, id_type = f"query_id {kinds[0].simpleString()}, chunk_id {kinds[1].simpleString()}", to_arrow_type(kinds[0])
 
     def look(known):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,23 +204,24 @@ def literal_arm(queries: DataFrame, chunks: DataFrame, limit: int = ARM_LIMIT, b
                         found += hits
                         rows += [i] * len(hits)
                 ids = batch.column(0).take(pa.array(rows, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), ids], ["query_id", "chunk_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(found, id_type), ids], ["query_id", "chunk_id"])
 
         return run
 
-    wanted = queries.where(F.trim("text") != "").select("query_id", tx.ascii_lower(F.trim("text")).alias("literal"))
-    held: list = []
+    found, held = None, []
+
+    def close():
+        nonlocal found, held
+        part = chunks.select("chunk_id", "content").mapInArrow(look(chunks.sparkSession.sparkContext.broadcast(held)), schema)
+        found, held = part if found is None else found.unionByName(part), []
+
     for row in wanted.toLocalIterator():
         held.append(tuple(row))
         if len(held) == block:
-            parts.append(chunks.select("chunk_id", "content").mapInArrow(look(spark.sparkContext.broadcast(held)), schema))
-            held = []
-    if held or not parts:
-        parts.append(chunks.select("chunk_id", "content").mapInArrow(look(spark.sparkContext.broadcast(held)), schema))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return best(found.withColumn("score", F.lit(1.0)), limit, by=F.col("chunk_id"))
+            close()
+    if held:
+        close()
+    return found
 
 
 def vector_arm(queries: DataFrame, vectors: DataFrame, limit: int = ARM_LIMIT, block: int = 2000) -> DataFrame:
@@ -190,7 +296,7 @@ def _edges_trimmed(word: Column) -> Column:
     return F.regexp_replace(word, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
 
 
-def feedback_arm(terms: DataFrame, chunks: DataFrame, limit: int = ARM_LIMIT) -> DataFrame:
+def feedback_arm(terms: DataFrame, chunks: DataFrame | Postings, limit: int = ARM_LIMIT) -> DataFrame:
     """Full-text search for the feedback terms."""
     texts = terms.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("term_rank", "term"))), lambda x: x["term"]), " ").alias("text"))
     return bm25_arm(texts, chunks, limit)

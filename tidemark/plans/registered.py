@@ -54,6 +54,20 @@ def vector_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding", "label")
 
 
+_INDEXES: dict[tuple, retrieval.Postings] = {}
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> retrieval.Postings:
+    """The stored postings of the documents, made once for a session and anew when the table's files change."""
+    docs = table(spark, sf_dir, "documents")
+    status = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    held = status.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(status)
+    key = (spark.sparkContext.applicationId, sf_dir, held.getModificationTime(), tuple(sorted(docs.inputFiles())))
+    if key not in _INDEXES:
+        _INDEXES[key] = retrieval.stored_postings(document_chunks(spark, sf_dir))
+    return _INDEXES[key]
+
+
 STOP_SQL = ", ".join(f"('{w}')" for w in tx.STOPWORDS)
 
 #: Full-text search in SQL: query phrases are single tokens in these tables.
@@ -74,7 +88,7 @@ fts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 @query(f"WITH {FTS_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM fts")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best documents of every benchmark text by BM25."""
-    return rounded(retrieval.bm25_arm(benchmark_queries(spark, sf_dir), document_chunks(spark, sf_dir)), "score")
+    return rounded(retrieval.bm25_arm(benchmark_queries(spark, sf_dir), document_index(spark, sf_dir)), "score")
 
 
 LITERAL_SQL = """
@@ -86,7 +100,7 @@ li AS (SELECT * FROM (SELECT item_id AS query_id, doc_id AS chunk_id, row_number
 @query(f"WITH {LITERAL_SQL} SELECT query_id, chunk_id, rank FROM li")
 def literal_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 50 documents that hold a whole benchmark text."""
-    return retrieval.literal_arm(benchmark_queries(spark, sf_dir), document_chunks(spark, sf_dir)).select("query_id", "chunk_id", "rank")
+    return retrieval.literal_arm(benchmark_queries(spark, sf_dir), document_chunks(spark, sf_dir), index=document_index(spark, sf_dir)).select("query_id", "chunk_id", "rank")
 
 
 @query("""
@@ -113,7 +127,7 @@ pt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 def prf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five words that each benchmark text's first ten documents say most often."""
     queries, chunks = benchmark_queries(spark, sf_dir), document_chunks(spark, sf_dir)
-    return retrieval.feedback_terms(retrieval.bm25_arm(queries, chunks), queries, chunks)
+    return retrieval.feedback_terms(retrieval.bm25_arm(queries, document_index(spark, sf_dir)), queries, chunks)
 
 
 PRF_ARM_SQL = r"""
@@ -131,16 +145,16 @@ fused AS (SELECT query_id, chunk_id, sum(weight::DOUBLE * (1.0::DOUBLE / (60 + r
 ALL_SQL = f"{FTS_SQL}, {LITERAL_SQL}, {PRF_SQL}, {PRF_ARM_SQL}, {FUSE_SQL}"
 
 
-def text_arms(queries: DataFrame, chunks: DataFrame) -> dict[str, DataFrame]:
+def text_arms(queries: DataFrame, chunks: DataFrame, index: retrieval.Postings) -> dict[str, DataFrame]:
     """The arms without vectors, each written once: they are small and what follows reads them several times."""
-    fts = settle(retrieval.bm25_arm(queries, chunks), "arm-fts")
+    fts = settle(retrieval.bm25_arm(queries, index), "arm-fts")
     terms = settle(retrieval.feedback_terms(fts, queries, chunks), "feedback-terms")
-    literal, prf = retrieval.literal_arm(queries, chunks), retrieval.feedback_arm(terms, chunks)
+    literal, prf = retrieval.literal_arm(queries, chunks, index=index), retrieval.feedback_arm(terms, index)
     return {"fts": fts, "literal": settle(literal, "arm-literal"), "prf": settle(prf, "arm-prf")}
 
 
 def fused_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.fuse(text_arms(benchmark_queries(spark, sf_dir), document_chunks(spark, sf_dir)))
+    return retrieval.fuse(text_arms(benchmark_queries(spark, sf_dir), document_chunks(spark, sf_dir), document_index(spark, sf_dir)))
 
 
 @query(f"WITH {ALL_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, fts_rank, literal_rank, prf_rank FROM fused")
@@ -178,7 +192,7 @@ LEFT JOIN (SELECT DISTINCT query_id FROM si) has ON has.query_id = pr.query_id W
 """)
 def boolean_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark text AND the next: what both lists hold, by the harmonic mean."""
-    fts = retrieval.bm25_arm(benchmark_queries(spark, sf_dir), document_chunks(spark, sf_dir))
+    fts = retrieval.bm25_arm(benchmark_queries(spark, sf_dir), document_index(spark, sf_dir))
     return rounded(retrieval.intersect(fts, neighbour_sides(fts)), "score")
 
 
@@ -188,7 +202,7 @@ SELECT pr.query_id, pr.chunk_id, round(pr.score - 0.5 * coalesce(si.side, 0), 6)
 """)
 def boolean_not(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each benchmark text NOT the next: strong hits of the next are dropped, weak ones cost."""
-    fts = retrieval.bm25_arm(benchmark_queries(spark, sf_dir), document_chunks(spark, sf_dir))
+    fts = retrieval.bm25_arm(benchmark_queries(spark, sf_dir), document_index(spark, sf_dir))
     return rounded(retrieval.exclude(retrieval.normalise(fts).select("query_id", "chunk_id", "score"), neighbour_sides(fts)), "score")
 
 
@@ -204,7 +218,7 @@ SELECT query_id, round(CASE WHEN lit THEN 1.0 WHEN coalesce(fp = pp, false) THEN
 def confidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether to trust each benchmark text's result; feedback stands in for the vector arm, as texts have no vectors."""
     chunks = document_chunks(spark, sf_dir)
-    arms = text_arms(benchmark_queries(spark, sf_dir), chunks)
+    arms = text_arms(benchmark_queries(spark, sf_dir), chunks, document_index(spark, sf_dir))
     final = retrieval.best(retrieval.fuse(arms).select("query_id", "chunk_id", "score"), 2)
     similarity = arms["prf"].where("rank = 1").select("query_id", (F.col("score") / (1 + F.col("score"))).alias("top_ann_similarity"))
     found = retrieval.confidence(arms["fts"], arms["prf"], arms["literal"], final, chunks, similarity, floor=0.9)
@@ -502,9 +516,9 @@ SELECT count(*) AS queries, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END)
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall and reciprocal rank of full-text search, where documents of good quality are the relevant ones."""
     queries = benchmark_queries(spark, sf_dir)
-    hits = retrieval.bm25_arm(queries, document_chunks(spark, sf_dir)).select("query_id", F.col("chunk_id").alias("path"), "rank")
+    hits = retrieval.bm25_arm(queries, document_index(spark, sf_dir)).select("query_id", F.col("chunk_id").alias("path"), "rank")
     good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("path")).distinct()
-    ranks = evaluate.first_relevant(hits, queries.select("query_id").crossJoin(good), queries)
+    ranks = evaluate.first_relevant(hits, good, queries)
     return rounded(evaluate.metrics(ranks), "r_at_1", "r_at_3", "r_at_5", "mrr")
 
 
@@ -567,8 +581,8 @@ def last_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH dp AS (SELECT * FROM documents WHERE starts_with(source, 'src1')), {FTS_SQL.replace('FROM documents', 'FROM dp')} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM fts")
 def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full-text search among the sources whose name begins alike."""
-    chunks = document_chunks(spark, sf_dir).where(F.startswith("path", F.lit("src1")))
-    return rounded(retrieval.bm25_arm(benchmark_queries(spark, sf_dir), chunks), "score")
+    index = retrieval.narrowed(document_index(spark, sf_dir), F.startswith("path", F.lit("src1")), document_chunks(spark, sf_dir))
+    return rounded(retrieval.bm25_arm(benchmark_queries(spark, sf_dir), index), "score")
 
 
 @query(f"""
@@ -577,7 +591,7 @@ SELECT query_id, chunk_id, round(score + coalesce(0.03 * mass / max(mass) OVER (
 """)
 def graph_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fused scores raised by a mass that some of the hits have."""
-    fts = retrieval.bm25_arm(benchmark_queries(spark, sf_dir), document_chunks(spark, sf_dir))
+    fts = retrieval.bm25_arm(benchmark_queries(spark, sf_dir), document_index(spark, sf_dir))
     fused = settle(retrieval.fuse({"fts": fts}), "fused")
     mass = fused.where("chunk_id % 3 = 0").select("query_id", "chunk_id", ((F.col("chunk_id") % 7 + 1) / F.lit(7.0)).alias("mass"))
     return rounded(retrieval.boost(fused, mass).select("query_id", "chunk_id", "score", "graph_boost"), "score", "graph_boost")
@@ -590,7 +604,7 @@ SELECT query_id, source, chunk_id, round(score, 6) AS score, rank FROM (SELECT *
 def merged_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best hits over all sources, from the first twenty of each."""
     chunks = document_chunks(spark, sf_dir)
-    hits = retrieval.bm25_arm(benchmark_queries(spark, sf_dir), chunks).join(chunks.select("chunk_id", F.col("path").alias("source")), "chunk_id")
+    hits = retrieval.bm25_arm(benchmark_queries(spark, sf_dir), document_index(spark, sf_dir)).join(chunks.select("chunk_id", F.col("path").alias("source")), "chunk_id")
     return rounded(retrieval.merge_sources(hits, 10).select("query_id", "source", "chunk_id", "score", "rank"), "score")
 
 
@@ -616,6 +630,5 @@ SELECT term, sum(f)::BIGINT AS n, count(*) AS chunks FROM tf WHERE strlen(term)
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every term that isn't a stop word, how often it stands and in how many documents."""
     stop = spark.createDataFrame([(w,) for w in tx.STOPWORDS], "term string")
-    terms = document_chunks(spark, sf_dir).select("chunk_id", F.explode(tx.tokens(F.col("content"))).alias("term")).where(F.octet_length("term") >= 3)
-    counted = terms.join(F.broadcast(stop), "term", "left_anti").groupBy("term", "chunk_id").agg(F.count("*").alias("f"))
-    return counted.groupBy("term").agg(F.sum("f").alias("n"), F.count("*").alias("chunks"))
+    terms = document_index(spark, sf_dir).rows.where(F.octet_length("term") >= 3).join(F.broadcast(stop), "term", "left_anti")
+    return terms.groupBy("term").agg(F.sum("f").alias("n"), F.count("*").alias("chunks"))
