@@ -20,7 +20,10 @@ def test_tools(spark, tmp_path):
     assert [r["path"] for r in library.find_definition("load table").collect()] == ["m.py"]
     assert [(r["caller"], r["dist"]) for r in library.find_callers("load_table").collect()] == [("read_all", 1)]
     assert [r["symbol"] for r in library.find_implementations("Base").collect()] == ["Store"]
-    assert library.repo_map("code").orderBy("position").first()["line"] == "m.py:"
+    assert library.repo_map("code").orderBy("position").first()["line"].startswith("m.py (score ")
+    assert {(r["kind"], r["n"]) for r in library.chunk_kinds("code").collect()} >= {("class", 2), ("function", 1)}
+    cost = library.embedding_cost("notes", 20.0).first()
+    assert cost["chunks"] == 2 and cost["tokens"] > 0 and cost["cost"] == cost["tokens"] * 20 / 1_000_000
     assert library.multi_get("notes", "*.md").count() == 2 and library.get("notes", "b.md").first()["byte_count"] > 0
     inbound, outbound = library.backlinks("notes", "b.md")
     assert [r["linked_from"] for r in inbound.collect()] == ["a.md"] and outbound.count() == 0

@@ -13,7 +13,7 @@ def test_markdown_sections_windows_and_spans():
     assert all(len(c.content.encode()) <= 1800 for c in parsed.chunks)
     assert "see [[folder" in raw[parsed.chunks[-1].start : parsed.chunks[-1].end].decode()
     assert parsed.chunks[2].content.split("\n\n")[0] in parsed.chunks[1].content  # overlap
-    assert [(x.symbol, x.path, x.chunk) for x in parsed.links] == [("Note", "folder/Note", parsed.chunks[-1].idx), ("other", "other", parsed.chunks[-1].idx), ("Solo", None, parsed.chunks[-1].idx)]
+    assert [(x.symbol, x.path, x.chunk) for x in parsed.links] == [("Note", "folder/Note", parsed.chunks[-1].idx), ("other", "other.md", parsed.chunks[-1].idx), ("Solo", None, parsed.chunks[-1].idx)]
 
 
 def test_markdown_small_blank_and_frontmatter():
@@ -24,6 +24,12 @@ def test_markdown_small_blank_and_frontmatter():
     assert said == "my note 1. Title: x. Tags: y, z"
 
 
+def test_markdown_of_headings_alone():
+    text = "\n".join(f"## Part {i} of the long list of parts" for i in range(80))
+    chunk, = chunker_for("notes")(text, "a.md").chunks
+    assert (chunk.content, chunk.start, chunk.end, chunk.heading) == (text, 0, len(text.encode()), "")
+
+
 def test_code_languages():
     parse = chunker_for("code")
     kinds = lambda text, path: [(c.kind, c.symbol, c.heading) for c in parse(text, path).chunks]
@@ -39,11 +45,13 @@ def test_code_languages():
 
 
 def test_transcripts():
-    lines = [{"type": "user", "timestamp": "2026-05-24T18:50:16Z", "cwd": "/w/proj", "gitBranch": "main", "message": {"content": "fix it"}}, {"type": "assistant", "message": {"content": [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "ok"}, {"type": "tool_use", "name": "Read", "input": {"file_path": "a.py"}}]}}, {"type": "user", "timestamp": "", "message": {"content": [{"type": "tool_result", "content": [{"text": "body"}]}]}}]
+    lines = [{"type": "user", "timestamp": "2031-11-02T07:09:41Z", "cwd": "/w/quarry", "gitBranch": "west", "message": {"content": " count the stones "}}, {"type": "assistant", "message": {"content": [{"type": "thinking", "thinking": "hm"}, {"type": "text", "text": "ok"}, {"type": "tool_use", "name": "Read", "input": {"file_path": "a.py"}}]}}, {"type": "user", "timestamp": "", "message": {"content": [{"type": "tool_result", "content": [{"text": "body"}]}]}}]
     text = "\n".join([json.dumps(lines[0]), "{broken", *map(json.dumps, lines[1:])])
     chunks = chunker_for("claude-code")(text, "s.jsonl").chunks
-    assert chunks[0].heading == "proj · 2026-05-24 18:50 · branch:main"
-    assert chunks[0].content == "USER: fix it\n\nASSISTANT:\nok\n[tool: Read a.py]\n" and "tool result: body" in chunks[1].content
+    assert chunks[0].heading == "quarry · 2031-11-02 07:09 · branch:west"
+    assert chunks[0].content == "USER: count the stones\n\nASSISTANT:\nok\n[tool: Read a.py]\n" and "tool result: body" in chunks[1].content
+    plain = json.dumps({"type": "assistant", "message": {"content": "words alone"}})
+    assert chunker_for("claude-code")(f"{text}\n{plain}", "s.jsonl").chunks[-1].content == chunks[-1].content
     assert "[thinking] hm" in chunker_for("claude-code", True)(text, "s.jsonl").chunks[0].content
     items = [{"type": "session_meta", "payload": {"cwd": "/w/p2"}}, {"timestamp": "2026-01-02T03:04:05Z", "type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"text": "hello"}]}}, {"type": "response_item", "payload": {"type": "function_call", "call_id": "1", "name": "sh", "arguments": '{"cmd": "ls"}'}}, {"type": "response_item", "payload": {"type": "function_call_output", "call_id": "1", "output": "Code: 0\nOutput:\na b"}}]
     chunk = chunker_for("codex")("\n".join(map(json.dumps, items)), "s.jsonl").chunks[0]

@@ -103,4 +103,12 @@ def test_repo_map_budget(spark):
     ranks = spark.createDataFrame([("b.py", 0.7), ("a.py", 0.3)], "path string, rank double")
     definitions = spark.createDataFrame([("b.py", "function", "f" * 50, i * 10) for i in range(20)] + [("a.py", "class", "A", 0)], "path string, kind string, symbol string, start_byte int")
     lines = [r["line"] for r in graph.repo_map(ranks, definitions, 200).orderBy("position").collect()]
-    assert lines[0] == "b.py:" and "a.py:" in lines and sum(len(x) + 1 for x in lines) <= 800
+    assert lines[0] == "b.py (score 0.7000)" and "a.py (score 0.3000)" in lines and sum(len(x) + 1 for x in lines) <= 800
+
+
+def test_repo_map_lines(spark):
+    ranks = spark.createDataFrame([("none.py", 0.9), ("a.rs", 0.06254)], "path string, rank double")
+    rows = [("a.rs", "method", "turn", 30, "Wheel"), ("a.rs", "struct", "Wheel", 10, ""), ("a.rs", "interface", "Spins", 20, None), ("a.rs", "macro", "spin", 40, None), ("a.rs", "const", None, 50, None)]
+    definitions = spark.createDataFrame(rows, "path string, kind string, symbol string, start_byte int, heading_path string")
+    lines = [r["line"] for r in graph.repo_map(ranks, definitions).orderBy("position").collect()]
+    assert lines == ["a.rs (score 0.0625)", "  struct Wheel", "  iface Spins", "  fn Wheel::turn", "  macro! spin"]

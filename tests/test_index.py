@@ -1,4 +1,5 @@
 import os
+import threading
 import time
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import evaluate, incremental
 from tidemark.plans import index
 from tidemark.sources import files as sources
-from tidemark.sources.registry import Registry, Source, eval_queries
+from tidemark.sources.registry import Registry, RegistryFile, Source, eval_queries
 from tidemark.streaming import refresh as streaming
 
 NOTES = {
@@ -79,7 +80,7 @@ def test_code_index(spark, tmp_path):
     found = index.find_callers(store, spark.createDataFrame([("third_step",)], "symbol string"), 3).collect()
     assert [(r["caller"], r["dist"]) for r in sorted(found, key=lambda r: r["dist"])] == [("second_step", 1), ("first_step", 2)]
     lines = [r["line"] for r in index.outline(store).orderBy("position").collect()]
-    assert lines[0] == "b.py:" and "  function third_step" in lines
+    assert lines[0].startswith("b.py (score 0.") and "  fn third_step" in lines
 
 
 def test_walk_reads_and_modes(spark, folder):
@@ -109,7 +110,91 @@ def test_registry():
         Source("bad name", "/x")
     with pytest.raises(ValueError):
         Registry.parse('[[source]]\nname = "a"\npath = "/w"\nodd = 1\n')
-    assert Registry.parse(reg.text()).find("b").path == "/w/deep"
+    reg.sources[0] = Source("q", '/x "y"', "é\n", "code", ("x", "y z"), "gemma-300", 0.6)
+    assert Registry.parse(reg.text()) == reg
+
+
+def test_registry_file_is_read_again(tmp_path):
+    held = RegistryFile(str(tmp_path / "sources.toml"))
+    assert held.current().sources == []
+    held.save(Registry([Source("a", "/a")]))
+    assert [s.name for s in held.current().sources] == ["a"] and held.current() is held.current()
+    (tmp_path / "sources.toml").write_text("[[source]]\nname =")
+    assert [s.name for s in held.current().sources] == ["a"] and held.error is not None
+    held.save(Registry([Source("a", "/a"), Source("b", "/b")]))
+    assert [s.name for s in held.current().sources] == ["a", "b"] and held.error is None
+
+
+def test_only_changed_files_are_opened(spark, folder, tmp_path, monkeypatch):
+    source, store, opened = Source("n", str(folder), mode="obsidian"), incremental.Store(spark, str(tmp_path / "index")), []
+    load = type(spark.read).load
+
+    def counted(self, path=None, *more, **options):
+        opened.extend(path if isinstance(path, list) else [])
+        return load(self, path, *more, **options)
+
+    monkeypatch.setattr(type(spark.read), "load", counted)
+    index.refresh(spark, source, store)
+    assert len(opened) == 5
+    opened.clear()
+    index.refresh(spark, source, store)
+    assert opened == []
+    (folder / "odd [x]*.md").write_text("# Odd\n\nA name with signs.\n")
+    index.refresh(spark, source, store)
+    assert len(opened) == 1 and store.read("files").count() == 6
+
+
+def test_store_versions(spark, tmp_path):
+    store, other = (incremental.Store(spark, str(tmp_path / "store")) for _ in range(2))
+    assert store.manifest()["version"] is None
+    numbers, missed, done = [], [], threading.Event()
+
+    def look():
+        while not done.is_set():
+            found = store.manifest()["tables"]
+            if numbers and "a" not in found:
+                missed.append(found)
+
+    reader = threading.Thread(target=look)
+    reader.start()
+    for i in range(5):
+        store.write({"a": spark.range(i)})
+        numbers.append(i)
+    done.set()
+    reader.join()
+    assert not missed and store.read("a").count() == 4
+    assert len(store._numbers()) == incremental.KEPT and sum(p.is_dir() and p.name.startswith("v") and any(p.iterdir()) for p in (tmp_path / "store").iterdir()) == incremental.KEPT
+    # two writers of different tables, the second of which has taken the number that the first wants
+    numbers_of, first = incremental.Store._numbers, []
+
+    def late(self):
+        found = numbers_of(self)
+        if self is store and not first:
+            first.append(other.write({"b": spark.range(7)}))
+        return found
+
+    incremental.Store._numbers = late
+    try:
+        store.write({"c": spark.range(8)})
+    finally:
+        incremental.Store._numbers = numbers_of
+    assert {t: store.read(t).count() for t in "abc"} == {"a": 4, "b": 7, "c": 8}
+
+
+def test_watch_waits_until_a_source_is_quiet(spark, tmp_path):
+    inbox, seen = tmp_path / "in", []
+    schema = "source string, path string, kind string, ts timestamp"
+    put = lambda n, path: spark.sql(f"SELECT 's' AS source, '{path}' AS path, 'modify' AS kind, now() AS ts").coalesce(1).write.mode("append").parquet(str(inbox))
+    put(0, "a.md")
+    query = streaming.watch(spark.readStream.schema(schema).parquet(str(inbox)), lambda s: seen.append((s, time.time())), str(tmp_path / "cp"), quiet_ms=4000)
+    for i in range(2):
+        time.sleep(2)
+        put(i, f"b{i}.md")
+    last, end = time.time(), time.time() + 60
+    while not seen and time.time() < end:
+        time.sleep(0.2)
+    query.stop()
+    assert [s for s, _ in seen] == ["s"] and seen[0][1] >= last + 2
 
 
 def test_streaming_refresh(spark, tmp_path):

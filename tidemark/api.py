@@ -14,7 +14,14 @@ from .sources import files as sources
 from .sources.registry import Registry, summary
 
 # Prompts that no corpus answers.
-NONSENSE = ("best pizza toppings for a party", "how to train a puppy to sit", "weather forecast for next weekend", "cheap flights to tropical islands", "history of medieval castles", "beginner guitar chords tutorial")
+NONSENSE = (
+    "the most contrarian opinion I hold",
+    "something I changed my mind about",
+    "advice I would give my younger self",
+    "what is the meaning of life",
+    "my favorite childhood memory",
+    "how do I feel about the weather today",
+)
 
 
 def clamped(value: int, low: int, high: int) -> int:
@@ -170,6 +177,16 @@ class Library:
         rows = self.spark.read.parquet(f"{self.folder}/{source}/contexts").withColumn("_k", F.row_number().over(order))
         return rows.where("_k = 1 AND description <> ''").drop("_k").orderBy("path_prefix")
 
+    def chunk_kinds(self, source: str | None = None) -> DataFrame:
+        """Rows (source, kind, n): the chunks of each kind, most first."""
+        return self._of("chunks", source).groupBy("source", "kind").agg(F.count("*").alias("n")).orderBy("source", F.desc("n"), "kind")
+
+    def embedding_cost(self, source: str, per_million: float) -> DataFrame:
+        """One row: chunks, tokens they may have (a quarter of the bytes that an embedder sees), and the cost at so much a million."""
+        size = F.coalesce(F.sum(F.octet_length(index.embedded())), F.lit(0))
+        counted = self.store(source).read("chunks").agg(F.count("*").alias("chunks"), F.floor(size / 4).alias("tokens"))
+        return counted.withColumn("cost", F.col("tokens") / 1_000_000 * F.lit(float(per_million)))
+
     def health(self) -> DataFrame:
         rows = [(s.name, s.path, *(lambda h: (h["age_seconds"], h["schema_matches"], ",".join(h["tables"])))(self.store(s.name).health())) for s in self.registry.sources]
         return self.spark.createDataFrame(rows, "name string, path string, age_seconds long, schema_matches boolean, tables string")

@@ -88,6 +88,8 @@ def sections(text: str) -> list[tuple[str, str, int, int]]:
             begin = after
         end = after
     close()
+    if not out and text.strip():  # headings alone
+        out.append(("", text, 0, len(raw)))
     return out
 
 
@@ -158,7 +160,8 @@ def fenced_bytes(text: str) -> list[tuple[int, int]]:
 
 
 def note_links(text: str) -> list[tuple[int, str, str | None]]:
-    """(byte, title, path) of each link to a note outside fences; the path only if the link names a folder."""
+    """(byte, title, path) of each link to a note outside fences; the path as it is written, only if the link names a
+    folder or is one in brackets and parentheses."""
     shut, out = fenced_bytes(text), []
     for pattern, always in ((NOTE_LINK, False), (MARKDOWN_LINK, True)):
         for m in pattern.finditer(text):
@@ -168,9 +171,8 @@ def note_links(text: str) -> list[tuple[int, str, str | None]]:
             at = size(text[: m.start()])
             if any(a <= at < b for a, b in shut):
                 continue
-            plain = target[:-3] if target.lower().endswith(".md") else target
-            plain = plain.removeprefix("./")
-            out.append((at, plain.rsplit("/", 1)[-1], plain if always or "/" in plain else None))
+            title = target.rsplit("/", 1)[-1].removesuffix(".md")
+            out.append((at, title, target if always or "/" in target else None))
     return sorted(out, key=lambda x: x[0])
 
 

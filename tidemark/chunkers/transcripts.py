@@ -115,8 +115,6 @@ class Transcript:
 
     def _events(self, r: dict) -> list[str]:
         content, out = (r.get("message") or {}).get("content"), []
-        if isinstance(content, str):
-            return [content.strip()] if content.strip() else []
         for b in content if isinstance(content, list) else []:
             kind = b.get("type")
             if kind == "text" and isinstance(b.get("text"), str) and b["text"].strip():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 
@@ -10,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SCHEMA_VERSION, CHUNKER_VERSION = "3", "4"
+SCHEMA_VERSION, CHUNKER_VERSION = "4", "5"
 SETTLE_SECONDS, STALE_SECONDS = 60, 2
+#: Manifests of a store that are kept, with their tables.
+KEPT = 3
 
 
 def settled(entries: DataFrame, now: int, seconds: int = SETTLE_SECONDS) -> DataFrame:
@@ -62,21 +65,32 @@ def carry_over(old: DataFrame, diff: DataFrame, fresh: DataFrame) -> DataFrame:
 class Store:
     """Named tables in versions under a folder: a version is whole once the manifest names it.
 
-    A version is written beside the last one and the manifest swapped at the end, so readers never see a half of it.
+    A version is written beside the last one, and then a manifest of the next number, which is renamed into place when it
+    is whole; readers take the one of the highest number, so they see either version and never a half. A writer whose
+    number another has taken meanwhile takes up that one's tables and tries the next. Tables that only older manifests
+    than the last KEPT name are removed.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _manifest_path(self):
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest.json")
+    def _fs(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
         return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def manifest(self) -> dict:
-        path, fs = self._manifest_path()
+    def _numbers(self) -> list[int]:
+        path, fs = self._fs()
         if not fs.exists(path):
-            return {"version": None, "meta": {}, "tables": {}}
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.folder}/manifest.json").collect()))
+            return []
+        found = (re.fullmatch(r"manifest-(\d+)\.json", f.getPath().getName()) for f in fs.listStatus(path))
+        return sorted(int(m[1]) for m in found if m)
+
+    def _load(self, number: int) -> dict:
+        return json.loads("\n".join(r[0] for r in self.spark.read.text(f"{self.folder}/manifest-{number:012d}.json").collect()))
+
+    def manifest(self) -> dict:
+        numbers = self._numbers()
+        return self._load(numbers[-1]) if numbers else {"version": None, "meta": {}, "tables": {}}
 
     def read(self, table: str) -> DataFrame | None:
         where = self.manifest()["tables"].get(table)
@@ -84,24 +98,48 @@ class Store:
 
     def write(self, tables: dict[str, DataFrame], meta: dict | None = None, partition_by: dict[str, str] | None = None) -> str:
         """Write tables as a new version; tables that aren't given stay as they are."""
-        now, version = self.manifest(), f"v{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+        version, written = f"v{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}", {}
         for name, df in tables.items():
-            where = f"{self.folder}/{version}/{name}"
+            written[name] = f"{self.folder}/{version}/{name}"
             writer = df.write
             if partition_by and name in partition_by:
                 writer = writer.partitionBy(partition_by[name])
-            writer.parquet(where)
-            now["tables"][name] = where
-        now |= {"version": version, "meta": now["meta"] | (meta or {}) | {"schema_version": SCHEMA_VERSION, "chunker_version": CHUNKER_VERSION, "last_walk_at": int(time.time())}}
-        path, fs = self._manifest_path()
-        temporary = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest-{uuid.uuid4().hex}.json")
-        out = fs.create(temporary, True)
-        out.write(bytearray(json.dumps(now).encode()))
-        out.close()
-        fs.delete(path, False)
-        fs.rename(temporary, path)
+            writer.parquet(written[name])
+        context = self.spark.sparkContext
+        jvm, (folder, fs) = context._jvm, self._fs()
+        while True:
+            numbers = self._numbers()
+            now = self._load(numbers[-1]) if numbers else {"meta": {}, "tables": {}}
+            now["tables"] |= written
+            now |= {"version": version, "meta": now["meta"] | (meta or {}) | {"schema_version": SCHEMA_VERSION, "chunker_version": CHUNKER_VERSION, "last_walk_at": int(time.time())}}
+            number = numbers[-1] + 1 if numbers else 1
+            temporary, final = (jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{x}") for x in (f"new-{uuid.uuid4().hex}.json", f"manifest-{number:012d}.json"))
+            out = fs.create(temporary, True)
+            out.write(bytearray(json.dumps(now).encode()))
+            out.close()
+            none = context._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+            none[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+            try:
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), context._jsc.hadoopConfiguration()).rename(temporary, final, none)
+                break
+            except Exception:
+                fs.delete(temporary, False)
+                if number not in self._numbers():
+                    raise
+        self._clean()
         return version
 
+    def _clean(self) -> None:
+        """Remove all but the last manifests, and the tables that none of these names."""
+        jvm, (folder, fs) = self.spark.sparkContext._jvm, self._fs()
+        numbers = self._numbers()
+        kept = {where for n in numbers[-KEPT:] for where in self._load(n)["tables"].values()}
+        for n in numbers[:-KEPT]:
+            gone = set(self._load(n)["tables"].values()) - kept
+            for where in gone:
+                fs.delete(jvm.org.apache.hadoop.fs.Path(where), True)
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest-{n:012d}.json"), False)
+
     def stale(self, seconds: int = STALE_SECONDS) -> bool:
         return time.time() - self.manifest()["meta"].get("last_walk_at", 0) >= seconds
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from ..plans.shared import settle
 
 DEEPEST = 5
 
@@ -72,22 +73,26 @@ def callers(calls: DataFrame, targets: DataFrame, depth: int = 3) -> DataFrame:
     """Rows (target, caller, dist): what calls each target, directly or through others, up to ``depth`` steps.
 
     ``calls`` has (caller, callee). A caller stands once for every distance at which it occurs, as cycles can make
-    several; each step joins only the rows that the last one made, without repeats.
+    several; each step joins only the rows that the last one made, without repeats, and is written before the next.
     """
     edges = calls.select("caller", "callee").distinct()
     step = targets.select(F.col("target"), F.col("target").alias("at"))
     out = None
     for dist in range(1, max(1, min(DEEPEST, depth)) + 1):
-        step = step.join(edges, F.col("at") == F.col("callee")).select("target", F.col("caller").alias("at")).distinct()
+        step = settle(step.join(edges, F.col("at") == F.col("callee")).select("target", F.col("caller").alias("at")).distinct(), "callers")
         rows = step.select("target", F.col("at").alias("caller"), F.lit(dist).alias("dist"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def find_implementations(links: DataFrame, chunks: DataFrame, symbol: str, limit: int = 20) -> DataFrame:
-    """What says that it implements the symbol, whether or not that is resolved."""
-    rows = links.where((F.col("kind") == "implements") & (F.col("target_symbol") == symbol)).join(chunks, F.col("source_chunk_id") == F.col("chunk_id"))
-    return rows.select("path", "chunk_id", "symbol", "kind_of" if "kind_of" in rows.columns else F.lit("implements").alias("relation")).distinct().orderBy("path", "chunk_id").limit(max(1, min(100, limit)))
+def find_implementations(links: DataFrame, chunks: DataFrame, symbols: DataFrame | str, limit: int = 20) -> DataFrame:
+    """Rows (symbol_asked, path, chunk_id, symbol, place): what says that it implements each symbol, resolved or not."""
+    asked = links.sparkSession.createDataFrame([(symbols,)], "symbol string") if isinstance(symbols, str) else symbols
+    said = links.where("kind = 'implements'").select(F.col("target_symbol").alias("symbol_asked"), F.col("source_chunk_id").alias("chunk_id")).distinct()
+    rows = said.join(asked.select(F.col("symbol").alias("symbol_asked")).distinct(), "symbol_asked").join(chunks.select("chunk_id", "path", "symbol"), "chunk_id")
+    order = Window.partitionBy("symbol_asked").orderBy("path", "chunk_id")
+    placed = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= max(1, min(100, limit)))
+    return placed.select("symbol_asked", "path", "chunk_id", "symbol", "place")
 
 
 def find_definitions(chunks: DataFrame, symbols: DataFrame, limit: int = 10) -> DataFrame:

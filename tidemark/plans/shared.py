@@ -22,9 +22,11 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one is set only where it is unset."""
+    """The folder of spark.checkpoint.dir; on one machine a temporary one is set where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="tidemark-shared-")
         atexit.register(shutil.rmtree, own, True)
         folder = "file://" + own

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..plans.shared import settle
 
 _BASE = (".git", "node_modules")
 # Extensions and folders left out, by mode.
@@ -13,6 +14,8 @@ EXTENSIONS = {"obsidian": ("md",), "notes": ("md",), "docs": ("md", "mdx", "rst"
 IGNORED = {"obsidian": (*_BASE, ".obsidian", ".trash"), "notes": _BASE, "docs": (*_BASE, "build", "site", "_build", "dist"), "code": (*_BASE, "target", "dist", "build", ".venv", "__pycache__", ".next", ".turbo"), "claude-code": _BASE, "codex": _BASE}
 #: Bytes of a body that a batch read and a single read return at most.
 MANY_BYTES, ONE_BYTES = 102_400, 1 << 20
+#: Files that one scan names.
+LISTED = 20_000
 
 
 def _raw(spark: SparkSession, root: str) -> DataFrame:
@@ -40,8 +43,25 @@ def _quoted(text: str) -> str:
 
 
 def bodies(spark: SparkSession, root: str, entries: DataFrame) -> DataFrame:
-    """Adds content and content_hash to entries: only their files are opened. What isn't UTF-8 fails the read."""
-    raw = _raw(spark, root).select(F.col("path").alias("uri"), "content")
+    """Adds content and content_hash to entries: only their files are opened. What isn't UTF-8 fails the read.
+
+    The files are named to the reader in lists of bounded length, and none is if there are no entries.
+    """
+    entries = settle(entries, "entries")
+    raw, names = None, []
+
+    def close():
+        nonlocal raw, names
+        part = spark.read.format("binaryFile").option("__globPaths__", "false").load(names).select(F.col("path").alias("uri"), "content")
+        raw, names = part if raw is None else raw.unionByName(part), []
+
+    for row in entries.select("uri").toLocalIterator():
+        names.append(row["uri"])
+        if len(names) == LISTED:
+            close()
+    if names:
+        close()
+    raw = spark.createDataFrame([], "uri string, content binary") if raw is None else raw
     joined = entries.join(raw, "uri")
     text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.decode("content", "UTF-8")).otherwise(F.raise_error(F.concat(F.lit("not UTF-8: "), "path")))
     return joined.withColumn("content_hash", F.sha2("content", 256)).withColumn("content", text)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import tomllib
 from dataclasses import dataclass, field
@@ -104,8 +106,39 @@ class Registry:
         return spark.createDataFrame([(s.name, s.path, s.description) for s in self.sources], "name string, path string, description string")
 
     def text(self) -> str:
-        quoted = lambda v: '"' + v.replace("\\", "\\\\").replace('"', '\\"') + '"'
-        return "\n".join(f"[[source]]\nname = {quoted(s.name)}\npath = {quoted(s.path)}\ndescription = {quoted(s.description)}\nmode = {quoted(s.mode)}\n" for s in self.sources)
+        """As TOML that ``parse`` reads back: every field."""
+        out = []
+        for s in self.sources:
+            lines = [f"{k} = {json.dumps(getattr(s, k))}" for k in ("name", "path", "description", "mode", "embedder")]
+            lines.append(f"ignore = [{', '.join(map(json.dumps, s.ignore))}]")
+            if s.ann_floor is not None:
+                lines.append(f"ann_floor = {float(s.ann_floor)!r}")
+            out.append("\n".join(["[[source]]", *lines, ""]))
+        return "\n".join(out)
+
+
+class RegistryFile:
+    """A registry kept in a TOML file: read again when the file has changed; what can't be read leaves the last one."""
+
+    def __init__(self, path: str):
+        self.path, self.seen, self.held, self.error = path, None, Registry(), None
+
+    def current(self) -> Registry:
+        try:
+            found = os.stat(self.path)
+            if (found.st_mtime_ns, found.st_size) != self.seen:
+                self.seen = (found.st_mtime_ns, found.st_size)
+                with open(self.path, encoding="utf-8") as f:
+                    self.held, self.error = Registry.parse(f.read()), None
+        except (OSError, ValueError, TypeError) as e:
+            self.error = e
+        return self.held
+
+    def save(self, registry: Registry) -> None:
+        """Replace the file's content at once."""
+        with open(f"{self.path}.new", "w", encoding="utf-8") as f:
+            f.write(registry.text())
+        os.replace(f"{self.path}.new", self.path)
 
 
 def eval_queries(spark: SparkSession, text: str) -> DataFrame:

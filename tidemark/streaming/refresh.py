@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from ..plans.shared import ready
 
 IGNORED = (".git", "node_modules", ".obsidian", "target")
 QUIET_MS, TICK_MS, WATERMARK = 500, 200, "60 seconds"
@@ -29,18 +32,38 @@ def bursts(events: DataFrame, quiet_ms: int = QUIET_MS, late: str = "10 seconds"
     return found.select("source", F.col("session_window.start").alias("first"), F.col("session_window.end").alias("last"), "n")
 
 
-def watch(events: DataFrame, refresh: Callable[[str], object], checkpoint: str, every_ms: int = TICK_MS, once: bool = False):
-    """Refresh each source that a micro-batch of changes names, once.
+def quiet_sources(events: DataFrame, quiet_ms: int = QUIET_MS) -> DataFrame:
+    """A stream of sources: each when nothing has changed in it for ``quiet_ms``, by the clock of the machine.
+
+    The state is one row for each source that isn't quiet yet.
+    """
+
+    def run(key, batches, state):
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"source": [key[0]]})
+        else:
+            state.update((True,))
+            state.setTimeoutDuration(quiet_ms)
+
+    return relevant(events).select("source").groupBy("source").applyInPandasWithState(run, "source string", "waits boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def watch(events: DataFrame, refresh: Callable[[str], object], checkpoint: str, every_ms: int = TICK_MS, quiet_ms: int = QUIET_MS, once: bool = False):
+    """Refresh each source of a stream of changes once its burst of changes is over.
 
-    ``refresh`` compares snapshots, so a change that is seen twice, or late, does no harm, and a batch that is run again
-    after a failure finds nothing left to do.
+    With ``once`` what is there is taken as over: each source is refreshed once. ``refresh`` compares snapshots, so a
+    change that is seen twice, or late, does no harm, and a batch that is run again after a failure finds nothing to do.
     """
+    ready(events.sparkSession)
 
     def apply(batch: DataFrame, _: int) -> None:
-        for row in relevant(batch).select("source").distinct().toLocalIterator():  # as many rows as sources
+        for row in batch.select("source").distinct().toLocalIterator():  # as many rows as sources
             refresh(row["source"])
 
-    writer = events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    writer = (relevant(events) if once else quiet_sources(events, quiet_ms)).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{every_ms} milliseconds")
     return writer.start()
 
