@@ -122,15 +122,18 @@ def test_fm_index_by_brute_force():
             assert sorted(index.locate(np.arange(low[i], high[i])).tolist()) == want
 
 
-@pytest.mark.parametrize("block_bytes", [10, 8_000_000])
-def test_passages_by_brute_force(spark, edge_rows, block_bytes):
+@pytest.mark.parametrize(("block_bytes", "shard"), [(10, 1_000_000), (8_000_000, 1_000_000), (60, 50), (8_000_000, 700)])
+def test_passages_by_brute_force(spark, edge_rows, monkeypatch, block_bytes, shard):
+    monkeypatch.setattr(decontaminate, "SHARD", shard)  # shards span batches, or texts several shards
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     rng = random.Random(7)
     some = ["ab", "cd", "ef", "gh"]
     texts = [" ".join(rng.choice(some) for _ in range(rng.randint(0, 60))) for _ in range(60)]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").unionByName(edge_rows.select("doc_id", "text"))
     items = [(1, " ".join(texts[0].split()[:12])), (2, "ab cd, EF"), (3, None), (4, "..."), (5, "ab cd, EF"), (6, " ".join(texts[1].split()[3:14])), (7, "quick brown fox jumps over the lazy dog and runs")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.digest(decontaminate.find_passages(rows, benchmark, block_bytes=block_bytes)).collect()
+    got = decontaminate.digest(decontaminate.find_passages(rows.coalesce(2), benchmark, block_bytes=block_bytes)).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     windows = {}
     for name, text in items:
         w = words(text)
@@ -149,6 +152,24 @@ def test_passages_by_brute_force(spark, edge_rows, block_bytes):
     assert sorted((tuple(r) for r in got), key=key) == sorted(want, key=key)
 
 
+def test_items_without_an_id_or_a_row(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, "x"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "b c"), ("null", "x"), ("i", None)], "item_id string, text string")
+    got = {r["doc_id"]: (r["items"], [tuple(s) for s in r["spans"]]) for r in decontaminate.find_passages(docs, items).collect()}
+    assert got == {1: ([None], [(1, 3)]), 2: (["null"], [(0, 1)]), 3: ([], [])}
+    assert {len(r["items"]) for r in decontaminate.find_passages(docs, items.limit(0)).collect()} == {0}
+    assert decontaminate.digest(decontaminate.find_passages(docs.limit(0), items)).count() == 0
+
+
+def test_long_texts_are_hashed_in_stretches(monkeypatch):
+    from tidemark.llm import near_dups
+
+    text = "one two " + "x" * 50 + "  three " * 9 + "y" * 30
+    whole = near_dups.word_hashes(text)
+    monkeypatch.setattr(near_dups, "STRETCH", 11)
+    assert near_dups.word_hashes(text).tolist() == whole.tolist() and len(whole) == len(text.split())
+
+
 def test_cut_words():
     assert decontaminate.cut_words("One, two. THREE four!", [(1, 3)]) == "One,  four!"
 
@@ -176,3 +197,20 @@ def test_a_better_notice_does_not_hide_one_before_it():
         found = list(notice.places(b" " + b" ".join(line.split()) + b" "))
         assert [errors for *_, errors in found] == want
         assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("one 22 three 4 x", "1223 4 x"), ("12 one two", "12 12"), ("7, one 33", "71 33"), ("x one 33-4", "x 1334"), ("five 12 34", "51234"), ("3 4 5", "3 4 5"), ("fıve-ſix", "56"), ("1 22 one", "1221")],
+)
+def test_runs_of_spelled_digits(text, want):
+    assert pii.undisguised(text).text == want
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    begin = time.process_time()
+    for text in ("one " + "1 " * 1_000_000, "a​b" + " " * 2_000_000, "[at " * 500_000 + "​", "one 22 " * 300_000, "a at b" + " " * 2_000_000 + "dot c"):
+        pii.find(text)
+    assert time.process_time() - begin < 60
