@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import chunkers
 from ..functions import text as tx
 from ..functions import vector as vx
 from ..operators import evaluate, graph, incremental, navigate, retrieval, usage
+from ..sources import registry
+from ..streaming import refresh
 from .shared import ready, settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -295,24 +298,22 @@ def ppr_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graph.personalized_pagerank(graph.ranking_edges(links, derived), seeds).select("node", "mass"), "mass")
 
 
-def order_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A call graph by the tables: each part is called by its suppliers' nation mates; here, orders to the customer's next."""
-    o = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("r"))
-    hop = lambda step: o.select(F.concat(F.lit("n"), F.col("k")).alias("caller"), F.concat(F.lit("n"), F.pmod(F.col("k") * 2 + F.col("r") + step, F.lit(25))).alias("callee"))
-    return hop(1).unionByName(hop(7))
+def part_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call graph of the parts: each calls the one at half its number and one seven times as far on."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("caller"))
+    count = parts.agg(F.count("*").alias("n"))  # one row
+    return parts.crossJoin(F.broadcast(count)).select("caller", F.explode(F.array(F.floor(F.col("caller") / 2), (F.col("caller") * 7 + 3) % F.col("n"))).alias("callee"))
 
 
-CALLS_SQL = "ca AS (SELECT DISTINCT 'n' || n_nationkey AS caller, 'n' || ((n_nationkey * 2 + n_regionkey + s) % 25) AS callee FROM nation, (VALUES (1), (7)) v(s))"
-
-
-@query(f"""
-WITH RECURSIVE {CALLS_SQL}, c AS (SELECT callee AS target, caller, 1 AS dist FROM ca UNION SELECT c.target, ca.caller, c.dist + 1 FROM c JOIN ca ON ca.callee = c.caller WHERE c.dist < 5)
-SELECT target, caller, dist FROM c WHERE target IN (SELECT 'n' || n_nationkey FROM nation)
+@query("""
+WITH RECURSIVE ca AS (SELECT DISTINCT p_partkey AS caller, unnest([p_partkey // 2, (p_partkey * 7 + 3) % (SELECT count(*) FROM part)]) AS callee FROM part),
+c AS (SELECT callee AS target, caller, 1 AS dist FROM ca WHERE callee % 20 = 0 UNION SELECT c.target, ca.caller, c.dist + 1 FROM c JOIN ca ON ca.callee = c.caller WHERE c.dist < 5)
+SELECT target, caller, dist FROM c
 """)
 def callers_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What reaches each node of a call graph in one to five steps."""
-    targets = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("target"))
-    return navigate.callers(order_calls(spark, sf_dir), targets, 5)
+    """What reaches each part whose number is divisible by 20 in one to five steps of the parts' call graph."""
+    targets = table(spark, sf_dir, "part").where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("target"))
+    return navigate.callers(part_calls(spark, sf_dir), targets, 5)
 
 
 def part_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -373,10 +374,14 @@ def file_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graph.file_pagerank(graph.file_edges(links, chunks), chunks.select("path"), ["Brand#1"]), "rank")
 
 
-@query(f"WITH {LINKS_SQL} SELECT target_symbol, count(*) AS n, count(DISTINCT source_chunk_id) AS sources FROM rl WHERE kind = 'implements' GROUP BY 1")
+@query(f"""
+WITH {LINKS_SQL} SELECT symbol_asked, path, chunk_id, symbol, place FROM (SELECT target_symbol AS symbol_asked, p_brand AS path, p_partkey AS chunk_id, p_name AS symbol, row_number() OVER (PARTITION BY target_symbol ORDER BY encode(p_brand), p_partkey) AS place
+ FROM (SELECT DISTINCT target_symbol, source_chunk_id FROM rl WHERE kind = 'implements') JOIN part ON p_partkey = source_chunk_id) WHERE place <= 20
+""")
 def implementations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many parts say that they implement each name."""
-    return part_links(spark, sf_dir).where("kind = 'implements'").groupBy("target_symbol").agg(F.count("*").alias("n"), F.countDistinct("source_chunk_id").alias("sources"))
+    """The first twenty parts that say that they implement each name."""
+    links = part_links(spark, sf_dir)
+    return navigate.find_implementations(links, part_chunks(spark, sf_dir), links.select(F.col("target_symbol").alias("symbol")), 20)
 
 
 @query("""
@@ -421,17 +426,19 @@ def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.diff_summary(incremental.snapshot_diff(*two_snapshots(spark, sf_dir)))
 
 
-@query("""
-WITH t AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS chunk_idx FROM conversations)
-SELECT conv_id, (chunk_idx - 1)::BIGINT AS chunk_idx, min(turn) AS first_turn, count(*) AS n_turns, sha256(string_agg(upper(role) || ': ' || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn)) AS content_sha FROM t WHERE chunk_idx > 0 GROUP BY conv_id, chunk_idx
+@query(r"""
+WITH t AS (SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS said, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS k FROM conversations),
+u AS (SELECT conv_id, k, max(said) AS asked FROM t WHERE role = 'user' GROUP BY ALL), a AS (SELECT conv_id, k, string_agg(said || chr(10), '' ORDER BY turn) AS answers FROM t WHERE role = 'assistant' AND said <> '' GROUP BY ALL),
+c AS (SELECT conv_id::VARCHAR AS path, k - 1 AS chunk_idx, CASE WHEN asked <> '' THEN 'USER: ' || asked || chr(10) ELSE '' END || CASE WHEN answers IS NULL THEN '' ELSE chr(10) || 'ASSISTANT:' || chr(10) || answers END AS content FROM u LEFT JOIN a USING (conv_id, k))
+SELECT path, chunk_idx::INT AS chunk_idx, strlen(content)::BIGINT AS n_bytes, sha256(content) AS content_sha FROM c WHERE content <> ''
 """)
 def transcript_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations cut into chunks, each from a user's turn to before the next."""
-    turns = table(spark, sf_dir, "conversations")
-    nth = F.sum((F.col("role") == "user").cast("int")).over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
-    rows = turns.withColumn("chunk_idx", nth).where("chunk_idx > 0")
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.upper("role"), F.lit(": "), F.coalesce("text", F.lit(""))).alias("said")))), lambda x: x["said"])
-    return rows.groupBy("conv_id", (F.col("chunk_idx") - 1).alias("chunk_idx")).agg(F.min("turn").alias("first_turn"), F.count("*").alias("n_turns"), F.sha2(F.array_join(parts, "\n\n"), 256).alias("content_sha"))
+    """Conversations as transcripts of JSON lines, cut by their chunker from one user's turn to the next."""
+    said = F.when(F.col("role") == "user", F.to_json(F.struct(F.lit("user").alias("type"), F.struct(F.col("text").alias("content")).alias("message"))))
+    said = said.otherwise(F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content")).alias("message"))))
+    lines = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", said.alias("line")))).alias("lines"))
+    files = lines.select(F.lit("c").alias("source"), F.col("conv_id").cast("string").alias("path"), F.array_join("lines.line", "\n").alias("content"))
+    return chunkers.chunk_files(files, "claude-code").select("path", "chunk_idx", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("content_sha"))
 
 
 USAGE_SQL = """
@@ -451,15 +458,17 @@ def usage_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 1800000000 THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+WITH v AS (SELECT user_id, ts FROM events WHERE event_type <> 'click'),
+g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 1800000000 THEN 1 ELSE 0 END AS b FROM v WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g)
-SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_at, count(*) AS n FROM s GROUP BY user_id, k
+SELECT user_id::VARCHAR AS source, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_at, strftime(max(ts) + INTERVAL 30 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS last_at, count(*) AS n FROM s GROUP BY user_id, k
 """)
 def debounce_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bursts of events: one ends when its user is quiet for half an hour."""
-    events = table(spark, sf_dir, "events")
-    found = events.groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"))
-    return found.select("user_id", F.date_format("a", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first_at"), F.date_format("b", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("last_at"), "n")
+    """Bursts of changes: one ends when its source, here a user, is quiet for half an hour; clicks change nothing."""
+    kind = F.when(F.col("event_type") == "click", "access").otherwise("modify")
+    changes = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("source"), F.lit("a.md").alias("path"), kind.alias("kind"), "ts")
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return refresh.bursts(changes, 1_800_000).select("source", stamp("first").alias("first_at"), stamp("last").alias("last_at"), "n")
 
 
 @query("""
@@ -546,21 +555,115 @@ def glob_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.where(tx.glob_match(F.regexp_replace("url", "^https?://", ""), "*.example.com/{en,fr}/*")).select("page_id", "url")
 
 
-@query("SELECT source, count(*) AS chunks, count(DISTINCT text) AS texts, sum(strlen(text))::BIGINT AS bytes, sum(strlen(text))::BIGINT // 4 AS tokens FROM documents GROUP BY 1")
+@query("""
+SELECT n.source AS name, 'p/' || n.source AS path, 'd' AS description, count(DISTINCT text) AS files, count(doc_id) AS chunks FROM (SELECT DISTINCT source FROM documents UNION SELECT 'empty') n LEFT JOIN documents d ON d.source = n.source GROUP BY n.source
+""")
 def sources_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each source's chunks, bytes and the tokens they might cost."""
+    """Each source with its files (different texts) and chunks; one has none."""
     docs = table(spark, sf_dir, "documents")
+    names = docs.select(F.col("source").alias("name")).distinct().union(spark.createDataFrame([("empty",)], "name string"))
+    sources = names.select("name", F.concat(F.lit("p/"), "name").alias("path"), F.lit("d").alias("description"))
+    return registry.summary(docs.select("source", F.sha2("text", 256).alias("path")), sources)
+
+
+@query("SELECT source, sum(strlen(text))::BIGINT AS bytes, sum(strlen(text))::BIGINT // 4 AS tokens, round(sum(strlen(text))::BIGINT // 4 / 1e6 * 0.13, 6) AS cost FROM documents GROUP BY 1")
+def embedding_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's bytes, the tokens that they might be, and what a price a million of these comes to."""
     size = F.sum(F.octet_length("text"))
-    return docs.groupBy("source").agg(F.count("*").alias("chunks"), F.countDistinct("text").alias("texts"), size.alias("bytes"), F.floor(size / 4).alias("tokens"))
+    rows = table(spark, sf_dir, "documents").groupBy("source").agg(size.alias("bytes"), F.floor(size / 4).alias("tokens"))
+    return rows.withColumn("cost", F.round(F.col("tokens") / 1e6 * 0.13, 6))
 
 
-@query("""
-SELECT s.p_name AS symbol_asked, c.p_partkey AS chunk_id, c.p_brand AS path, row_number() OVER (PARTITION BY s.p_name ORDER BY encode(c.p_brand), c.p_partkey) AS place FROM (SELECT DISTINCT p_name FROM part) s JOIN part c ON c.p_name = s.p_name QUALIFY place <= 10
+#: The words of an identifier, in SQL.
+WORDS_SQL = r"list_filter(regexp_split_to_array(lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '[_\-:./\s]+', ' ', 'g'), '(\p{{Ll}})(\p{{Lu}})', '\1 \2', 'g'), '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1 \2', 'g'), '(\p{{L}})(\p{{N}})', '\1 \2', 'g'), '(\p{{N}})(\p{{L}})', '\1 \2', 'g'))), '\s+'), lambda x: x <> '')"
+
+
+@query(rf"""
+WITH w AS (SELECT p_partkey, p_brand, p_name, {WORDS_SQL.format('p_name')} AS ws FROM part),
+na AS (SELECT DISTINCT p_partkey, p_brand, p_name, lower(unnest(CASE WHEN len(ws) > 1 THEN [p_name, array_to_string(ws, ' '), array_to_string(ws, '_'), array_to_string(ws, '-')] ELSE [p_name] END)) AS name FROM w WHERE p_name <> ''),
+sy AS (SELECT DISTINCT unnest([p_name, replace(p_name, ' ', '_'), upper(p_name)]) AS symbol_asked FROM part),
+fo AS (SELECT symbol_asked, p_partkey AS chunk_id, p_brand AS path, 0 AS priority FROM sy JOIN part ON p_name = symbol_asked UNION SELECT symbol_asked, p_partkey, p_brand, 1 FROM sy JOIN na ON name = lower(symbol_asked) WHERE p_name <> symbol_asked)
+SELECT symbol_asked, chunk_id, path, priority, row_number() OVER (PARTITION BY symbol_asked ORDER BY priority, encode(path), chunk_id) AS place FROM fo QUALIFY place <= 10
 """)
 def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first ten parts of each name, as definitions of a symbol."""
+    """The first ten parts of each name, asked for as it is, with _ for its spaces and in capitals: by name, then by alias."""
     chunks = part_chunks(spark, sf_dir).withColumn("kind", F.lit("function"))
-    return navigate.find_definitions(chunks, chunks.select("symbol").distinct()).where("priority = 0").select("symbol_asked", "chunk_id", "path", "place")
+    asked = chunks.select(F.explode(F.array("symbol", F.replace("symbol", F.lit(" "), F.lit("_")), F.upper("symbol"))).alias("symbol")).distinct()
+    return navigate.find_definitions(chunks, asked).select("symbol_asked", "chunk_id", "path", "priority", "place")
+
+
+ODD_NAMES = [F.concat(F.lit("_"), "p_name"), F.replace("p_name", F.lit(" "), F.lit("_")), F.concat(F.regexp_replace("p_name", " ", ""), F.lit("Key")), F.col("p_name"), F.col("p_type")]
+ODD_SQL = "unnest(['_' || p_name, replace(p_name, ' ', '_'), replace(p_name, ' ', '') || 'Key', p_name, p_type]) AS name"
+
+
+@query(rf"""
+WITH n AS (SELECT p_partkey, p_brand || '/' || p_type || '::x' AS h, {ODD_SQL} FROM part), w AS (SELECT *, {WORDS_SQL.format('name')} AS ws FROM n)
+SELECT p_partkey, name, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|') AS aliases
+FROM (SELECT *, [name] || CASE WHEN len(ws) > 1 THEN [array_to_string(ws, ' '), array_to_string(ws, '_'), array_to_string(ws, '-')] ELSE [] END || [h || '::' || name, h || '.' || name, replace(replace(h, '::', '.'), '/', '.') || '.' || name] AS l FROM w)
+""")
+def symbol_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names under which made-up symbols of each part can be found."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", F.lit("/"), "p_type", F.lit("::x")).alias("h"), F.explode(F.array(*ODD_NAMES)).alias("name"))
+    return rows.select("p_partkey", "name", F.array_join(tx.aliases(F.col("name"), F.col("h")), "|").alias("aliases"))
+
+
+@query(f"""
+WITH n AS (SELECT p_partkey, p_size % 10 AS files, {ODD_SQL} FROM part)
+SELECT p_partkey, name, files, (CASE WHEN strlen(name) >= 8 AND (contains(name, '_') OR regexp_matches(name, '[a-z][A-Z]')) THEN 10.0::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN starts_with(name, '_') THEN 0.1::DOUBLE ELSE 1.0::DOUBLE END) * (CASE WHEN files >= 5 THEN 0.1::DOUBLE ELSE 1.0::DOUBLE END) AS weight FROM n
+""")
+def identifier_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a link by each made-up name tells of its file."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 10).alias("files"), F.explode(F.array(*ODD_NAMES)).alias("name"))
+    return rows.select("p_partkey", "name", "files", graph.identifier_weight(F.col("name"), F.col("files")).alias("weight"))
+
+
+@query(rf"""
+WITH {FTS_SQL[: FTS_SQL.index("tf AS")]}
+pw AS (SELECT doc_id AS chunk_id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ws FROM documents),
+pp AS (SELECT chunk_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS phrase FROM pw),
+pf AS (SELECT phrase, chunk_id, count(*) AS f FROM pp GROUP BY ALL), pn AS (SELECT phrase, count(*) AS n_p FROM pf GROUP BY 1),
+bw AS (SELECT item_id AS query_id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS ws FROM benchmark),
+qp AS (SELECT query_id, phrase, count(*) AS times FROM (SELECT query_id, unnest(list_transform(range(1, len(ws), 2), lambda i: ws[i] || ' ' || ws[i + 1])) AS phrase FROM bw) GROUP BY ALL),
+sc AS (SELECT query_id, chunk_id, sum(times * CASE WHEN ln((n - n_p + 0.5) / (n_p + 0.5)) > 0 THEN ln((n - n_p + 0.5) / (n_p + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / mean))) AS score FROM qp JOIN pf USING (phrase) JOIN pn USING (phrase) JOIN dl USING (chunk_id) CROSS JOIN st GROUP BY ALL)
+SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM sc) WHERE rank <= 50
+""")
+def phrase_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for the pairs of neighbouring words of every benchmark text, each pair a phrase."""
+    words = benchmark_queries(spark, sf_dir).withColumn("ws", tx.tokens(F.col("text")))
+    pairs = F.expr("transform(filter(sequence(1, greatest(size(ws), 1), 2), i -> i < size(ws)), i -> concat(ws[i - 1], '-', ws[i]))")
+    return rounded(retrieval.bm25_arm(words.select("query_id", F.array_join(pairs, " ").alias("text")), document_index(spark, sf_dir)), "score")
+
+
+@query(f"""
+WITH p AS (SELECT q.vec_id - q.vec_id % 20 AS query_id, q.vec_id % 20 AS side, v.vec_id AS chunk_id, list_distance(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS distance FROM embeddings q, embeddings v WHERE q.vec_id % 20 <= 1),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, side ORDER BY round(distance, 9), chunk_id) AS rank FROM p) WHERE rank <= 50)
+SELECT query_id, chunk_id, round(sum((CASE WHEN side = 0 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END) * (1.0::DOUBLE / (60 + rank) + CASE WHEN rank = 1 THEN 0.05::DOUBLE WHEN rank <= 3 THEN 0.02::DOUBLE ELSE 0 END)), 6) AS score, max(CASE WHEN side = 0 THEN rank END) AS ann_rank, max(CASE WHEN side = 1 THEN rank END) AS prf_rank FROM r GROUP BY 1, 2
+""")
+def vector_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of each twentieth vector fused with those of the vector after it, as feedback would."""
+    vectors = vector_chunks(spark, sf_dir)
+    side = lambda k: vectors.where(f"chunk_id % 20 = {k}").select((F.col("chunk_id") - k).alias("query_id"), "embedding")
+    return rounded(retrieval.fuse({"ann": retrieval.vector_arm(side(0), vectors), "prf": retrieval.vector_arm(side(1), vectors)}), "score")
+
+
+@query(f"""
+WITH {KNN_SQL},
+li AS (SELECT vec_id AS src, vec_id * 7 % (SELECT count(*) FROM embeddings) AS dst FROM embeddings WHERE vec_id % 3 = 0),
+ew AS (SELECT * FROM (SELECT src, dst, 0.3::DOUBLE AS w FROM ks UNION ALL SELECT dst, src, 0.3::DOUBLE FROM ks UNION ALL SELECT src, dst, 1.0::DOUBLE FROM li UNION ALL SELECT dst, src, 0.5::DOUBLE FROM li) WHERE src <> dst),
+e AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM ew),
+ns AS (SELECT src AS node FROM ew UNION SELECT dst FROM ew UNION SELECT vec_id FROM embeddings WHERE label = 1),
+sd AS (SELECT vec_id AS node, 1.0::DOUBLE / count(*) OVER () AS seed FROM embeddings WHERE label = 1),
+nd AS MATERIALIZED (SELECT node, coalesce(seed, 0)::DOUBLE AS seed, count(*) OVER ()::DOUBLE AS n, node NOT IN (SELECT src FROM ew) AS sink FROM ns LEFT JOIN sd USING (node)),
+{_pagerank_sql(30)} SELECT node, round(mass, 6) AS mass FROM r30
+""")
+def ppr_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personalized PageRank over note links and nearest-neighbour edges, by joins, as for a graph of any size."""
+    vectors = vector_chunks(spark, sf_dir)
+    count = vectors.agg(F.count("*").alias("n"))  # one row
+    links = vectors.where("chunk_id % 3 = 0").crossJoin(F.broadcast(count)).select(F.col("chunk_id").alias("source_chunk_id"), (F.col("chunk_id") * 7 % F.col("n")).alias("target_chunk_id"), F.lit("wikilink").alias("kind"))
+    seeds = vectors.where("label = 1").select(F.lit(0).cast("long").alias("query_id"), F.col("chunk_id").alias("node"), F.lit(1.0).alias("weight"))
+    edges = graph.ranking_edges(links, graph.similarity_edges(vectors, least=LEAST_KNN))
+    return rounded(graph.personalized_pagerank(edges, seeds, held=0).select("node", "mass"), "mass")
 
 
 @query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)), 6) AS cosine FROM embeddings")
