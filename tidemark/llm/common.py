@@ -50,7 +50,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system."""
     try:
         jvm = spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
@@ -73,7 +74,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{own}"
     df.write.parquet(path)
     _SETTLED.add(own)
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -82,7 +83,7 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             if path.rsplit("/", 1)[-1] in _SETTLED:
-                _remove(df.sparkSession, path)
+                remove(df.sparkSession, path)
 
 
 def freed(spark: SparkSession) -> None:

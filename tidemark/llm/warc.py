@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,14 +29,24 @@ def _clean(value: str) -> str:
     return "".join(c if c.isprintable() else "%%%02X" % ord(c) for c in value)
 
 
+def urn(page_id) -> str:
+    """A record's name from its page_id: other signs than letters, digits and -._~ in hex; none at all for a null one."""
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
+
+
+def named(name: str | None) -> str | None:
+    """The page_id of a record's name, as text."""
+    return unquote(name[10:-1]) if name and name.startswith("<urn:page:") else None
+
+
 def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, revisit: bool) -> bytes:
     """One WARC record; a revisit has the HTTP head alone, and the full payload's size and digest in its headers."""
-    head = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"), ("WARC-Date", DATE)]
+    head = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", urn(page_id)), ("WARC-Date", DATE)]
     if url is not None:
         head.append(("WARC-Target-URI", _clean(url)))
     head += [("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Payload-Length", str(len(payload)))]
     if revisit:
-        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", urn(refers_to))]
     block = HTTP if revisit else HTTP + payload
     head += [("Content-Type", "application/http;msgtype=response"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
@@ -123,19 +135,19 @@ def write_monolithic(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES
     return pages.select("page_id", "url", "html", "digest", "refers_to", "revisit").mapInArrow(run, "file string, records long, bytes long")
 
 
-def normalise(files: DataFrame, folder: str) -> DataFrame:
-    """Rewrite each archive with one gzip member per record, and write its index beside it: file, index, records.
+def normalise(files: DataFrame, source: str, folder: str) -> DataFrame:
+    """Rewrite each archive of ``source`` with one gzip member per record, and write its index beside it: file, index, records.
 
     A file is inflated once, in pieces, and one record is held at a time. The index has a JSON line per record with its
     offset and length in the new file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = store(folder)
+        (system, path), (_, raw) = store(folder), store(source)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 new, at, n = f"{uuid.uuid4().hex}.warc.gz", 0, 0
-                with system.open_input_stream(f"{path}/{name}", compression=None) as f, system.open_output_stream(f"{path}/{new}", compression=None) as out, system.open_output_stream(f"{path}/{new}.idx", compression=None) as index:
+                with system.open_input_stream(f"{raw}/{name}", compression=None) as f, system.open_output_stream(f"{path}/{new}", compression=None) as out, system.open_output_stream(f"{path}/{new}.idx", compression=None) as index:
                     for whole in records(inflated(f)):
                         engine = zlib.compressobj(6, zlib.DEFLATED, 31)
                         member = engine.compress(whole) + engine.flush()
@@ -162,7 +174,7 @@ def read_archives(files: DataFrame, folder: str, kind: str = "bigint") -> DataFr
         system, path = store(folder)
         names = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "offset", "length")
         types = (pa.int64() if number else pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64() if number else pa.string(), pa.string(), pa.int64(), pa.int64())
-        key = lambda urn: None if urn in (None, "<urn:page:>") else int(urn[10:-1]) if number else urn[10:-1]
+        key = lambda name: int(x) if (x := named(name)) is not None and number else x
         batch_of = lambda out: pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], list(names))
         for batch in batches:
             for row in batch.to_pylist():
@@ -212,14 +224,20 @@ def archive_round_trip(pages: DataFrame, folder: str | None = None, least_shared
 
     Null html is an empty payload; null urls have no target; rows repeated with their page_id are records each (equal
     ones are responses all, as none has a smaller id); a null page_id refers to no smaller one. No rows give no files.
-    The archives lie in ``folder``, by default in the shared one.
+    The archives lie in ``folder``; by default in the shared one, until the driver's process ends. The monolithic ones
+    are removed when they have been rewritten.
     """
     spark = common.ready(pages.sparkSession)
-    folder = folder or f"{common.shared_folder(spark)}/tidemark-warc-{uuid.uuid4().hex}"
+    if not folder:
+        folder = f"{common.shared_folder(spark)}/tidemark-warc-{uuid.uuid4().hex}"
+        atexit.register(common.remove, spark, folder)
     kind = pages.schema["page_id"].dataType.simpleString()
-    raw = common.settle(write_monolithic(plan_records(pages, least_shared), folder, roll_bytes), "warc-raw")
+    raw = common.settle(write_monolithic(plan_records(pages, least_shared), f"{folder}/raw", roll_bytes), "warc-raw")
     n = max(1, min(raw.count(), 10_000))
-    done = common.settle(normalise(raw.repartition(n), folder), "warc-files")
+    done = common.settle(normalise(raw.repartition(n), f"{folder}/raw", folder), "warc-files")
+    common.remove(spark, f"{folder}/raw")
+    common.discard(raw)
+    common.freed(spark)
     return read_archives(done.repartition(n), folder, kind)
 
 
