@@ -19,8 +19,9 @@ BUCKETS, LONGEST = 8192, 3
 PER_LANGUAGE = 600
 #: Centroids of each language.
 CENTROIDS = 4
-#: A text is rejected where its cosine is below this share of the lowest that a fitted text of the language has.
-REJECT_SHARE = 0.5
+#: A text is rejected where its cosine is below this share of the one that all but so many of the fitted texts of its
+#: language reach; so single odd texts among them don't matter.
+REJECT_SHARE, ODD = 0.35, 0.05
 UNKNOWN = "und"
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
@@ -54,7 +55,7 @@ assert BUCKETS == 1 << (32 - 19)
 
 
 class Centroids:
-    """The model: inverse document frequencies, unit centroids, their languages, and each language's least cosine."""
+    """The model: inverse document frequencies, unit centroids, their languages, and the cosine that nearly all texts of each reach."""
 
     def __init__(self, vectors: dict[str, list[np.ndarray]], per_language: int = CENTROIDS):
         n = sum(map(len, vectors.values()))
@@ -67,7 +68,7 @@ class Centroids:
             found = clusters(units, per_language)
             centres.append(found)
             owner += [i] * len(found)
-            self.least.append(float((units @ found.T).max(axis=1).min()))
+            self.least.append(float(np.quantile((units @ found.T).max(axis=1), ODD)))
         self.centres = np.concatenate(centres) if centres else np.zeros((0, BUCKETS), np.float32)
         self.owner = np.array(owner, np.int64)
 
