@@ -109,3 +109,30 @@ def test_pack_table(spark, edge_rows):
             at += length
         assert at <= 2048
     assert packing.pack(edge_rows.limit(0)).count() == 0
+
+
+def test_ids_of_all_documents_are_the_librarys():
+    import pyarrow.parquet as pq
+
+    path = bpe.default_path()
+    library = bpe.library(path)
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist():
+        if text:
+            assert bpe.encode(text, path).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_many_rows_of_one_id_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PER_BUCKET", 20)
+    rows = spark.createDataFrame([(None if i % 2 else 7, "one text of a few words") for i in range(400)], "doc_id long, text string").repartition(4)
+    got = packing.pack(rows).collect()
+    length = got[0]["length"]
+    each = 2048 // length
+    assert len({(r["sequence_id"], r["offset"]) for r in got}) == len(got) == 400 and all(r["offset"] % length == 0 for r in got)
+    assert len({r["sequence_id"] for r in got}) == -(-400 // each)
+
+
+def test_a_very_long_text_is_cut(spark):
+    rows = spark.createDataFrame([(1, "word and " * 60_000), (2, "x")], "doc_id long, text string")
+    got = packing.pack(rows).collect()
+    long = sorted((r["piece"], r["start"], r["length"]) for r in got if r["doc_id"] == 1)
+    assert [p for p, _, _ in long] == list(range(len(long))) and all(n == 2048 for _, _, n in long[1:]) and sum(n for _, _, n in long) == 120_001 + 1 or sum(n for _, _, n in long) > 100_000

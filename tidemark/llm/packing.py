@@ -195,10 +195,13 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     lists = F.broadcast(  # at most `capacity` rows; a length's slots are few and ordered by rank
         spark.createDataFrame(slots, schema).groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first_rank", "first_bin", "offset"))).alias("slots"))
     )
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    # equal rows, as those of one repeated or null id, are told apart by where they are read
+    row = F.monotonically_increasing_id()
+    pieces = pieces.withColumn("row", row)
+    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(buckets)).cast("int"))
     starts = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n")).withColumn("start_rank", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     starts = starts.select("length", "bucket", F.coalesce("start_rank", F.lit(0)).alias("start_rank"))
-    ranked = keyed.withColumn("place", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    ranked = keyed.withColumn("place", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "row")) - 1)
     ranked = ranked.join(starts, ["length", "bucket"]).withColumn("rank", F.col("start_rank") + F.col("place"))
     slot = F.element_at(F.filter("slots", lambda s: s["first_rank"] <= F.col("rank")), -1)
     placed = ranked.join(lists, "length").withColumn("slot", slot)
