@@ -214,3 +214,43 @@ def test_long_texts_take_linear_time():
     for text in ("one " + "1 " * 1_000_000, "a​b" + " " * 2_000_000, "[at " * 500_000 + "​", "one 22 " * 300_000, "a at b" + " " * 2_000_000 + "dot c"):
         pii.find(text)
     assert time.process_time() - begin < 60
+
+
+FOLDER = "/root/testdata/sf0.001"
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def documents():
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    return con
+
+
+def test_base_notices_by_sql(spark):
+    want = documents().execute(rf"""
+        WITH w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        p(phrase, label) AS (VALUES (['cc', 'by'], 'cc-by'), (['general', 'public', 'license'], 'gpl'), (['all', 'rights', 'reserved'], 'reserved')),
+        h AS (SELECT doc_id, i - 1 AS word, label FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w), p WHERE ws[i : i + len(phrase) - 1] = phrase)
+        SELECT w.doc_id, len(ws), count(word), min(word), max(word), coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') FROM w LEFT JOIN h ON h.doc_id = w.doc_id GROUP BY 1, 2""").fetchall()
+    got = licenses.op3_license_notices(spark, FOLDER).collect()
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"])) for r in got)
+    assert all(set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1 for r in got)
+
+
+def test_emails_and_addresses_by_sql(spark):
+    want = documents().execute(r"""
+        SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')),
+        len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'), lambda x: list_max(list_transform(string_split(x, '.'), lambda y: y::HUGEINT)) <= 255)) FROM documents""").fetchall()
+    assert sorted(want) == sorted((r["doc_id"], r["n_email"], r["n_ip"]) for r in pii.op2_pii_spans(spark, FOLDER).select("doc_id", "n_email", "n_ip").collect())
+
+
+def test_many_notices_take_linear_time():
+    import time
+
+    fuzzy = licenses.notices(tuple(licenses.NOTICES.items()), licenses.PER_ERROR)
+    begin = time.process_time()
+    found = licenses.scan("all rights reserved and " * 20_000, licenses.BASE, fuzzy)
+    assert len(found["base"]) == 20_000 and [b["word"] for b in found["base"]] == list(range(0, 80_000, 4)) and time.process_time() - begin < 60
+    assert [s["first_word"] for s in found["spans"]] == list(range(0, 80_000, 4))

@@ -88,11 +88,11 @@ class Notice:
             a, b = line.rfind(b" ", 0, a + 1), line.find(b" ", b - 1)  # whole words only
             a, b = max(a, 0), b if b >= 0 else len(line)
             window = line[a:b].decode("utf-8", "replace")
+            at, done = a, 0  # bytes of the line and characters of the window that have been gone through
             for m in self.matches(window):
-                start = a + len(window[: m.start()].encode())
-                if line[start : start + 1] == b" ":
-                    start += 1
-                yield start, a + len(window[: m.end()].encode()), sum(m.fuzzy_counts)
+                start = at + len(window[done : m.start()].encode())
+                at, done = start + len(window[m.start() : m.end()].encode()), m.end()
+                yield start + (line[start : start + 1] == b" "), at, sum(m.fuzzy_counts)
 
 
 @lru_cache(maxsize=8)
@@ -105,9 +105,11 @@ def base_places(words: list[bytes], line: bytes, base: dict[str, str]) -> list[t
     out = []
     for phrase, label in base.items():
         look = b" " + phrase.encode() + b" "
-        at = line.find(look)
+        at, done, word = line.find(look), 0, -1
         while at >= 0:
-            out.append((line.count(b" ", 0, at + 1) - 1, label))
+            word += line.count(b" ", done, at + 1)
+            done = at + 1
+            out.append((word, label))
             at = line.find(look, at + 1)
     return out
 
@@ -118,8 +120,9 @@ def scan(text: str, base: dict[str, str], fuzzy: list[Notice]) -> dict:
     exact = base_places(words, line, base)
     spans = []
     for notice in fuzzy:
+        done, first = 0, -1
         for start, end, errors in notice.places(line):
-            first = line.count(b" ", 0, start) - 1
+            first, done = first + line.count(b" ", done, start), start
             spans.append({"label": notice.label, "first_word": first, "last_word": first + line.count(b" ", start, end), "errors": errors, "score": 1 - errors / len(notice.phrase)})
     return {"n_words": len(words), "base": [{"label": x, "word": w} for w, x in sorted(exact)], "spans": sorted(spans, key=lambda s: (s["first_word"], s["label"]))}
 
