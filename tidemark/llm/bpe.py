@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import heapq
 import json
 import re
@@ -163,9 +162,3 @@ class _Counts(dict):
             letters = self.counter.letters
             n = self.whole[piece] = self.counter.merge([letters[b] for b in piece.encode()])
         return n
-
-
-def fallback_ranks(path: str) -> dict[bytes, int]:
-    """A .tiktoken file's ranks."""
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
