@@ -1,5 +1,9 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -22,6 +26,11 @@ def rows(frame):
     return sorted(map(repr, frame.where(frame.notna(), None).map(lambda x: x if isinstance(x, bool | float | str) or x is None else int(x) if hasattr(x, "__index__") else x).values.tolist()))
 
 
+def test_entry_is_imported_without_a_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
 

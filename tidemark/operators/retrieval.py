@@ -103,8 +103,8 @@ def chunk_sizes(chunks: DataFrame, rows: DataFrame) -> tuple[int, float]:
 def weighed_phrases(queries: DataFrame, index: Postings) -> tuple[DataFrame, DataFrame]:
     """(query_id, phrase, weight, common) and (phrase, chunk_id, dl, f): what is asked for, and where it stands.
 
-    The postings of the terms asked for are read; only for phrases of several terms are their places compared. A phrase
-    that half of the chunks or more hold is common: its weight is next to nothing.
+    The postings of the terms asked for are read. A phrase of several terms is looked for where its rarest one stands, by
+    the places of the others there. A phrase that half of the chunks or more hold is common: its weight is next to nothing.
     """
     phrases = settle(phrase_table(queries), "phrases")
     wanted = phrases.select("phrase").distinct()
@@ -115,9 +115,14 @@ def weighed_phrases(queries: DataFrame, index: Postings) -> tuple[DataFrame, Dat
     frequency = index.frequency.join(single.withColumnRenamed("phrase", "term"), "term", "left_semi").withColumnRenamed("term", "phrase")
     found = ones
     if not longer.isEmpty():
-        placed = longer.select("phrase", F.posexplode(parts).alias("off", "term"))
-        starts = placed.join(index.rows, "term").select("phrase", "chunk_id", "dl", F.explode(F.transform("places", lambda p: p - F.col("off"))).alias("start"))
-        agreed = starts.groupBy("phrase", "chunk_id", "dl", "start").agg(F.count("*").alias("n")).where(F.col("n") == F.size(parts))
+        placed = settle(longer.select("phrase", F.size(parts).alias("k"), F.posexplode(parts).alias("off", "term")).join(index.frequency, "term", "left"), "phrase-terms")
+        rare = placed.groupBy("phrase").agg(F.min_by(F.struct("off", "term"), F.struct(F.coalesce("n_p", F.lit(0)), "off")).alias("rare"), F.count_if(F.col("n_p").isNull()).alias("unknown")).where("unknown = 0")
+        rare = rare.select("phrase", F.col("rare.off").alias("rare_off"), F.col("rare.term").alias("term"))
+        starts = rare.join(index.rows, "term").select("phrase", "chunk_id", "dl", "rare_off", F.explode(F.transform("places", lambda p: p - F.col("rare_off"))).alias("start"))
+        starts = settle(starts, "phrase-starts")
+        others = starts.join(placed.select("phrase", "k", "off", "term"), "phrase").where("off <> rare_off")
+        met = others.join(index.rows.select("term", "chunk_id", "places"), ["term", "chunk_id"]).where(F.array_contains("places", F.col("start") + F.col("off")))
+        agreed = met.groupBy("phrase", "chunk_id", "dl", "start", "k").agg(F.count("*").alias("n")).where(F.col("n") == F.col("k") - 1)
         many = settle(agreed.groupBy("phrase", "chunk_id", "dl").agg(F.count("*").cast("int").alias("f")), "long-phrases")
         found, frequency = ones.unionByName(many), frequency.unionByName(many.groupBy("phrase").agg(F.count("*").alias("n_p")))
     idf = F.log((F.lit(index.n) - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5))

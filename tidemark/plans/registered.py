@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -592,7 +592,11 @@ def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return navigate.find_definitions(chunks, asked).select("symbol_asked", "chunk_id", "path", "priority", "place")
 
 
-ODD_NAMES = [F.concat(F.lit("_"), "p_name"), F.replace("p_name", F.lit(" "), F.lit("_")), F.concat(F.regexp_replace("p_name", " ", ""), F.lit("Key")), F.col("p_name"), F.col("p_type")]
+def odd_names() -> Column:
+    """Names made up for each part, in an array."""
+    return F.array(F.concat(F.lit("_"), "p_name"), F.replace("p_name", F.lit(" "), F.lit("_")), F.concat(F.regexp_replace("p_name", " ", ""), F.lit("Key")), "p_name", "p_type")
+
+
 ODD_SQL = "unnest(['_' || p_name, replace(p_name, ' ', '_'), replace(p_name, ' ', '') || 'Key', p_name, p_type]) AS name"
 
 
@@ -603,7 +607,7 @@ FROM (SELECT *, [name] || CASE WHEN len(ws) > 1 THEN [array_to_string(ws, ' '),
 """)
 def symbol_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The names under which made-up symbols of each part can be found."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", F.lit("/"), "p_type", F.lit("::x")).alias("h"), F.explode(F.array(*ODD_NAMES)).alias("name"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", F.lit("/"), "p_type", F.lit("::x")).alias("h"), F.explode(odd_names()).alias("name"))
     return rows.select("p_partkey", "name", F.array_join(tx.aliases(F.col("name"), F.col("h")), "|").alias("aliases"))
 
 
@@ -613,7 +617,7 @@ SELECT p_partkey, name, files, (CASE WHEN strlen(name) >= 8 AND (contains(name,
 """)
 def identifier_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a link by each made-up name tells of its file."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 10).alias("files"), F.explode(F.array(*ODD_NAMES)).alias("name"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") % 10).alias("files"), F.explode(odd_names()).alias("name"))
     return rows.select("p_partkey", "name", "files", graph.identifier_weight(F.col("name"), F.col("files")).alias("weight"))
 
 
