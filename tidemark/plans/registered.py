@@ -479,42 +479,8 @@ SELECT label, round(greatest(0.2, least(0.7, least(neg[least(floor(len(neg) * 0.
 """)
 def calibration_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A confidence floor for each label: its own vectors' nearest are the positives, those of others the negatives."""
-    import numpy as np
-    import pandas as pd
-
-    vectors = vector_chunks(spark, sf_dir)
-    parts, held = [], []
-
-    def nearest(known):
-        def run(batches):
-            ids, labels, a = known.value
-            a = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
-            for batch in batches:
-                b = np.array(batch["embedding"].tolist(), np.float64).reshape(len(batch), -1)
-                cosine = a @ (b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)).T
-                cosine[ids[:, None] == batch["chunk_id"].to_numpy()[None, :]] = -9
-                same = labels[:, None] == batch["label"].to_numpy()[None, :]
-                yield pd.DataFrame({"chunk_id": ids, "label": labels, "own": np.where(same, cosine, -9).max(axis=1), "other": np.where(~same, cosine, -9).max(axis=1)})
-
-        return run
-
-    def close():
-        known = (np.array([r[0] for r in held]), np.array([r[1] for r in held]), np.array([r[2] for r in held], np.float64))
-        parts.append(vectors.select("chunk_id", "label", "embedding").mapInPandas(nearest(spark.sparkContext.broadcast(known)), "chunk_id long, label int, own double, other double"))
-        held.clear()
-
-    for row in vectors.select("chunk_id", "label", "embedding").toLocalIterator():
-        held.append(tuple(row))
-        if len(held) == 2000:
-            close()
-    if held:
-        close()
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    top = found.groupBy("chunk_id", "label").agg(F.max("own").alias("own"), F.max("other").alias("other"))
-    lists = top.groupBy("label").agg(F.collect_list(F.when(F.col("own") > -9, F.col("own"))).alias("pos"), F.collect_list(F.when(F.col("other") > -9, F.col("other"))).alias("neg"))
-    return rounded(lists.select("label", evaluate.floor_of(F.col("pos"), F.col("neg")).alias("floor")), "floor")
+    nearest = evaluate.nearest_by_label(vector_chunks(spark, sf_dir))
+    return rounded(evaluate.floors_by_label(nearest), "floor")
 
 
 @query(f"""
