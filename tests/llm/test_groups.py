@@ -181,8 +181,90 @@ def test_imatch_edits_by_brute_force(spark, monkeypatch, span):
 def test_imatch_neighbours_of_many_ids(spark, monkeypatch):
     monkeypatch.setattr(imatch, "ORDERED", 4)
     ids = sorted(random.Random(3).sample(range(-(2**40), 2**40), 60) + list(range(100, 130)))
-    got = {r["id"]: r["before"] for r in imatch.previous(spark.createDataFrame([(i,) for i in ids], "id long")).collect()}
-    assert got == dict(zip(ids, [None, *ids[:-1]], strict=True))
+    rows = [(i, sub) for i in ids for sub in range(1 + i % 2)]
+    got = {(r["id"], r["sub"]): r["before"] and tuple(r["before"]) for r in imatch.previous(spark.createDataFrame(rows, "id long, sub int")).collect()}
+    assert got == dict(zip(rows, [None, *rows[:-1]], strict=True))
+
+
+def brute_prints(texts, lowest=imatch.LOWEST, highest=imatch.HIGHEST, most=imatch.LEXICON):
+    """Fingerprints by plain Python: band of document frequency, subsets, hashes of sorted distinct terms."""
+    from collections import Counter
+
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    long = lambda x, seed: xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), seed=seed)
+    terms = lambda t: {signed(xxhash.xxh64_intdigest(w.encode(), seed=42)) for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())}
+    often = Counter(t for text in texts for t in terms(text))
+    inside = sorted((n for n in often.values() if max(2.0, lowest * len(texts)) <= n <= max(2.0, highest * len(texts))), reverse=True)
+    least = min((n for n in inside if sum(x >= n for x in inside) <= most), default=10**9)
+    band = {t for t, n in often.items() if least <= n <= max(2.0, highest * len(texts))}
+
+    def subsets(t):
+        bits, out = (1 << 64) - 1, 0
+        for level in range(imatch.LEVELS):
+            bits &= xxhash.xxh64_intdigest((level + 1).to_bytes(4, "little"), seed=long(t, 42))
+            out |= bits & (((1 << imatch.EACH) - 1) << (imatch.EACH * level))
+        return out or 1
+
+    def prints(text):
+        found = terms(text)
+        found = sorted(found & band or found)
+        drawn, out = {t: subsets(t) for t in found}, []
+        for j in range(imatch.SUBSETS):
+            h, own = 42, [t for t in found if drawn[t] >> j & 1]
+            for t in own:
+                h = long(t, h)
+            out.append(h & 0x7FFFFFFF if own else None)
+        return out
+
+    return prints
+
+
+def brute_likeness(a, b):
+    some = [(x, y) for x, y in zip(a, b, strict=True) if x is not None or y is not None]
+    return sum(x == y for x, y in some) / len(some) if some else 1.0
+
+
+@pytest.mark.parametrize("most", [imatch.LEXICON, 40])
+def test_imatch_by_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(imatch.lexicon, "__defaults__", (imatch.LOWEST, imatch.HIGHEST, most))
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()), reverse=True)
+    got = {r["doc_id"]: r for r in imatch.fingerprints(docs).collect()}
+    prints, shown = brute_prints([t for _, t in rows], most=most), lambda p: ".".join("" if x is None else f"{x:X}" for x in p)
+    for k, (i, text) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        half = len(text) // 2
+        own, edit = prints(text), prints(text[: len(text) - half] + after[:half])
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (shown(own), shown(edit))
+        assert abs(got[i]["near_edited"] - brute_likeness(own, edit)) < 1e-12 and abs(got[i]["near_next"] - brute_likeness(own, prints(after))) < 1e-12
+    assert sum(r["near_edited"] for r in got.values()) > sum(r["near_next"] for r in got.values())
+
+
+def test_imatch_lengths_and_edits_by_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    want = con.execute("""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        n AS (SELECT doc_id, t, coalesce(lead(t) OVER (ORDER BY doc_id DESC), first_value(t) OVER (ORDER BY doc_id DESC)) AS x, length(t) // 2 AS h FROM t)
+        SELECT doc_id, length(t) AS n_chars, sha256(left(t, length(t) - h) || left(x, h)) AS edited_sha256 FROM n""").fetchall()
+    got = registry.queries()["op9_imatch"](spark, FOLDER).select("doc_id", "n_chars", "edited_sha256").collect()
+    assert sorted(want) == sorted(map(tuple, got))
+
+
+def test_imatch_splits_ids_that_repeat(spark, monkeypatch):
+    """Rows of one id follow one another in some order, wherever they are read."""
+    monkeypatch.setattr(imatch.with_next, "__defaults__", (2,))
+    rows = [(1, f"t{i % 3}") for i in range(60)] + [(None, "")] * 40 + [(0, "low"), (2, "high"), (3, "top")]
+    df = spark.createDataFrame([(-(1 << 63) if i is None else i, t) for i, t in rows], "key long, text string").repartition(5)
+    got = imatch.with_next(df, "size", F.char_length("text")).collect()
+    assert sorted((r["key"], r["text"]) for r in got) == sorted((-(1 << 63) if i is None else i, t) for i, t in rows)
+    assert all(r["size"] == len(r["text"]) and r["next_size"] == len(r["next_text"]) for r in got)
+    assert sorted(r["next_text"] for r in got) == sorted(t for _, t in rows)  # each follows one other
+    after = {r["key"]: r["next_text"] for r in got if r["key"] in (0, 2, 3)}
+    assert after[3] == "high" and after[2] in ("t0", "t1", "t2") and after[0] == ""
+    assert sum(r["key"] == 1 and r["next_text"] == "low" for r in got) == 1 and sum(r["key"] < 0 and r["next_text"] == "top" for r in got) == 1
 
 
 def test_imatch_edge_tables(spark, edge_rows):
@@ -225,6 +307,15 @@ def test_warc_round_trip(spark, tmp_path, roll):
     assert warc.archive_round_trip(df.limit(0), f"file://{tmp_path}/empty").count() == 0
 
 
+def test_warc_names_of_any_text(spark, tmp_path):
+    long = "x" * 200
+    ids = ["a>b", "", "line\r\nend", "ü %41", None, "plain", "<urn:page:>"]
+    got = warc.archive_round_trip(spark.createDataFrame([(i, "u", long) for i in ids], "page_id string, url string, html string"), f"file://{tmp_path}/names").collect()
+    assert sorted(map(str, ids)) == sorted(str(r["page_id"]) for r in got)
+    assert {r["page_id"]: (r["record_type"], r["refers_to"]) for r in got} == {i: ("response", None) if i == "" else ("revisit", "") for i in ids}
+    assert not (tmp_path / "names" / "raw").exists()
+
+
 def test_warc_streams_of_any_shape():
     whole = [warc.record(i, "u", bytes([65 + i]) * n, "d", None, False) for i, n in enumerate((0, 10, 3_000_000))]
     one = zlib.compressobj(6, zlib.DEFLATED, 31)
@@ -255,3 +346,42 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, FOLDER)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == kept
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline is left out")
+@pytest.mark.parametrize("stage", range(4))
+def test_pipeline_stages_at_the_edges(spark, edge_rows, stage):
+    """Nulls in any column, empty and very long texts, repeated rows and ids, clashing columns, and no rows at all."""
+    import corpus_pipeline
+
+    name, run = corpus_pipeline.STAGES[stage]
+    more = spark.createDataFrame([(1, "another text under the same id, longer than a few words", "en", "s1", 5)] + [(None, "a row without an id", "en", "s3", 19)] * 3, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = edge_rows.unionByName(more, allowMissingColumns=True)
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    got = run(spark, docs, FOLDER)
+    assert got.columns == columns and [f.dataType for f in got.schema] == [docs.schema[c].dataType for c in columns]
+    rows = [tuple(r) for r in got.collect()]
+    assert all(r[4] == (None if r[1] is None else len(r[1])) for r in rows)
+    given = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source").collect()]
+    texts = sorted(str(r[:2]) for r in rows)
+    if name == "near duplicates":
+        kept = {i: min((t for d, t, *_ in given if d == i and t is not None), default=None) for i in {1, 2, 3, 4, 5, 7, 8}}
+        assert sorted(str((r[0], r[1])) for r in rows if r[0] is not None and r[0] not in (6, 9)) == sorted(str(x) for x in kept.items())
+        assert sum(r[0] is None for r in rows) == sum(d is None for d, *_ in given) and not {6, 9} & {r[0] for r in rows if r[0] == 9}
+    if name == "benchmark decontamination":
+        assert texts == sorted(str(r[:2]) for r in given)
+    if name == "personal data":
+        assert len(rows) == len(given) and all("@" not in (r[1] or "") for r in rows)
+    if name == "language id":
+        assert all(any(c.isalpha() for c in r[1] or "") for r in rows) and {r[0] for r in rows} >= {1, 6, 7, 9}
+    assert run(spark, docs.limit(0), FOLDER).count() == 0
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline is left out")
+def test_pipeline_near_duplicates_by_brute_force(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    links = brute_links([(r["doc_id"], r["text"]) for r in docs.collect()], 5)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER)
+    assert {r["doc_id"] for r in got.collect()} == {i for i, low in links.items() if i == low}

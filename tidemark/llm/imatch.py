@@ -8,16 +8,17 @@ from pyspark.sql.window import Window
 
 from . import common
 
-#: The band of document frequency, as shares of all documents: terms outside are dropped. As a document has only so
-#: many terms, the lower share bounds the lexicon: its size is at most a document's average terms / LOWEST.
-LOWEST, HIGHEST = 0.005, 0.25
-#: Randomised subsets of the lexicon, at most 64, and how often a term is drawn for one of them: each term is in some.
-SUBSETS, DRAWS = 64, 4
+#: The band of document frequency, as shares of all documents: terms outside are dropped. Where more terms than LEXICON
+#: are in it, the band begins at the frequency that leaves so many.
+LOWEST, HIGHEST, LEXICON = 0.005, 0.25, 50_000
+#: Randomised subsets of the lexicon: of each share 1/2, 1/4, ... there are EACH, so a term is in about as many. The large
+#: ones tell texts apart that differ in few terms, the small ones grade the likeness of texts that differ in many.
+LEVELS, EACH = 6, 8
+SUBSETS = LEVELS * EACH
 #: Cells of the first count, whose number doesn't grow with the corpus.
 CELLS = 1 << 20
 #: Ids whose texts are looked at together for their neighbours, and ranges of ids that one task may order.
 SPAN, ORDERED = 512, 65_536
-BROADCAST_ROWS = 1_000_000
 NO_ID = -(1 << 63)
 
 
@@ -25,34 +26,55 @@ NO_ID = -(1 << 63)
 TERMS = r"array_remove(array_distinct(transform(split(lower({}), r'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), t -> xxhash64(t))), xxhash64(''))"
 
 
-def lexicon(texts: DataFrame, lowest: float = LOWEST, highest: float = HIGHEST) -> list[int]:
-    """The hashes of the terms within the band of document frequency, in order.
+def lexicon(texts: DataFrame, lowest: float = LOWEST, highest: float = HIGHEST, most: int = LEXICON) -> list[int]:
+    """The hashes of the terms within the band of document frequency, in order; of bounded number.
 
     Terms are counted twice: by cells of a fixed number first, so that the second count need only shuffle the terms of
     cells in which a term of the band can be. Both counts combine before the shuffle.
     """
     hashed = texts.select(F.explode(F.expr(TERMS.format("text"))).alias("term"))
     n = texts.count()
-    least, most = max(2.0, lowest * n), max(2.0, highest * n)
+    least, largest = max(2.0, lowest * n), max(2.0, highest * n)
     cell = F.pmod("term", F.lit(CELLS)).cast("int")
     cells = hashed.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).where(F.col("n") >= least).select("cell")
     heavy = hashed.withColumn("cell", cell).join(F.broadcast(cells), "cell")  # at most CELLS numbers
-    counted = heavy.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n").between(least, most))
-    return sorted(r["term"] for r in counted.select("term").toLocalIterator())
+    counted = heavy.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n").between(least, largest))
+    counted = common.settle(counted, "terms")
+    sizes = counted.groupBy("n").agg(F.count("*").alias("terms")).orderBy(F.desc("n"))
+    total, from_ = 0, None
+    for row in sizes.toLocalIterator():
+        total += row["terms"]
+        if total > most:
+            break
+        from_ = row["n"]
+    known = [] if from_ is None else sorted(r["term"] for r in counted.where(F.col("n") >= from_).select("term").collect())
+    common.discard(counted)
+    common.freed(texts.sparkSession)
+    return known
 
 
-def fingerprint(text: str, known: list[int], subsets: int = SUBSETS, draws: int = DRAWS) -> Column:
+def drawn(term: str) -> str:
+    """SQL for the subsets that a term is in, as bits: bit EACH * l + j is set with the chance 1/2 ** (l + 1), one at least."""
+    every = (1 << EACH) - 1
+
+    def level(k: int, bits: str) -> str:
+        own, last = f"(m{k} & {every << (EACH * k)}L)", k == LEVELS - 1
+        return f"transform(array({bits}), m{k} -> {own if last else f'{own} | ' + level(k + 1, f'm{k} & xxhash64({term}, {k + 2})')})[0]"
+
+    return f"transform(array({level(0, f'xxhash64({term}, 1)')}), x -> if(x = 0, 1L, x))[0]"
+
+
+def fingerprint(text: str, known: list[int]) -> Column:
     """One hash for each subset of the lexicon: of the text's distinct terms in it, in order; null where it has none.
 
-    Each of ``draws`` stretches of a term's hash puts it in a subset, so texts with other terms have other fingerprints.
-    ``text`` names a column. A text with no term in the lexicon is printed by all of its terms. A lambda over an array
-    of one element gives a value a name, so that each is computed once.
+    Every term is in some subset, so texts with other terms have other fingerprints. ``text`` names a column. A text with
+    no term in the lexicon is printed by all of its terms. A lambda over an array of one element gives a value a name,
+    so that each is computed once.
     """
     inside = f"filter(found, t -> t IN ({', '.join(map(str, known)) or 'NULL'}))"
-    drawn = " | ".join(f"shiftleft(1L, CAST(pmod(shiftright(t, {15 * k}), {subsets}) AS INT))" for k in range(draws))
-    terms = f"transform(array_sort(if(size(inside) > 0, inside, found)), t -> named_struct('t', t, 'drawn', {drawn}))"
+    terms = f"transform(array_sort(if(size(inside) > 0, inside, found)), t -> named_struct('t', t, 'drawn', {drawn('t')}))"
     each = "transform(array(filter(terms, x -> (x.drawn & bit) != 0)), own -> if(size(own) > 0, CAST(xxhash64(transform(own, x -> x.t)) & 2147483647 AS INT), NULL))[0]"
-    bits = ", ".join(f"shiftleft(1L, {j})" for j in range(subsets))
+    bits = ", ".join(f"{1 << j}L" for j in range(SUBSETS))
     named = f"transform(array({inside}), inside -> transform(array({terms}), terms -> transform(array({bits}), bit -> {each}))[0])[0]"
     return F.expr(f"transform(array({TERMS.format(text)}), found -> {named})[0]")
 
@@ -71,42 +93,51 @@ def shown(prints: Column) -> Column:
 
 
 def previous(ids: DataFrame) -> DataFrame:
-    """Rows (id, before): the greatest id that is smaller, null for the smallest. ``ids`` has no null and no repeat.
+    """Rows (id, sub, before): the greatest (id, sub) that is smaller, null for the smallest. ``ids`` has no null and no repeat.
 
     Ids are looked at within ranges of ORDERED, so a task orders at most as many; the first of each range takes the last
     of the range before, which is found the same way among the ranges.
     """
+    one = F.struct("id", "sub")
     if ids.count() <= ORDERED:
-        return ids.select("id", F.lag("id").over(Window.orderBy("id")).alias("before"))
+        return ids.select("id", "sub", F.lag(one).over(Window.orderBy("id", "sub")).alias("before"))
     ranged = ids.withColumn("range", F.shiftright("id", 16))
-    within = ranged.withColumn("near", F.lag("id").over(Window.partitionBy("range").orderBy("id")))
-    ends = ranged.groupBy("range").agg(F.max("id").alias("last"))
-    chain = previous(ends.select(F.col("range").alias("id")))
-    jump = chain.join(ends.select(F.col("range").alias("before"), "last"), "before").select(F.col("id").alias("range"), "last")
-    return within.join(jump, "range", "left").select("id", F.coalesce("near", "last").alias("before"))
+    within = ranged.withColumn("near", F.lag(one).over(Window.partitionBy("range").orderBy("id", "sub")))
+    ends = ranged.groupBy("range").agg(F.max(one).alias("last"))
+    chain = previous(ends.select(F.col("range").alias("id"), F.lit(0).alias("sub")))
+    jump = chain.select(F.col("id").alias("range"), F.col("before.id").alias("below")).join(ends.select(F.col("range").alias("below"), "last"), "below").select("range", "last")
+    return within.join(jump, "range", "left").select("id", "sub", F.coalesce("near", "last").alias("before"))
 
 
 def with_next(texts: DataFrame, name: str, derived: Column, span: int = SPAN) -> DataFrame:
     """Rows (key, text, ``name``) and the same of the next row by descending ``key``; after the last, the first.
 
     ``derived`` is computed from the text where it is read. A row moves once, with those of its range of keys; only the
-    greatest of each range is read again, for the range above. Rows that repeat a key are ordered by their text.
+    greatest of each range is read again, for the range above. Rows that repeat a key follow one another. A range in
+    which keys repeat very often is split by key, and a key's rows by their text and by where they are read, so no task
+    gets all rows of one key.
     """
-    ranged = texts.withColumn("range", F.floor(F.col("key") / span))
-    order = Window.partitionBy("range").orderBy("key", "text")
+    spark = texts.sparkSession
+    ranged = texts.withColumn("range", F.floor(F.col("key") / span)).withColumn("row", F.monotonically_increasing_id())
+    sizes = common.settle(ranged.groupBy("range").agg(F.count("*").alias("m")), "ranges")
+    hot = common.handed(sizes.where(F.col("m") > 4 * span).select("range", F.ceil(F.col("m") / (64 * span)).alias("parts")))
+    part = F.pmod(F.xxhash64("text"), F.col("parts")) * 64 + F.pmod("row", F.lit(64))
+    ranged = ranged.join(hot, "range", "left").withColumn("id", F.when(F.col("parts").isNull(), F.col("range") * span).otherwise(F.col("key")))
+    ranged = ranged.withColumn("sub", F.coalesce(part, F.lit(0)).cast("int")).select("id", "sub", "key", "text")
+    order = Window.partitionBy("id", "sub").orderBy("key", "text")
     inner = ranged.withColumn(name, derived)
     for c in ("text", name):
         inner = inner.withColumn(f"near_{c}", F.lag(F.struct(c)).over(order))
     inner = inner.withColumn("first", F.row_number().over(order) == 1)
-    ends = ranged.groupBy("range").agg(F.max("key").alias("key"))
-    ranges = ends.select(F.col("range").alias("id"))
-    if ranges.count() <= BROADCAST_ROWS:  # two numbers each; beyond that, the join shuffles
-        ends = F.broadcast(ends)
-    tops = ranged.join(ends, ["range", "key"]).groupBy("range").agg(F.max("text").alias("text")).withColumn(name, derived)
-    wrap = ranges.agg(F.max("id").alias("greatest"))  # one row
-    filled = previous(ranges).crossJoin(F.broadcast(wrap)).select(F.col("id").alias("range"), F.coalesce("before", "greatest").alias("before"))
-    above = filled.join(tops.select(F.col("range").alias("before"), F.struct("text", name).alias("top")), "before").select("range", "top")
-    out = inner.join(above, "range")
+    ends = common.settle(ranged.groupBy("id", "sub").agg(F.max("key").alias("key")), "ends")
+    tops = ranged.join(common.handed(ends), ["id", "sub", "key"]).groupBy("id", "sub").agg(F.max("text").alias("text")).withColumn(name, derived)
+    ranges = ends.select("id", "sub")
+    wrap = ranges.agg(F.max(F.struct("id", "sub")).alias("greatest"))  # one row
+    filled = previous(ranges).crossJoin(F.broadcast(wrap)).select("id", "sub", F.coalesce("before", "greatest").alias("before"))
+    filled = common.settle(filled.select("id", "sub", F.col("before.id").alias("low"), F.col("before.sub").alias("low_sub")), "before")
+    common.freed(spark)
+    above = filled.join(tops.select(F.col("id").alias("low"), F.col("sub").alias("low_sub"), F.struct("text", name).alias("top")), ["low", "low_sub"]).select("id", "sub", "top")
+    out = inner.join(above, ["id", "sub"])
     return out.select("key", "text", name, *[F.when(F.col("first"), F.col(f"top.{c}")).otherwise(F.col(f"near_{c}.{c}")).alias(f"next_{c}") for c in ("text", name)])
 
 
