@@ -35,6 +35,51 @@ def test_far_text_is_rejected(spark, edge_rows):
     assert language.identify(other, model).first()["rejected"]
 
 
+def test_one_odd_text_does_not_stop_rejection(spark, edge_rows):
+    base = edge_rows.where("lang = 'en'").select("text", "lang").collect()
+    rows = [(f"{r['text']} {i}th bear", "en") for i, r in enumerate(base * 10) if r["text"]] + [("щщщ", "en")]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"), centroids=1)
+    other = spark.createDataFrame([(1, "жизнь прекрасна и удивительна каждый день"), (2, rows[0][0])], "doc_id long, text string")
+    assert {r["doc_id"]: r["rejected"] for r in language.identify(other, model).collect()} == {1: True, 2: False}
+
+
+def test_predictions_by_brute_force(spark):
+    """Weights, norms and cosines in plain Python, of n-grams counted one by one."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    model = language.fit(docs)
+    got = {r["doc_id"]: r for r in language.identify(docs, model).collect()}
+
+    def ngrams(text):
+        points = [ord(c.lower()[0]) if c.isalpha() else 32 for c in f" {text} "]
+        points = [p for i, p in enumerate(points) if p != 32 or i == 0 or points[i - 1] != 32]
+        out = Counter()
+        for i in range(len(points)):
+            mixed = 0
+            for n in range(min(3, len(points) - i)):
+                mixed = (mixed * 0x01000193 + points[i + n] * int(language._ODD[n])) % 2**32
+                out[((mixed ^ mixed >> 15) * 0x2C1B3C6D % 2**32) >> 19] += 1
+        return out
+
+    for r in docs.orderBy(F.length("text")).limit(60).collect():
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        weighed = {b: math.log1p(n) * float(model.idf[b]) for b, n in ngrams(r["text"]).items()}
+        norm = math.sqrt(sum(x * x for x in weighed.values()))
+        near = [sum(x * float(centre[b]) for b, x in weighed.items()) / norm for centre in model.centres]
+        best = max(range(len(near)), key=near.__getitem__)
+        assert math.isclose(got[r["doc_id"]]["score"], min(1, near[best]), abs_tol=1e-4)
+        assert got[r["doc_id"]]["lang_pred"] == model.names[model.owner[best]] or max(x for i, x in enumerate(near) if i != best) > near[best] - 1e-4
+
+
+def test_equally_near_languages(spark):
+    """Of languages with the same texts, the one with more fitted rows wins, and then the first by name."""
+    rows = [("some text of many words", "b"), ("some text of many words", "c"), ("quite another thing here", "c")]
+    model = language.fit(spark.createDataFrame(rows, "text string, lang string"))
+    found = language.identify(spark.createDataFrame([(1, "some text of many words")], "doc_id long, text string"), model).first()
+    assert found["lang_pred"] == "c" and model.names == ["c", "b"]
+
+
 def tokens(text):
     return [*re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})), None]
 
@@ -87,7 +132,7 @@ def test_everything_held_out(spark):
     assert {(r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in rows} == {(3, 0, 0, 0.0), (1, 0, 0, 0.0)}
 
 
-def brute_tree(rows, held, least, depth=3, divergence=0.02, weight=50.0):
+def brute_tree(rows, held, least, depth=3, divergence=0.02, weight=50.0, follow=1):
     """Scores by plain dictionaries: every word is a symbol and every context of ``least`` occurrences is looked at."""
     train = [[None, *tokens(t)] for i, t in rows if i not in held]
     counts = Counter(w for t in train for w in t[1:])
@@ -97,6 +142,9 @@ def brute_tree(rows, held, least, depth=3, divergence=0.02, weight=50.0):
         for i in range(1, len(t)):
             for d in range(1, min(depth, i) + 1):
                 after.setdefault(tuple(t[i - d : i]), Counter())[t[i]] += 1
+    often = {c for c, following in after.items() if sum(following.values()) >= least}
+    totals = {c: sum(following.values()) for c, following in after.items()}
+    after = {c: Counter({w: n for w, n in following.items() if n >= follow}) for c, following in after.items()}
     kept = {}
 
     def share(w, context):
@@ -105,16 +153,18 @@ def brute_tree(rows, held, least, depth=3, divergence=0.02, weight=50.0):
             context = context[1:]
         if not context:
             return (counts[w] + 1) / units
-        return (after[context][w] + weight * share(w, context[1:])) / (sum(after[context].values()) + weight)
+        left = weight + totals[context] - sum(after[context].values())
+        return (after[context][w] + left * share(w, context[1:])) / (totals[context] + weight)
 
     for d in range(1, depth + 1):
         new = set()
         for context, following in after.items():
-            if len(context) == d and (total := sum(following.values())) >= least:
-                kl = 0.0
+            if len(context) == d and context in often:
+                kl, total = 0.0, totals[context]
+                left = weight + total - sum(following.values())
                 for w in [*counts, "\0"]:  # the last stands for all unknown words
                     p = share(w, context[1:])
-                    own = (following[w] + weight * p) / (total + weight)
+                    own = (following[w] + left * p) / (total + weight)
                     kl += own * math.log(own / p)
                 if kl >= divergence:
                     new.add(context)
@@ -130,10 +180,12 @@ def test_tree_scores_by_brute_force(spark, monkeypatch):
     rows = [(i, " ".join(rng.choice([*phrases, f"w{rng.randint(0, 60)}"]) for _ in range(12))) for i in range(60)]
     held = set(range(0, 60, 7))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for share in (suffix_tree.HELD_SHARE, 0.02):  # all keys known to every task; most of them joined
+    monkeypatch.setattr(suffix_tree, "PER_BATCH", 7)
+    monkeypatch.setattr(suffix_tree, "STRETCH", 100)
+    for share, follow in ((suffix_tree.HELD_SHARE, 1), (0.02, 1), (0.2, 1), (0.2, 2), (suffix_tree.HELD_SHARE, 2)):  # all keys known to every task; most of them joined
         monkeypatch.setattr(suffix_tree, "HELD_SHARE", share)
-        got = {r["doc_id"]: r["score"] for r in suffix_tree.score_texts(docs, F.col("doc_id") % 7 == 0, least=6).collect()}
-        want, kept = brute_tree(rows, held, 6)
+        got = {r["doc_id"]: r["score"] for r in suffix_tree.score_texts(docs, F.col("doc_id") % 7 == 0, least=6, follow=follow).collect()}
+        want, kept = brute_tree(rows, held, 6, follow=follow)
         assert {len(c) for c in kept} == {1, 2, 3}
         assert all(math.isclose(got[i], x, rel_tol=1e-9) for (i, _), x in zip(rows, want, strict=True))
 

@@ -8,7 +8,6 @@ fits. Contexts and what follows them are tables, which grow with the corpus.
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -16,8 +15,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 from .language import fold
@@ -29,16 +30,22 @@ LEAST = 32
 HELD_SHARE = 2e-6
 #: Contexts fall in 2 ** CELL_BITS cells.
 CELL_BITS = 24
-#: Contexts up to which they are sent to every task.
-HANDED_ROWS = 500_000
+#: Cells of the filter of keys: 2 ** FILTER_BITS at most, 32 MB.
+FILTER_BITS = 28
+#: Parts of the documents that are scored one after the other, each part's keys being given back before the next.
+SLICES = 3
+#: Tokens for each bucket of pairs and of keys, and tokens that a task counts before it sends what it has counted.
+PER_BUCKET, STRETCH = 2_000_000, 500_000
 DEPTH = 3
 #: Nats of divergence from which a context is retained, and the weight of its suffix's distribution in its own.
 DIVERGENCE, WEIGHT = 0.02, 50.0
 END = 0
 #: The hash that stands for the end of a text, and the base of the contexts' polynomials.
 FINAL, STEP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
-#: Texts that a task takes up at a time.
-PER_BATCH = 500
+#: How often a word must follow a context to be known there, in the query: what stands once is left to the suffix.
+FOLLOW = 2
+#: Texts that a task takes up at a time; their numbers fit in two bytes.
+PER_BATCH = 200
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -172,29 +179,83 @@ def places(words: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def cells(contexts: DataFrame) -> np.ndarray:
-    """For each cell, of a fixed number, whether a context lies in it: what isn't in one needn't be shuffled."""
+    """A bit for each cell, of a fixed number, that a context lies in: what isn't in one needn't be shuffled."""
     found = contexts.select(F.shiftrightunsigned("ctx", 64 - CELL_BITS).cast("int").alias("cell")).distinct().toArrow()
     out = np.zeros(1 << CELL_BITS, bool)
     out[found.column(0).to_numpy()] = True
-    return out
+    return np.packbits(out)
+
+
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """The places of the keys in increasing order, equal ones by place: a plain sort with the places in the low bits."""
+    bits = np.uint64(max(1, (len(keys) - 1).bit_length()))
+    packed = (keys >> bits << bits) | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    order = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    found = keys[order]
+    if (found[1:] < found[:-1]).any():  # some differ in their low bits alone
+        order = order[np.argsort(found, kind="stable")]
+    return order
+
 
+def begins(ordered: np.ndarray) -> np.ndarray:
+    """Where each different value of an ordered array begins."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1])))
 
-def pair_counts(texts: DataFrame, contexts: DataFrame, depth: int) -> DataFrame:
-    """Rows (ctx, w, n): how often each word follows each of the contexts, and some others that share a cell with one."""
+
+def pair_counts(texts: DataFrame, contexts: DataFrame, depth: int, units: int, follow: int = 1) -> DataFrame:
+    """Rows (ctx, w, n): how often each word follows each of the contexts, if ``follow`` times at least, and some others
+    that share a cell with one.
+
+    What a task counts in a stretch of texts goes to each bucket in one row: its contexts, the number of pairs of each,
+    and the pairs' words and counts. A pair's bucket comes from both of its parts, so frequent contexts are split.
+    """
     known = texts.sparkSession.sparkContext.broadcast(cells(contexts))
+    buckets = max(32, units // PER_BUCKET)
+
+    def packed(ctx: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+        order = order_of(ctx ^ w)
+        first = begins((ctx ^ w)[order])
+        n = np.diff(np.append(first, len(order))).astype("<u4")
+        ctx, w = ctx[order[first]], w[order[first]]
+        bucket = ((ctx ^ w) >> np.uint64(20)) % np.uint64(buckets)
+        bits = np.uint64(buckets.bit_length())
+        order = order_of((bucket << (np.uint64(64) - bits)) | (ctx >> bits))
+        ctx, w, n, bucket = ctx[order], w[order], n[order], bucket[order]
+        new = np.flatnonzero(np.concatenate(([True], (ctx[1:] != ctx[:-1]) | (bucket[1:] != bucket[:-1]))))
+        each = np.diff(np.append(new, len(ctx))).astype("<u4")
+        edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+        at = np.searchsorted(new, edges)
+        rows = [(ctx[new[i:j]].tobytes(), each[i:j].tobytes(), w[a:b].tobytes(), n[a:b].tobytes()) for a, b, i, j in zip(edges, edges[1:], at, at[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]].astype(np.int32)), *(pa.array(x, pa.binary()) for x in zip(*rows, strict=True))], ["bucket", "ctx", "each", "w", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             text, _, found = places([word_hashes(t or "") for t in batch.column(0).to_pylist()], depth)
-            if len(found) < depth:
-                continue
-            at, ctx = found[-1]
-            some = known.value[(ctx >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-            ctx, w = ctx[some], text[at[some]]
-            _, first, n = np.unique(ctx ^ w, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ctx[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(n)], ["ctx", "w", "n"])
-
-    return texts.select("text").mapInArrow(run, "ctx long, w long, n long").groupBy("ctx", "w").agg(F.sum("n").alias("n"))
+            if len(found) == depth:
+                at, ctx = found[-1]
+                some = filtered(known.value, ctx)
+                held.append((ctx[some], text[at[some]]))
+                size += len(held[-1][0])
+            if size >= STRETCH:
+                yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, size = [], 0
+        if size:
+            yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    def merged(table: pa.Table) -> pa.Table:
+        ctx, each, w, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("ctx", "<u8"), ("each", "<u4"), ("w", "<u8"), ("n", "<u4")))
+        ctx = np.repeat(ctx, each)
+        order = order_of(ctx ^ w)
+        ctx, w, n = ctx[order], w[order], n[order].astype(np.int64)
+        first = begins(ctx ^ w)
+        total = np.add.reduceat(n, first)
+        kept = total >= follow
+        return pa.table({"ctx": ctx[first][kept].view(np.int64), "w": w[first][kept].view(np.int64), "n": total[kept]})
+
+    sent = texts.select("text").mapInArrow(run, "bucket int, ctx binary, each binary, w binary, n binary")
+    return sent.groupBy("bucket").applyInArrow(merged, "ctx long, w long, n long")
 
 
 def onward(pairs: DataFrame) -> DataFrame:
@@ -208,152 +269,227 @@ def onward(pairs: DataFrame) -> DataFrame:
     return pairs.select("ctx", "suffix", "w", "n").mapInArrow(run, "ctx long, suffix long, total long")
 
 
-def states(texts: DataFrame, vocabulary: DataFrame, units: int, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, weight: float = WEIGHT) -> list[tuple[DataFrame, DataFrame]]:
-    """The tree, depth by depth: tables of retained contexts (ctx, total, back) and of what follows them (key, n, gain, back).
+def states(texts: DataFrame, vocabulary: DataFrame, units: int, depth: int = DEPTH, least: int = LEAST, divergence: float = DIVERGENCE, weight: float = WEIGHT, follow: int = 1) -> list[tuple[DataFrame, DataFrame]]:
+    """The tree, depth by depth: tables of retained contexts (ctx, total, back) and of what follows them (key, n, gain).
 
-    ``gain`` is the log10 of the share of a word in its state over that in the state's suffix, and ``back`` that of a
-    word which never follows. Every word counts as itself. A context is looked at if it occurs ``least`` times; only an
-    extension of such a one can be one, so each depth takes its contexts from the pairs of the one before.
+    ``back`` is the log10 of the share that a word which isn't known to follow has in a state over its share in the
+    state's suffix, and ``gain`` how much more it is for one that does follow. A context is looked at if it occurs
+    ``least`` times, and a word follows it if it does so ``follow`` times; what rarer ones occur goes to the suffix's
+    distribution, whose weight it adds to. Only an extension of a context of that count can be one, so each depth takes
+    its contexts from the pairs of the one before.
     """
+    spark = texts.sparkSession
     last = int(np.uint64(FINAL).view(np.int64))
     frequent = vocabulary.where(F.col("c") >= least).select(F.lit(0).cast("long").alias("ctx"), F.lit(0).cast("long").alias("suffix"), "w", F.col("c").alias("n"))
-    contexts = onward(frequent).withColumn("suffix", F.lit(0).cast("long"))
+    contexts = common.settle(onward(frequent).withColumn("suffix", F.lit(0).cast("long")), "contexts")
     known = vocabulary.select(F.lit(0).cast("long").alias("suffix"), "w", ((F.col("c") + 1) / F.lit(float(units))).alias("parent"), "c")
-    out = []
-    own = (F.col("n") + weight * F.col("parent")) / (F.col("total") + weight)
-    rest = F.lit(weight) / (F.col("total") + weight)
+    out: list[tuple[DataFrame, DataFrame]] = []
+    before: list[DataFrame] = []
+    own = (F.col("n") + F.col("left") * F.col("parent")) / (F.col("total") + weight)
+    rest = F.col("left") / (F.col("total") + weight)
     for d in range(1, depth + 1):
-        contexts = common.settle(contexts, "contexts") if d == 1 else contexts
         if contexts.isEmpty():
             break
-        counted = pair_counts(texts, contexts, d).join(handed(contexts.select("ctx", "suffix")), "ctx")
+        counted = pair_counts(texts, contexts, d, units, follow).join(common.handed(contexts.select("ctx", "suffix")), "ctx")
+        counted = common.settle(counted, "counted")
+        common.freed(spark)
         often = F.broadcast(known.where(F.col("c") >= max(2.0, HELD_SHARE * units)).drop("c"))  # at most 1 / HELD_SHARE
         first = counted.join(often, ["suffix", "w"], "left")
         columns = ["ctx", "w", "n", "parent"]
         far = first.where("parent IS NULL").drop("parent").join(known.where(F.col("c") < max(2.0, HELD_SHARE * units)), ["suffix", "w"])
         pairs = common.settle(first.where("parent IS NOT NULL").select(columns).unionByName(far.select(columns)), "pairs")
-        freed(texts.sparkSession)
-        seen = pairs.join(handed(contexts.select("ctx", "total")), "ctx").groupBy("ctx").agg(F.first("total").alias("total"), F.sum(own * F.log(own / F.col("parent"))).alias("kl"), F.sum("parent").alias("mass"))
+        common.discard(counted, *before)
+        common.freed(spark)
+        sums = pairs.groupBy("ctx").agg(F.sum("n").alias("following")).join(common.handed(contexts.select("ctx", "total")), "ctx")
+        sums = common.settle(sums.select("ctx", "total", (F.col("total") - F.col("following") + weight).alias("left")), "sums")
+        seen = pairs.join(common.handed(sums), "ctx").groupBy("ctx").agg(F.first("total").alias("total"), F.first("left").alias("left"), F.sum(own * F.log(own / F.col("parent"))).alias("kl"), F.sum("parent").alias("mass"))
         unseen = rest * F.log(rest) * F.greatest(F.lit(0.0), 1 - F.col("mass"))
-        kept = common.settle(seen.where(F.col("kl") + unseen >= divergence).select("ctx", "total", F.log10(rest).alias("back")), "states")
-        gains = pairs.join(handed(kept), "ctx").select(F.col("ctx").bitwiseXOR(F.col("w")).alias("key"), "n", F.log10(own / F.col("parent")).alias("gain"), "back")
-        out.append((kept, gains))
-        longer = pairs.where((F.col("n") >= least) & (F.col("w") != last)).join(handed(contexts.select("ctx", "suffix")), "ctx")
-        contexts = common.settle(onward(longer), "contexts")
+        kept = common.settle(seen.where(F.col("kl") + unseen >= divergence).select("ctx", "total", "left", F.log10(rest).alias("back")), "states")
+        gains = pairs.join(common.handed(kept), "ctx").select(F.col("ctx").bitwiseXOR(F.col("w")).alias("key"), "n", (F.log10(own / F.col("parent")) - F.col("back")).alias("gain"))
+        out.append((kept, common.settle(gains, "gains")))
+        longer = pairs.where((F.col("n") >= least) & (F.col("w") != last)).join(common.handed(contexts.select("ctx", "suffix")), "ctx")
+        longer = common.settle(onward(longer), "contexts")
+        common.discard(contexts, sums)
+        contexts = longer
         wanted = contexts.select(F.col("suffix").alias("ctx")).distinct()
-        marked = pairs.join(handed(wanted), "ctx", "left_semi").join(handed(kept), "ctx", "left")
+        marked = pairs.join(common.handed(wanted), "ctx", "left_semi").join(common.handed(kept), "ctx", "left")
         known = marked.select(F.col("ctx").alias("suffix"), "w", F.when(F.col("back").isNull(), F.col("parent")).otherwise(own).alias("parent"), F.col("n").alias("c"))
+        before = [pairs]
+        common.freed(spark)
+    common.discard(contexts, *before)
     return out
 
 
-def handed(rows: DataFrame) -> DataFrame:
-    """The same rows, to be sent to every task if they are few; else joins shuffle."""
-    return F.broadcast(rows) if rows.count() <= HANDED_ROWS else rows
+def key_filter(keys: DataFrame, n: int) -> np.ndarray:
+    """A bit for each cell that a key lies in, eight cells a key and 2 ** FILTER_BITS in all at most; what lies in no such cell needn't be looked up."""
+    bits = min(FILTER_BITS, max(16, int(8 * n).bit_length()))
+    part = min(bits, 18)
+
+    def slices(table: pa.Table) -> pa.Table:
+        cell = table.column("cell").to_numpy()
+        held = np.zeros(1 << part, bool)
+        held[cell & ((1 << part) - 1)] = True
+        return pa.table({"slice": pa.array([int(cell[0]) >> part], pa.int32()), "bits": pa.array([np.packbits(held).tobytes()], pa.binary())})
+
+    cell = F.shiftrightunsigned("key", 64 - bits).cast("int").alias("cell")
+    found = keys.select(cell).withColumn("slice", F.shiftright("cell", part)).groupBy("slice").applyInArrow(slices, "slice int, bits binary").toArrow()
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for at, held in zip(found.column("slice").to_pylist(), found.column("bits").to_pylist(), strict=True):
+        out[at << (part - 3) : (at + 1) << (part - 3)] = np.frombuffer(held, np.uint8)
+    return out
 
 
-def freed(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that are done with."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def filtered(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys lie in a cell of the filter."""
+    cell = keys >> np.uint64(64 - (len(bits).bit_length() + 2))
+    return (bits[cell >> np.uint64(3)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & np.uint8(1) == 1
 
 
-def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, follow: int = 1) -> DataFrame:
     """Score whole texts, learning from those for which the column ``held_out`` is not true.
 
     Returns id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10). Null and empty texts are one
     end; repeated rows are scored, and learned from, each; null ids aren't held out. Without training texts every token
     is unknown.
 
-    A score is the base score and, for each state that fits a token, its gain over its suffix. Words, states and pairs
-    of at least HELD_SHARE of the tokens (at most 1 / HELD_SHARE of them a depth) go to every task; the others' come by a
-    join, and only their sums go back to the documents.
+    A score is the base score and, for each state that fits a token, what it gives over its suffix. Words, states and
+    pairs of at least HELD_SHARE / 4 of the tokens (at most 4 / HELD_SHARE of them a depth) go to every task. The other
+    keys of a batch of texts travel to the tables that hold them, in one row for each bucket of keys, and only sums go
+    back to the documents.
     """
     spark = common.ready(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     training = source.where("NOT held_out")
     vocabulary = common.settle(word_counts(training), "vocabulary")
+    common.freed(spark)
     whole = vocabulary.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     n, v = int(whole["n"] or 0), int(whole["v"])
-    often = max(2.0, HELD_SHARE * n)
+    often = max(2.0, HELD_SHARE * n / 4)
     last = int(np.uint64(FINAL).view(np.int64))
     ends = sum(r["c"] for r in vocabulary.where(F.col("w") == last).collect())
     unit, end_score = math.log10(n + v + 1), math.log10(ends + 1)
-    tree = states(training, vocabulary, n + v + 1, least=least)
+    tree = states(training, vocabulary, n + v + 1, least=least, follow=follow)
 
-    # Rows (key, c, value, held, word): what a key adds to a text's score, and to that of a text held out.
-    rows = [vocabulary.where(F.col("w") != last).select(F.col("w").alias("key"), "c", F.log10(F.col("c") + 1).alias("value"), F.log10(F.col("c") + 1).alias("held"), F.lit(True).alias("word"))]
+    # Rows (key, c, value, word): what a key adds to a text's score.
+    rows = [vocabulary.where(F.col("w") != last).select(F.col("w").alias("key"), "c", F.log10(F.col("c") + 1).alias("value"), F.lit(True).alias("word"))]
     for kept, gains in tree:
-        rows.append(kept.select(F.col("ctx").alias("key"), F.col("total").alias("c"), F.lit(0.0).alias("value"), F.col("back").alias("held"), F.lit(False).alias("word")))
-        rows.append(gains.select("key", F.col("n").alias("c"), F.col("gain").alias("value"), (F.col("gain") - F.col("back")).alias("held"), F.lit(False).alias("word")))
+        rows.append(kept.select(F.col("ctx").alias("key"), F.col("total").alias("c"), F.col("back").alias("value"), F.lit(False).alias("word")))
+        rows.append(gains.select("key", F.col("n").alias("c"), F.col("gain").alias("value"), F.lit(False).alias("word")))
     table = reduce(DataFrame.unionByName, rows)
-    near = table.where(F.col("c") >= often).select("key", "value", "held").toArrow()
+    near = table.where(F.col("c") >= often).select("key", "value").toArrow()
     keys = near.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    near_table = spark.sparkContext.broadcast((keys[order], near.column("value").to_numpy()[order], near.column("held").to_numpy()[order]))
+    order = order_of(keys)
+    near_table = spark.sparkContext.broadcast((keys[order], near.column("value").to_numpy()[order]))
     retained = spark.sparkContext.broadcast([cells(kept) for kept, _ in tree])
+    distant = table.where(F.col("c") < often)
+    known_keys = spark.sparkContext.broadcast(key_filter(distant, distant.count()))
+    buckets = max(32, (n + v) // PER_BUCKET)
+    common.freed(spark)
+    kind = source.schema["doc_id"].dataType
+    doc_type = to_arrow_type(kind)
+    doc_columns = ["row", "doc_id", "held_out", "n_tokens", "base", "gain"]
+    doc_types = [pa.int64(), doc_type, pa.bool_(), pa.int64(), pa.float64(), pa.float64()]
+    sum_columns = ["far_known", "far", "far_gain"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, value, held_value = near_table.value
-
-        def look(wanted):
-            if not len(keys):
-                return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            return at, keys[at] == wanted
+        from pyspark import TaskContext
 
+        keys, value = near_table.value
+        row = TaskContext.get().partitionId() << 40
         for batch in (whole.slice(i, PER_BATCH) for whole in batches for i in range(0, whole.num_rows, PER_BATCH)):
             words = [word_hashes(t or "") for t in batch.column(2).to_pylist()]
-            held = np.array([bool(x) for x in batch.column(1).to_pylist()], bool)
             text, doc, found = places(words, len(retained.value))
-            inner = np.flatnonzero(text != FINAL)
-            size = len(words)
-            at, hit = look(text[inner])
-            base = np.bincount(doc[inner][hit], value[at[hit]], size)
-            far = [(doc[inner][~hit], text[inner][~hit])]
-            far_n = np.bincount(far[0][0], minlength=size)
-            gain = np.zeros(size)
+            size, inner = len(words), np.flatnonzero(text != FINAL)
+            asked, docs = [text[inner]], [doc[inner].astype("<u2")]
             for known, (at, ctx) in zip(retained.value, found, strict=False):
-                some = known[(ctx >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                some = filtered(known, ctx)
                 at, ctx = at[some], ctx[some]
-                out = held[doc[at]]  # only in these may a word follow a state that it never followed
-                for d, key in ((doc[at], ctx ^ text[at]), (doc[at][out], ctx[out])):
-                    place, hit = look(key)
-                    gain += np.bincount(d[hit], np.where(held[d[hit]], held_value[place[hit]], value[place[hit]]), size)
-                    far.append((d[~hit], key[~hit]))
-            d, key = (np.concatenate(x) for x in zip(*far, strict=True))
-            order = np.lexsort((key, d))
-            d, key = d[order], key[order]
-            first = np.flatnonzero(np.concatenate((np.ones(min(1, len(d)), bool), (d[1:] != d[:-1]) | (key[1:] != key[:-1]))))
-            times = np.diff(np.append(first, len(d))).astype(np.int32)
-            offsets = np.searchsorted(d[first], np.arange(size + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(x)) for x in (key[first].view(np.int64), times)]
-            columns = [pa.array([len(w) + 1 for w in words], pa.int64()), pa.array(base.astype(np.float64)), pa.array(gain), pa.array(far_n, pa.int64()), *lists]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "held_out", "n_tokens", "base", "gain", "far_n", "keys", "times"])
-
-    kind = source.schema["doc_id"].dataType.simpleString()
-    encoded = source.select("doc_id", "held_out", "text").mapInArrow(encode, f"doc_id {kind}, held_out boolean, n_tokens long, base double, gain double, far_n long, keys array<bigint>, times array<int>")
-    encoded = common.settle(encoded.withColumn("row", F.monotonically_increasing_id()), "encoded")
-    freed(spark)
-    items = encoded.select("row", "held_out", F.explode(F.arrays_zip("keys", "times")).alias("x")).select("row", "held_out", F.col("x.keys").alias("key"), F.col("x.times").alias("times"))
-    weighed = items.join(table.where(F.col("c") < often).drop("c"), "key")
-    sums = weighed.groupBy("row").agg(
-        F.sum(F.when(F.col("word"), F.col("times") * F.col("value"))).alias("far"),
-        F.sum(F.when(F.col("word"), F.col("times"))).alias("far_known"),
-        F.sum(F.when(~F.col("word"), F.col("times") * F.when(F.col("held_out"), F.col("held")).otherwise(F.col("value")))).alias("far_gain"),
-    )
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    base = F.col("base") + zero("far") + F.lit(end_score) - F.col("n_tokens") * F.lit(unit)
-    return encoded.select("row", "doc_id", "held_out", "n_tokens", "base", "gain", "far_n").join(sums, "row", "left").select(
+                asked += [ctx, ctx ^ text[at]]
+                docs += [doc[at].astype("<u2")] * 2
+            key, docs = np.concatenate(asked), np.concatenate(docs)
+            order = order_of(key)
+            key, docs, word = key[order], docs[order], order < len(inner)  # keys of words came first
+            first = begins(key)
+            different = key[first]
+            at = np.minimum(np.searchsorted(keys, different), max(0, len(keys) - 1))
+            hit = keys[at] == different if len(keys) else np.zeros(len(different), bool)
+            times = np.diff(np.append(first, len(key)))
+            near = np.repeat(hit, times)
+            add, own = np.repeat(value[at[hit]], times[hit]), docs[near]
+            word = word[near]
+            near_n, base = np.bincount(own[word], minlength=size), np.bincount(own[word], add[word], size)
+            gain = np.bincount(own[~word], add[~word], size)
+            far = ~hit & filtered(known_keys.value, different)
+            different, times, docs = different[far], times[far], docs[np.repeat(far, times)]
+            bucket = (different >> np.uint64(20)) % np.uint64(buckets)
+            move = np.argsort(bucket.astype(np.uint32), kind="stable")
+            start = (np.cumsum(times) - times)[move]
+            different, times, bucket = different[move], times[move], bucket[move]
+            docs = docs[np.repeat(start - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
+            edges = np.append(begins(bucket), len(bucket))
+            ends = np.concatenate(([0], np.cumsum(times)))[edges]
+            blobs = [(different[a:b].tobytes(), times[a:b].astype("<u4").tobytes(), docs[i:j].tobytes()) for a, b, i, j in zip(edges, edges[1:], ends, ends[1:], strict=False)]
+            n_blobs = len(blobs)
+            spread = (np.arange(row, row + size) % buckets).astype(np.int32)
+            own = [np.arange(row, row + size), batch.column(0).cast(doc_type), batch.column(1), np.array([len(w) + 1 for w in words], np.int64), base.astype(np.float64), gain.astype(np.float64)]
+            nothing = [pa.nulls(n_blobs, t) for t in doc_types[1:]]
+            columns = [pa.concat_arrays([pa.array(x) if isinstance(x, np.ndarray) else x, y]) for x, y in zip(own, [pa.array(np.full(n_blobs, row)), *nothing], strict=True)]
+            columns += [pa.array(np.concatenate((near_n, np.zeros(n_blobs, np.int64)))), pa.array(np.concatenate((spread, bucket[edges[:-1]].astype(np.int32))))]
+            columns += [pa.concat_arrays([pa.nulls(size, pa.binary()), pa.array([x[i] for x in blobs], pa.binary())]) for i in range(3)]
+            yield pa.RecordBatch.from_arrays(columns, [*doc_columns, "near_n", "bucket", "keys", "times", "docs"])
+            row += size
+
+    def weigh(sent: pa.Table, table: pa.Table) -> pa.Table:
+        own = sent.filter(pc.is_null(sent.column("keys")))
+        sent = sent.filter(pc.is_valid(sent.column("keys")))
+        out = pa.table([*(own.column(c) for c in doc_columns), own.column("near_n"), *(pa.array(np.zeros(own.num_rows)) for _ in range(2))], [*doc_columns, *sum_columns])
+        if not sent.num_rows or not table.num_rows:
+            return out
+        held = table.column("key").to_numpy().view(np.uint64)
+        order = order_of(held)
+        held, value, word = held[order], table.column("value").to_numpy()[order], table.column("word").to_numpy(zero_copy_only=False)[order]
+        blobs = sent.column("keys").to_pylist()
+        key, times, docs = (np.frombuffer(b"".join(x), kind) for x, kind in ((blobs, "<u8"), (sent.column("times").to_pylist(), "<u4"), (sent.column("docs").to_pylist(), "<u2")))
+        first = np.repeat(sent.column("row").to_numpy(), [len(b) // 8 for b in blobs])
+        order = order_of(key)
+        at = np.empty(len(key), np.int64)
+        at[order] = np.minimum(np.searchsorted(held, key[order]), len(held) - 1)
+        hit = held[at] == key
+        row = (np.repeat(first, times) + docs)[np.repeat(hit, times)].astype(np.uint64)
+        at = np.repeat(at[hit], times[hit])
+        order = order_of(row)
+        row, at = row[order], at[order]
+        new = begins(row)
+        if not len(new):
+            return out
+        sums = [np.add.reduceat(weights, new) for weights in (word[at].astype(np.int64), np.where(word[at], value[at], 0.0), np.where(word[at], 0.0, value[at]))]
+        nothing = [pa.nulls(len(new), t) for t in doc_types[1:]]
+        return pa.concat_tables([out, pa.table([pa.array(row[new].astype(np.int64)), *nothing, *map(pa.array, sums)], out.column_names)])
+
+    plain = f"row long, doc_id {kind.simpleString()}, held_out boolean, n_tokens long, base double, gain double"
+    lookup = distant.select("key", "value", "word", F.pmod(F.shiftrightunsigned("key", 20), F.lit(buckets)).cast("int").alias("bucket"))
+    one = lambda c: F.max(c).alias(c)  # noqa: E731  only one of a document's rows has it
+    scored = []
+    for k in range(SLICES):
+        some = source.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLICES)) == k).select("doc_id", "held_out", "text")
+        sent = some.mapInArrow(encode, f"{plain}, near_n long, bucket int, keys binary, times binary, docs binary")
+        weighed = sent.groupBy("bucket").cogroup(lookup.groupBy("bucket")).applyInArrow(weigh, f"{plain}, far_known long, far double, far_gain double")
+        scored.append(common.settle(weighed.groupBy("row").agg(*map(one, doc_columns[1:]), *[F.sum(c).alias(c) for c in sum_columns]), "scores"))
+        common.freed(spark)
+    sums = reduce(DataFrame.unionByName, scored)
+    common.discard(*(x for pair in tree for x in pair), vocabulary)
+    base = F.col("base") + F.col("far") + F.lit(end_score) - F.col("n_tokens") * F.lit(unit)
+    return sums.select(
         F.col("doc_id").alias(id_col),
         "held_out",
         "n_tokens",
-        (F.col("n_tokens") - 1 - F.col("far_n") + zero("far_known") + int(ends > 0)).alias("n_known"),
+        (F.col("far_known") + int(ends > 0)).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        (base + F.col("gain") + zero("far_gain")).alias("score"),
+        (base + F.col("gain") + F.col("far_gain")).alias("score"),
     )
 
 
 def op4_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents, learned from those outside fold 2 of 7."""
-    return score_texts(common.table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
+    return score_texts(common.table(spark, sf_dir, "documents"), fold("doc_id", 7) == 2, follow=FOLLOW)
