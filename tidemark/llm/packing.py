@@ -187,7 +187,9 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     frequent length.
     """
     spark = common.ready(docs.sparkSession)
-    pieces = common.settle(cut(docs, path or default_path(), capacity, end_id, id_col, text_col), "pieces")
+    # equal rows, as those of one repeated or null id, are told apart by a number that is written with them
+    numbered = cut(docs, path or default_path(), capacity, end_id, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    pieces = common.settle(numbered, "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots, _, _ = pack_sizes(counts, capacity)
     buckets = max(1, sum(counts.values()) // PER_BUCKET)
@@ -195,9 +197,6 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end
     lists = F.broadcast(  # at most `capacity` rows; a length's slots are few and ordered by rank
         spark.createDataFrame(slots, schema).groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first_rank", "first_bin", "offset"))).alias("slots"))
     )
-    # equal rows, as those of one repeated or null id, are told apart by where they are read
-    row = F.monotonically_increasing_id()
-    pieces = pieces.withColumn("row", row)
     keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(buckets)).cast("int"))
     starts = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n")).withColumn("start_rank", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     starts = starts.select("length", "bucket", F.coalesce("start_rank", F.lit(0)).alias("start_rank"))
