@@ -7,6 +7,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -87,9 +88,14 @@ def discard(*frames: DataFrame) -> None:
 
 
 def freed(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that are done with, which else stay until the driver's heap is full."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark remove the shuffle files of plans that are done with, which else stay until the driver's heap is full.
+
+    A second round takes what the first has set free, and the executors get a moment to remove it.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def handed(rows: DataFrame) -> DataFrame:
