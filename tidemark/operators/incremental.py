@@ -33,10 +33,11 @@ def snapshot_diff(entries: DataFrame, files: DataFrame) -> DataFrame:
     same = (F.col("new_mtime") == F.col("old_mtime")) & (F.col("new_size") == F.col("old_size"))
     action = F.when(F.col("is_old").isNull(), "insert").when(F.col("is_new").isNull(), "delete").when(same, "skip").when(F.col("new_content_hash") == F.col("old_content_hash"), "touch").otherwise("update")
     rows = new.join(old, "path", "full_outer").select("path", action.alias("action"), F.coalesce("new_content_hash", "old_content_hash").alias("hash"))
-    numbered = Window.partitionBy("hash").orderBy("path")
-    came = rows.where("action = 'insert'").select(F.col("path"), "hash", F.row_number().over(numbered).alias("k"))
-    gone = rows.where("action = 'delete'").select(F.col("path").alias("old_path"), "hash", F.row_number().over(numbered).alias("k"))
-    renames = came.join(gone, ["hash", "k"]).select("path", "old_path")
+    came, gone = rows.where("action = 'insert'").select("path", "hash"), rows.where("action = 'delete'").select(F.col("path").alias("old_path"), "hash")
+    # only contents that both came and went are put in order: many new files with equal contents, empty ones say, are not
+    shared = rows.where("action IN ('insert', 'delete')").groupBy("hash").agg(F.min("action").alias("a"), F.max("action").alias("b")).where("a <> b").select("hash")
+    place = lambda df, path: df.join(shared, "hash").withColumn("k", F.row_number().over(Window.partitionBy("hash").orderBy(path)))
+    renames = place(came, "path").join(place(gone, "old_path"), ["hash", "k"]).select("path", "old_path")
     rest = rows.where("action NOT IN ('insert', 'delete')").select("path", "action", F.lit(None).cast("string").alias("old_path"))
     inserts = came.join(renames.select("path"), "path", "left_anti").select("path", F.lit("insert").alias("action"), F.lit(None).cast("string").alias("old_path"))
     deletes = gone.join(renames.select("old_path"), "old_path", "left_anti").select(F.col("old_path").alias("path"), F.lit("delete").alias("action"), F.lit(None).cast("string").alias("old_path"))
