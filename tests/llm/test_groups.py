@@ -4,6 +4,7 @@ import hashlib
 import importlib.util
 import random
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -120,6 +121,28 @@ def test_long_lists_are_compared_whole(spark, monkeypatch):
     check_near(spark, rows, spark.createDataFrame(rows, "doc_id long, text string"))
 
 
+def test_a_tile_is_compared_in_bounded_memory():
+    """A tile's rows meet in eight million values, and 32,768 pairs of wide sketches are judged, in a few MB at a time."""
+    rng = np.random.default_rng(2)
+    n, size = 256, near_dups.WIDE
+    rows = np.repeat(np.arange(n), size)
+    a, b = (np.stack([np.sort(rng.permutation(size * 4)[:size]) for _ in range(n)]).astype(np.int64) for _ in range(2))
+    each = (a.reshape(-1), rows), (b.reshape(-1), rows)
+    want = np.array([[len(np.intersect1d(x, y)) for y in b[:9]] for x in a])
+    i, j = np.repeat(np.arange(n), 128), np.tile(np.arange(128), n)
+    union = [[np.unique(np.concatenate((x, y)))[:size] for y in b[:3]] for x in a]
+    tracemalloc.start()
+    try:
+        for often in (8, 1000):  # all by products, and all pair by pair
+            assert (near_dups.overlaps(each[0], n, each[1], n, often=often)[:, :9] == want).all()
+        shares = near_dups.pair_shares(a, i, b, j, size).reshape(n, 128)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert all(shares[x, y] == len(np.intersect1d(union[x][y], np.intersect1d(a[x], b[y]))) for x in range(n) for y in range(3))
+    assert peak < 100_000_000
+
+
 @pytest.mark.parametrize("size", [100, 400, 5000])
 def test_union_sketch_recall(size):
     """Of pairs at the threshold, all pass the union sketch; of pairs at half of it, none but a few."""

@@ -33,6 +33,8 @@ STRETCH = 4_000_000
 #: Members up to which the pairs of a list are made by a join; longer lists are compared block by block, tile by tile.
 SMALL_LIST = 64
 BLOCK, TILE = 4096, 1024
+#: Values of pairs that a task compares at a time.
+AT_ONCE = 1 << 20
 #: Shingles of the texts that are verified together, and pairs of such a bucket.
 BUCKET_SHINGLES, BUCKET_PAIRS = 2_000_000, 200_000
 
@@ -300,7 +302,7 @@ def overlaps(a: tuple[np.ndarray, np.ndarray], na: int, b: tuple[np.ndarray, np.
     """How many values each of na rows shares with each of nb others; a and b are (values, row of each).
 
     Values that more than ``often`` rows have are done by products of 0-1 matrices of bounded width, and there are few of
-    them; of the others each pair of rows that meets is counted.
+    them; of the others each pair of rows that meets is counted, AT_ONCE of them at a time.
     """
     shared = np.intersect1d(a[0], b[0])
     sides = []
@@ -317,8 +319,11 @@ def overlaps(a: tuple[np.ndarray, np.ndarray], na: int, b: tuple[np.ndarray, np.
     light = ~heavy[ca]
     column, rows = ca[light], ra[light]
     each = fb[column]
-    at = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + np.repeat(ends[column] - each, each)
-    out += np.bincount(np.repeat(rows, each) * nb + rb[at], minlength=na * nb).astype(np.float32)
+    edges = np.append(np.flatnonzero(np.diff(np.cumsum(each) // AT_ONCE, prepend=-1)), len(each))
+    for i, j in zip(edges, edges[1:], strict=False):
+        some = each[i:j]
+        at = np.arange(int(some.sum())) + np.repeat(ends[column[i:j]] - np.cumsum(some), some)
+        out += np.bincount(np.repeat(rows[i:j], some) * nb + rb[at], minlength=na * nb)
     out = out.reshape(na, nb)
     place = np.cumsum(heavy) - 1
     for first in range(0, int(heavy.sum()), step):
@@ -342,10 +347,17 @@ def padded(values: np.ndarray, rows: np.ndarray, n: int, width: int) -> np.ndarr
 
 def union_shares(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
     """Of the ``size`` smallest values of each row pair's union, how many are in both."""
-    both = np.sort(np.concatenate((a, b), axis=1), axis=1)
+    both = np.concatenate((a, b), axis=1)
+    both.sort(axis=1)
     again = np.zeros(both.shape, bool)
     again[:, 1:] = both[:, 1:] == both[:, :-1]
-    return (again & (np.cumsum(~again, axis=1) <= size)).sum(axis=1)
+    return (again & (np.cumsum(~again, axis=1, dtype=np.int32) <= size)).sum(axis=1)
+
+
+def pair_shares(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
+    """The same for the rows i of a, each with that of the rows j of b, of which few are copied at a time."""
+    step = max(1, AT_ONCE // (a.shape[1] + b.shape[1]))
+    return np.concatenate([np.zeros(0, np.int64), *(union_shares(a[i[k : k + step]], b[j[k : k + step]], size) for k in range(0, len(i), step))])
 
 
 def blockwise(rest: DataFrame, wide: DataFrame) -> DataFrame:
@@ -391,9 +403,7 @@ def blockwise(rest: DataFrame, wide: DataFrame) -> DataFrame:
             fine &= np.where(whole, overlap * 100 >= (np.add.outer(*n) - overlap) * PERCENT, (overlap >= least) | (np.minimum.outer(*n) < size))
             x, y = np.nonzero(fine)
             sketch = [padded(*f, t.num_rows, size) for f, t in zip(some, (one, two), strict=True)]
-            for at in range(0, len(x), 32_768):
-                i, j = x[at : at + 32_768], y[at : at + 32_768]
-                fine[i, j] = whole[i, j] | (union_shares(sketch[0][i], sketch[1][j], size) >= least[i, j])
+            fine[x, y] = whole[x, y] | (pair_shares(sketch[0], x, sketch[1], y, size) >= least[x, y])
         x, y = np.nonzero(fine)
         x, y = pa.array(x), pa.array(y)
         a, b, na, nb = one.column("node").take(x), two.column("node").take(y), one.column("n").take(x), two.column("n").take(y)
