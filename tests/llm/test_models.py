@@ -190,6 +190,19 @@ def test_tree_scores_by_brute_force(spark, monkeypatch):
         assert all(math.isclose(got[i], x, rel_tol=1e-9) for (i, _), x in zip(rows, want, strict=True))
 
 
+def test_pairs_are_counted_in_parts(spark, monkeypatch):
+    """Each part has whole counts of its own pairs, none has most of them, and together they have all."""
+    monkeypatch.setattr(suffix_tree, "PARTS", 3)
+    rows = [(i, " ".join(f"w{(i * i + k * k) % 41}" for k in range(30))) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = suffix_tree.word_counts(docs).selectExpr("w", "0L AS ctx", "0L AS suffix", "c AS n").where("n > 1")
+    parts = [p.collect() for p in suffix_tree.pair_counts(docs, suffix_tree.onward(words).cache(), 1, 3000)]
+    want = Counter(p for _, t in rows for p in zip(["", *t.split()], [*t.split(), ""], strict=True))
+    assert sorted(r["n"] for p in parts for r in p) == sorted(want.values())
+    assert len({(r["ctx"], r["w"]) for p in parts for r in p}) == len(want)
+    assert len(parts) == 3 and max(map(len, parts)) < len(want) / 2
+
+
 def test_tree_grows_with_the_corpus(spark):
     def states(times):
         rows = [(i, " ".join(f"t{i} w{i} x{i}" for _ in range(40))) for i in range(times * 50)]

@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,9 @@ CELL_BITS = 24
 #: Cells of the filter of keys: 2 ** FILTER_BITS at most, 32 MB.
 FILTER_BITS = 28
 #: Parts of the documents that are scored one after the other, each part's keys being given back before the next.
-SLICES = 3
+SLICES = 5
+#: Parts of the pairs that are counted one after the other, in a pass over the texts each; a part is settled before the next.
+PARTS = 2
 #: Tokens for each bucket of pairs and of keys, and tokens that a task counts before it sends what it has counted.
 PER_BUCKET, STRETCH = 2_000_000, 500_000
 DEPTH = 3
@@ -203,15 +205,15 @@ def begins(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1])))
 
 
-def pair_counts(texts: DataFrame, contexts: DataFrame, depth: int, units: int, follow: int = 1) -> DataFrame:
+def pair_counts(texts: DataFrame, contexts: DataFrame, depth: int, units: int, follow: int = 1) -> list[DataFrame]:
     """Rows (ctx, w, n): how often each word follows each of the contexts, if ``follow`` times at least, and some others
-    that share a cell with one.
+    that share a cell with one. Each of the PARTS tables has all of the pairs whose hash falls in it.
 
     What a task counts in a stretch of texts goes to each bucket in one row: its contexts, the number of pairs of each,
     and the pairs' words and counts. A pair's bucket comes from both of its parts, so frequent contexts are split.
     """
     known = texts.sparkSession.sparkContext.broadcast(cells(contexts))
-    buckets = max(32, units // PER_BUCKET)
+    buckets, parts = max(32, units // PER_BUCKET), PARTS
 
     def packed(ctx: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
         order = order_of(ctx ^ w)
@@ -229,14 +231,16 @@ def pair_counts(texts: DataFrame, contexts: DataFrame, depth: int, units: int, f
         rows = [(ctx[new[i:j]].tobytes(), each[i:j].tobytes(), w[a:b].tobytes(), n[a:b].tobytes()) for a, b, i, j in zip(edges, edges[1:], at, at[1:], strict=False)]
         return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]].astype(np.int32)), *(pa.array(x, pa.binary()) for x in zip(*rows, strict=True))], ["bucket", "ctx", "each", "w", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(part: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             text, _, found = places([word_hashes(t or "") for t in batch.column(0).to_pylist()], depth)
             if len(found) == depth:
                 at, ctx = found[-1]
-                some = filtered(known.value, ctx)
-                held.append((ctx[some], text[at[some]]))
+                w = text[at]
+                some = np.flatnonzero((ctx ^ w) % np.uint64(parts) == part)
+                some = some[filtered(known.value, ctx[some])]
+                held.append((ctx[some], w[some]))
                 size += len(held[-1][0])
             if size >= STRETCH:
                 yield packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
@@ -254,8 +258,8 @@ def pair_counts(texts: DataFrame, contexts: DataFrame, depth: int, units: int, f
         kept = total >= follow
         return pa.table({"ctx": ctx[first][kept].view(np.int64), "w": w[first][kept].view(np.int64), "n": total[kept]})
 
-    sent = texts.select("text").mapInArrow(run, "bucket int, ctx binary, each binary, w binary, n binary")
-    return sent.groupBy("bucket").applyInArrow(merged, "ctx long, w long, n long")
+    sent = [texts.select("text").mapInArrow(partial(run, k), "bucket int, ctx binary, each binary, w binary, n binary") for k in range(parts)]
+    return [x.groupBy("bucket").applyInArrow(merged, "ctx long, w long, n long") for x in sent]
 
 
 def onward(pairs: DataFrame) -> DataFrame:
@@ -290,9 +294,11 @@ def states(texts: DataFrame, vocabulary: DataFrame, units: int, depth: int = DEP
     for d in range(1, depth + 1):
         if contexts.isEmpty():
             break
-        counted = pair_counts(texts, contexts, d, units, follow).join(common.handed(contexts.select("ctx", "suffix")), "ctx")
-        counted = common.settle(counted, "counted")
-        common.freed(spark)
+        asked, parts = common.handed(contexts.select("ctx", "suffix")), []
+        for part in pair_counts(texts, contexts, d, units, follow):
+            parts.append(common.settle(part.join(asked, "ctx"), "counted"))
+            common.freed(spark)
+        counted = reduce(DataFrame.unionByName, parts)
         often = F.broadcast(known.where(F.col("c") >= max(2.0, HELD_SHARE * units)).drop("c"))  # at most 1 / HELD_SHARE
         first = counted.join(often, ["suffix", "w"], "left")
         columns = ["ctx", "w", "n", "parent"]
