@@ -203,6 +203,45 @@ def test_pairs_are_counted_in_parts(spark, monkeypatch):
     assert len(parts) == 3 and max(map(len, parts)) < len(want) / 2
 
 
+def test_words_of_texts_that_are_hashed_together(monkeypatch):
+    texts = ["A b", None, "", " \t", "é\x0bX  y ", "w" * 90, "b", "a \udc80", " z"]
+    want = [suffix_tree.word_hashes(t or "") for t in texts]
+    for size in (1, 8, 20, 1000):
+        monkeypatch.setattr(suffix_tree, "TOGETHER", size)
+        words, each = suffix_tree.words_of(texts)
+        assert each.tolist() == [len(x) for x in want] and words.tolist() == [w for x in want for w in x]
+
+
+def test_a_depth_with_few_places_is_counted_in_one_pass(spark, monkeypatch):
+    """Only as many passes over the texts as what is sent asks for; contexts of all places still take PARTS of them."""
+    made, counted = [], suffix_tree.pair_counts
+    monkeypatch.setattr(suffix_tree, "pair_counts", lambda *a: made.append(counted(*a)) or made[-1])
+    rows = [(i, " ".join(["a", "b"][(i >> k) % 2] for k in range(20)) + "".join(f" r{i}x{k}" for k in range(30 * (i % 2)))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = suffix_tree.word_counts(docs).cache()
+    suffix_tree.states(docs, words, words.agg(F.sum("c") + F.count("*") + 1).first()[0], depth=1)
+    suffix_tree.states(docs.selectExpr("doc_id", "substr(text, 1, 39) AS text"), words.where("c > 1"), 4201, depth=1)
+    assert [len(x) for x in made] == [1, 2]
+
+
+def test_keys_are_packed_by_bucket(spark):
+    """One row a bucket and no key lost, each in its bucket and in a cell of the filter."""
+    import numpy as np
+
+    rows = spark.range(5000).select(F.xxhash64("id").alias("key"), (F.col("id") / 7).alias("value"))
+    packed = suffix_tree.packed_keys(rows.repartition(5), True, 32, 18).collect()
+    assert sorted(r["bucket"] for r in packed) == list(range(32)) and all(r["word"] for r in packed)
+    bits, got = np.zeros(1 << 15, np.uint8), {}
+    for r in packed:
+        keys, value = suffix_tree.unpacked(r["keys"], "<u8"), suffix_tree.unpacked(r["value"], "<f8")
+        assert (suffix_tree.bucket_of(keys, 32) == r["bucket"]).all() and (keys[1:] > keys[:-1]).all()
+        got |= dict(zip(keys.view(np.int64).tolist(), value.tolist(), strict=True))
+        bits[r["first"] : r["first"] + len(r["cells"])] |= np.frombuffer(r["cells"], np.uint8)
+    want = {r["key"]: r["value"] for r in rows.collect()}
+    assert got == want and suffix_tree.filtered(bits, np.array(list(want)).view(np.uint64)).all()
+    assert not suffix_tree.filtered(bits, np.arange(1, 4000, dtype=np.uint64) << np.uint64(52)).all()
+
+
 def test_tree_grows_with_the_corpus(spark):
     def states(times):
         rows = [(i, " ".join(f"t{i} w{i} x{i}" for _ in range(40))) for i in range(times * 50)]

@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common
 from .language import fold
-from .near_dups import word_hashes
+from .near_dups import _LOWER, _hashes, word_hashes
 
 #: Occurrences from which a context is looked at, at any size of the corpus.
 LEAST = 32
@@ -34,7 +34,8 @@ CELL_BITS = 24
 FILTER_BITS = 28
 #: Parts of the documents that are scored one after the other, each part's keys being given back before the next.
 SLICES = 5
-#: Parts of the pairs that are counted one after the other, in a pass over the texts each; a part is settled before the next.
+#: Parts of the pairs, if all tokens are in one, that are counted one after the other, in a pass over the texts each; a part
+#: is settled before the next. A depth whose contexts stand at fewer places has as many parts fewer.
 PARTS = 2
 #: Tokens for each bucket of pairs and of keys, and tokens that a task counts before it sends what it has counted.
 PER_BUCKET, STRETCH = 2_000_000, 500_000
@@ -46,18 +47,53 @@ END = 0
 FINAL, STEP = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 #: How often a word must follow a context to be known there, in the query: what stands once is left to the suffix.
 FOLLOW = 2
-#: Texts that a task takes up at a time; their numbers fit in two bytes.
+#: Texts that a task takes up at a time; their numbers fit in a byte.
 PER_BATCH = 200
+#: Bytes of texts that are hashed together.
+TOGETHER = 1 << 16
+
+
+def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of the texts, one text after the other, and how many words each text has.
+
+    They are those of ``word_hashes``; texts are hashed together, a blank apart, as a call for each costs more than its words.
+    """
+    out, each, first = [np.zeros(0, np.uint64)], np.zeros(len(texts), np.int64), 0
+    data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    ends = np.cumsum([len(x) + 1 for x in data])
+    while first < len(data):
+        begin = ends[first] - len(data[first]) - 1
+        last = max(first + 1, int(np.searchsorted(ends, begin + TOGETHER, "right")))
+        if last == first + 1:  # it may be long
+            out.append(word_hashes(texts[first] or ""))
+            each[first] = len(out[-1])
+        else:
+            raw = np.frombuffer(b" ".join(data[first:last]).translate(_LOWER), np.uint8)
+            out.append(_hashes(raw))
+            word = raw != 32
+            starts = np.flatnonzero(word & np.concatenate(([True], ~word[:-1]))[: len(raw)])
+            each[first:last] = np.diff(np.searchsorted(starts, ends[first:last] - begin), prepend=0)
+        first = last
+    return np.concatenate(out), each
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Rows (w, c): how often each word's hash stands in all texts, and under FINAL how often a text ends."""
 
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["w", "c"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            words = [word_hashes(text or "") for text in batch.column(0).to_pylist()]
-            found, n = np.unique(np.concatenate([*words, np.full(len(words), FINAL, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], ["w", "c"])
+            held += [words_of(batch.column(0).to_pylist())[0], np.full(batch.num_rows, FINAL, np.uint64)]
+            size += len(held[-2]) + len(held[-1])
+            if size >= 4 * STRETCH:
+                yield counted(held)
+                held, size = [], 0
+        if size:
+            yield counted(held)
 
     return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
@@ -160,15 +196,15 @@ def grow(coded: DataFrame, root_counts: np.ndarray, depth: int = DEPTH, share: f
     return tree
 
 
-def places(words: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Documents one after the other, each with FINAL before and after: the words, each word's document, and for each
-    depth the places with so many words before them and their contexts.
+def places(words: np.ndarray, each: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Documents of so many words each, one after the other, with FINAL before and after: the words, each word's document,
+    and for each depth the places with so many words before them and their contexts.
 
     The context of the words a, b, c is a B^3 + b B^2 + c B, so that of a longer history follows from that of a shorter.
     """
-    edge = np.full(1, FINAL, np.uint64)
-    text = np.concatenate([x for w in words for x in (edge, w, edge)]) if words else edge[:0]
-    doc = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+    doc = np.repeat(np.arange(len(each)), each + 2)
+    text = np.full(len(doc), FINAL, np.uint64)
+    text[np.arange(len(words)) + 2 * np.repeat(np.arange(len(each)), each) + 1] = words
     out, packed, power = [], np.zeros(len(text), np.uint64), np.ones(1, np.uint64)
     for d in range(1, depth + 1):
         if len(text) <= d:
@@ -205,15 +241,15 @@ def begins(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1])))
 
 
-def pair_counts(texts: DataFrame, contexts: DataFrame, depth: int, units: int, follow: int = 1) -> list[DataFrame]:
+def pair_counts(texts: DataFrame, contexts: DataFrame, depth: int, units: int, follow: int = 1, parts: int | None = None) -> list[DataFrame]:
     """Rows (ctx, w, n): how often each word follows each of the contexts, if ``follow`` times at least, and some others
-    that share a cell with one. Each of the PARTS tables has all of the pairs whose hash falls in it.
+    that share a cell with one. Each of the tables, PARTS if not given, has all of the pairs whose hash falls in it.
 
     What a task counts in a stretch of texts goes to each bucket in one row: its contexts, the number of pairs of each,
     and the pairs' words and counts. A pair's bucket comes from both of its parts, so frequent contexts are split.
     """
     known = texts.sparkSession.sparkContext.broadcast(cells(contexts))
-    buckets, parts = max(32, units // PER_BUCKET), PARTS
+    buckets, parts = max(32, units // PER_BUCKET), parts or PARTS
 
     def packed(ctx: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
         order = order_of(ctx ^ w)
@@ -234,7 +270,7 @@ def pair_counts(texts: DataFrame, contexts: DataFrame, depth: int, units: int, f
     def run(part: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            text, _, found = places([word_hashes(t or "") for t in batch.column(0).to_pylist()], depth)
+            text, _, found = places(*words_of(batch.column(0).to_pylist()), depth)
             if len(found) == depth:
                 at, ctx = found[-1]
                 w = text[at]
@@ -295,7 +331,8 @@ def states(texts: DataFrame, vocabulary: DataFrame, units: int, depth: int = DEP
         if contexts.isEmpty():
             break
         asked, parts = common.handed(contexts.select("ctx", "suffix")), []
-        for part in pair_counts(texts, contexts, d, units, follow):
+        stands = contexts.agg(F.sum("total")).first()[0]  # what is sent to be counted, but for contexts that share a cell
+        for part in pair_counts(texts, contexts, d, units, follow, max(1, math.ceil(PARTS * stands / units))):
             parts.append(common.settle(part.join(asked, "ctx"), "counted"))
             common.freed(spark)
         counted = reduce(DataFrame.unionByName, parts)
@@ -326,23 +363,61 @@ def states(texts: DataFrame, vocabulary: DataFrame, units: int, depth: int = DEP
     return out
 
 
-def key_filter(keys: DataFrame, n: int) -> np.ndarray:
-    """A bit for each cell that a key lies in, eight cells a key and 2 ** FILTER_BITS in all at most; what lies in no such cell needn't be looked up."""
-    bits = min(FILTER_BITS, max(16, int(8 * n).bit_length()))
-    part = min(bits, 18)
+def planes(values: np.ndarray) -> bytes:
+    """Numbers of eight bytes with the first bytes of all, then the second, and so on, so that bytes which hardly change
+    compress; of integers, which are in order, the differences."""
+    if values.dtype.kind == "u":
+        values = np.diff(values, prepend=values.dtype.type(0))
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
 
-    def slices(table: pa.Table) -> pa.Table:
-        cell = table.column("cell").to_numpy()
-        held = np.zeros(1 << part, bool)
-        held[cell & ((1 << part) - 1)] = True
-        return pa.table({"slice": pa.array([int(cell[0]) >> part], pa.int32()), "bits": pa.array([np.packbits(held).tobytes()], pa.binary())})
 
-    cell = F.shiftrightunsigned("key", 64 - bits).cast("int").alias("cell")
-    found = keys.select(cell).withColumn("slice", F.shiftright("cell", part)).groupBy("slice").applyInArrow(slices, "slice int, bits binary").toArrow()
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for at, held in zip(found.column("slice").to_pylist(), found.column("bits").to_pylist(), strict=True):
-        out[at << (part - 3) : (at + 1) << (part - 3)] = np.frombuffer(held, np.uint8)
-    return out
+def unpacked(data: bytes, kind: str) -> np.ndarray:
+    values = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+    return np.cumsum(values, dtype=values.dtype) if values.dtype.kind == "u" else values
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each key: ranges of their upper half, so that keys in order are in order of their buckets."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+
+
+def packed_keys(rows: DataFrame, word: bool, buckets: int, bits: int) -> DataFrame:
+    """Rows (key, value) as one row for each bucket: the keys in order, their values, whether they are words, and which of
+    2 ** ``bits`` cells they lie in, a bit each, from the byte ``first`` of all cells on."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            key, value = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = order_of(key)
+            key, value = key[order], value[order]
+            bucket = bucket_of(key, buckets)
+            edges = np.append(begins(bucket), len(key))
+            blobs = [[planes(x[a:b]) for a, b in zip(edges, edges[1:], strict=False)] for x in (key, value)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]]), *(pa.array(x, pa.binary()) for x in blobs)], ["bucket", "keys", "value"])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size >= STRETCH:
+                yield packed(held)
+                held, size = [], 0
+        if size:
+            yield packed(held)
+
+    def merged(table: pa.Table) -> pa.Table:
+        key, value = (np.concatenate([unpacked(x, kind) for x in table.column(c).to_pylist()]) for c, kind in (("keys", "<u8"), ("value", "<f8")))
+        order = order_of(key)
+        key, value = key[order], value[order]
+        cell = (key >> np.uint64(64 - bits)).astype(np.int64)
+        first = int(cell[0]) >> 3
+        held = np.zeros(((int(cell[-1]) >> 3) - first + 1) * 8, bool)
+        held[cell - first * 8] = True
+        row = [table.column("bucket")[0].as_py(), planes(key), planes(value), word, first, np.packbits(held).tobytes()]
+        return pa.table([pa.array([x], kind) for x, kind in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], ["bucket", "keys", "value", "word", "first", "cells"])
+
+    sent = rows.select("key", "value").mapInArrow(spread, "bucket int, keys binary, value binary")
+    return sent.groupBy("bucket").applyInArrow(merged, "bucket int, keys binary, value binary, word boolean, first long, cells binary")
 
 
 def filtered(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -376,21 +451,29 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     unit, end_score = math.log10(n + v + 1), math.log10(ends + 1)
     tree = states(training, vocabulary, n + v + 1, least=least, follow=follow)
 
-    # Rows (key, c, value, word): what a key adds to a text's score.
-    rows = [vocabulary.where(F.col("w") != last).select(F.col("w").alias("key"), "c", F.log10(F.col("c") + 1).alias("value"), F.lit(True).alias("word"))]
+    # Rows (key, c, value): what a key adds to a text's score. Each table is given back when its keys are packed.
+    rows = [(vocabulary.where(F.col("w") != last).select(F.col("w").alias("key"), "c", F.log10(F.col("c") + 1).alias("value")), [vocabulary])]
     for kept, gains in tree:
-        rows.append(kept.select(F.col("ctx").alias("key"), F.col("total").alias("c"), F.col("back").alias("value"), F.lit(False).alias("word")))
-        rows.append(gains.select("key", F.col("n").alias("c"), F.col("gain").alias("value"), F.lit(False).alias("word")))
-    table = reduce(DataFrame.unionByName, rows)
-    near = table.where(F.col("c") >= often).select("key", "value").toArrow()
+        states_of = kept.select(F.col("ctx").alias("key"), F.col("total").alias("c"), F.col("back").alias("value"))
+        rows.append((states_of.unionByName(gains.select("key", F.col("n").alias("c"), F.col("gain").alias("value"))), [kept, gains]))
+    # Eight cells a key for the filter of keys; what lies in no cell of it needn't be looked up.
+    bits = min(FILTER_BITS, max(16, (8 * sum(x.count() for _, x in rows for x in x)).bit_length()))
+    buckets = max(32, (n + v) // PER_BUCKET)
+    retained = spark.sparkContext.broadcast([cells(kept) for kept, _ in tree])
+    near, distant, known = [], [], np.zeros(1 << (bits - 3), np.uint8)
+    for k, (table, sources) in enumerate(rows):
+        near.append(table.where(F.col("c") >= often).select("key", "value").toArrow())
+        distant.append(common.settle(packed_keys(table.where(F.col("c") < often), k == 0, buckets, bits), "keys"))
+        common.discard(*sources)
+        found = distant[-1].select("first", "cells").toArrow()
+        for first, held in zip(found.column("first").to_pylist(), found.column("cells").to_pylist(), strict=True):
+            known[first : first + len(held)] |= np.frombuffer(held, np.uint8)
+        common.freed(spark)
+    near = pa.concat_tables(near)
     keys = near.column("key").to_numpy().view(np.uint64)
     order = order_of(keys)
     near_table = spark.sparkContext.broadcast((keys[order], near.column("value").to_numpy()[order]))
-    retained = spark.sparkContext.broadcast([cells(kept) for kept, _ in tree])
-    distant = table.where(F.col("c") < often)
-    known_keys = spark.sparkContext.broadcast(key_filter(distant, distant.count()))
-    buckets = max(32, (n + v) // PER_BUCKET)
-    common.freed(spark)
+    known_keys = spark.sparkContext.broadcast(known)
     kind = source.schema["doc_id"].dataType
     doc_type = to_arrow_type(kind)
     doc_columns = ["row", "doc_id", "held_out", "n_tokens", "base", "gain"]
@@ -401,46 +484,48 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         from pyspark import TaskContext
 
         keys, value = near_table.value
+        close = np.zeros(1 << CELL_BITS, bool)
+        close[keys >> np.uint64(64 - CELL_BITS)] = True
+        close = np.packbits(close)
         row = TaskContext.get().partitionId() << 40
         for batch in (whole.slice(i, PER_BATCH) for whole in batches for i in range(0, whole.num_rows, PER_BATCH)):
-            words = [word_hashes(t or "") for t in batch.column(2).to_pylist()]
-            text, doc, found = places(words, len(retained.value))
-            size, inner = len(words), np.flatnonzero(text != FINAL)
-            asked, docs = [text[inner]], [doc[inner].astype("<u2")]
+            words, each = words_of(batch.column(2).to_pylist())
+            text, doc, found = places(words, each, len(retained.value))
+            doc, size = doc.astype(np.uint8), len(each)
+            asked, docs = [words], [np.repeat(np.arange(size, dtype=np.uint8), each)]
             for known, (at, ctx) in zip(retained.value, found, strict=False):
                 some = filtered(known, ctx)
                 at, ctx = at[some], ctx[some]
                 asked += [ctx, ctx ^ text[at]]
-                docs += [doc[at].astype("<u2")] * 2
+                docs += [doc[at]] * 2
             key, docs = np.concatenate(asked), np.concatenate(docs)
             order = order_of(key)
-            key, docs, word = key[order], docs[order], order < len(inner)  # keys of words came first
+            key, docs, word = key[order], docs[order], order < len(words)  # keys of words came first
             first = begins(key)
             different = key[first]
-            at = np.minimum(np.searchsorted(keys, different), max(0, len(keys) - 1))
-            hit = keys[at] == different if len(keys) else np.zeros(len(different), bool)
+            some = np.flatnonzero(filtered(close, different))  # none without keys
+            found_at = np.minimum(np.searchsorted(keys, different[some]), max(0, len(keys) - 1))
+            equal = keys[found_at] == different[some]
+            at, hit = found_at[equal], np.zeros(len(different), bool)
+            hit[some[equal]] = True
             times = np.diff(np.append(first, len(key)))
             near = np.repeat(hit, times)
-            add, own = np.repeat(value[at[hit]], times[hit]), docs[near]
+            add, own = np.repeat(value[at], times[hit]), docs[near]
             word = word[near]
             near_n, base = np.bincount(own[word], minlength=size), np.bincount(own[word], add[word], size)
             gain = np.bincount(own[~word], add[~word], size)
             far = ~hit & filtered(known_keys.value, different)
             different, times, docs = different[far], times[far], docs[np.repeat(far, times)]
-            bucket = (different >> np.uint64(20)) % np.uint64(buckets)
-            move = np.argsort(bucket.astype(np.uint32), kind="stable")
-            start = (np.cumsum(times) - times)[move]
-            different, times, bucket = different[move], times[move], bucket[move]
-            docs = docs[np.repeat(start - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))]
+            bucket = bucket_of(different, buckets)
             edges = np.append(begins(bucket), len(bucket))
             ends = np.concatenate(([0], np.cumsum(times)))[edges]
-            blobs = [(different[a:b].tobytes(), times[a:b].astype("<u4").tobytes(), docs[i:j].tobytes()) for a, b, i, j in zip(edges, edges[1:], ends, ends[1:], strict=False)]
+            blobs = [(planes(different[a:b]), times[a:b].astype("<u4").tobytes(), docs[i:j].tobytes()) for a, b, i, j in zip(edges, edges[1:], ends, ends[1:], strict=False)]
             n_blobs = len(blobs)
             spread = (np.arange(row, row + size) % buckets).astype(np.int32)
-            own = [np.arange(row, row + size), batch.column(0).cast(doc_type), batch.column(1), np.array([len(w) + 1 for w in words], np.int64), base.astype(np.float64), gain.astype(np.float64)]
+            own = [np.arange(row, row + size), batch.column(0).cast(doc_type), batch.column(1), each + 1, base.astype(np.float64), gain.astype(np.float64)]
             nothing = [pa.nulls(n_blobs, t) for t in doc_types[1:]]
             columns = [pa.concat_arrays([pa.array(x) if isinstance(x, np.ndarray) else x, y]) for x, y in zip(own, [pa.array(np.full(n_blobs, row)), *nothing], strict=True)]
-            columns += [pa.array(np.concatenate((near_n, np.zeros(n_blobs, np.int64)))), pa.array(np.concatenate((spread, bucket[edges[:-1]].astype(np.int32))))]
+            columns += [pa.array(np.concatenate((near_n, np.zeros(n_blobs, np.int64)))), pa.array(np.concatenate((spread, bucket[edges[:-1]])))]
             columns += [pa.concat_arrays([pa.nulls(size, pa.binary()), pa.array([x[i] for x in blobs], pa.binary())]) for i in range(3)]
             yield pa.RecordBatch.from_arrays(columns, [*doc_columns, "near_n", "bucket", "keys", "times", "docs"])
             row += size
@@ -451,11 +536,14 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         out = pa.table([*(own.column(c) for c in doc_columns), own.column("near_n"), *(pa.array(np.zeros(own.num_rows)) for _ in range(2))], [*doc_columns, *sum_columns])
         if not sent.num_rows or not table.num_rows:
             return out
-        held = table.column("key").to_numpy().view(np.uint64)
+        runs = table.column("keys").to_pylist()
+        held, value = (np.concatenate([unpacked(x, kind) for x in xs]) for xs, kind in ((runs, "<u8"), (table.column("value").to_pylist(), "<f8")))
+        word = np.repeat(table.column("word").to_numpy(zero_copy_only=False).astype(bool), [len(x) // 8 for x in runs])
         order = order_of(held)
-        held, value, word = held[order], table.column("value").to_numpy()[order], table.column("word").to_numpy(zero_copy_only=False)[order]
+        held, value, word = held[order], value[order], word[order]
         blobs = sent.column("keys").to_pylist()
-        key, times, docs = (np.frombuffer(b"".join(x), kind) for x, kind in ((blobs, "<u8"), (sent.column("times").to_pylist(), "<u4"), (sent.column("docs").to_pylist(), "<u2")))
+        key = np.concatenate([unpacked(x, "<u8") for x in blobs])
+        times, docs = (np.frombuffer(b"".join(sent.column(c).to_pylist()), kind) for c, kind in (("times", "<u4"), ("docs", "u1")))
         first = np.repeat(sent.column("row").to_numpy(), [len(b) // 8 for b in blobs])
         order = order_of(key)
         at = np.empty(len(key), np.int64)
@@ -473,7 +561,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         return pa.concat_tables([out, pa.table([pa.array(row[new].astype(np.int64)), *nothing, *map(pa.array, sums)], out.column_names)])
 
     plain = f"row long, doc_id {kind.simpleString()}, held_out boolean, n_tokens long, base double, gain double"
-    lookup = distant.select("key", "value", "word", F.pmod(F.shiftrightunsigned("key", 20), F.lit(buckets)).cast("int").alias("bucket"))
+    lookup = reduce(DataFrame.unionByName, distant).select("bucket", "keys", "value", "word")
     one = lambda c: F.max(c).alias(c)  # noqa: E731  only one of a document's rows has it
     scored = []
     for k in range(SLICES):
@@ -483,7 +571,7 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
         scored.append(common.settle(weighed.groupBy("row").agg(*map(one, doc_columns[1:]), *[F.sum(c).alias(c) for c in sum_columns]), "scores"))
         common.freed(spark)
     sums = reduce(DataFrame.unionByName, scored)
-    common.discard(*(x for pair in tree for x in pair), vocabulary)
+    common.discard(*distant)
     base = F.col("base") + F.col("far") + F.lit(end_score) - F.col("n_tokens") * F.lit(unit)
     return sums.select(
         F.col("doc_id").alias(id_col),
