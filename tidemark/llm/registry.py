@@ -18,6 +18,7 @@ QUERIES = {
     "op8_benchmark_passages": "decontaminate",
     "op9_imatch": "imatch",
     "op10_token_counts": "token_count",
+    "op11_vector_codes": "vector_codes",
 }
 
 

@@ -30,5 +30,21 @@ h AS (SELECT doc_id, i, o.k, item_id FROM o JOIN v ON o.t = v.t AND o.k = v.k),
 c AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS pos FROM h) GROUP BY 1),
 m AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS name FROM h) GROUP BY 1)
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+""",
+    "op11_vector_codes": """
+WITH k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, v[part * len(v) // 16 + 1 : (part + 1) * len(v) // 16] AS v FROM k, range(16) r(part)),
+c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, v FROM p WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 64)),
+a0 AS (SELECT p.vec_id, p.part, min(list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 64 + c.e) AS best FROM p JOIN c0 c ON c.part = p.part GROUP BY 1, 2),
+s0 AS (SELECT p.part, best % 64 AS e, pos, sum(p.v[pos + 1])::BIGINT AS s, count(*) AS n FROM a0 JOIN p USING (vec_id, part), range(1024) r(pos) WHERE pos < len(p.v) GROUP BY 1, 2, 3),
+m0 AS (SELECT part, e, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS v FROM s0 GROUP BY 1, 2),
+c1 AS MATERIALIZED (SELECT c0.part, c0.e, coalesce(m0.v, c0.v) AS v FROM c0 LEFT JOIN m0 ON m0.part = c0.part AND m0.e = c0.e),
+a1 AS (SELECT p.vec_id, p.part, min(list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 64 + c.e) AS best FROM p JOIN c1 c ON c.part = p.part GROUP BY 1, 2),
+s1 AS (SELECT p.part, best % 64 AS e, pos, sum(p.v[pos + 1])::BIGINT AS s, count(*) AS n FROM a1 JOIN p USING (vec_id, part), range(1024) r(pos) WHERE pos < len(p.v) GROUP BY 1, 2, 3),
+m1 AS (SELECT part, e, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS v FROM s1 GROUP BY 1, 2),
+c2 AS MATERIALIZED (SELECT c1.part, c1.e, coalesce(m1.v, c1.v) AS v FROM c1 LEFT JOIN m1 ON m1.part = c1.part AND m1.e = c1.e),
+a2 AS MATERIALIZED (SELECT p.vec_id, p.part, min(list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 64 + c.e) AS best FROM p JOIN c2 c ON c.part = p.part GROUP BY 1, 2),
+f AS (SELECT vec_id, string_agg(printf('%02x', best % 64), '' ORDER BY part) AS code, sum(best // 64)::BIGINT AS error FROM a2 GROUP BY 1)
+SELECT k.vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) FROM c2) AS codebooks_sha256 FROM f JOIN k USING (vec_id)
 """,
 }
