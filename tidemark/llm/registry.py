@@ -19,6 +19,7 @@ QUERIES = {
     "op9_imatch": "imatch",
     "op10_token_counts": "token_count",
     "op11_vector_codes": "vector_codes",
+    "op12_ngram_jaccard": "partenum",
 }
 
 

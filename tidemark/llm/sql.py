@@ -46,5 +46,15 @@ c2 AS MATERIALIZED (SELECT c1.part, c1.e, coalesce(m1.v, c1.v) AS v FROM c1 LEFT
 a2 AS MATERIALIZED (SELECT p.vec_id, p.part, min(list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT * 64 + c.e) AS best FROM p JOIN c2 c ON c.part = p.part GROUP BY 1, 2),
 f AS (SELECT vec_id, string_agg(printf('%02x', best % 64), '' ORDER BY part) AS code, sum(best // 64)::BIGINT AS error FROM a2 GROUP BY 1)
 SELECT k.vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) FROM c2) AS codebooks_sha256 FROM f JOIN k USING (vec_id)
+""",
+    "op12_ngram_jaccard": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_BLANKS} AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN ws WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 90 GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING count(*) * 100 >= (a.n + b.n - count(*)) * 90),
+u AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT x AS doc_id, y AS reached FROM u UNION SELECT r.doc_id, u.y FROM r JOIN u ON u.x = r.reached),
+c AS (SELECT doc_id, min(reached) AS least FROM r GROUP BY 1)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, least(s.doc_id, coalesce(c.least, s.doc_id)) AS component_id FROM s LEFT JOIN c ON c.doc_id = s.doc_id
 """,
 }
