@@ -20,6 +20,7 @@ QUERIES = {
     "op10_token_counts": "token_count",
     "op11_vector_codes": "vector_codes",
     "op12_ngram_jaccard": "partenum",
+    "op13_phrase_collocations": "collocations",
 }
 
 

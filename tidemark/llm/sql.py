@@ -56,5 +56,23 @@ u AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
 r AS (SELECT x AS doc_id, y AS reached FROM u UNION SELECT r.doc_id, u.y FROM r JOIN u ON u.x = r.reached),
 c AS (SELECT doc_id, min(reached) AS least FROM r GROUP BY 1)
 SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, least(s.doc_id, coalesce(c.least, s.doc_id)) AS component_id FROM s LEFT JOIN c ON c.doc_id = s.doc_id
+""",
+    "op13_phrase_collocations": rf"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_CAPITALS}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM t),
+o AS MATERIALIZED (SELECT lang, ws[i] AS x, ws[i + 1] AS y, ws[i + 2] AS z FROM (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM p)),
+f1 AS MATERIALIZED (SELECT lang, x, count(*) AS f FROM o GROUP BY ALL),
+f2 AS MATERIALIZED (SELECT lang, x, y, count(*) AS f FROM o WHERE y IS NOT NULL GROUP BY ALL),
+c3 AS MATERIALIZED (SELECT lang, x, y, z, count(*) AS a FROM o WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY 1),
+cuts AS (SELECT c.lang, c.x || ' ' || c.y AS phrase, c.x, c.y, 2 AS k, 1 AS j, c.f AS a, l.f AS l, r.f AS r FROM f2 c JOIN f1 l ON l.lang = c.lang AND l.x = c.x JOIN f1 r ON r.lang = c.lang AND r.x = c.y WHERE c.f >= 10
+UNION ALL SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z, NULL, NULL, 3, 1, c.a, l.f, r.f FROM c3 c JOIN f1 l ON l.lang = c.lang AND l.x = c.x JOIN f2 r ON r.lang = c.lang AND r.x = c.y AND r.y = c.z
+UNION ALL SELECT c.lang, c.x || ' ' || c.y || ' ' || c.z, NULL, NULL, 3, 2, c.a, l.f, r.f FROM c3 c JOIN f2 l ON l.lang = c.lang AND l.x = c.x AND l.y = c.y JOIN f1 r ON r.lang = c.lang AND r.x = c.z),
+scored AS (SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+longer AS (SELECT lang, x, y, max(a) AS longer FROM (SELECT lang, x, y, a FROM c3 UNION ALL SELECT lang, y, z, a FROM c3) GROUP BY ALL),
+kept AS (SELECT w.* FROM worst w LEFT JOIN longer o ON o.lang = w.lang AND o.x = w.x AND o.y = w.y WHERE longer IS NULL OR longer * 100 < w.a * 50),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000
 """,
 }
