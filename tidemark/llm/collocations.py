@@ -26,7 +26,7 @@ from . import common
 
 LEAST, MOST_WORDS, TOP, SCALE, SHARE = 10, 3, 2000, 1_000_000, 50
 #: Positions of a shard, and of all shards that a task has open.
-SHARD, OPEN = 1 << 21, 1 << 23
+SHARD, OPEN = 1 << 20, 1 << 22
 #: Blocks of bitmaps that are extended at a time.
 SUBTREE = 1 << 18
 #: Numbers that may go to every task (32 MB); beyond, they are joined to their shards.
@@ -37,7 +37,7 @@ _BLOCK = 32  # bits of a block's number in a bitmap's key
 
 
 @contextmanager
-def few_at_once(spark: SparkSession, rows: int = 4):
+def few_at_once(spark: SparkSession, rows: int = 2):
     """Shards are large rows: a Python worker takes up few of them at a time."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
@@ -89,17 +89,18 @@ class Bitmaps:
     """The compressed bitmaps of a shard: blocks (word, number) in order, each with a mask of 64 positions."""
 
     def __init__(self, places: np.ndarray):
-        self.places = np.concatenate((places, np.zeros(130, places.dtype))).astype(np.uint64)
-        at = np.flatnonzero(places).astype(np.uint64)
-        keys = self.places[at] << np.uint64(_BLOCK) | at >> np.uint64(6)
-        order = np.argsort(keys, kind="stable")
-        keys, at = keys[order], at[order]
+        self.places = np.concatenate((places, np.zeros(130, places.dtype)))
+        at = np.flatnonzero(places)
+        at = at[np.argsort(places[at], kind="stable")]
+        keys = self.places[at].astype(np.uint64)
+        keys <<= np.uint64(_BLOCK)
+        keys |= (at >> 6).astype(np.uint64)
         new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
         start = np.flatnonzero(new)
         self.keys = keys[start]
-        self.masks = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), start) if len(start) else np.zeros(0, np.uint64)
-        self.block_of = np.zeros(len(self.places), np.int64)
-        self.block_of[at] = np.cumsum(new) - 1
+        self.masks = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), start) if len(start) else np.zeros(0, np.uint64)
+        self.block_of = np.zeros(len(self.places), np.int32)
+        self.block_of[at] = np.cumsum(new, dtype=np.int32) - 1
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, block, mask) of all words."""
@@ -126,7 +127,7 @@ class Bitmaps:
             own, at_bit = entry[found], bit[found]
             both = mask[own] & self.masks[self.block_of[at[found]]]
             first = both & (~both + one) == at_bit  # each word of an entry once
-            out.append((prefix[own[first]], self.places[at[found][first]], block[own[first]], both[first]))
+            out.append((prefix[own[first]], self.places[at[found][first]].astype(np.uint64), block[own[first]], both[first]))
             left = left & ~bit
             more = np.flatnonzero(left)
             entry, left = entry[more], left[more]
