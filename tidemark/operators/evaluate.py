@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.shared import ready
+from . import vectors
 
 LOWEST_FLOOR, HIGHEST_FLOOR, DEFAULT_FLOOR, MARGIN = 0.20, 0.70, 0.45, 0.02
 
@@ -47,50 +45,18 @@ def floor_of(positives: Column, negatives: Column) -> Column:
     return F.when(F.size(positives) == 0, F.lit(DEFAULT_FLOOR)).otherwise(F.greatest(F.lit(LOWEST_FLOOR), F.least(F.lit(HIGHEST_FLOOR), chosen)))
 
 
-def nearest_by_label(vectors: DataFrame, block: int = 2000) -> DataFrame:
+def nearest_by_label(rows: DataFrame) -> DataFrame:
     """Rows (chunk_id, label, own, other): each vector's cosine to the nearest other one of its label, and of another; null without one.
 
-    Blocks of vectors of bounded size go to all tasks, which compare them with their own by matrix products.
+    Vectors are scaled to length 1, where the nearest have the greatest cosine, put in blocks and searched for
+    themselves. Those without a direction have neither; a null label is like any other.
     """
-    import numpy as np
-    import pandas as pd
-
-    spark = ready(vectors.sparkSession)
-    rows = vectors.select("chunk_id", "label", "embedding")
-    found, held = None, []
-
-    def nearest(known):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, labels, a = known.value
-            a = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), 1e-300)
-            for batch in batches:
-                if not len(batch):
-                    continue
-                b = np.array(batch["embedding"].tolist(), np.float64).reshape(len(batch), -1)
-                cosine = a @ (b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), 1e-300)).T
-                cosine[ids[:, None] == batch["chunk_id"].to_numpy()[None, :]] = -9
-                same = labels[:, None] == batch["label"].to_numpy()[None, :]
-                yield pd.DataFrame({"chunk_id": ids, "label": labels, "own": np.where(same, cosine, -9).max(axis=1), "other": np.where(~same, cosine, -9).max(axis=1)})
-
-        return run
-
-    def close():
-        nonlocal found, held
-        known = (np.array([r[0] for r in held]), np.array([r[1] for r in held]), np.array([r[2] for r in held], np.float64))
-        kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("chunk_id", "label"))
-        part = rows.mapInPandas(nearest(spark.sparkContext.broadcast(known)), f"{kinds}, own double, other double")
-        found, held = part if found is None else found.unionByName(part), []
-
-    for row in rows.toLocalIterator():
-        held.append(tuple(row))
-        if len(held) == block:
-            close()
-    if held:
-        close()
-    if found is None:
-        return rows.select("chunk_id", "label", F.lit(None).cast("double").alias("own"), F.lit(None).cast("double").alias("other"))
-    known = lambda c: F.max(F.when(F.col(c) > -9, F.col(c))).alias(c)
-    return found.groupBy("chunk_id", "label").agg(known("own"), known("other"))
+    index = vectors.in_blocks(rows.select("chunk_id", "embedding", "label"), unit=True)
+    asked = rows.select(F.col("chunk_id").alias("query_id"), "embedding", "label")
+    found = vectors.nearest(asked, index, 1, apart=True, by_label=True, unit=True)
+    known = lambda c, same: F.max(F.when(F.col("same") == same, F.col("cosine"))).alias(c)
+    both = found.groupBy(F.col("query_id").alias("chunk_id")).agg(known("own", True), known("other", False))
+    return rows.select("chunk_id", "label").join(both, "chunk_id", "left")
 
 
 def floors_by_label(nearest: DataFrame) -> DataFrame:

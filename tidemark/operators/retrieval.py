@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from ..functions import text as tx
 from ..functions import vector as vx
 from ..plans.shared import ready, settle
+from . import vectors
 
 ARM_LIMIT = 50
 #: Reciprocal rank fusion: the constant, and what the first and the next two ranks get besides.
@@ -229,61 +230,17 @@ def _scan_literals(wanted: DataFrame, chunks: DataFrame, block: int) -> DataFram
     return found
 
 
-def vector_arm(queries: DataFrame, vectors: DataFrame, limit: int = ARM_LIMIT, block: int = 2000) -> DataFrame:
+def vector_arm(queries: DataFrame, index: DataFrame | vectors.Blocks, limit: int = ARM_LIMIT) -> DataFrame:
     """The nearest vectors by L2, exactly: score is 1 / (1 + distance), and the distance is kept.
 
-    Queries go to the tasks in blocks of bounded size; each task keeps the best of its rows, and those of all tasks are
-    ranked together.
+    ``index`` is vectors in blocks, or vectors (chunk_id, embedding), which are put in blocks first.
     """
-    import numpy as np
-    import pandas as pd
-
-    spark, parts = vectors.sparkSession, []
-
-    def nearest(known):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, matrix = known.value
-            for batch in batches:
-                if not len(batch):
-                    continue
-                rows = np.array(batch["embedding"].tolist(), np.float64)
-                far = np.sqrt(np.maximum(((matrix[:, None, :] - rows[None, :, :]) ** 2).sum(axis=2), 0)) if matrix.shape[0] * rows.size < 5e6 else _distances(matrix, rows)
-                keep = min(limit, len(rows))
-                near = np.argpartition(far, keep - 1, axis=1)[:, :keep]
-                worst = np.take_along_axis(far, near, axis=1).max(axis=1)
-                which, column = np.nonzero(far <= worst[:, None] + 1e-9)  # ties stay in
-                yield pd.DataFrame({"query_id": ids[which], "chunk_id": batch["chunk_id"].to_numpy()[column], "distance": far[which, column]})
-
-        return run
-
-    held: list = []
-
-    def close(held):
-        ids, matrix = np.array([r[0] for r in held]), np.array([r[1] for r in held], np.float64)
-        parts.append(vectors.select("chunk_id", "embedding").mapInPandas(nearest(spark.sparkContext.broadcast((ids, matrix))), "query_id long, chunk_id long, distance double"))
-
-    for row in queries.select("query_id", "embedding").toLocalIterator():
-        held.append((row["query_id"], row["embedding"]))
-        if len(held) == block:
-            close(held)
-            held = []
-    if held or not parts:
-        if not held:
-            return vectors.select(F.lit(0).cast("long").alias("query_id"), "chunk_id", F.lit(0.0).alias("distance"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-        close(held)
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    scored = found.withColumn("score", 1 / (1 + F.col("distance")))
+    blocks = index if isinstance(index, vectors.Blocks) else vectors.in_blocks(index)
+    found = vectors.nearest(queries, blocks, limit)
+    scored = found.select("query_id", "chunk_id", "distance", (1 / (1 + F.col("distance"))).alias("score"))
     return best(scored, limit, by=F.round("distance", DIGITS))
 
 
-def _distances(a, b):
-    import numpy as np
-
-    return np.array([np.sqrt(((row[None, :] - b) ** 2).sum(axis=1)) for row in a])
-
-
 def feedback_terms(arm: DataFrame, queries: DataFrame, chunks: DataFrame, hits: int = 10, most: int = 5) -> DataFrame:
     """Rows (query_id, term, n, term_rank): what the first hits say most often besides the query's own words."""
     stop = chunks.sparkSession.createDataFrame([(w,) for w in tx.STOPWORDS], "term string")
