@@ -29,8 +29,8 @@ LEAST, MOST_WORDS, TOP, SCALE, SHARE = 10, 3, 2000, 1_000_000, 50
 SHARD, OPEN = 1 << 20, 1 << 22
 #: Blocks of bitmaps that are extended at a time.
 SUBTREE = 1 << 18
-#: Numbers that may go to every task (32 MB); beyond, they are joined to their shards.
-HELD = 1 << 22
+#: Numbers that may go to every task (16 MB); beyond, they are joined to their shards.
+HELD = 1 << 21
 
 _TABLE = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _BLOCK = 32  # bits of a block's number in a bitmap's key
@@ -252,7 +252,7 @@ def frequent_triples(laid: DataFrame, pairs: DataFrame, least: int, held: int) -
     spark = laid.sparkSession
     known = None
     if pairs.count() <= held:
-        known = spark.sparkContext.broadcast(np.sort(pairs.select("pair").toPandas()["pair"].to_numpy(np.int64)).astype(np.uint64))
+        known = spark.sparkContext.broadcast(np.sort(pairs.select("pair").toArrow().column("pair").to_numpy()).astype(np.uint64))
         asked = laid.select("shard", "places")
     else:
         asked = laid.join(pairs_by_shard(laid, pairs), "shard").select("shard", "places", "pairs")
