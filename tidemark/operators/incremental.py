@@ -6,6 +6,7 @@ import json
 import re
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,10 +98,15 @@ class Store:
         where = self.manifest()["tables"].get(table)
         return self.spark.read.parquet(where) if where else None
 
-    def write(self, tables: dict[str, DataFrame], meta: dict | None = None, partition_by: dict[str, str] | None = None) -> str:
-        """Write tables as a new version; tables that aren't given stay as they are."""
+    def write(self, tables: dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]], meta: dict | None = None, partition_by: dict[str, str] | None = None) -> str:
+        """Write tables as a new version; tables that aren't given stay as they are.
+
+        A function in place of a table is given those written before it, as they will be read.
+        """
         version, written = f"v{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}", {}
         for name, df in tables.items():
+            if callable(df):
+                df = df({k: self.spark.read.parquet(where) for k, where in written.items()})
             written[name] = f"{self.folder}/{version}/{name}"
             writer = df.write
             if partition_by and name in partition_by:

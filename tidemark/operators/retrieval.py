@@ -44,7 +44,7 @@ def phrase_table(queries: DataFrame) -> DataFrame:
 
 @dataclass
 class Postings:
-    """An inverted index: rows (term, chunk_id, dl, f, places) in the order of their terms, (term, n_p), chunks and mean size."""
+    """An inverted index: rows (term, chunk_id, dl, f, places), file by file in the order of their terms, (term, n_p), chunks and mean size."""
 
     rows: DataFrame
     frequency: DataFrame
@@ -82,9 +82,13 @@ def postings_of(chunks: DataFrame, text: Column | None = None) -> DataFrame:
 
 
 def stored_postings(chunks: DataFrame, text: Column | None = None) -> Postings:
-    """The index of the chunks, written to the shared folder: sorted by term, so a search reads only what it asks for."""
+    """The index of the chunks, written to the shared folder.
+
+    Postings stay in the files of their chunks, in the order of their terms: the postings of a frequent term are spread
+    over all files, and a search passes over the row groups of terms that it doesn't ask for.
+    """
     ready(chunks.sparkSession)
-    rows = settle(postings_of(chunks, text).repartition("term").sortWithinPartitions("term"), "postings")
+    rows = settle(postings_of(chunks, text).sortWithinPartitions("term"), "postings")
     frequency = settle(rows.groupBy("term").agg(F.count("*").alias("n_p")), "frequency")
     return Postings(rows, frequency, *chunk_sizes(chunks, rows))
 
@@ -132,34 +136,113 @@ def weighed_phrases(queries: DataFrame, index: Postings) -> tuple[DataFrame, Dat
 
 
 def _part(index: Postings) -> Column:
-    return F.col("weight") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.lit(index.mean)))
+    """What a phrase adds to a chunk's score, by its weight."""
+    return F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.lit(index.mean)))
 
 
 def bm25_scores(queries: DataFrame, chunks: DataFrame | Postings, text: Column | None = None) -> DataFrame:
     """Every chunk that holds a phrase of the query, with its BM25 score."""
     index = chunks if isinstance(chunks, Postings) else stored_postings(chunks, text)
     weighed, found = weighed_phrases(queries, index)
-    return weighed.join(found, "phrase").groupBy("query_id", "chunk_id").agg(F.sum(_part(index)).alias("score"))
+    return weighed.join(found, "phrase").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * _part(index)).alias("score"))
 
 
-def bm25_arm(queries: DataFrame, chunks: DataFrame | Postings, limit: int = ARM_LIMIT, text: Column | None = None) -> DataFrame:
-    """The best chunks of each query by BM25, from the index (or from chunks, which are indexed first).
+#: Postings of a shard of chunks, queries that are scored together there, and chunks of a block that has a bound.
+SHARD_ROWS, QUERY_BLOCK, CHUNK_BLOCK = 400_000, 256, 512
 
-    Chunks are scored by the phrases that tell them apart; what common phrases add has a bound for each query, so they
-    are scored only for chunks that could still be among the best. A query for which too few chunks hold another phrase
-    is scored by all of its phrases.
-    """
+
+def bm25_arm(queries: DataFrame, chunks: DataFrame | Postings, limit: int = ARM_LIMIT, text: Column | None = None) -> DataFrame:
+    """The best chunks of each query by BM25, from the index (or from chunks, which are indexed first)."""
     index = chunks if isinstance(chunks, Postings) else stored_postings(chunks, text)
     weighed, found = weighed_phrases(queries, index)
-    told = weighed.where("NOT common").join(found, "phrase").groupBy("query_id", "chunk_id").agg(F.sum(_part(index)).alias("score"))
-    bound = weighed.where("common").groupBy("query_id").agg(F.sum(F.col("weight") * (K1 + 1)).alias("bound"))
-    first = settle(told.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))).join(bound, "query_id", "left"), "told")
-    last = first.where(F.col("place") == limit).select("query_id", (F.col("score") - F.coalesce("bound", F.lit(0.0)) - 10.0**-DIGITS).alias("least"))
-    near = first.join(F.broadcast(last), "query_id").where(F.col("score") >= F.col("least")).select("query_id", "chunk_id", "score")
-    near = settle(near, "near")
-    more = near.select("query_id", "chunk_id").join(weighed.where("common"), "query_id").join(found, ["phrase", "chunk_id"]).select("query_id", "chunk_id", _part(index).alias("score"))
-    thin = weighed.join(last, "query_id", "left_anti").join(found, "phrase").select("query_id", "chunk_id", _part(index).alias("score"))
-    return best(near.unionByName(more).unionByName(thin).groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score")), limit)
+    return best(best_of_shards(weighed, found.select("phrase", "chunk_id", _part(index).alias("part")), limit), limit)
+
+
+def best_of_shards(weighed: DataFrame, found: DataFrame, limit: int) -> DataFrame:
+    """Rows (query_id, chunk_id, score): the ``limit`` best chunks of each query in each shard of chunks.
+
+    ``weighed`` has (query_id, phrase, weight) and ``found`` (phrase, chunk_id, part); a score is the sum of weight times
+    part. Chunks are dealt into shards of a bounded number of postings, and queries into blocks: a posting travels once for
+    each block that asks for it, a weight once to each shard, and no row is made of a query and a chunk but the best. Within
+    a shard, chunks are gone through in blocks: a query whose greatest possible score in a block, by the greatest part of
+    each of its phrases there, is below its last best score so far passes the block over.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    spark = weighed.sparkSession
+    told = weighed.agg(F.count_distinct("query_id")).first()[0]
+    blocks = max(1, -(-told // QUERY_BLOCK))
+    dealt = weighed.select("query_id", "phrase", "weight", F.pmod(F.xxhash64("query_id", F.lit(11)), F.lit(blocks)).cast("int").alias("block"))
+    asked = dealt.select("phrase", F.col("block").alias("of")).distinct()
+    rows = found.join(asked, "phrase")
+    shards = max(spark.sparkContext.defaultParallelism, -(-found.count() // SHARD_ROWS))
+    rows = rows.select("phrase", "chunk_id", "part", "of", F.pmod(F.xxhash64("chunk_id", F.lit(13)), F.lit(shards)).cast("int").alias("at"))
+    sent = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+
+    def run(weights: pa.Table, rows: pa.Table) -> pa.Table:
+        out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        names = rows.column("chunk_id").combine_chunks().dictionary_encode()
+        chunks = names.dictionary
+        queries = weights.column("query_id").combine_chunks().dictionary_encode()
+        if rows.num_rows and weights.num_rows:
+            both = pa.concat_arrays([weights.column("phrase").combine_chunks(), rows.column("phrase").combine_chunks()]).dictionary_encode().indices.to_numpy()
+            wanted, phrase = both[: weights.num_rows], both[weights.num_rows :]
+            number = int(both.max()) + 1
+            order = np.lexsort((wanted,))
+            wanted, weight, query = wanted[order], weights.column("weight").to_numpy()[order], queries.indices.to_numpy()[order]
+            edges = np.searchsorted(wanted, np.arange(number + 1))
+            rank = np.empty(len(chunks), np.int64)
+            rank[pc.array_sort_indices(chunks).to_numpy()] = np.arange(len(chunks))
+            chunk = rank[names.indices.to_numpy()]  # chunks by the order of their ids
+            back = np.argsort(rank)
+            order = np.lexsort((phrase, chunk // CHUNK_BLOCK))
+            chunk, phrase, part = chunk[order], phrase[order], rows.column("part").to_numpy()[order]
+            cut = np.searchsorted(chunk // CHUNK_BLOCK, np.arange(-(-len(chunks) // CHUNK_BLOCK) + 1))
+            n = len(queries.dictionary)
+            kept = [(np.zeros(0), np.zeros(0, np.int64))] * n
+            least = np.full(n, -np.inf)
+            for i in range(len(cut) - 1):
+                if cut[i] == cut[i + 1]:
+                    continue
+                at, ph, pt = (x[cut[i] : cut[i + 1]] for x in (chunk, phrase, part))
+                start = np.flatnonzero(np.append(True, ph[1:] != ph[:-1]))
+                ends = np.append(start[1:], len(ph))
+                most = np.maximum.reduceat(pt, start)
+                size = edges[ph[start] + 1] - edges[ph[start]]
+                held = np.repeat(edges[ph[start]] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                bound = np.bincount(query[held], weight[held] * np.repeat(most, size), n)
+                open_ = (bound >= least - 10.0**-DIGITS) & (bound > 0)
+                if not open_.any():
+                    continue
+                place = np.cumsum(open_) - 1
+                base = i * CHUNK_BLOCK
+                score = np.zeros((int(open_.sum()), CHUNK_BLOCK))
+                for a, b, p in zip(start, ends, ph[start], strict=True):
+                    q, w = query[edges[p] : edges[p + 1]], weight[edges[p] : edges[p + 1]]
+                    if not open_[q].all():
+                        q, w = q[open_[q]], w[open_[q]]
+                    if len(q):
+                        score[np.ix_(place[q], at[a:b] - base)] += w[:, None] * pt[a:b]
+                for q in np.flatnonzero(open_):
+                    own = score[place[q]]
+                    better = np.flatnonzero((own > 0) & (own >= least[q] - 10.0**-DIGITS))
+                    values, where = np.concatenate((kept[q][0], own[better])), np.concatenate((kept[q][1], better + base))
+                    if len(values) > limit:
+                        first = np.lexsort((where, -np.round(values, DIGITS)))[:limit]
+                        values, where = values[first], where[first]
+                        least[q] = values[-1]
+                    kept[q] = values, where
+            for q, (values, where) in enumerate(kept):
+                out[0].append(np.full(len(where), q))
+                out[1].append(back[where])
+                out[2].append(values)
+        query, chunk, value = (np.concatenate(x) for x in out)
+        return pa.table({"query_id": queries.dictionary.take(pa.array(query)), "chunk_id": chunks.take(pa.array(chunk)), "score": value})
+
+    kinds = f"query_id {weighed.schema['query_id'].dataType.simpleString()}, chunk_id {found.schema['chunk_id'].dataType.simpleString()}"
+    return sent.groupBy("shard", "block").cogroup(rows.groupBy("at", "of")).applyInArrow(run, f"{kinds}, score double")
 
 
 def literal_arm(queries: DataFrame, chunks: DataFrame, limit: int = ARM_LIMIT, index: Postings | None = None, block: int = 2000) -> DataFrame:
