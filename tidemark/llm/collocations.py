@@ -221,7 +221,8 @@ def coded(laid: DataFrame, words: DataFrame, lang: str = "lang") -> DataFrame:
                 out.append(to[places].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["shard", "places"])
 
-    out = common.settle(both.select("shard", "places", "ids").mapInArrow(run, "shard long, places binary"), "coded")
+    with few_at_once(laid.sparkSession):
+        out = common.settle(both.select("shard", "places", "ids").mapInArrow(run, "shard long, places binary"), "coded")
     common.discard(ids)
     return out
 
@@ -241,7 +242,8 @@ def frequent_pairs(laid: DataFrame, least: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts)], ["pair", "f"])
 
     counted = laid.mapInArrow(run, "pair long, f long").groupBy("pair").agg(F.sum("f").alias("f"))
-    return common.settle(counted.where(F.col("f") >= least), "pairs")
+    with few_at_once(laid.sparkSession):
+        return common.settle(counted.where(F.col("f") >= least), "pairs")
 
 
 def frequent_triples(laid: DataFrame, pairs: DataFrame, least: int, held: int) -> DataFrame:
@@ -252,7 +254,7 @@ def frequent_triples(laid: DataFrame, pairs: DataFrame, least: int, held: int) -
     spark = laid.sparkSession
     known = None
     if pairs.count() <= held:
-        known = spark.sparkContext.broadcast(np.sort(pairs.select("pair").toArrow().column("pair").to_numpy()).astype(np.uint64))
+        known = spark.sparkContext.broadcast(packed(pairs))
         asked = laid.select("shard", "places")
     else:
         asked = laid.join(pairs_by_shard(laid, pairs), "shard").select("shard", "places", "pairs")
@@ -265,7 +267,19 @@ def frequent_triples(laid: DataFrame, pairs: DataFrame, least: int, held: int) -
                     yield pa.RecordBatch.from_arrays([pa.array(pair.astype(np.int64)), pa.array(third.astype(np.int64)), pa.array(counts)], ["pair", "third", "f"])
 
     counted = asked.mapInArrow(run, "pair long, third long, f long").groupBy("pair", "third").agg(F.sum("f").alias("f"))
-    return common.settle(counted.where(F.col("f") >= least), "triples")
+    with few_at_once(spark):
+        return common.settle(counted.where(F.col("f") >= least), "triples")
+
+
+def packed(pairs: DataFrame) -> np.ndarray:
+    """All pairs in order; they come packed, one row a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [batch.column(0).to_numpy() for batch in batches]
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([np.zeros(0, np.int64), *own]).tobytes()], pa.binary())], ["pairs"])
+
+    held = [np.frombuffer(r["pairs"], np.uint64) for r in pairs.select("pair").mapInArrow(run, "pairs binary").collect()]
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *held]))
 
 
 def pairs_by_shard(laid: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -303,13 +317,12 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int
     entries = laid.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("lang", F.col("x.words").alias("word"), F.col("x.counts").alias("c"))
     total = common.settle(laid.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("c")).groupBy("lang").agg(F.sum("c").alias("n")), "totals")
     words = numbered(entries.groupBy("lang", "word").agg(F.sum("c").alias("n")).where(F.col("n") >= least), "words")
-    with few_at_once(spark):
-        places = coded(laid, words)
-        common.discard(laid)
-        common.freed(spark)
-        pairs = frequent_pairs(places, least)
-        common.freed(spark)
-        triples = frequent_triples(places, pairs, least, held)
+    places = coded(laid, words)
+    common.discard(laid)
+    common.freed(spark)
+    pairs = frequent_pairs(places, least)
+    common.freed(spark)
+    triples = frequent_triples(places, pairs, least, held)
     common.discard(places)
     common.freed(spark)
     counts = words.select("id", F.col("n").alias("w"))
