@@ -719,3 +719,16 @@ def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     stop = spark.createDataFrame([(w,) for w in tx.STOPWORDS], "term string")
     terms = document_index(spark, sf_dir).rows.where(F.octet_length("term") >= 3).join(F.broadcast(stop), "term", "left_anti")
     return terms.groupBy("term").agg(F.sum("f").alias("n"), F.count("*").alias("chunks"))
+
+
+@query("""
+WITH t AS (SELECT 'P' || p_partkey || '.java' AS path, p_partkey, p_size, 'class P' || p_partkey || ' { /* } void no() { */ String s = "' || p_name || ' {"; ' AS head, 'void m' || p_size || '() { go(''}''); }' AS method FROM part)
+SELECT path, 0 AS chunk_idx, 'class' AS kind, 'P' || p_partkey AS symbol, '' AS heading_path, 0 AS start_byte, (strlen(head) + strlen(method) + 2)::INT AS end_byte FROM t
+UNION ALL SELECT path, 1, 'method', 'm' || p_size, 'P' || p_partkey, strlen(head)::INT, (strlen(head) + strlen(method))::INT FROM t
+""")
+def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of a class for each part, whose comment, string and character hold braces and a method that isn't there."""
+    c = F.col
+    text = F.concat(F.lit("class P"), c("p_partkey"), F.lit(' { /* } void no() { */ String s = "'), c("p_name"), F.lit(' {"; void m'), c("p_size"), F.lit("() { go('}'); } }"))
+    files = spread(table(spark, sf_dir, "part")).select(F.lit("parts").alias("source"), F.concat(F.lit("P"), c("p_partkey"), F.lit(".java")).alias("path"), text.alias("content"))
+    return chunkers.chunk_files(files, "code").select("path", "chunk_idx", "kind", "symbol", "heading_path", "start_byte", "end_byte")
