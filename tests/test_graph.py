@@ -39,6 +39,31 @@ def test_pagerank_by_power_iteration(spark, held):
         assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
 
 
+@pytest.mark.parametrize("sinks", [True])
+def test_pushed_mass_is_within_its_bound(spark, sinks):
+    rng = random.Random(5)
+    edges = [(f"n{rng.randint(0, 25)}", f"n{rng.randint(0, 30)}", rng.choice([0.3, 0.5, 1.0])) for _ in range(60)]
+    if not sinks:
+        edges += [(b, a, w) for a, b, w in edges]
+    seeds = {0: [("n3", 1.0)], 1: [("n4", 2.0), ("far", 1.0)], 2: [("n5", 0.0)]}
+    frame = spark.createDataFrame(edges, "src string, dst string, weight double")
+    rows = spark.createDataFrame([(q, n, w) for q, own in seeds.items() for n, w in own], "query_id long, node string, weight double")
+    near, rest = graph.pushed_pagerank(frame, rows, least=1e-3)
+    for r in rest.where("query_id = 0").collect():
+        want = dense_pagerank(edges, seeds[0], rounds=300)
+        got = {x["node"]: x["mass"] for x in near.where("query_id = 0").collect()}
+        assert all(got[x] <= want[x] + 1e-9 for x in got) and 1 - r["lost"] - sum(got.values()) <= r["left"] + 1e-9
+    wanted = spark.createDataFrame([(q, n) for q in seeds for n in ("n1", "n7", "far")], "query_id long, node string")
+    found = {(r["query_id"], r["node"]): r["mass"] for r in graph.mass_around(frame, rows, wanted, held=0, least=1e-4).collect()}
+    for q, own in seeds.items():
+        want = dense_pagerank(edges, own, rounds=300)
+        for n in ("n1", "n7", "far"):
+            assert (q, n) in found if n in want else (q, n) not in found
+        heaviest = max(want.values())
+        assert q == 2 or any(abs(v - heaviest) < 5e-3 for (k, _), v in found.items() if k == q)
+        assert all(abs(v - want[n]) < 5e-3 for (k, n), v in found.items() if k == q)
+
+
 def test_keyphrase_edges(spark):
     texts = ["Copper pipe fittings, and copper pipe sealant", "copper pipe sealant for the roof", "a roof of slate", "pipe"]
     phrases = graph.keyphrases(spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string"))

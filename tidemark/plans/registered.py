@@ -672,15 +672,52 @@ def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(retrieval.bm25_arm(benchmark_queries(spark, sf_dir), index), "score")
 
 
+def _push_sql(rounds: int) -> str:
+    """Mass pushed from the seeds for so many rounds: e has edges with shares, w0 (query_id, node, r)."""
+    steps = [f"w{i + 1} AS MATERIALIZED (SELECT query_id, dst AS node, sum(0.85 * r * share) AS r FROM w{i} JOIN e ON e.src = node GROUP BY 1, 2)" for i in range(rounds - 1)]
+    return ", ".join([*steps, "nm AS (SELECT query_id, node, 0.15 * sum(r) AS mass FROM (" + " UNION ALL ".join(f"SELECT * FROM w{i}" for i in range(rounds)) + ") GROUP BY 1, 2)"])
+
+
+PUSH_ROUNDS = 8
+PUSH_SQL = f"""
+{KNN_SQL},
+ew AS (SELECT src, dst, 0.3::DOUBLE AS w FROM ks UNION ALL SELECT dst, src, 0.3::DOUBLE FROM ks UNION ALL SELECT vec_id, vec_id * 7 % (SELECT count(*) FROM embeddings), 1.0::DOUBLE FROM embeddings WHERE vec_id <> vec_id * 7 % (SELECT count(*) FROM embeddings) UNION ALL SELECT vec_id * 7 % (SELECT count(*) FROM embeddings), vec_id, 0.5::DOUBLE FROM embeddings WHERE vec_id <> vec_id * 7 % (SELECT count(*) FROM embeddings)),
+e AS MATERIALIZED (SELECT src, dst, sum(w) / any_value(o) AS share FROM ew JOIN (SELECT src, sum(w) AS o FROM ew GROUP BY 1) USING (src) GROUP BY 1, 2)
+"""
+
+
+def vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph of the vectors: each is linked to the one seven times as far on, as by a note, and to its nearest."""
+    vectors = vector_chunks(spark, sf_dir)
+    count = vectors.agg(F.count("*").alias("n"))  # one row
+    links = vectors.crossJoin(F.broadcast(count)).select(F.col("chunk_id").alias("source_chunk_id"), (F.col("chunk_id") * 7 % F.col("n")).alias("target_chunk_id"), F.lit("wikilink").alias("kind"))
+    return settle(graph.ranking_edges(links, graph.similarity_edges(vectors, least=LEAST_KNN)), "vector-graph")
+
+
+@query(f"""
+WITH {PUSH_SQL}, w0 AS (SELECT label AS query_id, vec_id AS node, 1.0::DOUBLE / count(*) OVER (PARTITION BY label) AS r FROM embeddings WHERE vec_id % 20 = 0),
+{_push_sql(PUSH_ROUNDS)} SELECT query_id, node, round(mass, 6) AS mass FROM nm
+""")
+def ppr_push(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mass pushed eight rounds from the vectors of each label whose ids are divisible by 20; what is left is 0.85^8 of it."""
+    seeds = vector_chunks(spark, sf_dir).where("chunk_id % 20 = 0").select(F.col("label").alias("query_id"), F.col("chunk_id").alias("node"), F.lit(1.0).alias("weight"))
+    near, _ = graph.pushed_pagerank(vector_graph(spark, sf_dir), seeds, least=0.0, rounds=PUSH_ROUNDS)
+    return rounded(near, "mass")
+
+
 @query(f"""
-WITH {FTS_SQL}, b AS (SELECT query_id, chunk_id, 1.0::DOUBLE / (60 + rank) + CASE WHEN rank = 1 THEN 0.05::DOUBLE WHEN rank <= 3 THEN 0.02::DOUBLE ELSE 0 END AS score, CASE WHEN chunk_id % 3 = 0 THEN (chunk_id % 7 + 1) / 7.0::DOUBLE END AS mass FROM fts)
-SELECT query_id, chunk_id, round(score + coalesce(0.03 * mass / max(mass) OVER (PARTITION BY query_id), 0), 6) AS score, round(coalesce(0.03 * mass / max(mass) OVER (PARTITION BY query_id), 0), 6) AS graph_boost FROM b
+WITH {FTS_SQL}, {PUSH_SQL}, b AS (SELECT query_id, chunk_id, rank, 1.0::DOUBLE / (60 + rank) + CASE WHEN rank = 1 THEN 0.05::DOUBLE WHEN rank <= 3 THEN 0.02::DOUBLE ELSE 0 END AS score FROM fts),
+w0 AS (SELECT query_id, chunk_id AS node, score / sum(score) OVER (PARTITION BY query_id) AS r FROM b WHERE rank <= 10),
+{_push_sql(PUSH_ROUNDS)}, g AS (SELECT b.query_id, chunk_id, score, 0.03 * coalesce(mass, 0) / (SELECT max(mass) FROM nm t WHERE t.query_id = b.query_id) AS gain FROM b LEFT JOIN nm ON nm.query_id = b.query_id AND nm.node = b.chunk_id)
+SELECT query_id, chunk_id, round(score + gain, 6) AS score, round(gain, 6) AS graph_boost FROM g
 """)
 def graph_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fused scores raised by a mass that some of the hits have."""
+    """Each benchmark text's fused hits, raised by the mass that is pushed from its first ten over the graph of vectors, which have the documents' ids."""
     fts = retrieval.bm25_arm(benchmark_queries(spark, sf_dir), document_index(spark, sf_dir))
     fused = settle(retrieval.fuse({"fts": fts}), "fused")
-    mass = fused.where("chunk_id % 3 = 0").select("query_id", "chunk_id", ((F.col("chunk_id") % 7 + 1) / F.lit(7.0)).alias("mass"))
+    seeds = retrieval.best(fused, 10).select("query_id", F.col("chunk_id").alias("node"), F.col("score").alias("weight"))
+    near, _ = graph.pushed_pagerank(vector_graph(spark, sf_dir), seeds, least=0.0, rounds=PUSH_ROUNDS)
+    mass = near.select("query_id", F.col("node").alias("chunk_id"), "mass")
     return rounded(retrieval.boost(fused, mass).select("query_id", "chunk_id", "score", "graph_boost"), "score", "graph_boost")
 
 
