@@ -51,7 +51,15 @@ def test_disguises_map_back(text, kind, span):
     assert [(k, text[a:b]) for k, a, b in added] == [(kind, span)] and base == []
 
 
-@pytest.mark.parametrize("text", ["look at the dot com boom", "one of two at home.", "we met at noon. Then one by one", "x [at] y"])
+@pytest.mark.parametrize(
+    ("text", "span"),
+    [("to 192 dot 168 dot one dot two ok", (3, 30)), ("one nine two dot one six eight dot zero dot one", (0, 47)), ("is Ten dot zero dot zero point one.", (3, 34)), ("é 10 dot zero dot 0 dot nine", (2, 28))],
+)
+def test_lone_spelled_digits_of_an_address(text, span):
+    assert pii.find(text) == ([], [("ip", *span)])
+
+
+@pytest.mark.parametrize("text", ["look at example.com", "arrive at 10.0.0.1 port", "here at shop.example dot org", "one point two and three point four", "look at the dot com boom", "one of two at home.", "we met at noon. Then one by one", "x [at] y"])
 def test_plain_words_stay(text):
     assert pii.find(text) == ([], [])
 

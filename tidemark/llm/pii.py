@@ -145,6 +145,12 @@ _NUMBER = "|".join(_DIGIT_WORDS)
 #: Spelled numbers and digits one after the other, each run gone through once; and one of its members.
 NUMBERS = re.compile(rf"\b(?:{_NUMBER}|[0-9]++)\b(?:(?:[\s,]{{1,3}}|-)(?:{_NUMBER}|[0-9]++)\b)*+", re.I)
 MEMBER = re.compile(rf"({_NUMBER})|[0-9]+", re.I)
+#: Four numbers with spelled dots between, of which single digits and ten may be spelled too.
+_PART = rf"(?:{_NUMBER}|ten|[0-9]{{1,3}})"
+FOUR_NUMBERS = re.compile(rf"\b{_PART}(?:\s+(?:dot|point)\s+{_PART}){{3}}\b", re.I)
+NUMBER_WORD = re.compile(rf"\b(?:{_NUMBER}|ten)\b", re.I)
+#: Words that stand before "at" and a host's name without being a mailbox.
+NO_MAILBOX = frozenset("look looks looking looked arrive arrives arrived stay stays stayed meet met see seen find found be is are was were am available hosted host located visit here there me us it them you him her us online live listens listening running runs start starts stop stops sold buy order work works working shop only not and or also even point points read more live call".split())
 PLUS_WORD = re.compile(r"\bplus\s+(?=[0-9])", re.I)
 _LOOK_NUMBER = {w: re.compile(rf"{w}\b(?<=\b{w})") for w in _DIGIT_WORDS}
 
@@ -200,6 +206,9 @@ def undisguised(text: str) -> Aligned:
     out = out.rewrite(ENTITY, _entity)
     out = out.rewrite(BRACKETED, lambda m: _SIGN_WORDS[m[1].lower()])
     out = out.replace(list(spelled(out.text)))
+    chained = [(m.start(), m.end(), "10" if m[0].lower() == "ten" else _DIGIT_WORDS[m[0].lower().translate(_SMALL)]) for chain in FOUR_NUMBERS.finditer(out.text) for m in NUMBER_WORD.finditer(out.text, chain.start(), chain.end())]
+    if chained:
+        out = out.replace(chained)
     out = out.rewrite(PLUS_WORD, lambda m: "+")
     out = out.rewrite(WORD_AT, lambda m: "@")
     if "@" in out.text or SOME_DIGIT_DOT.search(out.text):
@@ -233,6 +242,8 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     reach = list(accumulate((e for _, e, _ in held), max))
     for kind, a, b in detect(normal.text):
         start, end = normal.source(a, b)
+        if kind == "email" and "@" not in text[start:end] and no_mailbox(normal.text[a:b], text[start:end]):
+            continue
         i = bisect_left(reach, start + 1)  # those before end at or before it
         near = []
         while i < len(held) and held[i][0] < end:
@@ -243,6 +254,12 @@ def find(text: str) -> tuple[list[Span], list[Span]]:
     return base, added
 
 
+def no_mailbox(address: str, written: str) -> bool:
+    """Whether what was written with the word "at" is a place on the net rather than a mailbox there."""
+    local, host = address.split("@", 1)
+    return WORD_AT.search(written) is not None and (local.lower() in NO_MAILBOX or host.rsplit(".", 1)[-1].isdigit())
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (KINDS.index(x[0]), x[1], x[2])))
 
