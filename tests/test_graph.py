@@ -137,3 +137,16 @@ def test_repo_map_lines(spark):
     definitions = spark.createDataFrame(rows, "path string, kind string, symbol string, start_byte int, heading_path string")
     lines = [r["line"] for r in graph.repo_map(ranks, definitions).orderBy("position").collect()]
     assert lines == ["a.rs (score 0.0625)", "  struct Wheel", "  iface Spins", "  fn Wheel::turn", "  macro! spin"]
+
+
+@pytest.mark.parametrize("share", [0.1, 0.9])
+def test_selection_by_ranges(spark, share):
+    rng = random.Random(int(share * 10))
+    rows = [(1, rng.gauss(0, 1)) for _ in range(3000)] + [(1, 0.25)] * 2000 + [(2, 7.0)] * 500 + [(None, float(i)) for i in range(40)] + [(3, None), (4, 1.5), (1, 1e9)]
+    want = {}
+    for label in {r[0] for r in rows}:
+        own = sorted(v for k, v in rows if k == label and v is not None)
+        if own:
+            want[label] = own[min(int(len(own) * share), len(own) - 1)]
+    got = evaluate.selected(spark.createDataFrame(rows, "label int, value double"), share, buckets=8, few=16)
+    assert {r["label"]: r["value"] for r in got.collect()} == want

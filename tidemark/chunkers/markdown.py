@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from bisect import bisect_right
 
 from . import Chunk, Link, Parsed
 
@@ -12,6 +13,7 @@ SIZES = {"obsidian": (1800, 1600, 270), "notes": (1800, 1600, 270), "docs": (120
 # Frontmatter keys that say nothing of the topic.
 NOISY_KEYS = "imdbId imdb_id url cover image coordinates created modified published last id uuid".split()
 LEAST_BODY = 50
+# Fixed value: what a heading of a note is.
 HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*#*\s*$")
 NOTE_LINK = re.compile(r"\[\[([^\]\[|#\n]*)(?:#[^\]\[|\n]*)?(?:\|[^\]\[\n]*)?\]\]")
 MARKDOWN_LINK = re.compile(r"\[[^\]\n]*\]\(([^)\s#]+?\.md)(?:#[^)\s]*)?\)")
@@ -163,13 +165,16 @@ def note_links(text: str) -> list[tuple[int, str, str | None]]:
     """(byte, title, path) of each link to a note outside fences; the path as it is written, only if the link names a
     folder or is one in brackets and parentheses."""
     shut, out = fenced_bytes(text), []
+    begins = [a for a, _ in shut]
     for pattern, always in ((NOTE_LINK, False), (MARKDOWN_LINK, True)):
+        at, last = 0, 0
         for m in pattern.finditer(text):
             target = m[1].strip()
+            at, last = at + size(text[last : m.start()]), m.start()  # bytes go on from the link before
             if not target or "://" in target:
                 continue
-            at = size(text[: m.start()])
-            if any(a <= at < b for a, b in shut):
+            around = bisect_right(begins, at) - 1
+            if around >= 0 and at < shut[around][1]:
                 continue
             title = target.rsplit("/", 1)[-1].removesuffix(".md")
             out.append((at, title, target if always or "/" in target else None))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..plans.shared import settle
 from . import vectors
 
 LOWEST_FLOOR, HIGHEST_FLOOR, DEFAULT_FLOOR, MARGIN = 0.20, 0.70, 0.45, 0.02
@@ -39,10 +41,14 @@ def percentile(values: Column, q: float) -> Column:
 
 
 def floor_of(positives: Column, negatives: Column) -> Column:
-    """The similarity under which a result isn't trusted: just above the negatives, not above the low end of positives."""
-    low, high = percentile(positives, 0.10), percentile(negatives, 0.90)
+    """The similarity under which a result isn't trusted, of arrays of them."""
+    return F.when(F.size(positives) == 0, F.lit(DEFAULT_FLOOR)).otherwise(floor_between(percentile(positives, 0.10), percentile(negatives, 0.90)))
+
+
+def floor_between(low: Column, high: Column) -> Column:
+    """Just above the high end of negatives, not above the low end of positives; the default without positives."""
     chosen = F.when(high.isNull(), low).otherwise(F.least(high + MARGIN, low))
-    return F.when(F.size(positives) == 0, F.lit(DEFAULT_FLOOR)).otherwise(F.greatest(F.lit(LOWEST_FLOOR), F.least(F.lit(HIGHEST_FLOOR), chosen)))
+    return F.when(low.isNull(), F.lit(DEFAULT_FLOOR)).otherwise(F.greatest(F.lit(LOWEST_FLOOR), F.least(F.lit(HIGHEST_FLOOR), chosen)))
 
 
 def nearest_by_label(rows: DataFrame) -> DataFrame:
@@ -59,10 +65,35 @@ def nearest_by_label(rows: DataFrame) -> DataFrame:
     return rows.select("chunk_id", "label").join(both, "chunk_id", "left")
 
 
+def selected(values: DataFrame, share: float, buckets: int = 1024, few: int = 4096) -> DataFrame:
+    """Rows (label, value): of each label's values, in order, the one at floor(n * share), counted from 0.
+
+    Exact, and no label's values come together: they are counted by ranges of equal width between the label's bounds, the
+    range that holds the wanted place becomes the new bounds, and so on until it holds few values or equal ones alone.
+    Null values don't count; a label without values has no row.
+    """
+    rows = values.where("value IS NOT NULL").select("label", "value")
+    bounds = settle(rows.groupBy("label").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).withColumn("at", F.least(F.floor(F.col("n") * F.lit(share)), F.col("n") - 1)), "bounds")
+    within = lambda: rows.join(bounds, rows["label"].eqNullSafe(bounds["label"])).drop(bounds["label"]).where((F.col("value") >= F.col("low")) & (F.col("value") <= F.col("high")))
+    while not bounds.where((F.col("n") > few) & (F.col("low") < F.col("high"))).isEmpty():
+        width = F.col("high") - F.col("low")
+        part = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("low")) / width * buckets), F.lit(buckets - 1))).otherwise(0)
+        counted = within().withColumn("part", part).groupBy("label", "at", "part").agg(F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+        before = F.sum("n").over(Window.partitionBy("label").orderBy("part")) - F.col("n")  # of as many rows as there are ranges
+        held = counted.withColumn("before", before).where((F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("n")))
+        bounds = settle(held.select("label", "n", "low", "high", (F.col("at") - F.col("before")).alias("at")), "bounds")
+    ordered = within().where("low < high").withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("value")) - 1)
+    return ordered.where("place = at").select("label", "value").unionByName(bounds.where("low = high").select("label", F.col("low").alias("value")))
+
+
 def floors_by_label(nearest: DataFrame) -> DataFrame:
     """Rows (label, floor): the nearest of each label's own vectors are the positives, those of others the negatives."""
-    lists = nearest.groupBy("label").agg(F.collect_list("own").alias("own"), F.collect_list("other").alias("other"))
-    return lists.select("label", floor_of(F.col("own"), F.col("other")).alias("floor"))
+    rows = settle(nearest.select("label", "own", "other"), "nearest")
+    low = selected(rows.select("label", F.col("own").alias("value")), 0.10).select(F.col("label").alias("of"), F.col("value").alias("low"))
+    high = selected(rows.select("label", F.col("other").alias("value")), 0.90).select(F.col("label").alias("against"), F.col("value").alias("high"))
+    labels = rows.select("label").distinct()
+    found = labels.join(low, F.col("label").eqNullSafe(F.col("of")), "left").join(high, F.col("label").eqNullSafe(F.col("against")), "left")
+    return found.select("label", floor_between(F.col("low"), F.col("high")).alias("floor"))
 
 
 def stride_sample(rows: DataFrame, key: str, n: int = 40) -> DataFrame:
