@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from .. import chunkers
 from ..functions import text as tx
 from ..functions import vector as vx
-from ..operators import evaluate, graph, incremental, navigate, retrieval, usage
+from ..operators import evaluate, graph, incremental, intervals, navigate, retrieval, usage
 from ..sources import registry
 from ..streaming import refresh
 from .shared import ready, settle
@@ -769,3 +769,46 @@ def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("class P"), c("p_partkey"), F.lit(' { /* } void no() { */ String s = "'), c("p_name"), F.lit(' {"; void m'), c("p_size"), F.lit("() { go('}'); } }"))
     files = spread(table(spark, sf_dir, "part")).select(F.lit("parts").alias("source"), F.concat(F.lit("P"), c("p_partkey"), F.lit(".java")).alias("path"), text.alias("content"))
     return chunkers.chunk_files(files, "code").select("path", "chunk_idx", "kind", "symbol", "heading_path", "start_byte", "end_byte")
+
+
+SPANS_SQL = """
+sp AS (SELECT user_id, event_id AS span_id, epoch_us(ts) AS s, epoch_us(ts) + (event_id % 40 + 1) * 21600000000 AS e FROM events WHERE event_type = 'click'),
+pt AS (SELECT user_id, event_id AS point_id, epoch_us(ts) AS place FROM events WHERE event_type <> 'click')
+"""
+
+
+def event_spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each click with six hours to ten days after it as a span of its user, and all other events as places."""
+    events = table(spark, sf_dir, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    spans = events.where("event_type = 'click'").select("user_id", F.col("event_id").alias("span_id"), F.col("at").alias("start"), (F.col("at") + (F.col("event_id") % 40 + 1) * 21_600_000_000).alias("end"))
+    return spans, events.where("event_type <> 'click'").select("user_id", F.col("event_id").alias("point_id"), "at")
+
+
+@query(f"""
+WITH {SPANS_SQL}, r AS (SELECT p.user_id, point_id, span_id, row_number() OVER (PARTITION BY point_id ORDER BY s DESC, e, span_id) AS k FROM pt p LEFT JOIN sp ON sp.user_id = p.user_id AND s <= place AND place < e)
+SELECT user_id, point_id, span_id FROM r WHERE k = 1
+""")
+def enclosing_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every event that is no click, the latest click of its user whose span it falls into."""
+    spans, points = event_spans(spark, sf_dir)
+    return intervals.innermost(points, spans, ["user_id"]).select("user_id", "point_id", "span_id")
+
+
+@query(f"""
+WITH {SPANS_SQL}, r AS (SELECT p.user_id, point_id, span_id, row_number() OVER (PARTITION BY point_id ORDER BY e DESC, s DESC, span_id DESC) AS k FROM pt p LEFT JOIN sp ON sp.user_id = p.user_id AND e <= place)
+SELECT user_id, point_id, span_id FROM r WHERE k = 1
+""")
+def spans_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every event that is no click, the span of its user that ended last before it."""
+    spans, points = event_spans(spark, sf_dir)
+    return intervals.last_before(points, spans, ["user_id"]).select("user_id", "point_id", "span_id")
+
+
+@query(f"""
+WITH {SPANS_SQL}, r AS (SELECT c.user_id, c.span_id, p.span_id AS parent, row_number() OVER (PARTITION BY c.span_id ORDER BY p.s DESC, p.e, p.span_id DESC) AS k FROM sp c LEFT JOIN sp p ON p.user_id = c.user_id AND p.s <= c.s AND p.e >= c.e AND (p.s < c.s OR p.e > c.e OR p.span_id < c.span_id))
+SELECT user_id, span_id, parent FROM r WHERE k = 1
+""")
+def span_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every span of a click, the one of its user that encloses it and begins last."""
+    spans, _ = event_spans(spark, sf_dir)
+    return intervals.parents(spans, ["user_id"]).select("user_id", "span_id", "parent")
