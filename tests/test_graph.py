@@ -150,3 +150,26 @@ def test_selection_by_ranges(spark, share):
             want[label] = own[min(int(len(own) * share), len(own) - 1)]
     got = evaluate.selected(spark.createDataFrame(rows, "label int, value double"), share, buckets=8, few=16)
     assert {r["label"]: r["value"] for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("budget,seed", [(200, 1), (200, 2), (700, 3), (10_000, 4)])
+def test_outline_by_a_loop(spark, budget, seed):
+    rng = random.Random(seed)
+    ranks = [(f"f{i:02d}" + "x" * rng.choice([0, 5, 120]), rng.choice([0.1, 0.2, 0.3])) for i in range(40)]
+    defined = [(p, rng.choice(["function", "class"]), "s" * rng.choice([1, 4, 30, 200]) + str(k), k, rng.choice(["", "A"])) for p, _ in ranks[:35] for k in range(rng.choice([1, 3, 12]))]
+    out, used, limit = [], 0, 4 * budget
+    for path, rank in sorted(ranks[:35], key=lambda r: (-r[1], r[0])):
+        header = f"{path} (score {rank:.4f})"
+        if used + len(header) + 2 > limit:
+            break
+        used += len(header) + 2
+        out.append(header)
+        for _, kind, symbol, _, heading in sorted((d for d in defined if d[0] == path), key=lambda d: d[3]):
+            line = f"  {'fn' if kind == 'function' else kind} {heading + '::' if heading else ''}{symbol}"
+            if used + len(line) + 1 > limit:
+                break
+            used += len(line) + 1
+            out.append(line)
+    got = graph.repo_map(spark.createDataFrame(ranks, "path string, rank double"), spark.createDataFrame(defined, "path string, kind string, symbol string, start_byte int, heading_path string"), budget)
+    assert [r["line"] for r in got.orderBy("position").collect()] == out
+

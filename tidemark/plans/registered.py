@@ -812,3 +812,21 @@ def span_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every span of a click, the one of its user that encloses it and begins last."""
     spans, _ = event_spans(spark, sf_dir)
     return intervals.parents(spans, ["user_id"]).select("user_id", "span_id", "parent")
+
+
+@query("""
+WITH RECURSIVE d AS (SELECT 'src/' || p_brand || '.rs' AS path, p_partkey AS place, '  ' || CASE p_size % 3 WHEN 0 THEN 'fn' WHEN 1 THEN 'struct' ELSE 'iface' END || ' part_' || p_partkey AS line FROM part),
+f AS (SELECT path, row_number() OVER (ORDER BY (count(*) % 89) DESC, path) AS file_rank, path || ' (score ' || printf('%.4f', (count(*) % 89) / 100.0::DOUBLE) || ')' AS line FROM d GROUP BY 1),
+l AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY file_rank, place) AS i FROM (SELECT path, file_rank, 0 AS place, line, strlen(line) + 2 AS size FROM f UNION ALL SELECT d.path, file_rank, place + 1, d.line, strlen(d.line) + 1 FROM d JOIN f USING (path))),
+g AS (SELECT 0::BIGINT AS i, 0::BIGINT AS used, false AS taken, 0::BIGINT AS shut, false AS ended
+ UNION ALL SELECT l.i, used + CASE WHEN fit THEN size ELSE 0 END, fit, CASE WHEN NOT fit AND l.place > 0 THEN l.file_rank ELSE shut END, NOT fit AND l.place = 0
+ FROM (SELECT g.used, g.shut, l.*, l.file_rank <> g.shut AND g.used + l.size <= 4000 AS fit FROM g JOIN l ON l.i = g.i + 1 WHERE NOT g.ended) l)
+SELECT row_number() OVER (ORDER BY g.i) - 1 AS position, path, line FROM g JOIN l ON l.i = g.i WHERE taken
+""")
+def repo_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An outline, within 4000 bytes, of files that stand for brands and define their parts; the rank is made from their number."""
+    c = F.col
+    kind = F.when(c("p_size") % 3 == 0, "function").when(c("p_size") % 3 == 1, "struct").otherwise("interface")
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("src/"), c("p_brand"), F.lit(".rs")).alias("path"), kind.alias("kind"), F.concat(F.lit("part_"), c("p_partkey")).alias("symbol"), c("p_partkey").alias("start_byte"))
+    ranks = parts.groupBy("path").agg(((F.count("*") % 89) / F.lit(100.0)).alias("rank"))
+    return graph.repo_map(ranks, parts, 1000)
