@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SCHEMA_VERSION, CHUNKER_VERSION = "4", "5"
+SCHEMA_VERSION, CHUNKER_VERSION = "5", "6"
 SETTLE_SECONDS, STALE_SECONDS = 60, 2
 #: Manifests of a store that are kept, with their tables.
 KEPT = 3
+#: Segments of a table beyond which the newest are merged.
+SEGMENTS = 8
 
 
 def settled(entries: DataFrame, now: int, seconds: int = SETTLE_SECONDS) -> DataFrame:
@@ -71,6 +73,11 @@ class Store:
     is whole; readers take the one of the highest number, so they see either version and never a half. A writer whose
     number another has taken meanwhile takes up that one's tables and tries the next. Tables that only older manifests
     than the last KEPT name are removed.
+
+    A table is a list of segments in the order of their numbers. ``append`` writes a small one, and with it the keys
+    whose rows in earlier segments are dead; ``read`` leaves those out. ``compact`` makes one segment of the newest ones
+    that are about as large together as the one before them, so a row is written again as often as the logarithm of the
+    table's size.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -92,14 +99,29 @@ class Store:
 
     def manifest(self) -> dict:
         numbers = self._numbers()
-        return self._load(numbers[-1]) if numbers else {"version": None, "meta": {}, "tables": {}}
+        return self._load(numbers[-1]) if numbers else {"version": None, "meta": {}, "tables": {}, "dead": {}, "last": 0}
 
     def read(self, table: str) -> DataFrame | None:
-        where = self.manifest()["tables"].get(table)
-        return self.spark.read.parquet(where) if where else None
+        held = self.manifest()
+        segments = held["tables"].get(table)
+        return self._live(segments, held["dead"].get(table, [])) if segments else None
+
+    def _live(self, segments: list, dead: list) -> DataFrame:
+        """The rows of segments (number, folder) without those whose keys died in a later one."""
+        rows = None
+        for number, where in segments:
+            one = self.spark.read.parquet(where)
+            later = [self.spark.read.parquet(d) for n, d in dead if n > number]
+            if later:
+                keys = later[0]
+                for more in later[1:]:
+                    keys = keys.unionByName(more)
+                one = one.join(keys, keys.columns, "left_anti").select(one.columns)
+            rows = one if rows is None else rows.unionByName(one)
+        return rows
 
     def write(self, tables: dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]], meta: dict | None = None, partition_by: dict[str, str] | None = None) -> str:
-        """Write tables as a new version; tables that aren't given stay as they are.
+        """Write whole tables as a new version; tables that aren't given stay as they are.
 
         A function in place of a table is given those written before it, as they will be read.
         """
@@ -112,12 +134,76 @@ class Store:
             if partition_by and name in partition_by:
                 writer = writer.partitionBy(partition_by[name])
             writer.parquet(written[name])
+
+        def change(now: dict, number: int) -> None:
+            for name, where in written.items():
+                now["tables"][name] = [[number, where]]
+                now["dead"].pop(name, None)
+
+        return self._commit(version, change, meta)
+
+    def append(self, fresh: dict[str, DataFrame], dead: dict[str, DataFrame], meta: dict | None = None, order: dict[str, str] | None = None) -> str:
+        """Add rows to tables, whose earlier rows with keys in ``dead`` (rows of some of their columns) are no longer read.
+
+        Files are as many as the rows' size asks for, and sorted by the column in ``order``.
+        """
+        version, written, gone = f"v{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}", {}, {}
+        for kind, tables, into in (("", fresh, written), ("-dead", dead, gone)):
+            for name, df in tables.items():
+                into[name] = f"{self.folder}/{version}/{name}{kind}"
+                df = df.hint("rebalance")
+                if order and name in order and not kind:
+                    df = df.sortWithinPartitions(order[name])
+                df.write.parquet(into[name])
+
+        def change(now: dict, number: int) -> None:
+            for name, where in gone.items():
+                now["dead"].setdefault(name, []).append([number, where])
+            for name, where in written.items():
+                now["tables"].setdefault(name, []).append([number, where])
+
+        return self._commit(version, change, meta)
+
+    def compact(self, most: int = SEGMENTS) -> list[str]:
+        """Merge the newest segments of each table of more than ``most``; returns the tables that were."""
+        held, done, version = self.manifest(), {}, f"v{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+        path, fs = self._fs()
+        size = lambda where: fs.getContentSummary(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)).getLength()
+        for name, segments in held["tables"].items():
+            if len(segments) <= most:
+                continue
+            first, total = len(segments) - 1, size(segments[-1][1])
+            while first and (size(segments[first - 1][1]) <= 2 * total or first + 1 > most):
+                first -= 1
+                total += size(segments[first][1])
+            if first == len(segments) - 1:
+                continue
+            where = f"{self.folder}/{version}/{name}"
+            self._live(segments[first:], held["dead"].get(name, [])).write.parquet(where)
+            done[name] = (segments[first:], [segments[-1][0], where])
+
+        def change(now: dict, number: int) -> None:
+            for name, (merged, one) in done.items():
+                segments = now["tables"].get(name, [])
+                if all(m in segments for m in merged):  # else another writer has replaced them
+                    at = segments.index(merged[0])
+                    now["tables"][name] = [*segments[:at], one, *segments[at + len(merged) :]]
+                    oldest = now["tables"][name][0][0]
+                    now["dead"][name] = [d for d in now["dead"].get(name, []) if d[0] > oldest]
+
+        if done:
+            self._commit(version, change, None)
+        return sorted(done)
+
+    def _commit(self, version: str, change: Callable[[dict, int], None], meta: dict | None) -> str:
+        """Write the next manifest: the last one with a change, which is told the number of its segments."""
         context = self.spark.sparkContext
         jvm, (folder, fs) = context._jvm, self._fs()
         while True:
             numbers = self._numbers()
-            now = self._load(numbers[-1]) if numbers else {"meta": {}, "tables": {}}
-            now["tables"] |= written
+            now = self._load(numbers[-1]) if numbers else {"meta": {}, "tables": {}, "dead": {}, "last": 0}
+            now["last"] += 1
+            change(now, now["last"])
             now |= {"version": version, "meta": now["meta"] | (meta or {}) | {"schema_version": SCHEMA_VERSION, "chunker_version": CHUNKER_VERSION, "last_walk_at": int(time.time())}}
             number = numbers[-1] + 1 if numbers else 1
             temporary, final = (jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{x}") for x in (f"new-{uuid.uuid4().hex}.json", f"manifest-{number:012d}.json"))
@@ -136,13 +222,17 @@ class Store:
         self._clean()
         return version
 
+    @staticmethod
+    def _named(held: dict) -> set[str]:
+        return {where for group in (held["tables"], held["dead"]) for segments in group.values() for _, where in segments}
+
     def _clean(self) -> None:
         """Remove all but the last manifests, and the tables that none of these names."""
         jvm, (folder, fs) = self.spark.sparkContext._jvm, self._fs()
         numbers = self._numbers()
-        kept = {where for n in numbers[-KEPT:] for where in self._load(n)["tables"].values()}
+        kept = {where for n in numbers[-KEPT:] for where in self._named(self._load(n))}
         for n in numbers[:-KEPT]:
-            gone = set(self._load(n)["tables"].values()) - kept
+            gone = self._named(self._load(n)) - kept
             for where in gone:
                 fs.delete(jvm.org.apache.hadoop.fs.Path(where), True)
             fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest-{n:012d}.json"), False)
