@@ -1,6 +1,9 @@
 import json
 
-from tidemark.chunkers import chunk_files, chunker_for, link_files
+import pytest
+
+from tidemark.chunkers import chunk_files, chunker_for, link_files, transcripts
+from tidemark.sources import files as sources
 
 
 def test_markdown_sections_windows_and_spans():
@@ -62,3 +65,46 @@ def test_chunk_tables(spark):
     files = spark.createDataFrame([("s", "a.md", "# A\n\nsee [[B]]\n"), ("s", "b.md", None)], "source string, path string, content string")
     assert [(r["path"], r["chunk_idx"]) for r in chunk_files(files, "notes").collect()] == [("a.md", 0)]
     assert [(r["kind"], r["target_symbol"]) for r in link_files(files, "notes").collect()] == [("wikilink", "B")]
+
+
+@pytest.mark.parametrize("dialect", ["claude-code", "codex"])
+@pytest.mark.parametrize("thinking", [False, True])
+def test_turns_by_line_are_those_of_files(spark, tmp_path, dialect, thinking):
+    block = lambda **b: b
+    claude = [
+        {"type": "assistant", "message": {"content": [block(type="text", text="before any user")]}},
+        {"type": "user", "timestamp": "2031-11-02T07:09:41Z", "cwd": "/w/quarry/", "gitBranch": "west", "message": {"content": " count \u00e9 "}},
+        {"type": "assistant", "message": {"content": [block(type="thinking", thinking="hm"), block(type="text", text="ok"), block(type="tool_use", name="Read", input={"file_path": "a.py"})]}},
+        {"type": "user", "timestamp": "", "message": {"content": [block(type="tool_result", content=[{"text": "body  of it"}])]}},
+        {"type": "summary", "cwd": "/later"},
+        {"type": "user", "message": {"content": ""}},
+        {"type": "user", "timestamp": "2031", "message": {"content": "last"}},
+    ]
+    item = lambda **p: {"type": "response_item", "timestamp": "2026-01-02T03:04:05Z", "payload": p}
+    codex = [
+        {"type": "session_meta", "payload": {"cwd": "/w/p2"}},
+        item(type="message", role="user", content=[{"text": "hello"}]),
+        item(type="function_call_output", call_id="1", output="early\u2028x"),
+        item(type="reasoning", summary=[{"text": "so"}]),
+        item(type="function_call", call_id="1", name="sh", arguments='{"cmd": "ls"}'),
+        item(type="function_call_output", call_id="1", output="Code: 0\nOutput:\na b " + "c" * 300),
+        item(type="function_call_output", call_id="2", output="none"),
+        item(type="message", role="user", content=[{"text": " "}]),
+        item(type="message", role="assistant", content=[{"text": "done"}]),
+    ]
+    folder = tmp_path / "t"
+    folder.mkdir()
+    texts = {}
+    for k, own in enumerate((claude if dialect == "claude-code" else codex, [], (claude if dialect == "claude-code" else codex)[3:])):
+        texts[f"s{k}.jsonl"] = "\n".join(x for r in own for x in (json.dumps(r, ensure_ascii=k == 0), *(["{broken", "", "[1]"] if k == 2 else []))) + "\n" * (k == 0)
+        (folder / f"s{k}.jsonl").write_text(texts[f"s{k}.jsonl"])
+    files = spark.createDataFrame([("s", p, t) for p, t in texts.items()], "source string, path string, content string")
+    want = sorted(map(tuple, chunk_files(files, dialect, thinking).collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")  # a file is read by several tasks
+    try:
+        lines = sources.transcript_lines(spark, str(folder)).selectExpr("'s' AS source", "substring_index(path, '/', -1) AS path", "line", "value")
+        got = sorted(map(tuple, transcripts.turns_by_line(lines, dialect, thinking).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == want and len(want) >= 3
+

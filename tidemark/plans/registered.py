@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import chunkers
+from ..chunkers import transcripts
 from ..functions import text as tx
 from ..functions import vector as vx
 from ..operators import evaluate, graph, incremental, intervals, navigate, retrieval, usage
@@ -450,9 +451,36 @@ def transcript_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as transcripts of JSON lines, cut by their chunker from one user's turn to the next."""
     said = F.when(F.col("role") == "user", F.to_json(F.struct(F.lit("user").alias("type"), F.struct(F.col("text").alias("content")).alias("message"))))
     said = said.otherwise(F.to_json(F.struct(F.col("role").alias("type"), F.struct(F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text"))).alias("content")).alias("message"))))
-    lines = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", said.alias("line")))).alias("lines"))
-    files = lines.select(F.lit("c").alias("source"), F.col("conv_id").cast("string").alias("path"), F.array_join("lines.line", "\n").alias("content"))
-    return chunkers.chunk_files(files, "claude-code").select("path", "chunk_idx", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("content_sha"))
+    lines = spread(table(spark, sf_dir, "conversations")).select(F.lit("c").alias("source"), F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("line"), said.alias("value"))
+    return digests(transcripts.turns_by_line(lines, "claude-code"))
+
+
+def digests(chunks: DataFrame) -> DataFrame:
+    return chunks.select("path", "chunk_idx", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("content_sha"))
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS raw, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS said, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS k FROM conversations),
+u AS (SELECT conv_id, k, max(said) AS asked FROM t WHERE role = 'user' GROUP BY ALL),
+r AS (SELECT conv_id, k, turn, regexp_replace(said, '\s+', ' ', 'g') AS line FROM t WHERE role = 'assistant'),
+a AS (SELECT conv_id, k, string_agg('[tool: t' || turn % 3 || ' x' || turn || ']' || chr(10) || '[tool result t' || turn % 3 || ': ' || CASE WHEN length(line) > 200 THEN line[1:200] || '…' ELSE line END || ']' || chr(10), '' ORDER BY turn) AS answers FROM r GROUP BY ALL),
+c AS (SELECT conv_id::VARCHAR AS path, k - 1 AS chunk_idx, CASE WHEN asked <> '' THEN 'USER: ' || asked || chr(10) ELSE '' END || CASE WHEN answers IS NULL THEN '' ELSE chr(10) || 'ASSISTANT:' || chr(10) || answers END AS content FROM u LEFT JOIN a USING (conv_id, k))
+SELECT path, chunk_idx::INT AS chunk_idx, strlen(content)::BIGINT AS n_bytes, sha256(content) AS content_sha FROM c WHERE content <> ''
+""")
+def codex_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as transcripts of the other dialect, in which each answer is the result of a call, whose name is joined by its id."""
+    c = F.col
+    item = lambda *fields: F.to_json(F.struct(F.lit("response_item").alias("type"), F.struct(*fields).alias("payload")))
+    of = lambda kind: F.lit(kind).alias("type")
+    call = F.concat_ws("-", "conv_id", "turn").alias("call_id")
+    said = F.array(F.struct(c("text")))
+    user = item(of("message"), F.lit("user").alias("role"), said.alias("content"))
+    asks = item(of("function_call"), call, F.concat(F.lit("t"), c("turn") % 3).alias("name"), F.concat(F.lit('{"cmd": "x'), c("turn"), F.lit('"}')).alias("arguments"))
+    gets = item(of("function_call_output"), call, F.concat(F.lit("Code: 0\nOutput:\n"), F.coalesce("text", F.lit(""))).alias("output"))
+    values = F.when(c("role") == "user", F.array(user)).when(c("role") == "assistant", F.array(asks, gets)).otherwise(F.array())
+    rows = spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", F.posexplode(values).alias("at", "value"))
+    lines = rows.select(F.lit("c").alias("source"), c("conv_id").cast("string").alias("path"), (c("turn") * 2 + c("at")).alias("line"), "value")
+    return digests(transcripts.turns_by_line(lines, "codex"))
 
 
 USAGE_SQL = """

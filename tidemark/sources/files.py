@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..plans.shared import settle
@@ -103,6 +104,7 @@ def get_document(files: DataFrame, path: str, max_bytes: int = ONE_BYTES) -> Dat
 
 
 def transcript_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (path, line, record): the JSON lines of transcripts as variants; lines that aren't JSON are passed over."""
-    rows = spark.read.text(path).select(F.input_file_name().alias("path"), F.monotonically_increasing_id().alias("line"), F.try_parse_json("value").alias("record"))
-    return rows.where("record IS NOT NULL")
+    """Rows (path, line, value): the lines of transcripts in order, also of a file that is read by many tasks."""
+    rows = spark.read.option("lineSep", "\n").text(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    return rows.select("path", F.row_number().over(Window.partitionBy("path").orderBy("block", "at")).alias("line"), "value")
