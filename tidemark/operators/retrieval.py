@@ -316,10 +316,13 @@ def _scan_literals(wanted: DataFrame, chunks: DataFrame, block: int) -> DataFram
 def vector_arm(queries: DataFrame, index: DataFrame | vectors.Blocks, limit: int = ARM_LIMIT) -> DataFrame:
     """The nearest vectors by L2, exactly: score is 1 / (1 + distance), and the distance is kept.
 
-    ``index`` is vectors in blocks, or vectors (chunk_id, embedding), which are put in blocks first.
+    ``index`` is vectors in blocks, or vectors (chunk_id, embedding). For a few queries these are gone through once; for
+    more, they are put in blocks first.
     """
-    blocks = index if isinstance(index, vectors.Blocks) else vectors.in_blocks(index)
-    found = vectors.nearest(queries, blocks, limit)
+    if not isinstance(index, vectors.Blocks) and queries.limit(vectors.FEW + 1).count() <= vectors.FEW:
+        found = vectors.scanned(queries, index, limit)
+    else:
+        found = vectors.nearest(queries, index if isinstance(index, vectors.Blocks) else vectors.in_blocks(index), limit)
     scored = found.select("query_id", "chunk_id", "distance", (1 / (1 + F.col("distance"))).alias("score"))
     return best(scored, limit, by=F.round("distance", DIGITS))
 

@@ -13,6 +13,7 @@ from ..chunkers import transcripts
 from ..functions import text as tx
 from ..functions import vector as vx
 from ..operators import evaluate, graph, incremental, intervals, navigate, retrieval, usage
+from ..operators.vectors import in_blocks
 from ..sources import registry
 from ..streaming import refresh
 from .shared import ready, settle
@@ -115,7 +116,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 nearest vectors of every vector whose id is divisible by 20, by L2."""
     vectors = vector_chunks(spark, sf_dir)
     asked = vectors.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "embedding")
-    return rounded(retrieval.vector_arm(asked, vectors), "distance").select("query_id", "chunk_id", "distance", "rank")
+    return rounded(retrieval.vector_arm(asked, in_blocks(vectors)), "distance").select("query_id", "chunk_id", "distance", "rank")
 
 
 @query("""
