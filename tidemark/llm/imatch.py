@@ -146,7 +146,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many of the next document in
     descending order of id (null ids last; after the last, the first). Null texts are empty; rows that repeat an id
-    follow one another; no other column is read. DataFrame functions only: no Python runs on the executors.
+    follow one another; no other column is read. Ids must be whole numbers, and the smallest 64-bit one counts as null.
+    If no term is within the band, every text is printed by all of its terms. DataFrame functions only: no Python runs on
+    the executors.
     """
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(text_col, F.lit("")).alias("text"))
     known = lexicon(texts)
