@@ -1,6 +1,7 @@
 """A training corpus in five stages: language, near duplicates, benchmark passages, personal data, packing.
 
-Every stage reads what the one before it wrote, and all but the last return the columns of ``documents``.
+Every stage reads what the one before it wrote, and all but the last return the columns of ``documents``. Columns beyond
+these five are dropped by the first stage; null texts have no language and go with it.
 """
 
 from __future__ import annotations
