@@ -53,11 +53,6 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def contains_literal(text: Column, literal: Column) -> Column:
-    """Whether the literal, trimmed, stands in the text; A-Z and a-z are alike and nothing is a wildcard."""
-    return F.contains(ascii_lower(text), ascii_lower(F.trim(literal)))
-
-
 def identifier_words(name: Column) -> Column:
     """The words of an identifier in lower case: parted at signs, case changes, between letters and digits."""
     parted = F.regexp_replace(name, r"[_\-:./\s]+", " ")

@@ -106,10 +106,10 @@ def chunk_sizes(chunks: DataFrame, rows: DataFrame) -> tuple[int, float]:
 
 
 def weighed_phrases(queries: DataFrame, index: Postings) -> tuple[DataFrame, DataFrame]:
-    """(query_id, phrase, weight, common) and (phrase, chunk_id, dl, f): what is asked for, and where it stands.
+    """(query_id, phrase, weight) and (phrase, chunk_id, dl, f): what is asked for, and where it stands.
 
     The postings of the terms asked for are read. A phrase of several terms is looked for where its rarest one stands, by
-    the places of the others there. A phrase that half of the chunks or more hold is common: its weight is next to nothing.
+    the places of the others there. A phrase that half of the chunks or more hold has a weight of next to nothing.
     """
     phrases = settle(phrase_table(queries), "phrases")
     wanted = phrases.select("phrase").distinct()
@@ -131,7 +131,7 @@ def weighed_phrases(queries: DataFrame, index: Postings) -> tuple[DataFrame, Dat
         many = settle(agreed.groupBy("phrase", "chunk_id", "dl").agg(F.count("*").cast("int").alias("f")), "long-phrases")
         found, frequency = ones.unionByName(many), frequency.unionByName(many.groupBy("phrase").agg(F.count("*").alias("n_p")))
     idf = F.log((F.lit(index.n) - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5))
-    weighed = phrases.join(frequency, "phrase").select("query_id", "phrase", (F.col("times") * F.when(idf > 0, idf).otherwise(LEAST_IDF)).alias("weight"), (idf <= 0).alias("common"))
+    weighed = phrases.join(frequency, "phrase").select("query_id", "phrase", (F.col("times") * F.when(idf > 0, idf).otherwise(LEAST_IDF)).alias("weight"))
     return settle(weighed, "weighed"), found
 
 
