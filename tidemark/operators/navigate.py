@@ -34,21 +34,20 @@ def resolve_note_links(links: DataFrame, files: DataFrame) -> DataFrame:
 
     A path matches a file that is it or ends with / and it, both in lower case without .md; every suffix of every file's
     path is a row, so the join is on equality. A title matches a file's name. Of several the smallest path is taken; the
-    link is exact if there is one.
+    link is exact if there is one. Files are counted by suffix and by name first, so a link meets one row of either kind,
+    however many files are alike.
     """
+    files = files.select("path").distinct()
     lower = F.regexp_replace(F.lower("path"), r"\.md$", "")
     parts = F.split(lower, "/")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "/"))
-    by_path = files.select("path", F.explode(suffixes).alias("want"))
-    by_title = files.select("path", F.lower(tx.stem(F.col("path"))).alias("title"))
+    by_path = files.select("path", F.explode(suffixes).alias("_want")).groupBy("_want").agg(F.min("path").alias("_path"), F.count("*").alias("_n"))
+    by_title = files.groupBy(F.lower(tx.stem(F.col("path"))).alias("_title")).agg(F.min("path").alias("_named"), F.count("*").alias("_names"))
     want = F.regexp_replace(F.lower("want"), r"\.md$", "")
-    asked = links.select("link_id", want.alias("want"), F.lower("title").alias("title"))
-    pathed = asked.where("want IS NOT NULL AND want <> ''").join(by_path, "want").select("link_id", "path", F.lit(0).alias("level"))
-    titled = asked.join(by_title, "title").select("link_id", "path", F.lit(1).alias("level"))
-    found = pathed.unionByName(titled).distinct()
-    first = F.min("level").over(Window.partitionBy("link_id"))
-    chosen = found.withColumn("first", first).where("level = first").groupBy("link_id").agg(F.min("path").alias("target_path"), F.count("*").alias("n"))
-    return links.join(chosen, "link_id", "left").select(*links.columns, "target_path", F.when(F.col("n") == 1, "exact").when(F.col("n") > 1, "name_match").alias("confidence"))
+    asked = links.withColumns({"_want": F.when(want != "", want), "_title": F.lower("title")})
+    n = F.coalesce("_n", "_names")
+    found = asked.join(by_path, "_want", "left").join(by_title, "_title", "left")
+    return found.select(*links.columns, F.coalesce("_path", "_named").alias("target_path"), F.when(n == 1, "exact").when(n > 1, "name_match").alias("confidence"))
 
 
 def _with_paths(links: DataFrame, chunks: DataFrame) -> DataFrame:
