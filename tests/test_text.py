@@ -110,3 +110,9 @@ def test_confidence_by_rule(spark):
         assert got[i]["low_confidence"] == (not exact and not same_file and known < 0.45)
         assert got[i]["confidence"] == (1.0 if exact else max(known, 0.6) if same_file else known)
         assert (got[i]["file_agreement"], got[i]["chunk_agreement"], got[i]["strong_literal"]) == (same_file, same_chunk, exact)
+
+
+def test_aliases_part_a_name_once(spark):
+    named = spark.createDataFrame([("shipOrder", "cart")], "s string, h string").select(tx.aliases(F.col("s"), F.col("h")).alias("names"))
+    plan = named._jdf.queryExecution().analyzed().toString()
+    assert plan.count(r"(\p{Ll})(\p{Lu})") == 1  # it was parted anew for each way of spelling
