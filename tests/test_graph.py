@@ -173,3 +173,30 @@ def test_outline_by_a_loop(spark, budget, seed):
     got = graph.repo_map(spark.createDataFrame(ranks, "path string, rank double"), spark.createDataFrame(defined, "path string, kind string, symbol string, start_byte int, heading_path string"), budget)
     assert [r["line"] for r in got.orderBy("position").collect()] == out
 
+
+
+@pytest.mark.parametrize("held", [0, 1000])
+def test_pagerank_makes_its_edges_once(spark, held):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    derived = spark.range(40).selectExpr("id AS src", "(id * 7 + 1) % 40 AS dst", "'similarity' AS kind", "1.0D AS weight").mapInArrow(count, "src long, dst long, kind string, weight double")
+    links = spark.createDataFrame([], "source_chunk_id long, target_chunk_id long, kind string")
+    seeds = spark.createDataFrame([(0, 3, 1.0)], "query_id long, node long, weight double")
+    mass = graph.personalized_pagerank(graph.ranking_edges(links, derived), seeds, iterations=2, held=held)
+    assert round(sum(r["mass"] for r in mass.collect()), 9) == 1
+    assert made.value == 40
+
+
+def test_note_links_to_a_common_title_make_no_pairs(spark):
+    files = spark.range(3000).selectExpr("concat('d', id, '/index.md') AS path")
+    links = spark.range(3000).selectExpr("id AS link_id", "'index' AS title", "CAST(NULL AS string) AS want")
+    found = navigate.resolve_note_links(links, files)
+    assert {(r["target_path"], r["confidence"]) for r in found.select("target_path", "confidence").distinct().collect()} == {("d0/index.md", "name_match")}
+    spark.sparkContext.setLogLevel("ERROR")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan  # it ran over a row for each link and file of its title
