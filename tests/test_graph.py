@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +75,38 @@ def test_keyphrase_edges(spark):
     assert graph.keyphrase_edges(phrases, most_chunks=1).count() == 0 and graph.keyphrases(spark.createDataFrame([(1, "the of"), (2, ""), (3, None)], "chunk_id long, content string")).count() == 0
 
 
+def test_keyphrases_of_pieces_of_a_batch(monkeypatch):
+    monkeypatch.setattr(graph, "PHRASE_WORDS", 50)
+    rng = random.Random(8)
+    words = ["the", "of", "a", "7", "x1", "été", "ab", "abc", *[f"w{i}" for i in range(9)]]
+    texts = [[rng.choice(words) for _ in range(k)] for k in [0, 1, 300, *[rng.randint(0, 40) for _ in range(60)]]] + [None, ["the", "7"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100, 100 + len(texts))), pa.array(texts, pa.list_(pa.string()))], ["chunk_id", "words"])
+    found = list(graph.phrase_batches(batch, 4))
+    assert len(found) > 5  # so a batch of long chunks isn't held at once
+    want = []
+    for i, text in enumerate(texts):
+        runs = [r.split() for r in " ".join("|" if w in ("the", "of", "a", "7") else w for w in text or ()).split("|") if r.strip()]
+        often, degree = Counter(w for r in runs for w in r), Counter()
+        for r in runs:
+            for w in r:
+                degree[w] += len(r)
+        scored = {" ".join(r): sum(degree[w] / often[w] for w in r) for r in runs if len(" ".join(r).encode()) >= 4}
+        best = sorted((-round(x, 9), phrase) for phrase, x in scored.items())[:4]
+        want += [(100 + i, phrase, round(-x, 6), k + 1) for k, (x, phrase) in enumerate(best)]
+    assert [(r["chunk_id"], r["phrase"], round(r["score"], 6), r["phrase_rank"]) for b in found for r in b.to_pylist()] == want
+
+
+def test_keyphrase_edges_hand_on_a_bounded_number_of_chunks_of_a_word(spark):
+    rows = [(i, f"every{' four' if i < 4 else ''}{' five' if i < 5 else ''}{' pair twin' if i in (7, 9) else ''}") for i in range(400)]
+    rows += [(0, "four four"), (2, "five"), (None, "four"), (3, None)]  # repeated, and one without an id
+    phrases = spark.createDataFrame(rows, "chunk_id long, phrase string").repartition(4)
+    edges = graph.keyphrase_edges(phrases, most_chunks=5)
+    assert {(r["src"], r["dst"], r["weight"]) for r in edges.collect()} == {(a, b, 2.0) for a in range(4) for b in range(a + 1, 4)} | {(7, 9, 2.0)}
+    assert graph.keyphrase_edges(phrases, most_chunks=4).count() == 1  # the row without an id is a chunk of its own
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "WindowGroupLimit" in plan.split("hashpartitioning(word")[-1]  # before the shuffle too
+
+
 def test_note_links(spark):
     files = spark.createDataFrame([("a/Plan.md",), ("b/Plan.md",), ("a/b/Costs 2024.md",), ("Harbour.md",)], "path string")
     asked = {10: ("harbour", None), 11: ("Costs 2024", "b/costs 2024"), 12: ("plan", None), 13: ("plan", "b/plan.md"), 14: ("x", "a/none"), 15: ("Harbour", "zzz"), 16: ("nothing", None)}
