@@ -234,3 +234,14 @@ def test_note_links_to_a_common_title_make_no_pairs(spark):
     spark.sparkContext.setLogLevel("ERROR")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan  # it ran over a row for each link and file of its title
+
+
+def test_last_push_is_made_only_if_what_it_leaves_is_asked_for(spark, monkeypatch):
+    names, settle = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df, name: names.append(name) or settle(df, name))
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (2, 0, 1.0)], "src long, dst long, weight double")
+    seeds = spark.createDataFrame([(5, 0, 1.0)], "query_id long, node long, weight double")
+    near, rest = graph.pushed_pagerank(edges, seeds, least=0.0, rounds=3)
+    assert names.count("waiting") == 3  # the seeds, and two of three rounds
+    assert {r["node"]: round(r["mass"], 9) for r in near.collect()} == {0: 0.15, 1: 0.1275, 2: 0.108375}
+    assert [round(r["left"], 9) for r in rest.collect()] == [round(0.85**3, 9)]
