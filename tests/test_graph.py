@@ -245,3 +245,25 @@ def test_last_push_is_made_only_if_what_it_leaves_is_asked_for(spark, monkeypatc
     assert names.count("waiting") == 3  # the seeds, and two of three rounds
     assert {r["node"]: round(r["mass"], 9) for r in near.collect()} == {0: 0.15, 1: 0.1275, 2: 0.108375}
     assert [round(r["left"], 9) for r in rest.collect()] == [round(0.85**3, 9)]
+
+
+def test_mass_is_pushed_where_the_edges_are_held(spark, monkeypatch):
+    monkeypatch.setattr(graph, "EDGE_PIECE", 7, raising=False)
+    rng = random.Random(6)
+    edges = [(rng.randint(0, 80) << 40, rng.randint(0, 99) << 40, rng.choice([0.3, 0.5, 1.0])) for _ in range(300)]
+    seeds = [(f"q{q}", rng.randint(0, 99) << 40, rng.random()) for q in range(9) for _ in range(4)] + [("q1", 5, 0.5), ("q2", 3 << 40, 1.0), ("q2", 3 << 40, 1.0), ("alone", 77, 1.0), ("none", 1 << 40, 0.0)]
+    wanted = [(q, n << 40) for q in sorted({q for q, _, _ in seeds}) for n in rng.sample(range(120), 20)] + [("q1", 5), ("other", 0)]
+    links, first = spark.createDataFrame(edges, "src long, dst long, weight double"), spark.createDataFrame(seeds, "query_id string, node long, weight double")
+    near, _ = graph.pushed_pagerank(links, first, least=0.0, rounds=5)
+    mass = {(r["query_id"], r["node"]): r["mass"] for r in near.collect()}
+    top = {q: max(m for (p, _), m in mass.items() if p == q) for q, _ in mass}
+    written = []
+    real = graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df, name: (written.append(name), real(df, name))[1])
+    for held in (10**6, 0):
+        written.clear()
+        got = {(r["query_id"], r["node"]): r["mass"] for r in graph.pushed_around(links, first, spark.createDataFrame(wanted, "query_id string, node long"), 5, held=held).collect()}
+        assert {k: v for k, v in got.items() if k in set(wanted)} == {k: pytest.approx(mass[k], rel=1e-9) for k in wanted if k in mass}
+        assert len(set(got) - set(wanted)) <= len(top) and set(got) <= set(mass)
+        assert {q: max(m for (p, _), m in got.items() if p == q) for q, _ in got} == {q: pytest.approx(m, rel=1e-9) for q, m in top.items()}
+        assert ("waiting" in written) == (held == 0)  # mass that waits was written in each round
